@@ -96,3 +96,210 @@ def q_dup_groups(spark, sf_dir):
 @register("dup_groups_min4k", _group_sql(MIN_SIZE_4K))
 def q_dup_groups_min4k(spark, sf_dir):
     return _group_select(document_duplicates(spark, sf_dir, MIN_SIZE_4K).groups)
+
+
+@register("dup_members", doc_members_sql(MIN_SIZE))
+def q_dup_members(spark, sf_dir):
+    return document_duplicates(spark, sf_dir).members()
+
+
+@register("dup_totals", f"""
+SELECT COUNT(*) AS n_groups, CAST(COALESCE(SUM(n_members), 0) AS BIGINT) AS n_members,
+       CAST(COALESCE(SUM(size * (n_members - 1)), 0) AS BIGINT) AS reclaimable
+FROM ({doc_groups_sql(MIN_SIZE)}) g
+""")
+def q_dup_totals(spark, sf_dir):
+    return document_duplicates(spark, sf_dir).totals()
+
+
+SIZE_CAND_SQL = f"""
+SELECT size, COUNT(*) AS n, MIN(asset_id) AS min_id
+FROM ({DOC_ASSETS_SQL}) a WHERE size >= {MIN_SIZE} AND size > 0
+GROUP BY size HAVING COUNT(*) > 1
+"""
+
+
+@register("size_candidates", SIZE_CAND_SQL)
+def q_size_candidates(spark, sf_dir):
+    return dup.size_candidates(tables.documents_assets(spark, sf_dir), MIN_SIZE)
+
+
+@register("hash_workload", f"""
+SELECT CAST(COALESCE(SUM(n), 0) AS BIGINT) AS files, CAST(COALESCE(SUM(size * n), 0) AS BIGINT) AS bytes
+FROM ({SIZE_CAND_SQL}) c
+""")
+def q_hash_workload(spark, sf_dir):
+    return dup.hash_workload(dup.size_candidates(tables.documents_assets(spark, sf_dir), MIN_SIZE))
+
+
+@register("bucket_guard", f"""
+SELECT size, hash, COUNT(*) AS n, TRUE AS edges_agree
+FROM ({DOC_ASSETS_SQL}) a WHERE size >= {MIN_SIZE} AND size > 0
+GROUP BY size, hash HAVING COUNT(*) > 1
+""")
+def q_bucket_guard(spark, sf_dir):
+    fp = dup.fingerprint_payloads(tables.documents_assets(spark, sf_dir))
+    return dup.bucket_guard(fp, MIN_SIZE)
+
+
+@register("dup_groups_pages", """
+SELECT MIN(page_id) AS group_id, COUNT(*) AS n_members
+FROM pages WHERE html IS NOT NULL AND octet_length(encode(html)) > 0
+GROUP BY octet_length(encode(html)), sha256(html) HAVING COUNT(*) > 1
+""")
+def q_dup_groups_pages(spark, sf_dir):
+    fp = dup.fingerprint_payloads(tables.pages_assets(spark, sf_dir))
+    return dup.find_duplicates(fp, min_size=MIN_SIZE).groups.select("group_id", "n_members")
+
+
+@register("dup_groups_conversations", """
+SELECT MIN(conv_id * 1000 + turn) AS group_id, COUNT(*) AS n_members
+FROM conversations WHERE text IS NOT NULL AND octet_length(encode(text)) > 0
+GROUP BY octet_length(encode(text)), sha256(text) HAVING COUNT(*) > 1
+""")
+def q_dup_groups_conversations(spark, sf_dir):
+    fp = dup.fingerprint_payloads(tables.conversations_assets(spark, sf_dir))
+    return dup.find_duplicates(fp, min_size=MIN_SIZE).groups.select("group_id", "n_members")
+
+
+# Keeper, plan and policy ----------------------------------------------------
+from assetsweep.operators import plan as plan_ops  # noqa: E402
+
+
+@register("keeper_preferred", f"""
+SELECT g.group_id, g.keeper_id, a.store AS keeper_store, a.store IN ({_in_list(MANAGED)}) AS keeper_managed
+FROM ({doc_groups_sql(MIN_SIZE)}) g JOIN ({DOC_ASSETS_SQL}) a ON a.asset_id = g.keeper_id
+""")
+def q_keeper_preferred(spark, sf_dir):
+    d = document_duplicates(spark, sf_dir)
+    m = d.members().where("is_keeper")
+    return m.select("group_id", "keeper_id", F.col("store").alias("keeper_store"),
+                    F.col("store").isin(MANAGED).alias("keeper_managed"))
+
+
+REMOVAL_COLS = "group_id, asset_id, path, store, size, keeper_id"
+
+
+def removal_sql(keep: str, cap: int | None = None) -> str:
+    keep_col = "keeper_id" if keep == "preferred" else "group_id"
+    gate = "" if cap is None else f"AND m.size <= {cap}"
+    return f"""
+SELECT m.group_id, m.asset_id, m.path, m.store, m.size, m.{keep_col} AS keeper_id
+FROM ({doc_members_sql(MIN_SIZE)}) m
+WHERE m.asset_id <> m.{keep_col} {gate}
+"""
+
+
+@register("keeper_first", removal_sql("first"))
+def q_keeper_first(spark, sf_dir):
+    return plan_ops.reclaim_plan(document_duplicates(spark, sf_dir), keep="first").removal
+
+
+@register("removal_plan", removal_sql("preferred"))
+def q_removal_plan(spark, sf_dir):
+    return plan_ops.reclaim_plan(document_duplicates(spark, sf_dir), keep="preferred").removal
+
+
+@register("kept_documents", f"""
+SELECT d.doc_id, d.source, CAST(octet_length(encode(d.text)) AS BIGINT) AS size
+FROM documents d WHERE d.doc_id NOT IN (SELECT asset_id FROM ({removal_sql('preferred')}) r)
+""")
+def q_kept_documents(spark, sf_dir):
+    docs = tables.read_table(spark, sf_dir, "documents")
+    removal = plan_ops.reclaim_plan(document_duplicates(spark, sf_dir), keep="preferred").removal
+    kept = plan_ops.kept_assets(docs.withColumnRenamed("doc_id", "asset_id"), removal)
+    return kept.select(F.col("asset_id").alias("doc_id"), "source",
+                       F.octet_length("text").cast("long").alias("size"))
+
+
+@register("policy_allowed", f"""
+SELECT group_id, size_each, n_members FROM ({_group_sql(MIN_SIZE)}) g WHERE size_each <= {POLICY_CAP}
+""")
+def q_policy_allowed(spark, sf_dir):
+    p = plan_ops.reclaim_plan(document_duplicates(spark, sf_dir), cap=POLICY_CAP)
+    return p.allowed.select("group_id", "size_each", "n_members")
+
+
+@register("policy_blocked", f"""
+SELECT group_id, size_each, n_members FROM ({_group_sql(MIN_SIZE)}) g WHERE size_each > {POLICY_CAP}
+""")
+def q_policy_blocked(spark, sf_dir):
+    p = plan_ops.reclaim_plan(document_duplicates(spark, sf_dir), cap=POLICY_CAP)
+    return p.blocked.select("group_id", "size_each", "n_members")
+
+
+@register("policy_blocked_rollup", f"""
+SELECT COUNT(*) AS blocked_groups, CAST(COALESCE(SUM(reclaimable), 0) AS BIGINT) AS blocked_bytes
+FROM ({_group_sql(MIN_SIZE)}) g WHERE size_each > {POLICY_CAP}
+""")
+def q_policy_blocked_rollup(spark, sf_dir):
+    return plan_ops.reclaim_plan(document_duplicates(spark, sf_dir), cap=POLICY_CAP).blocked_rollup()
+
+
+@register("policy_removal", removal_sql("preferred", POLICY_CAP))
+def q_policy_removal(spark, sf_dir):
+    return plan_ops.reclaim_plan(document_duplicates(spark, sf_dir), cap=POLICY_CAP).removal
+
+
+@register("policy_rows_over_cap", f"""
+SELECT doc_id, source, CAST(octet_length(encode(text)) AS BIGINT) AS size
+FROM documents WHERE octet_length(encode(text)) > {POLICY_CAP}
+""")
+def q_policy_rows_over_cap(spark, sf_dir):
+    a = tables.documents_assets(spark, sf_dir)
+    _, over = plan_ops.row_gate(a, POLICY_CAP)
+    return over.select(F.col("asset_id").alias("doc_id"), F.col("store").alias("source"), "size")
+
+
+# Re-verification against a changed present state ----------------------------
+# The present state: German documents were edited (each differently), and the
+# whole of source src3 has disappeared.
+EDITED_LANG = "de"
+GONE_SOURCE = "src3"
+
+CURRENT_SQL = f"""
+  SELECT doc_id AS asset_id,
+         CAST(octet_length(encode(t)) AS BIGINT) AS size, sha256(t) AS hash
+  FROM (SELECT doc_id, CASE WHEN lang = '{EDITED_LANG}' THEN text || ' #' || CAST(doc_id AS VARCHAR)
+                            ELSE text END AS t
+        FROM documents WHERE source <> '{GONE_SOURCE}') c
+"""
+
+
+def current_documents(spark, sf_dir):
+    docs = tables.read_table(spark, sf_dir, "documents").where(F.col("source") != GONE_SOURCE)
+    edited = F.when(F.col("lang") == EDITED_LANG,
+                    F.concat(F.col("text"), F.lit(" #"), F.col("doc_id").cast("string"))
+                    ).otherwise(F.col("text"))
+    docs = docs.withColumn("text", edited)
+    return dup.fingerprint_payloads(tables.text_assets(docs, "doc_id", "text", "source"))
+
+
+VERIFY_SQL = f"""
+SELECT r.group_id, r.asset_id, r.keeper_id, r.size,
+       CASE WHEN t.hash IS NULL THEN 'missing'
+            WHEN k.hash IS NULL THEN 'keeper_missing'
+            WHEN t.hash <> k.hash OR t.size <> k.size THEN 'changed'
+            ELSE 'ok' END AS status
+FROM ({removal_sql('preferred')}) r
+LEFT JOIN ({CURRENT_SQL}) t ON t.asset_id = r.asset_id
+LEFT JOIN ({CURRENT_SQL}) k ON k.asset_id = r.keeper_id
+"""
+
+
+def _verify(spark, sf_dir):
+    removal = plan_ops.reclaim_plan(document_duplicates(spark, sf_dir)).removal
+    return plan_ops.verify_plan(removal, current_documents(spark, sf_dir))
+
+
+@register("verify_plan", VERIFY_SQL)
+def q_verify_plan(spark, sf_dir):
+    return _verify(spark, sf_dir)
+
+
+@register("verify_summary", f"""
+SELECT status, COUNT(*) AS n, CAST(COALESCE(SUM(size), 0) AS BIGINT) AS bytes
+FROM ({VERIFY_SQL}) v GROUP BY status
+""")
+def q_verify_summary(spark, sf_dir):
+    return plan_ops.status_rollup(_verify(spark, sf_dir))
