@@ -130,7 +130,7 @@ def tensor_type_bytes(type_id) -> Column:
 
 # Saturating u64 arithmetic in DECIMAL(38,0) ----------------------------------
 def u64_lit() -> Column:
-    return F.lit(U64_MAX).cast("decimal(38,0)")
+    return F.lit(str(U64_MAX)).cast("decimal(38,0)")
 
 
 def sat_mul(a, b) -> Column:
@@ -167,9 +167,8 @@ def kv_cache_bytes(weights, n_layers, n_embd, n_head, n_head_kv, context) -> Col
     kv = F.greatest(F.coalesce(_col(n_head_kv).cast(d), head), F.lit(1).cast(d))
     embd = _col(n_embd).cast(d)
     head_dim = F.floor(embd / head).cast(d)
-    # The head product is not saturating in the reference; it cannot exceed
-    # u64 max for u64 inputs because head_dim * kv <= embd * kv / head ... so
-    # clamp it like the others to stay inside DECIMAL(38,0).
+    # head_dim * kv_heads is clamped like every other product so that the
+    # arithmetic stays inside DECIMAL(38,0) for any u64 inputs.
     n_embd_kv = sat_mul(head_dim, kv)
     width = F.greatest(n_embd_kv, F.floor(embd / F.lit(4)).cast(d))
     est = sat_mul(sat_mul(sat_mul(sat_mul(F.lit(2), _col(n_layers)), width), _col(context)), F.lit(2))

@@ -303,3 +303,277 @@ FROM ({VERIFY_SQL}) v GROUP BY status
 """)
 def q_verify_summary(spark, sf_dir):
     return plan_ops.status_rollup(_verify(spark, sf_dir))
+
+
+# Inventory ------------------------------------------------------------------
+from assetsweep.functions import scalars as S  # noqa: E402
+from assetsweep.operators import inventory as inv  # noqa: E402
+
+# Store roots over page URLs: plain string-prefix semantics (reference
+# behaviour); ``http`` is a prefix of every other root and ``ftp://`` matches
+# nothing and is flagged missing.
+URL_STORES = [("secure", "https://", False), ("plain", "http://", False), ("blog", "http://blog.", False),
+              ("mobile", "https://m.", False), ("ftp", "ftp://", True), ("any_http", "http", False)]
+# Store roots over document paths (source/lang/doc_id) with a path boundary:
+# ``src1`` must not count ``src10/...``.
+PATH_STORES = [("s1", "src1", False), ("s1_en", "src1/en", False), ("s2", "src2/", False),
+               ("none", "nosuch", True)]
+
+
+def _stores_df(spark, rows):
+    return spark.createDataFrame(rows, "kind string, root string, missing boolean")
+
+
+def _stores_sql(rows):
+    return " UNION ALL ".join(f"SELECT '{k}' AS kind, '{r}' AS root, {str(m).upper()} AS missing"
+                              for k, r, m in rows)
+
+
+@register("store_summary_prefix", f"""
+SELECT s.kind, s.root, CAST(COUNT(p.page_id) AS BIGINT) AS files,
+       CAST(COALESCE(SUM(octet_length(encode(p.html))), 0) AS BIGINT) AS bytes, s.missing
+FROM ({_stores_sql(URL_STORES)}) s LEFT JOIN pages p ON starts_with(p.url, s.root)
+GROUP BY s.kind, s.root, s.missing
+""")
+def q_store_summary_prefix(spark, sf_dir):
+    return inv.store_summaries(tables.pages_assets(spark, sf_dir), _stores_df(spark, URL_STORES),
+                               boundary=False)
+
+
+@register("store_summary_boundary", f"""
+SELECT s.kind, s.root, CAST(COUNT(a.asset_id) AS BIGINT) AS files,
+       CAST(COALESCE(SUM(a.size), 0) AS BIGINT) AS bytes, s.missing
+FROM ({_stores_sql(PATH_STORES)}) s LEFT JOIN ({DOC_ASSETS_SQL}) a
+  ON starts_with(a.path, CASE WHEN s.root LIKE '%/' THEN s.root ELSE s.root || '/' END) OR a.path = s.root
+GROUP BY s.kind, s.root, s.missing
+""")
+def q_store_summary_boundary(spark, sf_dir):
+    return inv.store_summaries(tables.documents_assets(spark, sf_dir), _stores_df(spark, PATH_STORES),
+                               boundary=True)
+
+
+@register("store_totals", """
+SELECT source AS store, COUNT(*) AS files, CAST(SUM(octet_length(encode(text))) AS BIGINT) AS bytes
+FROM documents GROUP BY source
+""")
+def q_store_totals(spark, sf_dir):
+    return inv.per_store(tables.documents_assets(spark, sf_dir))
+
+
+@register("inventory_totals", """
+SELECT COUNT(*) AS total_files, CAST(COALESCE(SUM(octet_length(encode(text))), 0) AS BIGINT) AS total_bytes
+FROM documents
+""")
+def q_inventory_totals(spark, sf_dir):
+    return inv.totals(tables.documents_assets(spark, sf_dir))
+
+
+# File names built from documents: split-style stems (five digits or not, empty
+# base for Spanish documents) with a .gguf / .bin / no extension.
+def _doc_names(spark, sf_dir):
+    d = tables.read_table(spark, sf_dir, "documents")
+    base = F.when(F.col("lang") == "es", F.lit("")).otherwise(F.concat_ws("-", "lang", "source"))
+    stem = F.concat(base, F.lit("-"), F.col("n_chars").cast("string"), F.lit("-of-"),
+                    F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0"))
+    ext = F.when(F.col("lang") == "en", ".gguf").when(F.col("lang") == "fr", ".bin").otherwise("")
+    name = F.concat(stem, ext)
+    return d.select(F.col("doc_id").alias("asset_id"), name.alias("name"),
+                    F.concat_ws("/", F.col("source"), name).alias("path"),
+                    F.octet_length("text").cast("long").alias("size"))
+
+
+DOC_NAMES_SQL = """
+  SELECT doc_id AS asset_id, name, source || '/' || name AS path,
+         CAST(octet_length(encode(text)) AS BIGINT) AS size
+  FROM (SELECT *, (CASE WHEN lang = 'es' THEN '' ELSE lang || '-' || source END) || '-' ||
+                  CAST(n_chars AS VARCHAR) || '-of-' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') ||
+                  (CASE WHEN lang = 'en' THEN '.gguf' WHEN lang = 'fr' THEN '.bin' ELSE '' END) AS name
+        FROM documents) d
+"""
+SPLIT_RE = r"^(.*)-([0-9]{5})-of-([0-9]{5})\z"
+NAME_PARTS_SQL = f"""
+  SELECT asset_id, name, path, size, stem,
+         CASE WHEN regexp_matches(name, '.\\.[^.]*$') THEN regexp_extract(name, '.\\.([^.]*)$', 1) END AS ext,
+         CASE WHEN regexp_matches(stem, '{SPLIT_RE}') THEN regexp_extract(stem, '{SPLIT_RE}', 1) END AS split_group
+  FROM (SELECT *, regexp_replace(name, '(.)\\.[^.]*$', '\\1') AS stem FROM ({DOC_NAMES_SQL}) n) s
+"""
+
+
+@register("shard_key", f"""
+SELECT asset_id, name, stem, ext, split_group,
+       COALESCE(ext = 'gguf', FALSE) OR split_group IS NOT NULL AS looks_like_model
+FROM ({NAME_PARTS_SQL}) p
+""")
+def q_shard_key(spark, sf_dir):
+    a = inv.with_name_parts(_doc_names(spark, sf_dir))
+    looks = F.coalesce(F.col("ext") == "gguf", F.lit(False)) | F.col("split_group").isNotNull()
+    return a.select("asset_id", "name", "stem", "ext", "split_group", looks.alias("looks_like_model"))
+
+
+@register("shard_rollup", f"""
+SELECT COALESCE(split_group, path) AS model_key, COUNT(*) AS shards, CAST(SUM(size) AS BIGINT) AS weights_bytes
+FROM ({NAME_PARTS_SQL}) p GROUP BY COALESCE(split_group, path)
+""")
+def q_shard_rollup(spark, sf_dir):
+    return inv.shard_rollup(inv.with_name_parts(_doc_names(spark, sf_dir)))
+
+
+# Manifests: one manifest per lineitem row at registry.example/library/m<order>/v<line>,
+# with a model layer (part) and a params layer (supplier); returned lines ('R') are
+# written truncated and must be skipped.
+from assetsweep.sources import manifests as man  # noqa: E402
+
+
+def _manifest_rows(spark, sf_dir):
+    li = tables.read_table(spark, sf_dir, "lineitem")
+    doc = F.to_json(F.struct(
+        F.lit(2).alias("schemaVersion"),
+        F.struct(F.concat(F.lit("sha256:o"), F.col("l_orderkey").cast("string")).alias("digest")).alias("config"),
+        F.array(
+            F.struct(F.concat(F.lit("sha256:p"), F.col("l_partkey").cast("string")).alias("digest"),
+                     F.lit("application/vnd.model").alias("mediaType"),
+                     F.col("l_quantity").cast("long").alias("size")),
+            F.struct(F.concat(F.lit("sha256:s"), F.col("l_suppkey").cast("string")).alias("digest"),
+                     F.lit("application/vnd.params").alias("mediaType"),
+                     F.col("l_linenumber").cast("long").alias("size"))).alias("layers")))
+    doc = F.when(F.col("l_returnflag") == "R", F.substring(doc, 1, 20)).otherwise(doc)
+    rel = F.concat(F.lit("registry.example/library/m"), F.col("l_orderkey").cast("string"),
+                   F.lit("/v"), F.col("l_linenumber").cast("string"))
+    return li.select(rel.alias("rel_path"), doc.alias("json"))
+
+
+MANIFEST_TAGS_SQL = """
+SELECT blob, MIN(tag) AS tag, COUNT(*) AS n_refs FROM (
+  SELECT 'sha256-p' || CAST(l_partkey AS VARCHAR) AS blob,
+         'm' || CAST(l_orderkey AS VARCHAR) || ':v' || CAST(l_linenumber AS VARCHAR) AS tag
+  FROM lineitem WHERE l_returnflag <> 'R'
+  UNION ALL
+  SELECT 'sha256-s' || CAST(l_suppkey AS VARCHAR),
+         'm' || CAST(l_orderkey AS VARCHAR) || ':v' || CAST(l_linenumber AS VARCHAR)
+  FROM lineitem WHERE l_returnflag <> 'R') t
+GROUP BY blob
+"""
+
+
+@register("manifest_tags", MANIFEST_TAGS_SQL)
+def q_manifest_tags(spark, sf_dir):
+    return man.manifest_tags(_manifest_rows(spark, sf_dir))
+
+
+@register("blob_tag_join", f"""
+SELECT p.p_partkey, 'sha256-p' || CAST(p.p_partkey AS VARCHAR) AS name, t.tag
+FROM part p LEFT JOIN ({MANIFEST_TAGS_SQL}) t ON t.blob = 'sha256-p' || CAST(p.p_partkey AS VARCHAR)
+""")
+def q_blob_tag_join(spark, sf_dir):
+    blobs = tables.read_table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat(F.lit("sha256-p"), F.col("p_partkey").cast("string")).alias("name"))
+    return inv.attach_tags(blobs, man.manifest_tags(_manifest_rows(spark, sf_dir))).select(
+        "p_partkey", "name", "tag")
+
+
+# Capacity ---------------------------------------------------------------------
+from assetsweep.operators import capacity as cap_ops  # noqa: E402
+
+GIB = 1024 ** 3
+# Machine profiles (fixed values): RAM 16 GiB with a 6 GiB GPU, 16 GiB with a
+# 12 GiB GPU, 4 GiB without GPU, and a machine whose memory is unknown.
+DEVICES = [("ram16_gpu6", 16 * GIB, [6 * GIB]), ("ram16_gpu12", 16 * GIB, [12 * GIB]),
+           ("ram4", 4 * GIB, []), ("unknown", 0, [])]
+CONTEXTS = [4096, 32768]
+
+
+def _part_catalog(spark, sf_dir):
+    p = tables.read_table(spark, sf_dir, "part")
+    return p.select(
+        "p_partkey",
+        (F.round(F.col("p_retailprice") * 100).cast("long") * F.lit(50000)).alias("weights_bytes"),
+        F.when(F.col("p_type") == "SMALL", F.lit(None)).otherwise(F.col("p_size")).cast("long").alias("n_layers"),
+        (F.col("p_size") * 256).cast("long").alias("n_embd"),
+        F.when(F.col("p_size") % 4 == 0, F.lit(None)).otherwise(F.lit(32)).cast("long").alias("n_head"),
+        F.when(F.col("p_size") % 3 == 0, F.lit(None)).otherwise(F.lit(8)).cast("long").alias("n_head_kv"))
+
+
+PART_CATALOG_SQL = """
+  SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) * 50000 AS weights_bytes,
+         CASE WHEN p_type = 'SMALL' THEN NULL ELSE p_size END AS n_layers,
+         p_size * 256 AS n_embd,
+         CASE WHEN p_size % 4 = 0 THEN NULL ELSE 32 END AS n_head,
+         CASE WHEN p_size % 3 = 0 THEN NULL ELSE 8 END AS n_head_kv
+  FROM part
+"""
+
+
+def _capacity_sql():
+    devs = " UNION ALL ".join(
+        f"SELECT '{d}' AS device, CAST({r} AS BIGINT) AS ram_total, "
+        f"{'CAST(' + str(max(v)) + ' AS BIGINT)' if v else 'NULL'} AS largest_gpu"
+        for d, r, v in DEVICES)
+    ctxs = " UNION ALL ".join(f"SELECT CAST({c} AS BIGINT) AS context_tokens" for c in CONTEXTS)
+    kv = """CASE WHEN n_layers IS NOT NULL AND n_embd IS NOT NULL THEN
+                  2 * n_layers * greatest((n_embd // greatest(coalesce(n_head, 1), 1))
+                                          * greatest(coalesce(n_head_kv, greatest(coalesce(n_head, 1), 1)), 1),
+                                          n_embd // 4) * context_tokens * 2
+             ELSE weights_bytes // 8 END"""
+    return f"""
+SELECT p_partkey, weights_bytes, n_layers, n_embd, n_head, n_head_kv, device, context_tokens,
+       CAST(kv AS DECIMAL(20,0)) AS kv_cache_bytes, CAST({S.RUN_OVERHEAD_BYTES} AS BIGINT) AS overhead_bytes,
+       CAST(total AS DECIMAL(20,0)) AS total_estimate_bytes, largest_gpu,
+       fits_largest_gpu, fits_all_ram,
+       CASE WHEN fits_largest_gpu THEN 'fits on the largest GPU'
+            WHEN fits_largest_gpu = FALSE AND fits_all_ram THEN 'GPU-bound: likely CPU offload needed'
+            WHEN fits_largest_gpu = FALSE AND fits_all_ram = FALSE THEN 'does not fit in RAM as-is'
+            WHEN fits_largest_gpu IS NULL AND fits_all_ram THEN 'fits in system RAM (no GPU detected)'
+            WHEN fits_largest_gpu IS NULL AND fits_all_ram = FALSE THEN 'does not fit in RAM (no GPU detected)'
+            ELSE 'memory unknown: cannot judge' END AS note
+FROM (
+  SELECT *, largest_gpu >= total AS fits_largest_gpu,
+         CASE WHEN ram_total > 0 THEN ram_total >= total END AS fits_all_ram
+  FROM (SELECT *, weights_bytes + kv + {S.RUN_OVERHEAD_BYTES} AS total
+        FROM (SELECT c.*, x.context_tokens, d.device, d.ram_total, d.largest_gpu, {kv} AS kv
+              FROM ({PART_CATALOG_SQL}) c, ({ctxs}) x, ({devs}) d) k) t) v
+"""
+
+
+@register("capacity_fit", _capacity_sql())
+def q_capacity_fit(spark, sf_dir):
+    return cap_ops.capacity_fit(_part_catalog(spark, sf_dir), DEVICES, CONTEXTS)
+
+
+@register("quant_labels", f"""
+SELECT p_partkey, p_size - 1 AS file_type,
+       CASE p_size - 1 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in S.QUANT_LABELS.items())} ELSE 'unknown' END AS quant
+FROM part
+""")
+def q_quant_labels(spark, sf_dir):
+    p = tables.read_table(spark, sf_dir, "part")
+    return p.select("p_partkey", (F.col("p_size") - 1).alias("file_type"),
+                    S.quant_label(F.col("p_size") - 1).alias("quant"))
+
+
+# Tensor rollup: every lineitem row is a tensor of order o<orderkey>; a zero part
+# key gives a zero product and the linenumber factor drives products past u64.
+from assetsweep.operators import catalog as cat_ops  # noqa: E402
+
+
+def _lineitem_tensors(spark, sf_dir):
+    li = tables.read_table(spark, sf_dir, "lineitem")
+    dims = F.array(F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("long"),
+                   F.col("l_linenumber").cast("long") * F.lit(1000000000000)).cast("array<decimal(20,0)>")
+    return li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("path"),
+                     F.col("l_linenumber").alias("pos"), dims.alias("dims"),
+                     (F.col("l_linenumber") - 1).cast("long").alias("type_id"))
+
+
+@register("tensor_rollup", f"""
+SELECT path, CAST(LEAST(SUM(e), {S.U64_MAX}) AS DECIMAL(20,0)) AS tensor_elem_count,
+       CAST(LEAST(SUM(b), {S.U64_MAX}) AS DECIMAL(20,0)) AS tensor_bytes_estimate
+FROM (SELECT path, e, LEAST(e * (CASE type_id {' '.join(f'WHEN {k} THEN {v}' for k, v in S.TENSOR_TYPE_BYTES.items())} ELSE 1 END),
+                            {S.U64_MAX}) AS b
+      FROM (SELECT 'o' || CAST(l_orderkey AS VARCHAR) AS path, l_linenumber - 1 AS type_id,
+                   LEAST(CAST(l_partkey AS DECIMAL(38,0)) * l_suppkey * CAST(l_quantity AS BIGINT)
+                         * (l_linenumber * 1000000000000), {S.U64_MAX}) AS e
+            FROM lineitem) t) u
+GROUP BY path
+""")
+def q_tensor_rollup(spark, sf_dir):
+    return cat_ops.tensor_rollup(_lineitem_tensors(spark, sf_dir))
