@@ -577,3 +577,262 @@ GROUP BY path
 """)
 def q_tensor_rollup(spark, sf_dir):
     return cat_ops.tensor_rollup(_lineitem_tensors(spark, sf_dir))
+
+
+# Header round trip: every part row is written as a model header (version,
+# typed keys, a duplicate key, a string array, a skipped float array, two
+# tensors), decoded in Spark tasks and summarized back.
+from assetsweep.sources import headers as hdr  # noqa: E402
+
+
+def _encode_part_headers(it):
+    import pyarrow as pa
+    for batch in it:
+        d = batch.to_pydict()
+        paths, blobs = [], []
+        for key, name, brand, ptype, size, price in zip(d["p_partkey"], d["p_name"], d["p_brand"],
+                                                        d["p_type"], d["p_size"], d["p_retailprice"]):
+            arch = ptype.lower()
+            kvs = [("general.architecture", "str", arch), ("general.name", "str", name),
+                   ("general.file_type", "u32", size - 1)]
+            if size % 2 == 0:
+                kvs.append(("general.parameter_count", "u64", round(price * 1000000)))
+            kvs += [(f"{arch}.context_length", "u32", size * 1024),
+                    (f"{arch}.block_count", "u32", size),
+                    (f"{arch}.embedding_length", "u64", size * 128),
+                    (f"{arch}.attention.head_count", "u16", 8),
+                    (f"{arch}.attention.head_count_kv", "i32", size % 4 - 1),
+                    ("tokenizer.tokens", "arr", ("str", name.split() * 5)),
+                    ("tokenizer.scores", "arr", ("f32", [0.5] * size))]
+            if size > 40:
+                kvs.append(("general.name", "str", brand))
+            tensors = [("token_embd.weight", [size * 128, 32000], 1), ("output.weight", [size * 128, size], 0)]
+            paths.append(f"part/{key}.gguf")
+            blobs.append(hdr.encode_header(1 + size % 3, kvs, tensors))
+        yield pa.RecordBatch.from_pydict({"path": paths, "payload": blobs},
+                                         schema=pa.schema([("path", pa.string()), ("payload", pa.binary())]))
+
+
+def _part_header_payloads(spark, sf_dir):
+    p = tables.read_table(spark, sf_dir, "part").select(
+        "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    return p.mapInArrow(_encode_part_headers, "path string, payload binary")
+
+
+def _catalog_from(decoded):
+    return cat_ops.summarize(hdr.headers(decoded), hdr.header_kv(decoded), hdr.header_tensors(decoded))
+
+
+@register("header_roundtrip", f"""
+SELECT p_partkey,
+       CASE WHEN p_size > 40 THEN p_brand ELSE p_name END AS name,
+       lower(p_type) AS architecture,
+       CASE p_size - 1 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in S.QUANT_LABELS.items())} ELSE 'unknown' END AS quant,
+       CAST(CASE WHEN p_size % 2 = 0 THEN CAST(round(p_retailprice * 1000000) AS BIGINT)
+                 ELSE p_size * 128 * 32000 + p_size * 128 * p_size END AS DECIMAL(20,0)) AS parameter_count,
+       CAST(p_size * 1024 AS DECIMAL(20,0)) AS context_length,
+       CAST(p_size AS DECIMAL(20,0)) AS n_layers,
+       CAST(p_size * 128 AS DECIMAL(20,0)) AS n_embd,
+       CAST(8 AS DECIMAL(20,0)) AS n_head,
+       CAST(CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size % 4 - 1 END AS DECIMAL(20,0)) AS n_head_kv,
+       CAST(2 AS BIGINT) AS tensor_count, 1 + p_size % 3 AS version,
+       CAST(p_size * 128 * 32000 + p_size * 128 * p_size AS DECIMAL(20,0)) AS tensor_elem_count,
+       CAST(p_size * 128 * 32000 * 2 + p_size * 128 * p_size * 4 AS DECIMAL(20,0)) AS tensor_bytes_estimate
+FROM part
+""")
+def q_header_roundtrip(spark, sf_dir):
+    decoded = hdr.decode_payloads(_part_header_payloads(spark, sf_dir))
+    cat = _catalog_from(decoded)
+    key = F.regexp_extract(F.col("path"), r"^part/([0-9]+)\.gguf$", 1).cast("long")
+    return cat.select(key.alias("p_partkey"), *[c for c in cat.columns if c != "path"])
+
+
+@register("header_kv_counts", """
+SELECT CASE WHEN p_size % 2 = 0 THEN 11 ELSE 10 END + CASE WHEN p_size > 40 THEN 1 ELSE 0 END AS n_kv,
+       COUNT(*) AS files
+FROM part GROUP BY 1
+""")
+def q_header_kv_counts(spark, sf_dir):
+    kv = hdr.header_kv(hdr.decode_payloads(_part_header_payloads(spark, sf_dir)))
+    return kv.groupBy("path").agg(F.count(F.lit(1)).alias("n_kv")).groupBy("n_kv").agg(
+        F.count(F.lit(1)).alias("files"))
+
+
+# Display ----------------------------------------------------------------------
+@register("human_bytes_parts", """
+SELECT doc_id, b AS bytes,
+       CASE WHEN b >= 1125899906842624 THEN 'PB' WHEN b >= 1099511627776 THEN 'TB'
+            WHEN b >= 1073741824 THEN 'GB' WHEN b >= 1048576 THEN 'MB'
+            WHEN b >= 1024 THEN 'KB' ELSE 'B' END AS unit,
+       CAST(b AS DOUBLE) / CASE WHEN b >= 1125899906842624 THEN 1125899906842624 WHEN b >= 1099511627776 THEN 1099511627776
+            WHEN b >= 1073741824 THEN 1073741824 WHEN b >= 1048576 THEN 1048576
+            WHEN b >= 1024 THEN 1024 ELSE 1 END AS scaled
+FROM (SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) << CAST((n_chars % 5) * 10 + (n_chars % 3) AS INTEGER) AS b
+      FROM documents) d
+""")
+def q_human_bytes_parts(spark, sf_dir):
+    d = tables.read_table(spark, sf_dir, "documents")
+    b = F.expr("shiftleft(CAST(octet_length(text) AS BIGINT), CAST((n_chars % 5) * 10 + (n_chars % 3) AS INT))")
+    d = d.select("doc_id", b.alias("bytes"))
+    scaled, unit = S.human_bytes_parts(F.col("bytes"))
+    return d.select("doc_id", "bytes", unit.alias("unit"), scaled.alias("scaled"))
+
+
+SHORT_MAX = 24
+
+
+@register("display_name", f"""
+SELECT page_id, display_name,
+       CASE WHEN length(display_name) <= {SHORT_MAX} THEN display_name
+            ELSE left(display_name, {SHORT_MAX // 2}) || '…' || right(display_name, {SHORT_MAX // 2}) END AS short_name
+FROM (SELECT p.page_id,
+             COALESCE(t.tag, h.header_name,
+                      regexp_extract(regexp_replace(p.url, '/+$', ''), '([^/]*)$', 1)) AS display_name
+      FROM pages p
+      LEFT JOIN (SELECT doc_id, 'flagged:' || CAST(doc_id AS VARCHAR) AS tag FROM labels WHERE toxic = 1) t
+        ON t.doc_id = p.page_id
+      LEFT JOIN (SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) AS header_name
+                 FROM documents WHERE lang = 'de') h ON h.doc_id = p.page_id) x
+""")
+def q_display_name(spark, sf_dir):
+    from assetsweep.plans import report
+    pages = tables.read_table(spark, sf_dir, "pages")
+    tags = tables.read_table(spark, sf_dir, "labels").where(F.col("toxic") == 1).select(
+        F.col("doc_id").alias("page_id"), F.concat(F.lit("flagged:"), F.col("doc_id").cast("string")).alias("tag"))
+    names = tables.read_table(spark, sf_dir, "documents").where(F.col("lang") == "de").select(
+        F.col("doc_id").alias("page_id"),
+        F.concat_ws("/", F.col("source"), F.col("doc_id").cast("string")).alias("header_name"))
+    a = pages.select("page_id", F.col("url").alias("path")).join(tags, "page_id", "left").join(names, "page_id", "left")
+    a = a.withColumn("display_name", report.display_name("tag", "header_name", "path"))
+    return a.select("page_id", "display_name", S.shorten(F.col("display_name"), SHORT_MAX).alias("short_name"))
+
+
+TOP_N = 500
+
+
+@register("top_assets", f"""
+SELECT row_number() OVER (ORDER BY size DESC, asset_id) AS rank, asset_id, size,
+       GREATEST((SELECT COUNT(*) FROM documents) - {TOP_N}, 0) AS n_more
+FROM ({DOC_ASSETS_SQL}) a
+ORDER BY size DESC, asset_id LIMIT {TOP_N}
+""")
+def q_top_assets(spark, sf_dir):
+    from assetsweep.plans import report
+    return report.top_rows(tables.documents_assets(spark, sf_dir).select("asset_id", "size"),
+                           [F.desc("size"), F.asc("asset_id")], TOP_N)
+
+
+# Archive and undo ---------------------------------------------------------------
+import uuid  # noqa: E402
+
+from assetsweep.operators import archive as arc_ops  # noqa: E402
+from assetsweep.plans import jobs  # noqa: E402
+from assetsweep.session import checkpoint_dir  # noqa: E402
+
+ARCHIVE_HOLDER = "src0"      # names already present in the archive come from this source
+RECREATED_LANG = "fr"        # removed French documents reappear in the live table
+LOST_SOURCE = "src5"         # archived copies from this source are gone
+CHANGED_LANG = "es"          # archived Spanish copies were altered
+
+
+def _scratch(spark, what: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/assetsweep-work/{what}-{uuid.uuid4().hex}"
+
+
+def _dest_name():
+    return F.concat(F.element_at(F.split(F.col("path"), "/"), 2), F.lit("-"), F.col("size").cast("string"))
+
+
+@register("archive_conflicts", f"""
+WITH n AS (SELECT *, split_part(path, '/', 2) || '-' || CAST(size AS VARCHAR) AS dest_name
+           FROM ({removal_sql('preferred')}) r),
+     f AS (SELECT dest_name, MIN(asset_id) AS first_id FROM n GROUP BY dest_name),
+     e AS (SELECT DISTINCT lang || '-' || CAST(octet_length(encode(text)) AS VARCHAR) AS name
+           FROM documents WHERE source = '{ARCHIVE_HOLDER}')
+SELECT n.group_id, n.asset_id, n.path, n.store, n.size, n.keeper_id, n.dest_name,
+       CASE WHEN n.dest_name IN (SELECT name FROM e) THEN 'destination_exists'
+            WHEN n.asset_id <> f.first_id THEN 'name_collision' ELSE 'movable' END AS status
+FROM n JOIN f ON n.dest_name = f.dest_name
+""")
+def q_archive_conflicts(spark, sf_dir):
+    removal = plan_ops.reclaim_plan(document_duplicates(spark, sf_dir)).removal
+    docs = tables.read_table(spark, sf_dir, "documents")
+    existing = docs.where(F.col("source") == ARCHIVE_HOLDER).select(
+        F.concat(F.col("lang"), F.lit("-"), F.octet_length("text").cast("string")).alias("name"))
+    return arc_ops.destination_status(removal, existing, _dest_name())
+
+
+def _archive_entries(spark, sf_dir):
+    removal = plan_ops.reclaim_plan(document_duplicates(spark, sf_dir)).removal
+    docs = tables.read_table(spark, sf_dir, "documents")
+    return removal.join(docs.select(F.col("doc_id").alias("asset_id"), "text", "lang", "source"), "asset_id")
+
+
+ENTRIES_SQL = f"""
+  SELECT r.path AS "from", 'archive/' || CAST(r.asset_id AS VARCHAR) AS "to", r.size, sha256(d.text) AS hash,
+         d.text, d.lang, d.source, r.asset_id
+  FROM ({removal_sql('preferred')}) r JOIN documents d ON d.doc_id = r.asset_id
+"""
+
+
+@register("undo_status", f"""
+WITH e AS ({ENTRIES_SQL}),
+     live AS (SELECT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) AS path FROM documents
+              WHERE doc_id NOT IN (SELECT asset_id FROM e)
+              UNION ALL SELECT "from" FROM e WHERE lang = '{RECREATED_LANG}'),
+     arch AS (SELECT "to" AS path, sha256(CASE WHEN lang = '{CHANGED_LANG}' THEN text || ' *' ELSE text END) AS hash
+              FROM e WHERE source <> '{LOST_SOURCE}')
+SELECT e."from", e."to", e.size,
+       CASE WHEN e."from" IN (SELECT path FROM live) THEN 'occupied'
+            WHEN a.hash IS NULL THEN 'archive_missing'
+            WHEN a.hash <> e.hash THEN 'hash_mismatch' ELSE 'restore' END AS status
+FROM e LEFT JOIN arch a ON a.path = e."to"
+""")
+def q_undo_status(spark, sf_dir):
+    e = _archive_entries(spark, sf_dir)
+    e = e.select(F.col("path").alias("from"),
+                 F.concat(F.lit("archive/"), F.col("asset_id").cast("string")).alias("to"),
+                 "size", F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"), "text", "lang", "source", "asset_id")
+    e = materialize_small(e)
+    docs = tables.documents_assets(spark, sf_dir)
+    live = plan_ops.kept_assets(docs, e.select("asset_id")).select("path").unionByName(
+        e.where(F.col("lang") == RECREATED_LANG).select(F.col("from").alias("path")))
+    changed = F.when(F.col("lang") == CHANGED_LANG, F.concat("text", F.lit(" *"))).otherwise(F.col("text"))
+    archived = e.where(F.col("source") != LOST_SOURCE).select(
+        F.col("to").alias("path"), F.sha2(F.encode(changed, "UTF-8"), 256).alias("hash"))
+    return arc_ops.undo_status(e.select("from", "to", "size", "hash"), live, archived)
+
+
+def materialize_small(df):
+    from assetsweep.session import materialize
+    return materialize(df)
+
+
+@register("manifest_roundtrip", f"""
+SELECT "from", "to", size, hash, 'sha256' AS algo FROM ({ENTRIES_SQL}) e
+""")
+def q_manifest_roundtrip(spark, sf_dir):
+    e = _archive_entries(spark, sf_dir).select(
+        F.col("path").alias("from"), F.concat(F.lit("archive/"), F.col("asset_id").cast("string")).alias("to"),
+        "size", F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"), F.lit("sha256").alias("algo"))
+    d = _scratch(spark, "manifest")
+    arc_ops.append_manifest(arc_ops.manifest_lines(e, "archive", 1700000000, per_line=16), d)
+    # A damaged line and a blank line in the same folder must not stop the read.
+    spark.createDataFrame([("{\"created_unix\": 1, \"entries\": [",), ("",)], "value string") \
+        .coalesce(1).write.mode("append").text(d)
+    entries, _bad = arc_ops.manifest_entries(arc_ops.read_manifest(spark, d))
+    return entries.select("from", "to", "size", "hash", "algo")
+
+
+@register("archive_verified", f"""
+SELECT group_id, asset_id, path, store, size, keeper_id, CAST(asset_id AS VARCHAR) AS dest_name, 'movable' AS status
+FROM ({removal_sql('preferred')}) r
+""")
+def q_archive_verified(spark, sf_dir):
+    d = document_duplicates(spark, sf_dir)
+    removal = plan_ops.reclaim_plan(d).removal.join(
+        d.candidates.select("asset_id", "hash"), "asset_id")
+    root = _scratch(spark, "archive")
+    status = jobs.archive(spark, removal, tables.documents_assets(spark, sf_dir), root + "/archive",
+                          root + "/kept", now=1700000000)
+    return status.select("group_id", "asset_id", "path", "store", "size", "keeper_id", "dest_name", "status")
