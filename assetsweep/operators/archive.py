@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from assetsweep.functions.hashing import content_hash
 from assetsweep.functions.scalars import BAD_LINE_PREVIEW
@@ -65,20 +66,26 @@ def append_manifest(lines: DataFrame, manifest_dir: str) -> None:
 
 
 def read_manifest(spark: SparkSession, manifest_dir: str) -> DataFrame:
-    """Manifest lines; blank lines skipped, bad lines kept as ``_corrupt``."""
-    return (spark.read.schema(UNDO_MANIFEST)
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-            .json(manifest_dir))
+    """Manifest lines; blank lines skipped, a line that does not parse to a
+    manifest with an ``entries`` list is kept whole in ``_corrupt``."""
+    schema = StructType([f for f in UNDO_MANIFEST.fields if f.name != "_corrupt"])
+    lines = spark.read.text(manifest_dir).where(F.trim(F.col("value")) != "")
+    parsed = lines.select("value", F.from_json("value", schema).alias("m"))
+    good = F.col("m.entries").isNotNull()
+    return parsed.select(
+        F.when(good, F.col("m.created_unix")).alias("created_unix"),
+        F.when(good, F.col("m.destination")).alias("destination"),
+        F.when(good, F.col("m.entries")).alias("entries"),
+        F.when(~good | F.col("m").isNull(), F.col("value")).alias("_corrupt"))
 
 
 def manifest_entries(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, bad lines): one row per entry, and the unparsable lines' first characters."""
-    m = manifest
-    bad = m.where(F.col("_corrupt").isNotNull()).select(
+    bad = manifest.where(F.col("_corrupt").isNotNull()).select(
         F.substring(F.col("_corrupt"), 1, BAD_LINE_PREVIEW).alias("line"),
         F.lit("unparseable manifest line (skipped)").alias("detail"))
-    good = (m.where(F.col("_corrupt").isNull())
-            .select("created_unix", F.explode(F.coalesce("entries", F.array())).alias("e"))
+    good = (manifest.where(F.col("_corrupt").isNull())
+            .select("created_unix", F.explode("entries").alias("e"))
             .select("created_unix", F.col("e.from").alias("from"), F.col("e.to").alias("to"),
                     F.col("e.size").alias("size"), F.col("e.hash").alias("hash"), F.col("e.algo").alias("algo")))
     return good, bad
