@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetsweep.operators import duplicates as dup
+from assetsweep.session import spread
 from assetsweep.sources import tables
 
 # Parameters of the registered queries (fixed values, used by both sides).
@@ -425,7 +426,8 @@ from assetsweep.sources import manifests as man  # noqa: E402
 
 
 def _manifest_rows(spark, sf_dir):
-    li = tables.read_table(spark, sf_dir, "lineitem")
+    li = spread(tables.read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"))
     doc = F.to_json(F.struct(
         F.lit(2).alias("schemaVersion"),
         F.struct(F.concat(F.lit("sha256:o"), F.col("l_orderkey").cast("string")).alias("digest")).alias("config"),
@@ -556,7 +558,8 @@ from assetsweep.operators import catalog as cat_ops  # noqa: E402
 
 
 def _lineitem_tensors(spark, sf_dir):
-    li = tables.read_table(spark, sf_dir, "lineitem")
+    li = spread(tables.read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
     dims = F.array(F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("long"),
                    F.col("l_linenumber").cast("long") * F.lit(1000000000000)).cast("array<decimal(20,0)>")
     return li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("path"),
@@ -614,8 +617,8 @@ def _encode_part_headers(it):
 
 
 def _part_header_payloads(spark, sf_dir):
-    p = tables.read_table(spark, sf_dir, "part").select(
-        "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    p = spread(tables.read_table(spark, sf_dir, "part").select(
+        "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"))
     return p.mapInArrow(_encode_part_headers, "path string, payload binary")
 
 
@@ -641,8 +644,7 @@ SELECT p_partkey,
 FROM part
 """)
 def q_header_roundtrip(spark, sf_dir):
-    decoded = hdr.decode_payloads(_part_header_payloads(spark, sf_dir))
-    cat = _catalog_from(decoded)
+    cat = jobs.catalog_headers(_part_header_payloads(spark, sf_dir))
     key = F.regexp_extract(F.col("path"), r"^part/([0-9]+)\.gguf$", 1).cast("long")
     return cat.select(key.alias("p_partkey"), *[c for c in cat.columns if c != "path"])
 

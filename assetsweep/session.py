@@ -69,3 +69,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a CPU-heavy per-row stage at least one partition per core.
+
+    Only used on narrow rows (keys, small strings), never on payload columns.
+    A large input already has more scan partitions than cores and is returned
+    unchanged, so this adds a shuffle only for inputs smaller than one wave.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
