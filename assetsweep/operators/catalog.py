@@ -34,6 +34,16 @@ def _last(value: F.Column, cond: F.Column) -> F.Column:
     return F.max_by(value, F.when(cond, F.col("pos")))
 
 
+def last_values(kv: DataFrame, value_col: str = "value") -> DataFrame:
+    """Last value (highest ``pos``) per (path, key) and how many entries the key had.
+
+    ``max_by`` keeps a fixed-width buffer, so the hash aggregate combines map-side
+    and a file (or key) with a huge number of entries is pre-aggregated.
+    """
+    return kv.groupBy("path", "key").agg(F.max_by(F.col(value_col), F.col("pos")).alias(value_col),
+                                         F.count(F.lit(1)).alias("n_entries"))
+
+
 def tensor_rollup(tensors: DataFrame) -> DataFrame:
     """Per file, saturating sums of element counts and of estimated bytes."""
     elems = S.sat_product(F.col("dims"))

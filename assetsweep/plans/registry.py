@@ -588,7 +588,7 @@ def q_tensor_rollup(spark, sf_dir):
 from assetsweep.sources import headers as hdr  # noqa: E402
 
 
-def _encode_part_headers(it):
+def _encode_part_headers(it, bad_magic_above=None):
     import pyarrow as pa
     for batch in it:
         d = batch.to_pydict()
@@ -611,19 +611,18 @@ def _encode_part_headers(it):
                 kvs.append(("general.name", "str", brand))
             tensors = [("token_embd.weight", [size * 128, 32000], 1), ("output.weight", [size * 128, size], 0)]
             paths.append(f"part/{key}.gguf")
-            blobs.append(hdr.encode_header(1 + size % 3, kvs, tensors))
+            data = hdr.encode_header(1 + size % 3, kvs, tensors)
+            if bad_magic_above is not None and size > bad_magic_above:
+                data = b"X" + data[1:]  # damaged first byte
+            blobs.append(data)
         yield pa.RecordBatch.from_pydict({"path": paths, "payload": blobs},
                                          schema=pa.schema([("path", pa.string()), ("payload", pa.binary())]))
 
 
-def _part_header_payloads(spark, sf_dir):
+def _part_header_payloads(spark, sf_dir, bad_magic_above=None):
     p = spread(tables.read_table(spark, sf_dir, "part").select(
         "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"))
-    return p.mapInArrow(_encode_part_headers, "path string, payload binary")
-
-
-def _catalog_from(decoded):
-    return cat_ops.summarize(hdr.headers(decoded), hdr.header_kv(decoded), hdr.header_tensors(decoded))
+    return p.mapInArrow(lambda it: _encode_part_headers(it, bad_magic_above), "path string, payload binary")
 
 
 @register("header_roundtrip", f"""
@@ -838,3 +837,37 @@ def q_archive_verified(spark, sf_dir):
     status = jobs.archive(spark, removal, tables.documents_assets(spark, sf_dir), root + "/archive",
                           root + "/kept", now=1700000000)
     return status.select("group_id", "asset_id", "path", "store", "size", "keeper_id", "dest_name", "status")
+
+
+# Part rows above this size are written with a damaged first byte: the magic
+# predicate (P3) flags them and decoding reports them as error rows.
+BAD_MAGIC_ABOVE = 45
+
+
+@register("header_magic", f"""
+SELECT p_partkey, p_size <= {BAD_MAGIC_ABOVE} AS has_magic,
+       CASE WHEN p_size > {BAD_MAGIC_ABOVE} THEN 'bad magic: not a model header' END AS error,
+       CASE WHEN p_size > {BAD_MAGIC_ABOVE} THEN NULL ELSE 1 + p_size % 3 END AS version
+FROM part
+""")
+def q_header_magic(spark, sf_dir):
+    payloads = _part_header_payloads(spark, sf_dir, BAD_MAGIC_ABOVE)
+    heads = hdr.headers(hdr.decode_payloads(payloads)).select("path", "error", "version")
+    flags = payloads.select("path", S.has_header_magic(F.col("payload")).alias("has_magic"))
+    key = F.regexp_extract(F.col("path"), r"^part/([0-9]+)\.gguf$", 1).cast("long")
+    return flags.join(heads, "path").select(key.alias("p_partkey"), "has_magic", "error", "version")
+
+
+# Last value per duplicate key (P11 semantics) over a real table: each user is a
+# header, each event an entry keyed by its type, positions ordered by event id.
+@register("kv_last_value", """
+SELECT 'user' || CAST(user_id AS VARCHAR) AS path, event_type AS key,
+       arg_max(CAST(props->>'$.k' AS BIGINT), event_id) AS value, COUNT(*) AS n_entries
+FROM events GROUP BY user_id, event_type
+""")
+def q_kv_last_value(spark, sf_dir):
+    ev = tables.read_table(spark, sf_dir, "events")
+    kv = ev.select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("path"),
+                   F.col("event_type").alias("key"), F.col("event_id").alias("pos"),
+                   F.get_json_object("props", "$.k").cast("long").alias("value"))
+    return cat_ops.last_values(kv)
