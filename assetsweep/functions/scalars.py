@@ -216,7 +216,8 @@ def store_label(store) -> Column:
 
 
 def billions_label(params) -> Column:
-    return F.format_string("%.2fB", _col(params).cast("double") / F.lit(1e9))
+    p = _col(params)
+    return F.when(p.isNotNull(), F.format_string("%.2fB", p.cast("double") / F.lit(1e9)))
 
 
 # P3 -------------------------------------------------------------------------
