@@ -33,11 +33,12 @@ def destination_status(removal: DataFrame, existing_names: DataFrame, dest_name:
     aggregate joined back with the hot-name split, not a window over the name.
     """
     rows = removal.withColumn("dest_name", dest_name)
-    firsts = rows.groupBy("dest_name").agg(F.min("asset_id").alias("first_id"),
-                                           F.count(F.lit(1)).alias("n"))
-    rows = join_members_to_groups(rows, firsts, ["dest_name"], "n")
     existing = existing_names.select(F.col("name").alias("dest_name")).distinct().withColumn("exists", F.lit(True))
-    rows = rows.join(existing, "dest_name", "left")
+    # One row per destination name (first id, count, already archived?), then a
+    # single hot-name-safe join back to the rows.
+    firsts = (rows.groupBy("dest_name").agg(F.min("asset_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+              .join(existing, "dest_name", "left"))
+    rows = join_members_to_groups(rows, firsts, ["dest_name"], "n")
     status = (F.when(F.col("exists").isNotNull(), "destination_exists")
               .when(F.col("asset_id") != F.col("first_id"), "name_collision")
               .otherwise("movable"))

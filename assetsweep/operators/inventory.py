@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from assetsweep.functions import scalars as S
 
-# A stores table above this many rows is not broadcast for the prefix join.
-MAX_BROADCAST_STORES = 100_000
+# The plain-prefix join compares every asset with every root; refuse more roots.
+MAX_BROADCAST_STORES = 1_000
 
 
 def union_scans(*scans: DataFrame) -> DataFrame:
@@ -49,33 +49,47 @@ def per_store(assets: DataFrame, store_col: str = "store") -> DataFrame:
                                          F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
 
 
+def dir_prefixes(path) -> F.Column:
+    """Every ``/``-bounded prefix of a path: ``a/b/c`` -> [``a``, ``a/b``, ``a/b/c``]."""
+    parts = F.split(F.col(path) if isinstance(path, str) else path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+
+
 def store_summaries(assets: DataFrame, stores: DataFrame, boundary: bool = True) -> DataFrame:
-    """Per store root, the assets whose path starts with the root.
+    """Per store root, count and bytes of the assets whose path starts with the root.
+
+    ``boundary=True`` (default): the root must end at a ``/`` of the path, so
+    ``/a/b`` does not count ``/a/bc/x``.  Each path is expanded to its directory
+    prefixes and aggregated per prefix with map-side partial aggregation (a hot
+    directory is combined before the shuffle); the per-prefix table is then an
+    ordinary equi-join with the roots.  No broadcast, no comparison of every
+    asset with every root, and nested roots each count their own files.
+
+    ``boundary=False`` reproduces the plain string-prefix test (D5): the roots
+    are broadcast (count-checked) into a nested-loop join, one comparison per
+    asset and root.
 
-    ``stores`` (kind, root[, missing]) is tiny and is the broadcast side of a
-    nested-loop join; its size is checked first.  With ``boundary`` the root must
-    be followed by ``/`` (or be the whole path), so ``/a/b`` does not count
-    ``/a/bc/x``; without it the plain string-prefix test is reproduced (D5).
     Stores without assets are kept with zero counts.
     """
-    n = stores.count()
-    if n > MAX_BROADCAST_STORES:
-        raise ValueError(f"stores table has {n} rows; the prefix join broadcasts it "
-                         f"and allows at most {MAX_BROADCAST_STORES}")
     if "missing" not in stores.columns:
         stores = stores.withColumn("missing", F.lit(False))
     roots = stores.select("kind", "root").distinct()
-    a = assets.select("path", "size")
-    r = F.col("root")
     if boundary:
-        rr = F.when(r.endswith("/"), r).otherwise(F.concat(r, F.lit("/")))
-        cond = F.col("path").startswith(rr) | (F.col("path") == r)
+        per_prefix = (assets.select(F.explode(dir_prefixes("path")).alias("prefix"), "size")
+                      .groupBy("prefix").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")))
+        norm = F.when(F.col("root").endswith("/") & (F.length("root") > 1),
+                      F.regexp_replace("root", "/+$", "")).when(F.col("root") == "/", F.lit("")).otherwise(F.col("root"))
+        matched = (roots.withColumn("prefix", norm).join(per_prefix, "prefix")
+                   .groupBy("kind", "root").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes")))
     else:
-        cond = F.col("path").startswith(r)
-    matched = (a.join(F.broadcast(roots), cond, "inner")
-               .groupBy("kind", "root")
-               .agg(F.count(F.lit(1)).alias("files"), F.sum("size").cast("long").alias("bytes")))
-    return (stores.join(F.broadcast(matched), ["kind", "root"], "left")
+        n = roots.count()
+        if n > MAX_BROADCAST_STORES:
+            raise ValueError(f"{n} store roots; the plain-prefix join compares every asset with every "
+                             f"root and allows at most {MAX_BROADCAST_STORES}")
+        matched = (assets.select("path", "size").join(F.broadcast(roots), F.col("path").startswith(F.col("root")))
+                   .groupBy("kind", "root")
+                   .agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")))
+    return (stores.join(matched, ["kind", "root"], "left")
             .select("kind", "root",
                     F.coalesce("files", F.lit(0)).cast("long").alias("files"),
                     F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"),

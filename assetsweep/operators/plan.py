@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetsweep.operators.duplicates import Duplicates
-from assetsweep.operators.skew import join_members_to_groups
+from assetsweep.operators.skew import filter_by_ids, join_members_to_groups
 
 
 @dataclass
@@ -61,8 +61,12 @@ def row_gate(rows: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
 
 
 def kept_assets(assets: DataFrame, removal: DataFrame) -> DataFrame:
-    """The asset table without the removal set (shuffle anti-join on a uniform id)."""
-    return assets.join(removal.select("asset_id"), "asset_id", "left_anti")
+    """The asset table without the removal set.
+
+    The removal ids are broadcast when their count is within the checked bound,
+    so asset rows (with payloads) are filtered where they are read.
+    """
+    return filter_by_ids(assets, removal, "asset_id", keep=False)
 
 
 def verify_plan(removal: DataFrame, current: DataFrame) -> DataFrame:

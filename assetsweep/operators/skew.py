@@ -38,3 +38,23 @@ def join_members_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str],
     cold_rows = rows.join(hot_keys, keys, "left_anti")
     cold_part = cold_rows.join(groups.where(F.col(count_col) <= hot_rows), keys, how)
     return hot_part.unionByName(cold_part)
+
+
+# An id set up to this many rows is broadcast to pick rows out of a wide table.
+MAX_BROADCAST_IDS = 20_000_000
+
+
+def filter_by_ids(wide: DataFrame, ids: DataFrame, key: str = "asset_id", keep: bool = True,
+                  max_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """Rows of ``wide`` whose ``key`` is (``keep``) or is not in ``ids``.
+
+    ``wide`` may carry payloads.  A shuffle join would move them, so the id set
+    is counted and, within ``max_ids``, broadcast: the wide side is filtered
+    map-side and never leaves its scan task.  Above the bound the join falls
+    back to a shuffle (a table bucketed by ``key`` avoids moving the wide side).
+    """
+    id_rows = ids.select(key).distinct()
+    how = "left_semi" if keep else "left_anti"
+    if id_rows.count() <= max_ids:
+        return wide.join(F.broadcast(id_rows), key, how)
+    return wide.join(id_rows, key, how)

@@ -15,6 +15,7 @@ from assetsweep.operators import duplicates as dup
 from assetsweep.operators import inventory as inv
 from assetsweep.operators import plan as pln
 from assetsweep.operators.capacity import capacity_fit  # noqa: F401  (re-exported job)
+from assetsweep.operators.skew import filter_by_ids
 from assetsweep.session import materialize
 from assetsweep.sources import headers as hdr
 
@@ -65,12 +66,17 @@ def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_
     now = int(time.time()) if now is None else int(now)
     if existing_names is None:
         existing_names = spark.createDataFrame([], "name string")
-    status = arc.destination_status(removal, existing_names, F.element_at(F.split("path", "/"), -1))
-    status = materialize(status)
+    base = F.element_at(F.split("path", "/"), -1)
+    dest_root = archive_dir.rstrip("/") + "/"
+    status = materialize(arc.destination_status(removal, existing_names, base))
     movable = status.where(F.col("status") == "movable").withColumn(
-        "to", F.concat(F.lit(archive_dir.rstrip("/") + "/"), F.col("dest_name")))
-    rows = movable.select("asset_id", F.col("path").alias("from"), "to", "size", "hash").join(
-        assets.select("asset_id", "payload"), "asset_id")
+        "to", F.concat(F.lit(dest_root), F.col("dest_name")))
+    # Payload rows are picked map-side by broadcast ids (count-checked); the
+    # narrow columns of the archive row come from the same asset row, so the
+    # payload side never goes through a shuffle.
+    rows = filter_by_ids(assets, movable, "asset_id", keep=True).select(
+        "asset_id", F.col("path").alias("from"), F.concat(F.lit(dest_root), base).alias("to"),
+        "size", "payload")
     written = arc.write_archive(rows.withColumn("algo", F.lit(algo)), archive_dir + "/data")
     bad = arc.verify_archive(spark, movable, written, algo)
     n_bad = bad.count()
