@@ -29,11 +29,6 @@ def as_str(type_col="type", v_str="v_str") -> F.Column:
     return F.when(F.col(type_col) == "str", F.col(v_str))
 
 
-def _last(value: F.Column, cond: F.Column) -> F.Column:
-    """Value of the last entry (highest ``pos``) among rows where ``cond`` holds."""
-    return F.max_by(value, F.when(cond, F.col("pos")))
-
-
 def last_values(kv: DataFrame, value_col: str = "value") -> DataFrame:
     """Last value (highest ``pos``) per (path, key) and how many entries the key had.
 
@@ -54,43 +49,68 @@ def tensor_rollup(tensors: DataFrame) -> DataFrame:
                  F.least(F.sum("b"), S.u64_lit()).cast("decimal(20,0)").alias("tensor_bytes_estimate")))
 
 
-def summarize(headers: DataFrame, kv: DataFrame, tensors: DataFrame) -> DataFrame:
-    """One typed row per successfully decoded file.
+def summarize_decoded(decoded: DataFrame) -> DataFrame:
+    """One typed row per successfully decoded file, in a single aggregation.
 
-    Only the few wanted keys survive the first filter; a duplicate key keeps its
-    last value (highest ``pos``), whose type then decides whether it counts.
+    ``decoded`` is the long table of ``sources.headers`` (header, kv and tensor
+    rows).  One ``groupBy(path)`` computes the header fields, the saturating
+    tensor sums (A9), the last value of each general key (highest ``pos`` wins
+    for duplicate keys) and a position-sorted list of the few keys ending in an
+    architecture suffix; the architecture-dependent fields are then read from
+    that list with ``<architecture><suffix>``.  One shuffle, no joins.
     """
-    suffix_re = "(" + "|".join(s.replace(".", r"\.") for s in ARCH_SUFFIXES.values()) + ")$"
-    wanted = kv.where(F.col("key").isin(GENERAL_KEYS) | F.col("key").rlike(suffix_re)).select(
-        "path", "pos", "key", F.struct("type", "v_int", "v_str").alias("v"))
-    general = wanted.groupBy("path").agg(
-        *[_last(F.col("v"), F.col("key") == k).alias(k.split(".")[1]) for k in GENERAL_KEYS])
-    general = general.select(
+    sec = F.col("section")
+    is_kv, is_t, is_h = sec == "kv", sec == "tensor", sec == "header"
+    elems = S.sat_product(F.col("dims"))
+    nbytes = S.sat_mul(elems, S.tensor_type_bytes(F.col("type_id")))
+    suffix_re = "(" + "|".join(x.replace(".", r"\.") for x in ARCH_SUFFIXES.values()) + ")$"
+    aggs = [
+        F.max(F.when(is_h, F.lit(1))).alias("_has_header"),
+        F.max(F.when(is_h, F.col("error"))).alias("error"),
+        F.max(F.when(is_h, F.col("version"))).alias("version"),
+        F.max(F.when(is_h, F.col("tensor_count"))).alias("tensor_count"),
+        F.sum(F.when(is_t, elems)).alias("_elems"),
+        F.sum(F.when(is_t, nbytes)).alias("_bytes"),
+        F.array_sort(F.collect_list(F.when(is_kv & F.col("key").rlike(suffix_re),
+                                           F.struct("pos", "key", "type", "v_int")))).alias("_arch_kv"),
+    ]
+    for k in GENERAL_KEYS:
+        last_pos = F.when(is_kv & (F.col("key") == k), F.col("pos"))
+        short = k.split(".")[1]
+        aggs += [F.max_by(F.col("type"), last_pos).alias(f"_{short}_t"),
+                 F.max_by(F.col("v_int"), last_pos).alias(f"_{short}_i"),
+                 F.max_by(F.col("v_str"), last_pos).alias(f"_{short}_s")]
+    per = decoded.groupBy("path").agg(*aggs).where(F.col("_has_header").isNotNull() & F.col("error").isNull())
+
+    def u64_of(t, v):
+        return F.when(t.isin(*INT_TYPES) & (v >= 0), v)
+
+    arch = F.when(F.col("_architecture_t") == "str", F.col("_architecture_s"))
+    per = per.withColumn("architecture", arch)
+    arch_fields = []
+    for f, sfx in ARCH_SUFFIXES.items():
+        hit = F.try_element_at(F.filter(F.col("_arch_kv"),
+                                        lambda x: x["key"] == F.concat(F.col("architecture"), F.lit(sfx))),
+                               F.lit(-1))
+        arch_fields.append(u64_of(hit["type"], hit["v_int"]).cast("decimal(20,0)").alias(f))
+    elem_total = F.least(F.coalesce(F.col("_elems"), F.lit(0).cast("decimal(38,0)")), S.u64_lit())
+    byte_total = F.least(F.coalesce(F.col("_bytes"), F.lit(0).cast("decimal(38,0)")), S.u64_lit())
+    explicit = u64_of(F.col("_parameter_count_t"), F.col("_parameter_count_i"))
+    return per.select(
         "path",
-        F.when(F.col("architecture.type") == "str", F.col("architecture.v_str")).alias("architecture"),
-        F.when(F.col("name.type") == "str", F.col("name.v_str")).alias("name"),
-        F.when(F.col("file_type.type").isin(*INT_TYPES) & (F.col("file_type.v_int") >= 0),
-               F.col("file_type.v_int")).alias("file_type"),
-        F.when(F.col("parameter_count.type").isin(*INT_TYPES) & (F.col("parameter_count.v_int") >= 0),
-               F.col("parameter_count.v_int")).alias("explicit_params"))
-    arch_rows = (wanted.join(general.select("path", "architecture").where(F.col("architecture").isNotNull()),
-                             "path")
-                 .groupBy("path")
-                 .agg(*[_last(F.col("v"), F.col("key") == F.concat(F.col("architecture"), F.lit(sfx))).alias(f)
-                        for f, sfx in ARCH_SUFFIXES.items()]))
-    arch_rows = arch_rows.select("path", *[
-        F.when(F.col(f"{f}.type").isin(*INT_TYPES) & (F.col(f"{f}.v_int") >= 0), F.col(f"{f}.v_int")).alias(f)
-        for f in ARCH_SUFFIXES])
-    roll = tensor_rollup(tensors)
-    ok = headers.where(F.col("error").isNull())
-    out = (ok.join(general, "path", "left").join(arch_rows, "path", "left").join(roll, "path", "left"))
-    elem_total = F.coalesce(F.col("tensor_elem_count"), F.lit(0).cast("decimal(20,0)"))
-    return out.select(
-        "path", "name", "architecture",
-        S.quant_label(F.col("file_type")).alias("quant"),
-        F.coalesce(F.col("explicit_params"),
-                   F.when(elem_total > 0, elem_total)).cast("decimal(20,0)").alias("parameter_count"),
-        *[F.col(f).cast("decimal(20,0)").alias(f) for f in ARCH_SUFFIXES],
+        F.when(F.col("_name_t") == "str", F.col("_name_s")).alias("name"),
+        "architecture",
+        S.quant_label(u64_of(F.col("_file_type_t"), F.col("_file_type_i"))).alias("quant"),
+        F.coalesce(explicit, F.when(elem_total > 0, elem_total)).cast("decimal(20,0)").alias("parameter_count"),
+        *arch_fields,
         "tensor_count", "version",
         elem_total.cast("decimal(20,0)").alias("tensor_elem_count"),
-        F.coalesce(F.col("tensor_bytes_estimate"), F.lit(0).cast("decimal(20,0)")).alias("tensor_bytes_estimate"))
+        byte_total.cast("decimal(20,0)").alias("tensor_bytes_estimate"))
+
+
+def summarize(headers: DataFrame, kv: DataFrame, tensors: DataFrame) -> DataFrame:
+    """P11 from the three split tables (re-stacked into the long form)."""
+    long = (headers.withColumn("section", F.lit("header"))
+            .unionByName(kv.withColumn("section", F.lit("kv")), allowMissingColumns=True)
+            .unionByName(tensors.withColumn("section", F.lit("tensor")), allowMissingColumns=True))
+    return summarize_decoded(long)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assetsweep.operators.duplicates import Duplicates
 from assetsweep.operators.skew import filter_by_ids, join_members_to_groups
+from assetsweep.session import materialize
 
 
 @dataclass
@@ -79,7 +80,9 @@ def verify_plan(removal: DataFrame, current: DataFrame) -> DataFrame:
     and joined by the uniform ``asset_id``/``group_id`` keys.
     """
     fp_cols = ["size", "hash", "head_hash", "tail_hash"]
-    cur = current.select("asset_id", *fp_cols)
+    # The present fingerprints are read twice (targets and keepers): hash the
+    # payloads once and keep only the narrow rows.
+    cur = materialize(current.select("asset_id", *fp_cols))
     # One row per group with its keeper's present state; ``n`` feeds the hot split.
     keeper_state = (removal.groupBy("group_id", "keeper_id").agg(F.count(F.lit(1)).alias("n"))
                     .join(cur.select(F.col("asset_id").alias("keeper_id"),

@@ -97,10 +97,7 @@ def undo(spark: SparkSession, archive_dir: str, live: DataFrame, algo: str = "sh
 
 
 def catalog_headers(files: DataFrame, from_paths: bool = False) -> DataFrame:
-    """S3 -> P11: decode headers (payload column, or open ``path`` in tasks), then summarize.
-
-    The decoded long table is materialized once and split three ways.
-    """
+    """S3 -> P11: decode headers (payload column, or open ``path`` in tasks), then
+    summarize the decoded long table in one aggregation (it is read once)."""
     decoded = hdr.decode_paths(files) if from_paths else hdr.decode_payloads(files)
-    decoded = materialize(decoded)
-    return cat.summarize(hdr.headers(decoded), hdr.header_kv(decoded), hdr.header_tensors(decoded))
+    return cat.summarize_decoded(decoded)
