@@ -125,7 +125,9 @@ def find_duplicates(fingerprints: DataFrame, min_size: int = DEFAULT_MIN_SIZE,
               .agg(F.count(F.lit(1)).alias("n_members"),
                    F.min("asset_id").alias("group_id"),
                    F.coalesce(F.min(F.when(pref, F.col("asset_id"))), F.min("asset_id")).alias("keeper_id"),
-                   (F.min("store") != F.max("store")).alias("spans_stores"))
+                   # 64-bit store digests keep every buffer fixed-width, so this
+                   # stays a hash aggregate (string min/max would force a sort).
+                   (F.min(F.xxhash64("store")) != F.max(F.xxhash64("store"))).alias("spans_stores"))
               .where(F.col("n_members") > 1)
               .withColumn("size_each", F.col("size"))
               .withColumn("reclaimable", F.col("size") * (F.col("n_members") - F.lit(1))))
@@ -142,6 +144,6 @@ def bucket_guard(fingerprints: DataFrame, min_size: int = DEFAULT_MIN_SIZE) -> D
     cands = fingerprints.where(F.col("ok") & (F.col("size") >= min_size) & (F.col("size") > 0))
     return (cands.groupBy("size", "hash")
             .agg(F.count(F.lit(1)).alias("n"),
-                 ((F.min("head_hash") == F.max("head_hash")) &
-                  (F.min("tail_hash") == F.max("tail_hash"))).alias("edges_agree"))
+                 ((F.min(F.xxhash64("head_hash")) == F.max(F.xxhash64("head_hash"))) &
+                  (F.min(F.xxhash64("tail_hash")) == F.max(F.xxhash64("tail_hash")))).alias("edges_agree"))
             .where(F.col("n") > 1))

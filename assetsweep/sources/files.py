@@ -23,6 +23,8 @@ from assetsweep.schemas import FINGERPRINT
 from assetsweep.sources.headers import _open_path
 
 HASH_BLOCK = 1024 * 1024
+# Bytes of file content one hashing task should read.
+TASK_BYTES = 512 * 1024 * 1024
 
 
 def list_files(spark: SparkSession, root: str, glob: str | None = "*.gguf", store: str | None = None,
@@ -109,13 +111,17 @@ def _hash_file(path: str, size: int | None, algo: str):
 def hash_files(files: DataFrame, algo: str = "sha256", num_partitions: int | None = None) -> DataFrame:
     """F12 F13 P9 for files: fingerprint rows computed by tasks that open each path.
 
-    ``files`` needs ``asset_id, path, store, size``.  Rows are spread over
-    ``num_partitions`` (default: 4 x default parallelism) by path so one task
-    hashes a share of the files; a failed read becomes ``ok = false``.
+    ``files`` needs ``asset_id, path, store, size``.  The listing rows (not the
+    content) are spread by path over ``num_partitions`` tasks, by default sized
+    from the total bytes; a failed read becomes ``ok = false``.
     """
     spark = files.sparkSession
-    n = num_partitions or 4 * spark.sparkContext.defaultParallelism
-    src = files.select("asset_id", "path", "store", "size").repartition(n, "path")
+    if num_partitions is None:
+        # Enough tasks that each hashes about TASK_BYTES (a file larger than that
+        # is one task on its own); at least four tasks per core.
+        total = files.agg(F.sum("size")).first()[0] or 0
+        num_partitions = max(4 * spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    src = files.select("asset_id", "path", "store", "size").repartition(int(num_partitions), "path")
     schema = pa.schema([(f.name, t) for f, t in zip(FINGERPRINT.fields, [
         pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(),
         pa.string(), pa.bool_(), pa.string()])])
