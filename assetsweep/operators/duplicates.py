@@ -109,6 +109,8 @@ def find_duplicates(fingerprints: DataFrame, min_size: int = DEFAULT_MIN_SIZE,
     ``asset_id`` is always available as ``group_id`` (W2).  With
     ``exclude_same_split`` (needs a ``split_group`` column) copies inside one
     split count once, so shards of one split never form a group together (D1).
+    A ``physical_id`` column (device + inode, or a resolved link target) makes
+    names of one physical file count once (D17).
     """
     managed = MANAGED_STORES if managed is None else list(managed)
     cands = fingerprints.where(F.col("ok") & (F.col("size") >= min_size) & (F.col("size") > 0))
@@ -119,6 +121,12 @@ def find_duplicates(fingerprints: DataFrame, min_size: int = DEFAULT_MIN_SIZE,
         same_split = cands.where(F.col("split_group").isNotNull()).join(
             firsts, [*KEY, "split_group", "asset_id"], "left_anti")
         cands = cands.join(same_split.select("asset_id"), "asset_id", "left_anti")
+    if "physical_id" in cands.columns:
+        # Several names of one physical file (hard links) count once.
+        firsts = cands.where(F.col("physical_id").isNotNull()).groupBy("physical_id").agg(
+            F.min("asset_id").alias("asset_id"))
+        linked = cands.where(F.col("physical_id").isNotNull()).join(firsts, ["physical_id", "asset_id"], "left_anti")
+        cands = cands.join(linked.select("asset_id"), "asset_id", "left_anti")
     cands = materialize(cands.select("asset_id", "path", "store", *KEY))
     pref = F.col("store").isin(managed)
     groups = (cands.groupBy(*KEY)

@@ -109,3 +109,14 @@ def test_policy_gate_splits_groups(spark):
     assert {r["size"] for r in p.removal.collect()} == {100}
     sel = P.reclaim_plan(d, groups=d.groups.where("size_each = 5000"))
     assert sel.removal.count() == 2
+
+
+def test_failed_verification_removes_nothing(spark, tmp_path):
+    import pytest
+    df = assets(spark, [("/x/k.bin", "ollama", payload(1000, 1)), ("/y/d.bin", "loose", payload(1000, 1))])
+    _, removal = plan_for(df)
+    wrong = removal.withColumn("hash", F.lit("0" * 64))  # the plan no longer matches the content
+    out = tmp_path / "o"
+    with pytest.raises(jobs.ArchiveVerificationError):
+        jobs.archive(spark, wrong, df, str(out / "arc"), str(out / "kept"), now=1)
+    assert not (out / "arc" / "manifest").exists() and not (out / "kept").exists()

@@ -148,3 +148,14 @@ def test_store_walk(spark, tmp_path):
     models = FS.list_files(spark, str(tmp_path / "lm"), "*.gguf", "lm_studio")
     found = {(r["store"], r["name"]) for r in blob_files.drop("has_magic").unionByName(models).collect()}
     assert found == {("ollama", "sha256-abc"), ("lm_studio", "model.gguf")}
+
+
+def test_physical_ids_count_once(spark):
+    p = ramp(3000)
+    df = spark.createDataFrame(
+        [(0, "/a/x", "loose", 3000, p, "ino1"), (1, "/b/x-link", "loose", 3000, p, "ino1"),
+         (2, "/c/y", "loose", 3000, p, "ino2")],
+        "asset_id bigint, path string, store string, size bigint, payload binary, physical_id string")
+    fp = D.fingerprint_payloads(df, keep=("physical_id",))
+    g = D.find_duplicates(fp, 1).groups.collect()
+    assert len(g) == 1 and g[0]["n_members"] == 2 and g[0]["reclaimable"] == 3000
