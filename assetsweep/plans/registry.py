@@ -420,39 +420,39 @@ def q_shard_rollup(spark, sf_dir):
 
 
 # Manifests: one manifest per lineitem row at registry.example/library/m<order>/v<line>,
-# with a model layer (part) and a params layer (supplier); returned lines ('R') are
-# written truncated and must be skipped.
+# with a model layer (part) and a params layer (supplier).  Returned lines ('R')
+# carry ``layers`` as an object instead of a list, and accepted seventh lines
+# ('A', line 7) are unterminated JSON; both must yield no layers.
 from assetsweep.sources import manifests as man  # noqa: E402
 
 
 def _manifest_rows(spark, sf_dir):
     li = spread(tables.read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"))
-    doc = F.to_json(F.struct(
-        F.lit(2).alias("schemaVersion"),
-        F.struct(F.concat(F.lit("sha256:o"), F.col("l_orderkey").cast("string")).alias("digest")).alias("config"),
-        F.array(
-            F.struct(F.concat(F.lit("sha256:p"), F.col("l_partkey").cast("string")).alias("digest"),
-                     F.lit("application/vnd.model").alias("mediaType"),
-                     F.col("l_quantity").cast("long").alias("size")),
-            F.struct(F.concat(F.lit("sha256:s"), F.col("l_suppkey").cast("string")).alias("digest"),
-                     F.lit("application/vnd.params").alias("mediaType"),
-                     F.col("l_linenumber").cast("long").alias("size"))).alias("layers")))
-    doc = F.when(F.col("l_returnflag") == "R", F.substring(doc, 1, 20)).otherwise(doc)
-    rel = F.concat(F.lit("registry.example/library/m"), F.col("l_orderkey").cast("string"),
-                   F.lit("/v"), F.col("l_linenumber").cast("string"))
+    s = lambda c: F.col(c).cast("long").cast("string")
+    model = F.concat(F.lit('{"digest":"sha256:p'), s("l_partkey"),
+                     F.lit('","mediaType":"application/vnd.model","size":'), s("l_quantity"), F.lit("}"))
+    params = F.concat(F.lit('{"digest":"sha256:s'), s("l_suppkey"),
+                      F.lit('","mediaType":"application/vnd.params","size":'), s("l_linenumber"), F.lit("}"))
+    head = F.concat(F.lit('{"schemaVersion":2,"config":{"digest":"sha256:o'), s("l_orderkey"), F.lit('"},'))
+    doc = (F.when(F.col("l_returnflag") == "R", F.concat(head, F.lit('"layers":'), model, F.lit("}")))
+           .when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 7),
+                 F.concat(head, F.lit('"layers":['), model))
+           .otherwise(F.concat(head, F.lit('"layers":['), model, F.lit(","), params, F.lit("]}"))))
+    rel = F.concat(F.lit("registry.example/library/m"), s("l_orderkey"), F.lit("/v"), s("l_linenumber"))
     return li.select(rel.alias("rel_path"), doc.alias("json"))
 
 
-MANIFEST_TAGS_SQL = """
+MANIFEST_OK = "l_returnflag <> 'R' AND NOT (l_returnflag = 'A' AND l_linenumber = 7)"
+MANIFEST_TAGS_SQL = f"""
 SELECT blob, MIN(tag) AS tag, COUNT(*) AS n_refs FROM (
   SELECT 'sha256-p' || CAST(l_partkey AS VARCHAR) AS blob,
          'm' || CAST(l_orderkey AS VARCHAR) || ':v' || CAST(l_linenumber AS VARCHAR) AS tag
-  FROM lineitem WHERE l_returnflag <> 'R'
+  FROM lineitem WHERE {MANIFEST_OK}
   UNION ALL
   SELECT 'sha256-s' || CAST(l_suppkey AS VARCHAR),
          'm' || CAST(l_orderkey AS VARCHAR) || ':v' || CAST(l_linenumber AS VARCHAR)
-  FROM lineitem WHERE l_returnflag <> 'R') t
+  FROM lineitem WHERE {MANIFEST_OK}) t
 GROUP BY blob
 """
 
