@@ -497,10 +497,10 @@ def _part_catalog(spark, sf_dir):
 
 PART_CATALOG_SQL = """
   SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) * 50000 AS weights_bytes,
-         CASE WHEN p_type = 'SMALL' THEN NULL ELSE p_size END AS n_layers,
-         p_size * 256 AS n_embd,
-         CASE WHEN p_size % 4 = 0 THEN NULL ELSE 32 END AS n_head,
-         CASE WHEN p_size % 3 = 0 THEN NULL ELSE 8 END AS n_head_kv
+         CAST(CASE WHEN p_type = 'SMALL' THEN NULL ELSE p_size END AS BIGINT) AS n_layers,
+         CAST(p_size * 256 AS BIGINT) AS n_embd,
+         CAST(CASE WHEN p_size % 4 = 0 THEN NULL ELSE 32 END AS BIGINT) AS n_head,
+         CAST(CASE WHEN p_size % 3 = 0 THEN NULL ELSE 8 END AS BIGINT) AS n_head_kv
   FROM part
 """
 
@@ -649,7 +649,7 @@ def q_header_roundtrip(spark, sf_dir):
 
 
 @register("header_kv_counts", """
-SELECT CASE WHEN p_size % 2 = 0 THEN 11 ELSE 10 END + CASE WHEN p_size > 40 THEN 1 ELSE 0 END AS n_kv,
+SELECT CAST(CASE WHEN p_size % 2 = 0 THEN 11 ELSE 10 END + CASE WHEN p_size > 40 THEN 1 ELSE 0 END AS BIGINT) AS n_kv,
        COUNT(*) AS files
 FROM part GROUP BY 1
 """)

@@ -29,7 +29,7 @@ def top_rows(df: DataFrame, order: list, n: int) -> DataFrame:
     """
     total = df.count()
     top = df.orderBy(*order).limit(n)
-    return (top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return (top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
             .withColumn("n_more", F.lit(max(total - n, 0)).cast("long"))
             .select("rank", *df.columns, "n_more"))
 
