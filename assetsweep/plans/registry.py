@@ -764,9 +764,19 @@ def q_archive_conflicts(spark, sf_dir):
 
 
 def _archive_entries(spark, sf_dir):
+    """Planned removals with the hash of each document and of its archived copy
+    (altered for CHANGED_LANG).  Hashes are computed where the text is read, so
+    only narrow rows meet the plan in the join."""
     removal = plan_ops.reclaim_plan(document_duplicates(spark, sf_dir)).removal
     docs = tables.read_table(spark, sf_dir, "documents")
-    return removal.join(docs.select(F.col("doc_id").alias("asset_id"), "text", "lang", "source"), "asset_id")
+    changed = F.when(F.col("lang") == CHANGED_LANG, F.concat("text", F.lit(" *"))).otherwise(F.col("text"))
+    narrow = docs.select(F.col("doc_id").alias("asset_id"), "lang", "source",
+                         F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"),
+                         F.sha2(F.encode(changed, "UTF-8"), 256).alias("archived_hash"))
+    return removal.join(narrow, "asset_id").select(
+        "asset_id", F.col("path").alias("from"),
+        F.concat(F.lit("archive/"), F.col("asset_id").cast("string")).alias("to"),
+        "size", "hash", "archived_hash", "lang", "source")
 
 
 ENTRIES_SQL = f"""
@@ -790,17 +800,12 @@ SELECT e."from", e."to", e.size,
 FROM e LEFT JOIN arch a ON a.path = e."to"
 """)
 def q_undo_status(spark, sf_dir):
-    e = _archive_entries(spark, sf_dir)
-    e = e.select(F.col("path").alias("from"),
-                 F.concat(F.lit("archive/"), F.col("asset_id").cast("string")).alias("to"),
-                 "size", F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"), "text", "lang", "source", "asset_id")
-    e = materialize_small(e)
-    docs = tables.documents_assets(spark, sf_dir)
+    e = materialize_small(_archive_entries(spark, sf_dir))
+    docs = tables.documents_assets(spark, sf_dir).select("asset_id", "path")
     live = plan_ops.kept_assets(docs, e.select("asset_id")).select("path").unionByName(
         e.where(F.col("lang") == RECREATED_LANG).select(F.col("from").alias("path")))
-    changed = F.when(F.col("lang") == CHANGED_LANG, F.concat("text", F.lit(" *"))).otherwise(F.col("text"))
     archived = e.where(F.col("source") != LOST_SOURCE).select(
-        F.col("to").alias("path"), F.sha2(F.encode(changed, "UTF-8"), 256).alias("hash"))
+        F.col("to").alias("path"), F.col("archived_hash").alias("hash"))
     return arc_ops.undo_status(e.select("from", "to", "size", "hash"), live, archived)
 
 
@@ -813,9 +818,7 @@ def materialize_small(df):
 SELECT "from", "to", size, hash, 'sha256' AS algo FROM ({ENTRIES_SQL}) e
 """)
 def q_manifest_roundtrip(spark, sf_dir):
-    e = _archive_entries(spark, sf_dir).select(
-        F.col("path").alias("from"), F.concat(F.lit("archive/"), F.col("asset_id").cast("string")).alias("to"),
-        "size", F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"), F.lit("sha256").alias("algo"))
+    e = _archive_entries(spark, sf_dir).select("from", "to", "size", "hash", F.lit("sha256").alias("algo"))
     d = _scratch(spark, "manifest")
     arc_ops.append_manifest(arc_ops.manifest_lines(e, "archive", 1700000000, per_line=16), d)
     # A damaged line and a blank line in the same folder must not stop the read.

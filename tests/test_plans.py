@@ -48,3 +48,36 @@ def test_columns_pruned_and_filters_pushed(spark):
     txt = a._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src1)]" in txt
     assert "ReadSchema: struct<doc_id:bigint,source:string>" in txt
+
+
+PAYLOAD_COLUMNS = {"text", "payload", "html", "content", "json"}
+
+
+def _exchange_outputs(node, out):
+    name = node.nodeName()
+    if "Exchange" in name and "Broadcast" not in name:
+        attrs = node.output()
+        out.append((name, {attrs.apply(i).name() for i in range(attrs.size())}))
+    kids = node.children()
+    for i in range(kids.size()):
+        _exchange_outputs(kids.apply(i), out)
+    return out
+
+
+def test_no_registered_query_shuffles_payload(spark):
+    """With broadcasts off (the shape at scale), no Exchange of any registered
+    query carries a text or payload column."""
+    import __spark_entry__ as E
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    seen = 0
+    try:
+        for name, fn in E.queries().items():
+            plan = fn(spark, SF)._jdf.queryExecution().executedPlan()
+            for node, cols in _exchange_outputs(plan, []):
+                seen += 1
+                assert not (cols & PAYLOAD_COLUMNS), (name, node, cols)
+        assert seen > 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
