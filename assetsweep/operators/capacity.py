@@ -57,3 +57,18 @@ def capacity_fit(catalog: DataFrame, devices: DataFrame | list[tuple],
         F.col("total_estimate_bytes").cast("decimal(20,0)").alias("total_estimate_bytes"),
         F.array_max(F.col("dev.vram")).alias("largest_gpu"),
         gpu.alias("fits_largest_gpu"), ram.alias("fits_all_ram"), note.alias("note"))
+
+
+def with_shard_weights(catalog: DataFrame, assets: DataFrame) -> DataFrame:
+    """``weights_bytes`` = bytes of all shards of the file's model.
+
+    ``assets`` needs ``path, size, split_group`` (from ``inventory.with_name_parts``);
+    a file outside any split weighs its own size.  Both joins are on keys with
+    one row per file or per model, so no join key is hot.
+    """
+    key = F.coalesce(F.col("split_group"), F.col("path"))
+    keyed = assets.select("path", key.alias("model_key"))
+    totals = (assets.groupBy(key.alias("model_key"))
+              .agg(F.sum("size").cast("long").alias("weights_bytes"), F.count(F.lit(1)).alias("shards")))
+    base = catalog.drop("weights_bytes") if "weights_bytes" in catalog.columns else catalog
+    return base.join(keyed, "path", "left").join(totals, "model_key", "left").drop("model_key")

@@ -77,3 +77,13 @@ def test_union_scans_keeps_one_row_per_path(spark):
     a = spark.createDataFrame([("/r/x", 1, "custom")], "path string, size bigint, store string")
     b = spark.createDataFrame([("/r/x", 1, "custom"), ("/r/y", 2, "custom")], "path string, size bigint, store string")
     assert I.union_scans(a, b).count() == 2
+
+
+def test_shard_weights_feed_capacity(spark):
+    from assetsweep.operators import inventory as INV
+    assets = INV.with_name_parts(spark.createDataFrame(
+        [("/m/q-00001-of-00002.gguf", 3 * GIB), ("/m/q-00002-of-00002.gguf", 2 * GIB), ("/m/solo.gguf", GIB)],
+        "path string, size bigint").withColumn("name", F.lit(None).cast("string")))
+    cat = spark.createDataFrame([("/m/q-00001-of-00002.gguf",), ("/m/solo.gguf",)], "path string")
+    w = {r["path"]: (r["weights_bytes"], r["shards"]) for r in CAP.with_shard_weights(cat, assets).collect()}
+    assert w == {"/m/q-00001-of-00002.gguf": (5 * GIB, 2), "/m/solo.gguf": (GIB, 1)}
