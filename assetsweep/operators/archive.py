@@ -18,6 +18,7 @@ from assetsweep.functions.hashing import content_hash
 from assetsweep.functions.scalars import BAD_LINE_PREVIEW
 from assetsweep.operators.skew import join_members_to_groups
 from assetsweep.schemas import UNDO_MANIFEST
+from assetsweep.session import materialize
 
 # Entries per manifest line: a run writes ceil(rows / this) lines, never one
 # unbounded line.
@@ -32,7 +33,8 @@ def destination_status(removal: DataFrame, existing_names: DataFrame, dest_name:
     the name first (W4); otherwise ``movable``.  The first row per name is an
     aggregate joined back with the hot-name split, not a window over the name.
     """
-    rows = removal.withColumn("dest_name", dest_name)
+    # Read twice (names aggregate and the join back): materialize the narrow rows.
+    rows = materialize(removal.withColumn("dest_name", dest_name))
     existing = existing_names.select(F.col("name").alias("dest_name")).distinct().withColumn("exists", F.lit(True))
     # One row per destination name (first id, count, already archived?), then a
     # single hot-name-safe join back to the rows.

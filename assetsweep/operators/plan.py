@@ -83,6 +83,8 @@ def verify_plan(removal: DataFrame, current: DataFrame) -> DataFrame:
     # The present fingerprints are read twice (targets and keepers): hash the
     # payloads once and keep only the narrow rows.
     cur = materialize(current.select("asset_id", *fp_cols))
+    # The plan rows feed both the keeper lookup and the target lookup.
+    removal = materialize(removal)
     # One row per group with its keeper's present state; ``n`` feeds the hot split.
     keeper_state = (removal.groupBy("group_id", "keeper_id").agg(F.count(F.lit(1)).alias("n"))
                     .join(cur.select(F.col("asset_id").alias("keeper_id"),

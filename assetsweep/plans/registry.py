@@ -6,13 +6,23 @@ such as the preferred-store list or the policy cap are fixed values below.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetsweep.functions import scalars as S
+from assetsweep.operators import archive as arc_ops
+from assetsweep.operators import capacity as cap_ops
+from assetsweep.operators import catalog as cat_ops
 from assetsweep.operators import duplicates as dup
-from assetsweep.session import spread
+from assetsweep.operators import inventory as inv
+from assetsweep.operators import plan as plan_ops
+from assetsweep.plans import jobs
+from assetsweep.session import checkpoint_dir, materialize, spread
+from assetsweep.sources import headers as hdr
+from assetsweep.sources import manifests as man
 from assetsweep.sources import tables
 
 # Parameters of the registered queries (fixed values, used by both sides).
@@ -164,7 +174,6 @@ def q_dup_groups_conversations(spark, sf_dir):
 
 
 # Keeper, plan and policy ----------------------------------------------------
-from assetsweep.operators import plan as plan_ops  # noqa: E402
 
 
 @register("keeper_preferred", f"""
@@ -307,8 +316,6 @@ def q_verify_summary(spark, sf_dir):
 
 
 # Inventory ------------------------------------------------------------------
-from assetsweep.functions import scalars as S  # noqa: E402
-from assetsweep.operators import inventory as inv  # noqa: E402
 
 # Store roots over page URLs: plain string-prefix semantics (reference
 # behaviour); ``http`` is a prefix of every other root and ``ftp://`` matches
@@ -423,7 +430,6 @@ def q_shard_rollup(spark, sf_dir):
 # with a model layer (part) and a params layer (supplier).  Returned lines ('R')
 # carry ``layers`` as an object instead of a list, and accepted seventh lines
 # ('A', line 7) are unterminated JSON; both must yield no layers.
-from assetsweep.sources import manifests as man  # noqa: E402
 
 
 def _manifest_rows(spark, sf_dir):
@@ -474,7 +480,6 @@ def q_blob_tag_join(spark, sf_dir):
 
 
 # Capacity ---------------------------------------------------------------------
-from assetsweep.operators import capacity as cap_ops  # noqa: E402
 
 GIB = 1024 ** 3
 # Machine profiles (fixed values): RAM 16 GiB with a 6 GiB GPU, 16 GiB with a
@@ -554,7 +559,6 @@ def q_quant_labels(spark, sf_dir):
 
 # Tensor rollup: every lineitem row is a tensor of order o<orderkey>; a zero part
 # key gives a zero product and the linenumber factor drives products past u64.
-from assetsweep.operators import catalog as cat_ops  # noqa: E402
 
 
 def _lineitem_tensors(spark, sf_dir):
@@ -585,7 +589,6 @@ def q_tensor_rollup(spark, sf_dir):
 # Header round trip: every part row is written as a model header (version,
 # typed keys, a duplicate key, a string array, a skipped float array, two
 # tensors), decoded in Spark tasks and summarized back.
-from assetsweep.sources import headers as hdr  # noqa: E402
 
 
 def _encode_part_headers(it, bad_magic_above=None):
@@ -724,11 +727,7 @@ def q_top_assets(spark, sf_dir):
 
 
 # Archive and undo ---------------------------------------------------------------
-import uuid  # noqa: E402
 
-from assetsweep.operators import archive as arc_ops  # noqa: E402
-from assetsweep.plans import jobs  # noqa: E402
-from assetsweep.session import checkpoint_dir  # noqa: E402
 
 ARCHIVE_HOLDER = "src0"      # names already present in the archive come from this source
 RECREATED_LANG = "fr"        # removed French documents reappear in the live table
@@ -800,7 +799,7 @@ SELECT e."from", e."to", e.size,
 FROM e LEFT JOIN arch a ON a.path = e."to"
 """)
 def q_undo_status(spark, sf_dir):
-    e = materialize_small(_archive_entries(spark, sf_dir))
+    e = materialize(_archive_entries(spark, sf_dir))
     docs = tables.documents_assets(spark, sf_dir).select("asset_id", "path")
     live = plan_ops.kept_assets(docs, e.select("asset_id")).select("path").unionByName(
         e.where(F.col("lang") == RECREATED_LANG).select(F.col("from").alias("path")))
@@ -809,11 +808,6 @@ def q_undo_status(spark, sf_dir):
     return arc_ops.undo_status(e.select("from", "to", "size", "hash"), live, archived)
 
 
-def materialize_small(df):
-    from assetsweep.session import materialize
-    return materialize(df)
-
-
 @register("manifest_roundtrip", f"""
 SELECT "from", "to", size, hash, 'sha256' AS algo FROM ({ENTRIES_SQL}) e
 """)
