@@ -83,16 +83,24 @@ def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_
     if n_bad:
         raise ArchiveVerificationError(f"{n_bad} archive rows failed verification; nothing removed")
     entries = movable.select(F.col("path").alias("from"), "to", "size", "hash", F.lit(algo).alias("algo"))
-    arc.append_manifest(arc.manifest_lines(entries, archive_dir, now), archive_dir + "/manifest")
+    # The manifest names the verified run folder, so undo never reads a folder
+    # left behind by a failed run.
+    arc.append_manifest(arc.manifest_lines(entries, written, now), archive_dir + "/manifest")
     pln.kept_assets(assets, movable.select("asset_id")).write.mode("errorifexists").parquet(kept_out)
     return status
 
 
 def undo(spark: SparkSession, archive_dir: str, live: DataFrame, algo: str = "sha256") -> DataFrame:
-    """Undo status per manifest entry (J8); archived copies are re-hashed from the archive."""
-    entries, _bad = arc.manifest_entries(arc.read_manifest(spark, archive_dir + "/manifest"))
-    archived = spark.read.parquet(archive_dir + "/data").select(
-        F.col("to").alias("path"), content_hash(F.col("payload"), algo).alias("hash"))
+    """Undo status per manifest entry (J8); archived copies are re-hashed from the
+    run folders the manifest names (one per archive run, a short list)."""
+    manifest = arc.read_manifest(spark, archive_dir + "/manifest")
+    entries, _bad = arc.manifest_entries(manifest)
+    runs = [r[0] for r in manifest.where(F.col("_corrupt").isNull()).select("destination").distinct().collect()]
+    if runs:
+        archived = spark.read.parquet(*runs).select(
+            F.col("to").alias("path"), content_hash(F.col("payload"), algo).alias("hash"))
+    else:
+        archived = spark.createDataFrame([], "path string, hash string")
     return arc.undo_status(entries, live, archived)
 
 

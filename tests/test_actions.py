@@ -120,3 +120,17 @@ def test_failed_verification_removes_nothing(spark, tmp_path):
     with pytest.raises(jobs.ArchiveVerificationError):
         jobs.archive(spark, wrong, df, str(out / "arc"), str(out / "kept"), now=1)
     assert not (out / "arc" / "manifest").exists() and not (out / "kept").exists()
+
+
+def test_undo_ignores_folders_of_failed_runs(spark, tmp_path):
+    df = assets(spark, [("/x/k.bin", "ollama", payload(900, 2)), ("/y/d.bin", "loose", payload(900, 2))])
+    _, removal = plan_for(df)
+    out = tmp_path / "o"
+    # A failed run leaves a folder with a row for the same destination.
+    stray = spark.createDataFrame([(99, "/y/d.bin", str(out / "arc") + "/d.bin", 3, b"xyz", "sha256")],
+                                  "asset_id bigint, from string, to string, size bigint, payload binary, algo string")
+    stray.write.parquet(str(out / "arc" / "data" / "run=failed"))
+    jobs.archive(spark, removal, df, str(out / "arc"), str(out / "kept"), now=5)
+    live = spark.read.parquet(str(out / "kept")).select("path")
+    st = jobs.undo(spark, str(out / "arc"), live).collect()
+    assert [(r["from"], r["status"]) for r in st] == [("/y/d.bin", "restore")]
