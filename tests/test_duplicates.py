@@ -159,3 +159,21 @@ def test_physical_ids_count_once(spark):
     fp = D.fingerprint_payloads(df, keep=("physical_id",))
     g = D.find_duplicates(fp, 1).groups.collect()
     assert len(g) == 1 and g[0]["n_members"] == 2 and g[0]["reclaimable"] == 3000
+
+
+def test_edge_windows_and_file_hash_agree_with_column_hash(spark, tmp_path):
+    import hashlib
+    blobs = {"small": ramp(3000), "exact": ramp(4096), "big": ramp(10_000, 7)}
+    df = assets(spark, [(n, "loose", b) for n, b in blobs.items()])
+    col = {r["path"].rsplit("/", 1)[-1]: r for r in D.fingerprint_payloads(df).collect()}
+    for n, b in blobs.items():
+        (tmp_path / n).write_bytes(b)
+        want_tail = b[-4096:] if len(b) > 4096 else b
+        assert col[n]["hash"] == hashlib.sha256(b).hexdigest()
+        assert col[n]["head_hash"] == hashlib.sha256(b[:4096]).hexdigest()
+        assert col[n]["tail_hash"] == hashlib.sha256(want_tail).hexdigest()
+    files = FS.with_asset_ids(FS.list_files(spark, str(tmp_path), None, "loose"))
+    for r in FS.hash_files(files).collect():
+        c = col[r["path"].rsplit("/", 1)[-1]]
+        assert (r["size"], r["hash"], r["head_hash"], r["tail_hash"]) == \
+            (c["size"], c["hash"], c["head_hash"], c["tail_hash"])
