@@ -48,6 +48,15 @@ reclaim_plan = pln.reclaim_plan
 verify_plan = pln.verify_plan
 
 
+def _norm_path(p: str) -> str:
+    """``file:///a``, ``file:/a`` and ``/a`` name the same local path."""
+    if p.startswith("file:"):
+        p = p[5:]
+        while p.startswith("//"):
+            p = p[1:]
+    return p
+
+
 class ArchiveVerificationError(RuntimeError):
     pass
 
@@ -64,8 +73,13 @@ def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_
     before the manifest or the kept table is written.  Returns per-row status.
     """
     now = int(time.time()) if now is None else int(now)
+    kept_norm = _norm_path(kept_out).rstrip("/") + "/"
+    if any(_norm_path(f).startswith(kept_norm) for f in assets.inputFiles()):
+        raise ValueError("kept_out must be a new location, not the table being read")
     if existing_names is None:
-        existing_names = spark.createDataFrame([], "name string")
+        # Names already archived by earlier verified runs (from the manifest), so
+        # a re-run after a failure skips rows it has already moved.
+        existing_names = _archived_names(spark, archive_dir)
     base = F.element_at(F.split("path", "/"), -1)
     dest_root = archive_dir.rstrip("/") + "/"
     status = materialize(arc.destination_status(removal, existing_names, base))
@@ -86,10 +100,25 @@ def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_
     # The manifest names the verified run folder, so undo never reads a folder
     # left behind by a failed run.
     arc.append_manifest(arc.manifest_lines(entries, written, now), archive_dir + "/manifest")
-    pln.kept_assets(assets, movable.select("asset_id")).write.mode("errorifexists").parquet(kept_out)
+    # Overwrite is safe: kept_out is checked above not to be the input, and a
+    # re-run after a failure replaces a partial result.
+    pln.kept_assets(assets, movable.select("asset_id")).write.mode("overwrite").parquet(kept_out)
     return status
 
 
+def _archived_names(spark: SparkSession, archive_dir: str) -> DataFrame:
+    import os
+    path = archive_dir.rstrip("/") + "/manifest"
+    local = path[5:] if path.startswith("file:") else path
+    if "://" not in path and not os.path.exists(local):
+        return spark.createDataFrame([], "name string")
+    try:
+        entries, _ = arc.manifest_entries(arc.read_manifest(spark, path))
+    except Exception:  # no manifest yet (first run)
+        return spark.createDataFrame([], "name string")
+    return entries.select(F.element_at(F.split("to", "/"), -1).alias("name"))
+
+
 def undo(spark: SparkSession, archive_dir: str, live: DataFrame, algo: str = "sha256") -> DataFrame:
     """Undo status per manifest entry (J8); archived copies are re-hashed from the
     run folders the manifest names (one per archive run, a short list)."""

@@ -134,3 +134,21 @@ def test_undo_ignores_folders_of_failed_runs(spark, tmp_path):
     live = spark.read.parquet(str(out / "kept")).select("path")
     st = jobs.undo(spark, str(out / "arc"), live).collect()
     assert [(r["from"], r["status"]) for r in st] == [("/y/d.bin", "restore")]
+
+
+def test_archive_rerun_skips_moved_rows_and_refuses_input_overwrite(spark, tmp_path):
+    import pytest
+    df = assets(spark, [("/x/k.bin", "ollama", payload(700, 4)), ("/y/d.bin", "loose", payload(700, 4))])
+    _, removal = plan_for(df)
+    out = tmp_path / "o"
+    first = jobs.archive(spark, removal, df, str(out / "arc"), str(out / "kept"), now=1)
+    assert [r["status"] for r in first.collect()] == ["movable"]
+    again = jobs.archive(spark, removal, df, str(out / "arc"), str(out / "kept"), now=2)
+    assert [r["status"] for r in again.collect()] == ["destination_exists"]
+    entries, _ = A.manifest_entries(A.read_manifest(spark, str(out / "arc" / "manifest")))
+    assert entries.count() == 1
+    src = tmp_path / "src"
+    df.write.parquet(str(src))
+    table = spark.read.parquet(str(src))
+    with pytest.raises(ValueError):
+        jobs.archive(spark, removal, table, str(out / "arc2"), str(src), now=3)
