@@ -60,6 +60,11 @@ def size_candidates(assets: DataFrame, min_size: int = DEFAULT_MIN_SIZE) -> Data
             .where(F.col("n") > 1))
 
 
+def ordered_candidates(candidates: DataFrame) -> DataFrame:
+    """O1: candidate sizes, largest first, ties by first id (a distributed range sort)."""
+    return candidates.orderBy(F.desc("size"), F.asc("min_id"))
+
+
 def hash_workload(candidates: DataFrame) -> DataFrame:
     """Files and bytes that still need hashing after the size prefilter."""
     return candidates.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("files"),

@@ -868,3 +868,17 @@ def q_kv_last_value(spark, sf_dir):
                    F.col("event_type").alias("key"), F.col("event_id").alias("pos"),
                    F.get_json_object("props", "$.k").cast("long").alias("value"))
     return cat_ops.last_values(kv)
+
+
+@register("dup_groups_top", f"""
+SELECT row_number() OVER (ORDER BY reclaimable DESC, size_each DESC, group_id) AS rank,
+       group_id, size_each, n_members, reclaimable,
+       GREATEST((SELECT COUNT(*) FROM ({_group_sql(MIN_SIZE)}) c) - {TOP_N}, 0) AS n_more
+FROM ({_group_sql(MIN_SIZE)}) g
+ORDER BY reclaimable DESC, size_each DESC, group_id LIMIT {TOP_N}
+""")
+def q_dup_groups_top(spark, sf_dir):
+    """O2 as a bounded listing: groups by reclaimable bytes, then size, then id."""
+    from assetsweep.plans import report
+    g = document_duplicates(spark, sf_dir).groups.select("group_id", "size_each", "n_members", "reclaimable")
+    return report.top_rows(g, [F.desc("reclaimable"), F.desc("size_each"), F.asc("group_id")], TOP_N)
