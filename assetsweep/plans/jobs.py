@@ -17,6 +17,7 @@ from assetsweep.operators import plan as pln
 from assetsweep.operators.capacity import capacity_fit  # noqa: F401  (re-exported job)
 from assetsweep.operators.skew import filter_by_ids
 from assetsweep.session import materialize
+from assetsweep.sources import files as FS
 from assetsweep.sources import headers as hdr
 
 
@@ -44,6 +45,19 @@ def find_duplicates(assets: DataFrame, min_size: int = dup.DEFAULT_MIN_SIZE, man
     return dup.find_duplicates(fp, min_size, managed, exclude_same_split=exclude_same_split)
 
 
+def find_file_duplicates(spark: SparkSession, stores: list[tuple[str, str, str | None]],
+                         min_size: int = dup.DEFAULT_MIN_SIZE, managed=None,
+                         algo: str = "sha256") -> dup.Duplicates:
+    """Duplicate groups of files below store roots ``[(kind, root, glob), ...]``.
+
+    Listing (no content read) -> one row per path (U1) -> hash only files whose
+    size occurs twice (J3), in tasks that stream each file -> group (A4 A5).
+    """
+    files = FS.with_asset_ids(FS.scan_stores(spark, stores))
+    fp = FS.prefiltered_fingerprints(files, min_size, algo)
+    return dup.find_duplicates(fp, min_size, managed)
+
+
 reclaim_plan = pln.reclaim_plan
 verify_plan = pln.verify_plan
 

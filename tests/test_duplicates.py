@@ -177,3 +177,19 @@ def test_edge_windows_and_file_hash_agree_with_column_hash(spark, tmp_path):
         c = col[r["path"].rsplit("/", 1)[-1]]
         assert (r["size"], r["hash"], r["head_hash"], r["tail_hash"]) == \
             (c["size"], c["hash"], c["head_hash"], c["tail_hash"])
+
+
+def test_find_file_duplicates_job(spark, tmp_path):
+    from assetsweep.plans import jobs
+    a = tmp_path / "a"
+    b = tmp_path / "b"
+    a.mkdir()
+    b.mkdir()
+    (a / "m.gguf").write_bytes(ramp(20_000))
+    (b / "m-copy.gguf").write_bytes(ramp(20_000))
+    (b / "other.gguf").write_bytes(ramp(20_000, 3))
+    d = jobs.find_file_duplicates(spark, [("ollama", str(a), "*.gguf"), ("custom", str(b), "*.gguf")], 1000)
+    g = d.groups.first()
+    assert d.groups.count() == 1 and g["n_members"] == 2
+    keeper = [r for r in d.members().collect() if r["is_keeper"]][0]
+    assert keeper["store"] == "ollama"
