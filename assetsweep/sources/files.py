@@ -43,7 +43,10 @@ def list_files(spark: SparkSession, root: str, glob: str | None = "*.gguf", stor
 def scan_stores(spark: SparkSession, stores: list[tuple[str, str, str | None]]) -> DataFrame:
     """U1 over several ``(kind, root, glob)`` scans; a path seen twice counts once."""
     scans = [list_files(spark, root, glob, kind) for kind, root, glob in stores]
-    return reduce(lambda a, b: a.unionByName(b), scans).dropDuplicates(["path"])
+    both = reduce(lambda a, b: a.unionByName(b), scans)
+    # Deterministic choice for a path listed under two roots: the smallest store name.
+    return (both.groupBy("path").agg(F.min(F.struct("store", "name", "size", "modificationTime")).alias("r"))
+            .select("path", "r.name", "r.store", "r.size", "r.modificationTime"))
 
 
 def with_asset_ids(files: DataFrame) -> DataFrame:
