@@ -40,6 +40,59 @@ def list_files(spark: SparkSession, root: str, glob: str | None = "*.gguf", stor
                      "modificationTime")
 
 
+def _walk_rows(it, glob: str | None):
+    """Recursive listing of each given directory (or file) in a task; hidden and
+    underscore names included, links not followed, regular non-empty files only."""
+    import fnmatch
+
+    from pyarrow import fs as pafs
+    schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("mtime_ns", pa.int64())])
+    for batch in it:
+        out = {"path": [], "size": [], "mtime_ns": []}
+        for uri in batch.column("entry").to_pylist():
+            local = uri[5:] if uri.startswith("file:") else uri
+            while local.startswith("//"):
+                local = local[1:]
+            fs, base = (pafs.LocalFileSystem(), local) if "://" not in local else pafs.FileSystem.from_uri(uri)
+            info = fs.get_file_info(base)
+            infos = [info] if info.type == pafs.FileType.File else \
+                fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True))
+            for fi in infos:
+                if fi.type != pafs.FileType.File or not fi.size:
+                    continue
+                if glob and not fnmatch.fnmatchcase(fi.base_name, glob):
+                    continue
+                out["path"].append(("file:" + fi.path) if "://" not in local else fi.path)
+                out["size"].append(fi.size)
+                out["mtime_ns"].append(fi.mtime_ns)
+        yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+
+def list_files_all(spark: SparkSession, root: str, glob: str | None = "*.gguf", store: str | None = None,
+                   min_size: int = 1, num_partitions: int | None = None) -> DataFrame:
+    """S1 without the hidden-name filter of ``binaryFile``.
+
+    The driver lists only the first level below ``root``; each entry's subtree is
+    walked by a task (``mapInArrow``), so large trees are listed in parallel and
+    names starting with ``.`` or ``_`` are kept as the reference's walk keeps them.
+    """
+    from pyarrow import fs as pafs
+    local = root[5:] if root.startswith("file:") else root
+    while local.startswith("//"):
+        local = local[1:]
+    fs, base = (pafs.LocalFileSystem(), local) if "://" not in local else pafs.FileSystem.from_uri(root)
+    first = fs.get_file_info(pafs.FileSelector(base, recursive=False, allow_not_found=True))
+    prefix = "" if "://" in local else "file:"
+    entries = [(prefix + fi.path,) for fi in first if fi.type in (pafs.FileType.File, pafs.FileType.Directory)]
+    n = num_partitions or max(1, min(len(entries), 4 * spark.sparkContext.defaultParallelism))
+    listed = (spark.createDataFrame(entries, "entry string").repartition(n)
+              .mapInArrow(lambda it: _walk_rows(it, glob), "path string, size long, mtime_ns long"))
+    name = F.element_at(F.split(F.col("path"), "/"), -1)
+    return (listed.where(F.col("size") >= max(1, min_size))
+            .select("path", name.alias("name"), F.lit(store).cast("string").alias("store"), "size",
+                    F.timestamp_micros(F.floor(F.col("mtime_ns") / 1000)).alias("modificationTime")))
+
+
 def scan_stores(spark: SparkSession, stores: list[tuple[str, str, str | None]]) -> DataFrame:
     """U1 over several ``(kind, root, glob)`` scans; a path seen twice counts once."""
     scans = [list_files(spark, root, glob, kind) for kind, root, glob in stores]

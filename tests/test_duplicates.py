@@ -193,3 +193,23 @@ def test_find_file_duplicates_job(spark, tmp_path):
     assert d.groups.count() == 1 and g["n_members"] == 2
     keeper = [r for r in d.members().collect() if r["is_keeper"]][0]
     assert keeper["store"] == "ollama"
+
+
+def test_listing_keeps_hidden_names(spark, tmp_path):
+    root = tmp_path / "r"
+    (root / ".cache" / "x").mkdir(parents=True)
+    (root / "_tmp").mkdir()
+    (root / "pub").mkdir()
+    (root / ".cache" / "x" / "a.gguf").write_bytes(b"1" * 10)
+    (root / "_tmp" / "b.gguf").write_bytes(b"2" * 10)
+    (root / "pub" / "c.gguf").write_bytes(b"3" * 10)
+    (root / "pub" / "empty.gguf").write_bytes(b"")
+    (root / "top.gguf").write_bytes(b"4" * 10)
+    (root / "notes.txt").write_bytes(b"5" * 10)
+    spark_names = {r["name"] for r in FS.list_files(spark, str(root)).collect()}
+    all_names = {r["name"] for r in FS.list_files_all(spark, str(root)).collect()}
+    assert spark_names == {"c.gguf", "top.gguf"}
+    assert all_names == {"a.gguf", "b.gguf", "c.gguf", "top.gguf"}
+    rows = FS.list_files_all(spark, str(root), None).collect()
+    assert {r["name"] for r in rows} == {"a.gguf", "b.gguf", "c.gguf", "top.gguf", "notes.txt"}
+    assert all(r["path"].startswith("file:/") and r["modificationTime"] is not None for r in rows)
