@@ -87,3 +87,52 @@ def test_shard_weights_feed_capacity(spark):
     cat = spark.createDataFrame([("/m/q-00001-of-00002.gguf",), ("/m/solo.gguf",)], "path string")
     w = {r["path"]: (r["weights_bytes"], r["shards"]) for r in CAP.with_shard_weights(cat, assets).collect()}
     assert w == {"/m/q-00001-of-00002.gguf": (5 * GIB, 2), "/m/solo.gguf": (GIB, 1)}
+
+
+def test_inventory_job_with_tags(spark, tmp_path):
+    from assetsweep.plans import jobs
+    from assetsweep.sources import files as FS
+    from assetsweep.sources import manifests as MAN
+    root = tmp_path / "models"
+    blobs = root / "blobs"
+    man = root / "manifests" / "registry.example" / "library" / "llama3"
+    blobs.mkdir(parents=True)
+    man.mkdir(parents=True)
+    (blobs / "sha256-big").write_bytes(b"GGUF" + bytes(100))
+    (blobs / "sha256-cfg").write_bytes(b"GGUF" + bytes(10))
+    (man / "latest").write_text('{"schemaVersion": 2, "config": {"digest": "sha256:zzz"}, "layers": ['
+                                '{"digest": "sha256:big", "mediaType": "m", "size": 104}, '
+                                '{"digest": "sha256:cfg", "mediaType": "p", "size": 14}]}')
+    tags = MAN.manifest_tags(MAN.read_manifest_files(spark, str(root / "manifests")))
+    assert {(r["blob"], r["tag"]) for r in tags.collect()} == {("sha256-big", "llama3:latest"),
+                                                              ("sha256-cfg", "llama3:latest")}
+    assets = FS.list_files(spark, str(blobs), "sha256-*", "ollama")
+    stores = spark.createDataFrame([("ollama", "file:" + str(root)), ("lm_studio", "file:/nowhere")],
+                                   "kind string, root string")
+    inv = jobs.inventory(assets, stores, tags)
+    assert {(r["name"], r["tag"]) for r in inv.assets.collect()} == {("sha256-big", "llama3:latest"),
+                                                                    ("sha256-cfg", "llama3:latest")}
+    st = {r["kind"]: (r["files"], r["bytes"]) for r in inv.stores.collect()}
+    assert st == {"ollama": (2, 118), "lm_studio": (0, 0)}
+    t = inv.totals.first()
+    assert (t["total_files"], t["total_bytes"]) == (2, 118)
+
+
+def test_catalog_to_capacity_from_files(spark, tmp_path):
+    from assetsweep.operators import inventory as INV
+    from assetsweep.plans import jobs
+    from assetsweep.sources import files as FS
+    from assetsweep.sources import headers as H
+    kvs = [("general.architecture", "str", "llama"), ("llama.block_count", "u32", 32),
+           ("llama.embedding_length", "u32", 4096), ("llama.attention.head_count", "u32", 32),
+           ("llama.attention.head_count_kv", "u32", 8), ("llama.context_length", "u32", 8192)]
+    (tmp_path / "m-00001-of-00002.gguf").write_bytes(H.encode_header(3, kvs, []) + bytes(1000))
+    (tmp_path / "m-00002-of-00002.gguf").write_bytes(b"\0" * 3000)
+    files = INV.with_name_parts(FS.list_files(spark, str(tmp_path)))
+    cat = jobs.catalog_headers(files.select("path"), from_paths=True)
+    cat = CAP.with_shard_weights(cat, files)
+    fit = CAP.capacity_fit(cat, [("box", 64 * GIB, [24 * GIB])])
+    r = fit.first()
+    assert fit.count() == 1  # the second shard has no header
+    assert r["weights_bytes"] == files.agg(F.sum("size")).first()[0] and r["shards"] == 2
+    assert r["kv_cache_bytes"] == 1073741824 and r["note"] == "fits on the largest GPU"
