@@ -53,6 +53,35 @@ def test_columns_pruned_and_filters_pushed(spark):
 PAYLOAD_COLUMNS = {"text", "payload", "html", "content", "json"}
 
 
+def _node_names(node, out):
+    out.append(node.nodeName())
+    kids = node.children()
+    for i in range(kids.size()):
+        _node_names(kids.apply(i), out)
+    return out
+
+
+def test_no_cross_join_and_no_unpartitioned_window(spark):
+    """No registered query plans a cartesian product; a nested-loop join appears
+    only in the plain-prefix store summary (roots broadcast behind a count check);
+    no window runs without a partition key except over the bounded top-k rows."""
+    import __spark_entry__ as E
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name, fn in E.queries().items():
+            plan = fn(spark, SF)._jdf.queryExecution().executedPlan()
+            names = _node_names(plan, [])
+            assert "CartesianProduct" not in names, name
+            if "BroadcastNestedLoopJoin" in names:
+                assert name == "store_summary_prefix", name
+            if "Window" in names:
+                assert name in ("top_assets", "dup_groups_top"), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def _exchange_outputs(node, out):
     name = node.nodeName()
     if "Exchange" in name and "Broadcast" not in name:
