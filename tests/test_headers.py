@@ -83,3 +83,18 @@ def test_string_arrays_keep_first_eight(spark):
     kv = {r["key"]: r["v_arr"] for r in H.header_kv(dec).collect()}
     assert kv["tok"] == [f"t{i}" for i in range(8)]
     assert kv["nested"] == ["[a, b]", "[]"]
+
+
+def test_header_data_source(spark, tmp_path):
+    from assetsweep.operators import catalog as CAT
+    from assetsweep.sources import header_source
+    for name, data in fixtures().items():
+        (tmp_path / f"{name}.gguf").write_bytes(data)
+    (tmp_path / "notes.txt").write_bytes(b"not listed")
+    header_source.register(spark)
+    dec = spark.read.format("model_headers").option("bytesPerPartition", "64").load(str(tmp_path))
+    assert dec.rdd.getNumPartitions() > 1
+    cat = CAT.summarize_decoded(dec)
+    got = {r["path"].rsplit("/", 1)[-1]: r for r in cat.collect()}
+    assert set(got) == {"full.gguf", "big.gguf", "v1.gguf", "empty.gguf", "dup.gguf"}
+    assert got["full.gguf"]["quant"] == "Q4_K_M" and got["dup.gguf"]["name"] == "last"
