@@ -41,7 +41,7 @@ def join_members_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str],
 
 
 # An id set up to this many rows is broadcast to pick rows out of a wide table.
-MAX_BROADCAST_IDS = 20_000_000
+MAX_BROADCAST_IDS = 5_000_000  # ~40 MB of ids, a few hundred MB as a hashed relation
 
 
 def filter_by_ids(wide: DataFrame, ids: DataFrame, key: str = "asset_id", keep: bool = True,

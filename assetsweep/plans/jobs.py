@@ -40,6 +40,8 @@ def inventory(assets: DataFrame, stores: DataFrame, tags: DataFrame | None = Non
 def find_duplicates(assets: DataFrame, min_size: int = dup.DEFAULT_MIN_SIZE, managed=None,
                     algo: str = "sha256", exclude_same_split: bool = False) -> dup.Duplicates:
     """Duplicate groups of assets whose payload is a column."""
+    if exclude_same_split and "split_group" not in assets.columns:
+        assets = inv.with_name_parts(assets)
     keep = ("split_group",) if exclude_same_split else ()
     fp = dup.fingerprint_payloads(assets, algo, keep)
     return dup.find_duplicates(fp, min_size, managed, exclude_same_split=exclude_same_split)
