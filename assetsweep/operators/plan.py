@@ -77,7 +77,8 @@ def verify_plan(removal: DataFrame, current: DataFrame) -> DataFrame:
     head_hash, tail_hash``).  Status per row:
     ``missing`` (target gone), ``keeper_missing``, ``changed`` (target no longer
     identical to its keeper) or ``ok``.  Keeper state is looked up once per group
-    and joined by the uniform ``asset_id``/``group_id`` keys.
+    (join on ``keeper_id``), targets by ``asset_id``; the per-group state joins
+    back by ``group_id`` through the hot-group split.
     """
     fp_cols = ["size", "hash", "head_hash", "tail_hash"]
     # The present fingerprints are read twice (targets and keepers): hash the
