@@ -106,7 +106,7 @@ def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_
     # payload side never goes through a shuffle.
     rows = filter_by_ids(assets, movable, "asset_id", keep=True).select(
         "asset_id", F.col("path").alias("from"), F.concat(F.lit(dest_root), base).alias("to"),
-        "size", "payload")
+        "name", "store", "size", "payload")
     written = arc.write_archive(rows.withColumn("algo", F.lit(algo)), archive_dir + "/data")
     bad = arc.verify_archive(spark, movable, written, algo)
     n_bad = bad.count()
@@ -149,6 +149,33 @@ def undo(spark: SparkSession, archive_dir: str, live: DataFrame, algo: str = "sh
     return arc.undo_status(entries, live, archived)
 
 
+def apply_undo(spark: SparkSession, archive_dir: str, live: DataFrame, out: str,
+               algo: str = "sha256") -> DataFrame:
+    """Restore archived rows whose undo status is ``restore`` into a new live table.
+
+    ``live`` is the current asset table (``asset_id, path, name, store, size,
+    payload``); ``out`` receives live + restored rows (a new location, checked
+    not to be an input).  Restored rows are picked from the verified run folders
+    by their archive path with a count-checked broadcast filter, so archived
+    payloads are not shuffled.  Returns the per-entry status; running it again on
+    the restored table reports ``occupied`` for everything (idempotent).
+    """
+    out_norm = _norm_path(out).rstrip("/") + "/"
+    if any(_norm_path(f).startswith(out_norm) for f in live.inputFiles()):
+        raise ValueError("out must be a new location, not the table being read")
+    status = materialize(undo(spark, archive_dir, live.select("path"), algo))
+    todo = status.where(F.col("status") == "restore").select("to")
+    manifest = arc.read_manifest(spark, archive_dir + "/manifest")
+    runs = [r[0] for r in manifest.where(F.col("_corrupt").isNull()).select("destination").distinct().collect()]
+    if runs:
+        archived = filter_by_ids(spark.read.parquet(*runs), todo, "to", keep=True)
+        restored = archived.select("asset_id", F.col("from").alias("path"), "name", "store", "size", "payload")
+        live.unionByName(restored).write.mode("overwrite").parquet(out)
+    else:
+        live.write.mode("overwrite").parquet(out)
+    return status
+
+
 def catalog_headers(files: DataFrame, from_paths: bool = False) -> DataFrame:
     """S3 -> P11: decode headers (payload column, or open ``path`` in tasks), then
     summarize the decoded long table in one aggregation (it is read once)."""

@@ -152,3 +152,21 @@ def test_archive_rerun_skips_moved_rows_and_refuses_input_overwrite(spark, tmp_p
     table = spark.read.parquet(str(src))
     with pytest.raises(ValueError):
         jobs.archive(spark, removal, table, str(out / "arc2"), str(src), now=3)
+
+
+def test_apply_undo_restores_and_is_idempotent(spark, tmp_path):
+    df = assets(spark, [("/x/keep.bin", "ollama", payload(2000, 6)), ("/y/dup.bin", "loose", payload(2000, 6)),
+                        ("/z/other.bin", "loose", payload(300, 1))])
+    _, removal = plan_for(df)
+    out = tmp_path / "o"
+    jobs.archive(spark, removal, df, str(out / "arc"), str(out / "kept"), now=1)
+    kept = spark.read.parquet(str(out / "kept"))
+    st = jobs.apply_undo(spark, str(out / "arc"), kept, str(out / "restored"))
+    assert [r["status"] for r in st.collect()] == ["restore"]
+    restored = spark.read.parquet(str(out / "restored"))
+    rows = {r["path"]: r for r in restored.collect()}
+    assert set(rows) == {"/x/keep.bin", "/y/dup.bin", "/z/other.bin"}
+    assert rows["/y/dup.bin"]["payload"] == payload(2000, 6) and rows["/y/dup.bin"]["store"] == "loose"
+    again = jobs.apply_undo(spark, str(out / "arc"), restored, str(out / "restored2"))
+    assert [r["status"] for r in again.collect()] == ["occupied"]
+    assert spark.read.parquet(str(out / "restored2")).count() == 3
