@@ -79,14 +79,15 @@ class ArchiveVerificationError(RuntimeError):
 
 def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_dir: str,
             kept_out: str, existing_names: DataFrame | None = None, now: int | None = None,
-            algo: str = "sha256") -> DataFrame:
+            algo: str = "sha256", dry_run: bool = False) -> DataFrame:
     """Move planned rows to the archive, verified, with an undo manifest.
 
     ``removal`` rows need ``asset_id, path, size, hash`` (from a verified plan).
     Steps: destination checks (J6 W4) -> write archive rows with payload (S9) ->
     read back and re-hash (S9) -> append manifest (S7, before anything is
     removed) -> write the kept table to ``kept_out`` (U3).  A failed check raises
-    before the manifest or the kept table is written.  Returns per-row status.
+    before the manifest or the kept table is written.  Returns per-row status;
+    with ``dry_run`` only the destination checks run and nothing is written.
     """
     now = int(time.time()) if now is None else int(now)
     kept_norm = _norm_path(kept_out).rstrip("/") + "/"
@@ -99,6 +100,9 @@ def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_
     base = F.element_at(F.split("path", "/"), -1)
     dest_root = archive_dir.rstrip("/") + "/"
     status = materialize(arc.destination_status(removal, existing_names, base))
+    if dry_run:
+        # Only the checks: what would move, what would be skipped, and why.
+        return status
     movable = status.where(F.col("status") == "movable").withColumn(
         "to", F.concat(F.lit(dest_root), F.col("dest_name")))
     # Payload rows are picked map-side by broadcast ids (count-checked); the

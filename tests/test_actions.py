@@ -170,3 +170,12 @@ def test_apply_undo_restores_and_is_idempotent(spark, tmp_path):
     again = jobs.apply_undo(spark, str(out / "arc"), restored, str(out / "restored2"))
     assert [r["status"] for r in again.collect()] == ["occupied"]
     assert spark.read.parquet(str(out / "restored2")).count() == 3
+
+
+def test_archive_dry_run_writes_nothing(spark, tmp_path):
+    df = assets(spark, [("/x/k.bin", "ollama", payload(500, 8)), ("/y/d.bin", "loose", payload(500, 8))])
+    _, removal = plan_for(df)
+    out = tmp_path / "o"
+    st = jobs.archive(spark, removal, df, str(out / "arc"), str(out / "kept"), now=1, dry_run=True)
+    assert [r["status"] for r in st.collect()] == ["movable"]
+    assert not (out / "arc").exists() and not (out / "kept").exists()
