@@ -10,9 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from assetsweep.functions import scalars as S
-from assetsweep.schemas import MANIFEST_JSON
+
+LAYER_DIGESTS = StructType([StructField("layers", ArrayType(StructType([
+    StructField("digest", StringType(), True)])), True)])
 
 
 def read_manifest_files(spark: SparkSession, manifests_root: str) -> DataFrame:
@@ -28,9 +31,10 @@ def read_manifest_files(spark: SparkSession, manifests_root: str) -> DataFrame:
 
 def manifest_layers(manifests: DataFrame) -> DataFrame:
     """One row per (manifest, layer digest); unparsable JSON and absent digests skipped."""
+    # Only layers[].digest is needed: parse with the narrowest schema.
     parsed = manifests.select(
         S.manifest_tag(F.col("rel_path")).alias("tag"),
-        F.from_json(F.col("json"), MANIFEST_JSON, {"mode": "PERMISSIVE"}).alias("m"))
+        F.from_json(F.col("json"), LAYER_DIGESTS, {"mode": "PERMISSIVE"}).alias("m"))
     return (parsed.where(F.col("tag").isNotNull())
             .select("tag", F.explode(F.coalesce(F.col("m.layers"), F.array())).alias("layer"))
             .where(F.col("layer.digest").isNotNull())
