@@ -23,9 +23,11 @@ def read_manifest_files(spark: SparkSession, manifests_root: str) -> DataFrame:
     root = manifests_root.rstrip("/")
     df = (spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
           .text(root).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("json")))
-    # file_path is a URI (file:/..., s3a://...); keep the part after the root's last component.
-    base = root.rsplit("/", 1)[-1]
-    rel = F.regexp_extract(F.col("file_path"), "/" + base.replace(".", r"\.") + "/(.*)$", 1)
+    # file_path is a URI (file:/..., s3a://...); keep the part after the root itself.
+    root_path = root[5:] if root.startswith("file:") else root
+    while root_path.startswith("//"):
+        root_path = root_path[1:]
+    rel = F.regexp_extract(F.col("file_path"), "\\Q" + root_path + "\\E/(.*)$", 1)
     return df.select(rel.alias("rel_path"), "json")
 
 
