@@ -16,7 +16,7 @@ from assetsweep.operators import inventory as inv
 from assetsweep.operators import plan as pln
 from assetsweep.operators.capacity import capacity_fit  # noqa: F401  (re-exported job)
 from assetsweep.operators.skew import filter_by_ids
-from assetsweep.session import materialize
+from assetsweep.session import literal_table, materialize
 from assetsweep.sources import files as FS
 from assetsweep.sources import headers as hdr
 
@@ -131,11 +131,11 @@ def _archived_names(spark: SparkSession, archive_dir: str) -> DataFrame:
     path = archive_dir.rstrip("/") + "/manifest"
     local = path[5:] if path.startswith("file:") else path
     if "://" not in path and not os.path.exists(local):
-        return spark.createDataFrame([], "name string")
+        return literal_table(spark, [], "name string")
     try:
         entries, _ = arc.manifest_entries(arc.read_manifest(spark, path))
     except Exception:  # no manifest yet (first run)
-        return spark.createDataFrame([], "name string")
+        return literal_table(spark, [], "name string")
     return entries.select(F.element_at(F.split("to", "/"), -1).alias("name"))
 
 
@@ -149,7 +149,7 @@ def undo(spark: SparkSession, archive_dir: str, live: DataFrame, algo: str = "sh
         archived = spark.read.parquet(*runs).select(
             F.col("to").alias("path"), content_hash(F.col("payload"), algo).alias("hash"))
     else:
-        archived = spark.createDataFrame([], "path string, hash string")
+        archived = literal_table(spark, [], "path string, hash string")
     return arc.undo_status(entries, live, archived)
 
 

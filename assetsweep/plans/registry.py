@@ -20,7 +20,7 @@ from assetsweep.operators import duplicates as dup
 from assetsweep.operators import inventory as inv
 from assetsweep.operators import plan as plan_ops
 from assetsweep.plans import jobs
-from assetsweep.session import checkpoint_dir, materialize, spread
+from assetsweep.session import checkpoint_dir, literal_table, materialize, spread
 from assetsweep.sources import headers as hdr
 from assetsweep.sources import manifests as man
 from assetsweep.sources import tables
@@ -329,7 +329,7 @@ PATH_STORES = [("s1", "src1", False), ("s1_en", "src1/en", False), ("s2", "src2/
 
 
 def _stores_df(spark, rows):
-    return spark.createDataFrame(rows, "kind string, root string, missing boolean")
+    return literal_table(spark, rows, "kind string, root string, missing boolean")
 
 
 def _stores_sql(rows):
@@ -816,7 +816,7 @@ def q_manifest_roundtrip(spark, sf_dir):
     d = _scratch(spark, "manifest")
     arc_ops.append_manifest(arc_ops.manifest_lines(e, "archive", 1700000000, per_line=16), d)
     # A damaged line and a blank line in the same folder must not stop the read.
-    spark.createDataFrame([("{\"created_unix\": 1, \"entries\": [",), ("",)], "value string") \
+    literal_table(spark, [("{\"created_unix\": 1, \"entries\": [",), ("",)], "value string") \
         .coalesce(1).write.mode("append").text(d)
     entries, _bad = arc_ops.manifest_entries(arc_ops.read_manifest(spark, d))
     return entries.select("from", "to", "size", "hash", "algo")

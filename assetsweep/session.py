@@ -106,3 +106,21 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small literal table built JVM-side (``inline`` over a literal array).
+
+    ``spark.createDataFrame(list)`` would ship the rows through a Python RDD,
+    so every read of it starts Python workers; this plan is pure JVM and
+    Catalyst folds it like a ``VALUES`` list.  ``ddl`` is ``"a string, b long"``.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import _parse_datatype_string
+    schema = _parse_datatype_string(ddl)
+    names = schema.fieldNames()
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)])
+               for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs))).select(*names)
