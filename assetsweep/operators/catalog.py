@@ -61,26 +61,35 @@ def summarize_decoded(decoded: DataFrame) -> DataFrame:
     """
     sec = F.col("section")
     is_kv, is_t, is_h = sec == "kv", sec == "tensor", sec == "header"
-    elems = S.sat_product(F.col("dims"))
-    nbytes = S.sat_mul(elems, S.tensor_type_bytes(F.col("type_id")))
     suffix_re = "(" + "|".join(x.replace(".", r"\.") for x in ARCH_SUFFIXES.values()) + ")$"
-    aggs = [
-        F.max(F.when(is_h, F.lit(1))).alias("_has_header"),
-        F.max(F.when(is_h, F.col("error"))).alias("error"),
-        F.max(F.when(is_h, F.col("version"))).alias("version"),
-        F.max(F.when(is_h, F.col("tensor_count"))).alias("tensor_count"),
-        F.sum(F.when(is_t, elems)).alias("_elems"),
-        F.sum(F.when(is_t, nbytes)).alias("_bytes"),
-        F.array_sort(F.collect_list(F.when(is_kv & F.col("key").rlike(suffix_re),
-                                           F.struct("pos", "key", "type", "v_int")))).alias("_arch_kv"),
+    is_arch_kv = is_kv & F.col("key").rlike(suffix_re)
+    # Keys that no field reads (tokenizer lists, ...) are dropped before the
+    # shuffle; every per-row expression is computed in this codegen'd projection
+    # so the aggregate itself only combines plain columns.
+    wanted = decoded.where(~is_kv | F.col("key").isin(GENERAL_KEYS) | F.col("key").rlike(suffix_re))
+    elems = S.sat_product(F.col("dims"))
+    cols = [
+        "path",
+        F.when(is_h, F.lit(1)).alias("_h"),
+        F.when(is_h, F.col("error")).alias("_err"),
+        F.when(is_h, F.col("version")).alias("_ver"),
+        F.when(is_h, F.col("tensor_count")).alias("_tc"),
+        F.when(is_t, elems).alias("_e"),
+        F.when(is_t, S.sat_mul(elems, S.tensor_type_bytes(F.col("type_id")))).alias("_b"),
+        F.when(is_arch_kv, F.struct("pos", "key", "type", "v_int")).alias("_ak"),
+        F.struct("type", "v_int", "v_str").alias("_v"),
     ]
-    for k in GENERAL_KEYS:
-        last_pos = F.when(is_kv & (F.col("key") == k), F.col("pos"))
-        short = k.split(".")[1]
-        aggs += [F.max_by(F.col("type"), last_pos).alias(f"_{short}_t"),
-                 F.max_by(F.col("v_int"), last_pos).alias(f"_{short}_i"),
-                 F.max_by(F.col("v_str"), last_pos).alias(f"_{short}_s")]
-    per = decoded.groupBy("path").agg(*aggs).where(F.col("_has_header").isNotNull() & F.col("error").isNull())
+    shorts = [k.split(".")[1] for k in GENERAL_KEYS]
+    cols += [F.when(is_kv & (F.col("key") == k), F.col("pos")).alias(f"_p_{sh}") for k, sh in zip(GENERAL_KEYS, shorts)]
+    pre = wanted.select(*cols)
+    aggs = [F.max("_h").alias("_has_header"), F.max("_err").alias("error"), F.max("_ver").alias("version"),
+            F.max("_tc").alias("tensor_count"), F.sum("_e").alias("_elems"), F.sum("_b").alias("_bytes"),
+            F.array_sort(F.collect_list("_ak")).alias("_arch_kv")]
+    aggs += [F.max_by("_v", f"_p_{sh}").alias(f"_{sh}") for sh in shorts]
+    per = pre.groupBy("path").agg(*aggs).where(F.col("_has_header").isNotNull() & F.col("error").isNull())
+    for sh in shorts:
+        per = (per.withColumn(f"_{sh}_t", F.col(f"_{sh}.type")).withColumn(f"_{sh}_i", F.col(f"_{sh}.v_int"))
+               .withColumn(f"_{sh}_s", F.col(f"_{sh}.v_str")))
 
     def u64_of(t, v):
         return F.when(t.isin(*INT_TYPES) & (v >= 0), v)
