@@ -105,7 +105,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     unchanged, so this adds a shuffle only for inputs smaller than one wave.
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    # Hash on the row itself: deterministic under task retries without the
+    # local sort that a round-robin repartition needs for the same guarantee.
+    return df.repartition(want, *df.columns)
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
