@@ -29,8 +29,14 @@ class Inventory:
 
 
 def inventory(assets: DataFrame, stores: DataFrame, tags: DataFrame | None = None,
-              boundary: bool = True) -> Inventory:
-    """Name parts, optional tags, store summaries and totals of an asset table."""
+              boundary: bool = True, manifests: DataFrame | None = None) -> Inventory:
+    """Name parts, optional tags, store summaries and totals of an asset table.
+
+    Tags come from ``tags`` (``blob, tag``) or are derived from ``manifests``
+    (``rel_path, json``, see ``sources.manifests``)."""
+    if tags is None and manifests is not None:
+        from assetsweep.sources.manifests import manifest_tags
+        tags = manifest_tags(manifests)
     a = inv.with_name_parts(assets)
     if tags is not None:
         a = inv.attach_tags(a, tags)
@@ -38,8 +44,18 @@ def inventory(assets: DataFrame, stores: DataFrame, tags: DataFrame | None = Non
 
 
 def find_duplicates(assets: DataFrame, min_size: int = dup.DEFAULT_MIN_SIZE, managed=None,
-                    algo: str = "sha256", exclude_same_split: bool = False) -> dup.Duplicates:
-    """Duplicate groups of assets whose payload is a column."""
+                    algo: str = "sha256", exclude_same_split: bool = False,
+                    prefilter: bool | str = "auto") -> dup.Duplicates:
+    """Duplicate groups of assets whose payload is a column.
+
+    ``prefilter=True`` keeps only sizes that occur twice before hashing (J3): the
+    size list is count-checked and broadcast, so payload rows are filtered where
+    they are read.  ``"auto"`` skips it for in-table payloads, where hashing in
+    the scan costs less than the extra pass (files use the prefilter always).
+    """
+    if prefilter is True:
+        sizes = dup.size_candidates(assets.select("asset_id", "size"), min_size).select("size")
+        assets = filter_by_ids(assets, sizes, "size", keep=True)
     if exclude_same_split and "split_group" not in assets.columns:
         assets = inv.with_name_parts(assets)
     keep = ("split_group",) if exclude_same_split else ()

@@ -213,3 +213,10 @@ def test_listing_keeps_hidden_names(spark, tmp_path):
     rows = FS.list_files_all(spark, str(root), None).collect()
     assert {r["name"] for r in rows} == {"a.gguf", "b.gguf", "c.gguf", "top.gguf", "notes.txt"}
     assert all(r["path"].startswith("file:/") and r["modificationTime"] is not None for r in rows)
+
+
+def test_prefilter_gives_same_groups(spark):
+    from assetsweep.plans import jobs
+    a = tables.documents_assets(spark, "/root/testdata/sf0.001")
+    key = lambda d: sorted(tuple(r) for r in d.groups.select("group_id", "n_members", "reclaimable").collect())
+    assert key(jobs.find_duplicates(a, 1, prefilter=True)) == key(jobs.find_duplicates(a, 1))
