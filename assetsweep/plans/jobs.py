@@ -14,7 +14,7 @@ from assetsweep.operators import catalog as cat
 from assetsweep.operators import duplicates as dup
 from assetsweep.operators import inventory as inv
 from assetsweep.operators import plan as pln
-from assetsweep.operators.capacity import capacity_fit  # noqa: F401  (re-exported job)
+from assetsweep.operators.capacity import capacity_fit, with_shard_weights  # noqa: F401  (re-exported)
 from assetsweep.operators.skew import filter_by_ids
 from assetsweep.session import literal_table, materialize
 from assetsweep.sources import files as FS
