@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from assetsweep.functions.hashing import content_hash
 from assetsweep.functions.scalars import BAD_LINE_PREVIEW
-from assetsweep.operators.skew import join_members_to_groups
+from assetsweep.operators.skew import DEFAULT_HOT_ROWS, join_members_to_groups
 from assetsweep.schemas import UNDO_MANIFEST
 from assetsweep.session import materialize
 
@@ -25,7 +25,8 @@ from assetsweep.session import materialize
 ENTRIES_PER_LINE = 10_000
 
 
-def destination_status(removal: DataFrame, existing_names: DataFrame, dest_name: F.Column) -> DataFrame:
+def destination_status(removal: DataFrame, existing_names: DataFrame, dest_name: F.Column,
+                       hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
     """J6 + W4: can each planned row move to its destination name?
 
     ``destination_exists``: the archive already holds the name (J6);
@@ -40,7 +41,7 @@ def destination_status(removal: DataFrame, existing_names: DataFrame, dest_name:
     # single hot-name-safe join back to the rows.
     firsts = (rows.groupBy("dest_name").agg(F.min("asset_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
               .join(existing, "dest_name", "left"))
-    rows = join_members_to_groups(rows, firsts, ["dest_name"], "n")
+    rows = join_members_to_groups(rows, firsts, ["dest_name"], "n", hot_rows)
     status = (F.when(F.col("exists").isNotNull(), "destination_exists")
               .when(F.col("asset_id") != F.col("first_id"), "name_collision")
               .otherwise("movable"))

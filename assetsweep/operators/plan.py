@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetsweep.operators.duplicates import Duplicates
-from assetsweep.operators.skew import filter_by_ids, join_members_to_groups
+from assetsweep.operators.skew import DEFAULT_HOT_ROWS, filter_by_ids, join_members_to_groups
 from assetsweep.session import materialize
 
 
@@ -70,7 +70,7 @@ def kept_assets(assets: DataFrame, removal: DataFrame) -> DataFrame:
     return filter_by_ids(assets, removal, "asset_id", keep=False)
 
 
-def verify_plan(removal: DataFrame, current: DataFrame) -> DataFrame:
+def verify_plan(removal: DataFrame, current: DataFrame, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
     """Re-check every planned removal against the present fingerprints.
 
     ``current`` holds fingerprints of the live assets (``asset_id, size, hash,
@@ -93,7 +93,7 @@ def verify_plan(removal: DataFrame, current: DataFrame) -> DataFrame:
                           "keeper_id", "left"))
     target = removal.join(
         cur.select("asset_id", *[F.col(c).alias("t_" + c) for c in fp_cols]), "asset_id", "left")
-    j = join_members_to_groups(target, keeper_state.drop("keeper_id"), ["group_id"], "n", how="left")
+    j = join_members_to_groups(target, keeper_state.drop("keeper_id"), ["group_id"], "n", hot_rows, how="left")
     same = F.lit(True)
     for c in fp_cols:
         same = same & F.col("t_" + c).eqNullSafe(F.col("k_" + c))

@@ -179,3 +179,19 @@ def test_archive_dry_run_writes_nothing(spark, tmp_path):
     st = jobs.archive(spark, removal, df, str(out / "arc"), str(out / "kept"), now=1, dry_run=True)
     assert [r["status"] for r in st.collect()] == ["movable"]
     assert not (out / "arc").exists() and not (out / "kept").exists()
+
+
+def test_hot_paths_of_destination_and_verification_joins(spark):
+    rows = [(f"/s{i}/model.gguf", "loose", payload(3000, 2)) for i in range(12)] + \
+           [("/t/other.gguf", "loose", payload(3000, 5)), ("/u/other.gguf", "loose", payload(3000, 5))]
+    df = assets(spark, rows)
+    _, removal = plan_for(df)
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    base = F.element_at(F.split("path", "/"), -1)
+    none = spark.createDataFrame([], "name string")
+    plain = A.destination_status(removal, none, base)
+    hot = A.destination_status(removal, none, base, hot_rows=2)
+    assert key(plain) == key(hot)
+    assert sorted(r["status"] for r in hot.collect()).count("name_collision") == 10
+    cur = D.fingerprint_payloads(df)
+    assert key(P.verify_plan(removal, cur)) == key(P.verify_plan(removal, cur, hot_rows=2))
