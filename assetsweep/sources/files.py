@@ -75,6 +75,8 @@ def list_files_all(spark: SparkSession, root: str, glob: str | None = "*.gguf",
     The driver lists only the first level below ``root``; each entry's subtree is
     walked by a task (``mapInArrow``), so large trees are listed in parallel and
     names starting with ``.`` or ``_`` are kept as the reference's walk keeps them.
+    A flat directory with millions of direct entries is listed by the driver, as
+    Spark's own file index lists a single directory.
     """
     from pyarrow import fs as pafs
     local = root[5:] if root.startswith("file:") else root
