@@ -89,10 +89,6 @@ def _norm_path(p: str) -> str:
     return p
 
 
-class ArchiveVerificationError(RuntimeError):
-    pass
-
-
 def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_dir: str,
             kept_out: str, existing_names: DataFrame | None = None, now: int | None = None,
             algo: str = "sha256", dry_run: bool = False) -> DataFrame:
@@ -101,8 +97,10 @@ def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_
     ``removal`` rows need ``asset_id, path, size, hash`` (from a verified plan).
     Steps: destination checks (J6 W4) -> write archive rows with payload (S9) ->
     read back and re-hash (S9) -> append manifest (S7, before anything is
-    removed) -> write the kept table to ``kept_out`` (U3).  A failed check raises
-    before the manifest or the kept table is written.  Returns per-row status;
+    removed) -> write the kept table to ``kept_out`` (U3).  Verification is per
+    row: ``result`` is ``archived``, ``changed`` (content differs from the plan),
+    ``copy_missing`` or ``skipped`` (destination check failed); only archived
+    rows are recorded and removed.  Returns per-row ``status`` and ``result``;
     with ``dry_run`` only the destination checks run and nothing is written.
     """
     now = int(time.time()) if now is None else int(now)
@@ -128,18 +126,29 @@ def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_
         "asset_id", F.col("path").alias("from"), F.concat(F.lit(dest_root), base).alias("to"),
         "name", "store", "size", "payload")
     written = arc.write_archive(rows.withColumn("algo", F.lit(algo)), archive_dir + "/data")
-    bad = arc.verify_archive(spark, movable, written, algo)
-    n_bad = bad.count()
-    if n_bad:
-        raise ArchiveVerificationError(f"{n_bad} archive rows failed verification; nothing removed")
-    entries = movable.select(F.col("path").alias("from"), "to", "size", "hash", F.lit(algo).alias("algo"))
+    # Per-row verification: re-read the written copies, re-hash, compare with
+    # the plan.  Only rows that verify are recorded and removed; a row whose
+    # content changed since planning (or whose copy is missing) stays.
+    back = spark.read.parquet(written).select(
+        "asset_id", content_hash(F.col("payload"), algo).alias("copy_hash"))
+    checked = materialize(movable.select("asset_id", "hash").join(back, "asset_id", "left").select(
+        "asset_id",
+        F.when(F.col("copy_hash").isNull(), "copy_missing")
+         .when(F.col("copy_hash") != F.col("hash"), "changed")
+         .otherwise("archived").alias("result")))
+    verified = checked.where(F.col("result") == "archived").select("asset_id")
+    entries = movable.join(verified, "asset_id", "left_semi").select(
+        F.col("path").alias("from"), "to", "size", "hash", F.lit(algo).alias("algo"))
     # The manifest names the verified run folder, so undo never reads a folder
-    # left behind by a failed run.
-    arc.append_manifest(arc.manifest_lines(entries, written, now), archive_dir + "/manifest")
+    # left behind by a failed run.  It is appended before the kept table is
+    # published (nothing is removed without its undo record).
+    if verified.limit(1).count():
+        arc.append_manifest(arc.manifest_lines(entries, written, now), archive_dir + "/manifest")
     # Overwrite is safe: kept_out is checked above not to be the input, and a
     # re-run after a failure replaces a partial result.
-    pln.kept_assets(assets, movable.select("asset_id")).write.mode("overwrite").parquet(kept_out)
-    return status
+    pln.kept_assets(assets, verified).write.mode("overwrite").parquet(kept_out)
+    return status.join(checked, "asset_id", "left").withColumn(
+        "result", F.coalesce(F.col("result"), F.lit("skipped")))
 
 
 def _archived_names(spark: SparkSession, archive_dir: str) -> DataFrame:

@@ -112,14 +112,29 @@ def test_policy_gate_splits_groups(spark):
 
 
 def test_failed_verification_removes_nothing(spark, tmp_path):
-    import pytest
-    df = assets(spark, [("/x/k.bin", "ollama", payload(1000, 1)), ("/y/d.bin", "loose", payload(1000, 1))])
+    """Rows whose archived copy does not match the plan are neither recorded nor
+    removed; verified rows of the same run still are (per-row verification)."""
+    df = assets(spark, [("/x/k.bin", "ollama", payload(1000, 1)), ("/y/d.bin", "loose", payload(1000, 1)),
+                        ("/p/k2.bin", "ollama", payload(800, 3)), ("/q/d2.bin", "loose", payload(800, 3))])
     _, removal = plan_for(df)
-    wrong = removal.withColumn("hash", F.lit("0" * 64))  # the plan no longer matches the content
+    # The plan no longer matches the content of /y/d.bin.
+    wrong = removal.withColumn("hash", F.when(F.col("path") == "/y/d.bin", F.lit("0" * 64)).otherwise(F.col("hash")))
     out = tmp_path / "o"
-    with pytest.raises(jobs.ArchiveVerificationError):
-        jobs.archive(spark, wrong, df, str(out / "arc"), str(out / "kept"), now=1)
-    assert not (out / "arc" / "manifest").exists() and not (out / "kept").exists()
+    st = {r["path"]: r["result"] for r in jobs.archive(spark, wrong, df, str(out / "arc"), str(out / "kept"),
+                                                        now=1).collect()}
+    assert st == {"/y/d.bin": "changed", "/q/d2.bin": "archived"}
+    kept = {r["path"] for r in spark.read.parquet(str(out / "kept")).collect()}
+    assert kept == {"/x/k.bin", "/y/d.bin", "/p/k2.bin"}
+    entries, _ = A.manifest_entries(A.read_manifest(spark, str(out / "arc" / "manifest")))
+    assert [r["from"] for r in entries.collect()] == ["/q/d2.bin"]
+    # When nothing verifies, no manifest line is written and everything is kept.
+    only_wrong = removal.withColumn("hash", F.lit("0" * 64))
+    out2 = tmp_path / "o2"
+    res = [r["result"] for r in jobs.archive(spark, only_wrong, df, str(out2 / "arc"), str(out2 / "kept"),
+                                             now=1).collect()]
+    assert sorted(res) == ["changed", "changed"]
+    assert not (out2 / "arc" / "manifest").exists()
+    assert spark.read.parquet(str(out2 / "kept")).count() == 4
 
 
 def test_undo_ignores_folders_of_failed_runs(spark, tmp_path):
