@@ -14,8 +14,18 @@ MAX_BROADCAST_STORES = 1_000
 
 
 def union_scans(*scans: DataFrame) -> DataFrame:
-    """All scans as one table; a path reached through two roots counts once."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans).dropDuplicates(["path"])
+    """All scans as one table; a path reached through two roots counts once.
+
+    Meant for listings (no payload column): the de-duplication shuffles whole
+    rows by path.  The row kept for a path is the smallest by its other columns
+    (store first), so reruns agree.
+    """
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    others = [c for c in both.columns if c != "path"]
+    if not others:
+        return both.distinct()
+    return (both.groupBy("path").agg(F.min(F.struct(*others)).alias("_r"))
+            .select("path", *[F.col("_r." + c).alias(c) for c in others]))
 
 
 def looks_like_model(name_col="name", payload_col="payload", ext: str = "gguf") -> F.Column:
