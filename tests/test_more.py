@@ -136,3 +136,39 @@ def test_catalog_to_capacity_from_files(spark, tmp_path):
     assert fit.count() == 1  # the second shard has no header
     assert r["weights_bytes"] == files.agg(F.sum("size")).first()[0] and r["shards"] == 2
     assert r["kv_cache_bytes"] == 1073741824 and r["note"] == "fits on the largest GPU"
+
+
+def test_checkpoint_dir_when_unset_and_when_named():
+    from assetsweep.session import checkpoint_dir
+
+    class Ctx:
+        def __init__(self, d=None):
+            self.d = d
+
+        def getCheckpointDir(self):
+            return self.d
+
+        def setCheckpointDir(self, d):
+            self.d = d
+
+    class Conf:
+        def __init__(self, v):
+            self.v = v
+
+        def get(self, k, default=None):
+            return self.v if k == "spark.checkpoint.dir" else default
+
+        def set(self, k, v):
+            raise AssertionError("core setting must not be changed at run time")
+
+    class Sess:
+        def __init__(self, named, ctx_dir):
+            self.conf, self.sparkContext = Conf(named), Ctx(ctx_dir)
+
+    s = Sess(None, None)
+    d = checkpoint_dir(s)
+    assert d and s.sparkContext.d == d                       # scratch folder, set on the context
+    s = Sess("hdfs://nn/shared/ckpt", None)
+    assert checkpoint_dir(s) == "hdfs://nn/shared/ckpt" and s.sparkContext.d == "hdfs://nn/shared/ckpt"
+    s = Sess("hdfs://nn/shared/ckpt", "hdfs://nn/shared/ckpt/uuid")
+    assert checkpoint_dir(s) == "hdfs://nn/shared/ckpt"       # already applied by Spark
