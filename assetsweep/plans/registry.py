@@ -882,3 +882,20 @@ def q_dup_groups_top(spark, sf_dir):
     from assetsweep.plans import report
     g = document_duplicates(spark, sf_dir).groups.select("group_id", "size_each", "n_members", "reclaimable")
     return report.top_rows(g, [F.desc("reclaimable"), F.desc("size_each"), F.asc("group_id")], TOP_N)
+
+
+# With each source treated as one split, copies inside one source count once,
+# so only content copied across sources forms a group.
+@register("dup_groups_cross_source", f"""
+WITH a AS ({DOC_ASSETS_SQL}),
+     firsts AS (SELECT size, hash, store, MIN(asset_id) AS asset_id FROM a
+                WHERE size >= {MIN_SIZE} AND size > 0 GROUP BY size, hash, store)
+SELECT MIN(asset_id) AS group_id, size AS size_each, COUNT(*) AS n_members,
+       CAST(size * (COUNT(*) - 1) AS BIGINT) AS reclaimable
+FROM firsts GROUP BY size, hash HAVING COUNT(*) > 1
+""")
+def q_dup_groups_cross_source(spark, sf_dir):
+    assets = tables.documents_assets(spark, sf_dir).withColumn("split_group", F.col("store"))
+    fp = dup.fingerprint_payloads(assets, keep=("split_group",))
+    d = dup.find_duplicates(fp, min_size=MIN_SIZE, managed=MANAGED, exclude_same_split=True)
+    return d.groups.select("group_id", "size_each", "n_members", "reclaimable")
