@@ -47,8 +47,18 @@ HEADER_MAGIC_HEX = "47475546"
 POLICY_SIZE_CAP = 1024 * 1024 * 1024
 # Identity window at each end of a payload.
 EDGE_BYTES = 4096
-# Undo-manifest bad lines are reported by their first characters.
+# Undo-manifest bad lines are reported by their first characters, with this detail.
 BAD_LINE_PREVIEW = 60
+BAD_LINE_DETAIL = "unparseable manifest line (skipped)"
+# Fit verdict notes, in the order the cases are tested.
+VERDICT_NOTES = [
+    "fits on the largest GPU",
+    "GPU-bound: likely CPU offload needed",
+    "does not fit in RAM as-is",
+    "fits in system RAM (no GPU detected)",
+    "does not fit in RAM (no GPU detected)",
+    "memory unknown: cannot judge",
+]
 
 
 def _col(c) -> Column:
@@ -187,12 +197,13 @@ def fit_verdict(total, ram_total, vram) -> tuple[Column, Column, Column]:
     gpu = F.when(F.size(_col(vram)) > 0,
                  F.coalesce(F.array_max(_col(vram)), F.lit(0)).cast(d) >= _col(total).cast(d))
     ram = F.when(_col(ram_total) > 0, _col(ram_total).cast(d) >= _col(total).cast(d))
-    note = (F.when(gpu.eqNullSafe(True), "fits on the largest GPU")
-            .when(gpu.eqNullSafe(False) & ram.eqNullSafe(True), "GPU-bound: likely CPU offload needed")
-            .when(gpu.eqNullSafe(False) & ram.eqNullSafe(False), "does not fit in RAM as-is")
-            .when(gpu.isNull() & ram.eqNullSafe(True), "fits in system RAM (no GPU detected)")
-            .when(gpu.isNull() & ram.eqNullSafe(False), "does not fit in RAM (no GPU detected)")
-            .otherwise("memory unknown: cannot judge"))
+    gpu_fit, offload, no_fit, ram_fit, ram_no_fit, unknown = VERDICT_NOTES
+    note = (F.when(gpu.eqNullSafe(True), gpu_fit)
+            .when(gpu.eqNullSafe(False) & ram.eqNullSafe(True), offload)
+            .when(gpu.eqNullSafe(False) & ram.eqNullSafe(False), no_fit)
+            .when(gpu.isNull() & ram.eqNullSafe(True), ram_fit)
+            .when(gpu.isNull() & ram.eqNullSafe(False), ram_no_fit)
+            .otherwise(unknown))
     return gpu, ram, note
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from assetsweep.functions.hashing import content_hash
-from assetsweep.functions.scalars import BAD_LINE_PREVIEW
+from assetsweep.functions.scalars import BAD_LINE_DETAIL, BAD_LINE_PREVIEW
 from assetsweep.operators.skew import DEFAULT_HOT_ROWS, join_members_to_groups
 from assetsweep.schemas import UNDO_MANIFEST
 from assetsweep.session import materialize
@@ -87,7 +87,7 @@ def manifest_entries(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, bad lines): one row per entry, and the unparsable lines' first characters."""
     bad = manifest.where(F.col("_corrupt").isNotNull()).select(
         F.substring(F.col("_corrupt"), 1, BAD_LINE_PREVIEW).alias("line"),
-        F.lit("unparseable manifest line (skipped)").alias("detail"))
+        F.lit(BAD_LINE_DETAIL).alias("detail"))
     good = (manifest.where(F.col("_corrupt").isNull())
             .select("created_unix", F.explode("entries").alias("e"))
             .select("created_unix", F.col("e.from").alias("from"), F.col("e.to").alias("to"),

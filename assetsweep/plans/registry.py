@@ -526,12 +526,12 @@ SELECT p_partkey, weights_bytes, n_layers, n_embd, n_head, n_head_kv, device, co
        CAST(kv AS DECIMAL(20,0)) AS kv_cache_bytes, CAST({S.RUN_OVERHEAD_BYTES} AS BIGINT) AS overhead_bytes,
        CAST(total AS DECIMAL(20,0)) AS total_estimate_bytes, largest_gpu,
        fits_largest_gpu, fits_all_ram,
-       CASE WHEN fits_largest_gpu THEN 'fits on the largest GPU'
-            WHEN fits_largest_gpu = FALSE AND fits_all_ram THEN 'GPU-bound: likely CPU offload needed'
-            WHEN fits_largest_gpu = FALSE AND fits_all_ram = FALSE THEN 'does not fit in RAM as-is'
-            WHEN fits_largest_gpu IS NULL AND fits_all_ram THEN 'fits in system RAM (no GPU detected)'
-            WHEN fits_largest_gpu IS NULL AND fits_all_ram = FALSE THEN 'does not fit in RAM (no GPU detected)'
-            ELSE 'memory unknown: cannot judge' END AS note
+       CASE WHEN fits_largest_gpu THEN '{S.VERDICT_NOTES[0]}'
+            WHEN fits_largest_gpu = FALSE AND fits_all_ram THEN '{S.VERDICT_NOTES[1]}'
+            WHEN fits_largest_gpu = FALSE AND fits_all_ram = FALSE THEN '{S.VERDICT_NOTES[2]}'
+            WHEN fits_largest_gpu IS NULL AND fits_all_ram THEN '{S.VERDICT_NOTES[3]}'
+            WHEN fits_largest_gpu IS NULL AND fits_all_ram = FALSE THEN '{S.VERDICT_NOTES[4]}'
+            ELSE '{S.VERDICT_NOTES[5]}' END AS note
 FROM (
   SELECT *, largest_gpu >= total AS fits_largest_gpu,
          CASE WHEN ram_total > 0 THEN ram_total >= total END AS fits_all_ram
