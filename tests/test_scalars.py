@@ -21,7 +21,8 @@ def test_human_bytes(spark):
 def test_split_group_key(spark):
     cases = {"Qwen2.5-7B-Instruct-Q4_K_M-00001-of-00003": "Qwen2.5-7B-Instruct-Q4_K_M",
              "plain-model": None, "bad-1-of-3": None, "bad-00001-of-3": None,
-             "-00001-of-00002": "", "x-00001-of-00002\n": None}
+             "-00001-of-00002": "", "x-00001-of-00002\n": None,
+             "a-of-b-00001-of-00002": "a-of-b", "x-\u0660\u0660\u0660\u0660\u0661-of-00002": None}
     for stem, want in cases.items():
         assert one(spark, S.split_group_key, stem, "string") == want, stem
 
@@ -29,6 +30,9 @@ def test_split_group_key(spark):
 def test_stem_and_extension(spark):
     assert one(spark, S.file_stem, "a.b.gguf", "string") == "a.b"
     assert one(spark, S.file_stem, ".hid", "string") == ".hid"
+    assert one(spark, S.file_stem, "a.", "string") == "a"
+    assert one(spark, S.file_stem, "a..gguf", "string") == "a."
+    assert one(spark, S.file_ext, "a.", "string") == ""
     assert one(spark, S.file_ext, "a.b.gguf", "string") == "gguf"
     assert one(spark, S.file_ext, ".hid", "string") is None
     assert one(spark, S.file_ext, "noext", "string") is None
