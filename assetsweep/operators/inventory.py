@@ -70,10 +70,11 @@ def store_summaries(assets: DataFrame, stores: DataFrame, boundary: bool = True)
 
     ``boundary=True`` (default): the root must end at a ``/`` of the path, so
     ``/a/b`` does not count ``/a/bc/x``.  Each path is expanded to its directory
-    prefixes and aggregated per prefix with map-side partial aggregation (a hot
-    directory is combined before the shuffle); the per-prefix table is then an
-    ordinary equi-join with the roots.  No broadcast, no comparison of every
-    asset with every root, and nested roots each count their own files.
+    prefixes; with a count-checked small root list, prefixes matching no root
+    are dropped map-side (broadcast semi-join).  The rest are aggregated per
+    prefix with partial aggregation (a hot directory is combined before the
+    shuffle) and equi-joined with the roots.  No comparison of every asset with
+    every root, and nested roots each count their own files.
 
     ``boundary=False`` reproduces the plain string-prefix test (D5): the roots
     are broadcast (count-checked) into a nested-loop join, one comparison per
@@ -85,11 +86,15 @@ def store_summaries(assets: DataFrame, stores: DataFrame, boundary: bool = True)
         stores = stores.withColumn("missing", F.lit(False))
     roots = stores.select("kind", "root").distinct()
     if boundary:
-        per_prefix = (assets.select(F.explode(dir_prefixes("path")).alias("prefix"), "size")
-                      .groupBy("prefix").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")))
         norm = F.when(F.col("root").endswith("/") & (F.length("root") > 1),
                       F.regexp_replace("root", "/+$", "")).when(F.col("root") == "/", F.lit("")).otherwise(F.col("root"))
-        matched = (roots.withColumn("prefix", norm).join(per_prefix, "prefix")
+        keyed = roots.withColumn("prefix", norm)
+        exploded = assets.select(F.explode(dir_prefixes("path")).alias("prefix"), "size")
+        if keyed.count() <= MAX_BROADCAST_STORES:
+            # Few roots: drop prefixes that match none map-side, before the shuffle.
+            exploded = exploded.join(F.broadcast(keyed.select("prefix").distinct()), "prefix", "left_semi")
+        per_prefix = exploded.groupBy("prefix").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+        matched = (keyed.join(per_prefix, "prefix")
                    .groupBy("kind", "root").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes")))
     else:
         n = roots.count()
