@@ -21,6 +21,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # Duplicate metadata keys keep the last value (header key/value maps).
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Checkpoint files in the shared folder are deleted once unreferenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
