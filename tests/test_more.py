@@ -172,3 +172,11 @@ def test_checkpoint_dir_when_unset_and_when_named():
     assert checkpoint_dir(s) == "hdfs://nn/shared/ckpt" and s.sparkContext.d == "hdfs://nn/shared/ckpt"
     s = Sess("hdfs://nn/shared/ckpt", "hdfs://nn/shared/ckpt/uuid")
     assert checkpoint_dir(s) == "hdfs://nn/shared/ckpt"       # already applied by Spark
+
+
+def test_vram_exports_drop_overflowing_figures(spark, tmp_path):
+    d = tmp_path / "gpu2"
+    d.mkdir()
+    (d / "odd.csv").write_text("9223372036854775807\n12.5\n1024\n")
+    got = {r["device"]: r["vram"] for r in DEV.read_vram_exports(spark, str(d)).collect()}
+    assert got == {"odd": [1024 * 1024 ** 2]}
