@@ -76,6 +76,30 @@ def find_file_duplicates(spark: SparkSession, stores: list[tuple[str, str, str |
     return dup.find_duplicates(fp, min_size, managed)
 
 
+def find_file_duplicates_cached(spark: SparkSession, stores: list[tuple[str, str, str | None]],
+                                cache_path: str, min_size: int = dup.DEFAULT_MIN_SIZE, managed=None,
+                                algo: str = "sha256") -> dup.Duplicates:
+    """``find_file_duplicates`` with a fingerprint table kept between runs.
+
+    Files already in the table with the same (path, size, modification time)
+    are not read again; new or changed files are hashed and appended (one new
+    folder per run).  Grouping uses the newest row per listed path.
+    """
+    from assetsweep.streaming import incremental as inc
+    listing = FS.with_asset_ids(FS.scan_stores(spark, stores))
+    listing = listing.where(F.col("size") >= min_size)
+    try:
+        cache = spark.read.parquet(cache_path)
+    except Exception:  # first run: no table yet
+        cache = None
+    fresh = inc.refresh_fingerprints(listing, cache, algo)
+    fresh.write.mode("append").parquet(cache_path)
+    table = spark.read.parquet(cache_path)
+    current = inc.latest_fingerprints(table).join(listing.select("path", "size", "modificationTime"),
+                                                  ["path", "size", "modificationTime"], "left_semi")
+    return dup.find_duplicates(current, min_size, managed)
+
+
 reclaim_plan = pln.reclaim_plan
 verify_plan = pln.verify_plan
 

@@ -43,3 +43,25 @@ def test_batch_refresh_skips_unchanged(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[-1] for r in new.collect()] == ["b.gguf"]
     latest = INC.latest_fingerprints(cache.unionByName(new))
     assert latest.where(F.col("path").endswith("b.gguf")).first()["size"] == 120
+
+
+def test_cached_file_duplicates_reuse_fingerprints(spark, tmp_path):
+    from assetsweep.plans import jobs
+    root = tmp_path / "s"
+    root.mkdir()
+    (root / "a.gguf").write_bytes(b"z" * 3000)
+    (root / "b.gguf").write_bytes(b"z" * 3000)
+    cache = str(tmp_path / "fpcache")
+    stores = [("custom", str(root), "*.gguf")]
+    d1 = jobs.find_file_duplicates_cached(spark, stores, cache, min_size=1000)
+    assert d1.groups.first()["n_members"] == 2
+    assert spark.read.parquet(cache).count() == 2
+    time.sleep(1.1)
+    (root / "c.gguf").write_bytes(b"z" * 3000)
+    (root / "b.gguf").write_bytes(b"y" * 3000)
+    os.utime(root / "b.gguf")
+    d2 = jobs.find_file_duplicates_cached(spark, stores, cache, min_size=1000)
+    # Only the new and the changed file were hashed again.
+    assert spark.read.parquet(cache).count() == 4
+    members = {r["path"].rsplit("/", 1)[-1] for r in d2.members().collect()}
+    assert members == {"a.gguf", "c.gguf"}
