@@ -23,3 +23,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def filesystem(uri: str):
+    """(file system, path) of a URI or local path; Hadoop's names for S3 are mapped to Arrow's."""
+    from pyarrow import fs
+    scheme, sep, rest = uri.partition("://")
+    if sep and scheme in ("s3a", "s3n"):
+        uri = f"s3://{rest}"
+    elif uri.startswith("file:/") and not sep:
+        uri = "file://" + uri[len("file:"):]
+    return fs.FileSystem.from_uri(uri)

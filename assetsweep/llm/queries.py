@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assetsweep.llm import decontam, pii, quality_rules
+from assetsweep.llm import decontam, pii, quality_rules, warc
 from assetsweep.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(decontam.SQL)
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(warc.SQL)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archive(warc.write_archive(table(spark, sf_dir, "pages")), payloads=False)
+    return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+                          "record_type", F.col("refers_to").cast("long").alias("refers_to"))
