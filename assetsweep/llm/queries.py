@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetsweep.llm import decontam, pii, quality_rules, warc
+from assetsweep.llm import decontam, pii, quality_rules, token_counts, warc
 from assetsweep.llm.common import table
 
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -43,3 +49,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_archive(warc.write_archive(table(spark, sf_dir, "pages")), payloads=False)
     return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
                           "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query()
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
