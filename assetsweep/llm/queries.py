@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetsweep.llm import decontam, pii, quality_rules, token_counts, warc
+from assetsweep.llm import decontam, pii, quality_rules, secret_scan, token_counts, warc
 from assetsweep.llm.common import table
 
 
@@ -54,3 +54,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query()
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
