@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetsweep.llm import chat_format, decontam, pii, quality_rules, secret_scan, token_counts, warc
+from assetsweep.llm import chat_format, decontam, pii, quality_rules, sampled_pieces, secret_scan, token_counts, warc
 from assetsweep.llm.common import table
 
 
@@ -66,3 +66,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation against itself with its last reply cut short."""
     gathered = chat_format.gather_turns(table(spark, sf_dir, "conversations"))
     return chat_format.format_pairs(chat_format.cut_reply(gathered))
+
+
+@query()
+def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_pieces.sample_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
