@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetsweep.llm import chat_format, decontam, pii, quality_rules, sampled_pieces, secret_scan, token_counts, warc
+from assetsweep.llm import chat_format, decontam, pii, quality_mil, quality_rules, sampled_pieces, secret_scan, token_counts, warc
 from assetsweep.llm.common import table
 
 
@@ -71,3 +71,9 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_pieces.sample_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query()
+def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_mil.score_quality(docs, quality_mil.train(docs, table(spark, sf_dir, "labels")))
