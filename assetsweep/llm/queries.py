@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetsweep.llm import chat_format, decontam, pii, quality_mil, quality_rules, sampled_pieces, secret_scan, token_counts, warc
+from assetsweep.llm import chat_format, decontam, ngram_join, pii, quality_mil, quality_rules, sampled_pieces, secret_scan, token_counts, warc
 from assetsweep.llm.common import table
 
 
@@ -77,3 +77,8 @@ def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_mil.score_quality(docs, quality_mil.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
