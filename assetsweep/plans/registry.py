@@ -19,7 +19,7 @@ from assetsweep.operators import catalog as cat_ops
 from assetsweep.operators import duplicates as dup
 from assetsweep.operators import inventory as inv
 from assetsweep.operators import plan as plan_ops
-from assetsweep.plans import jobs
+from assetsweep.plans import jobs, sample_headers
 from assetsweep.session import checkpoint_dir, literal_table, materialize, spread
 from assetsweep.sources import headers as hdr
 from assetsweep.sources import manifests as man
@@ -614,7 +614,7 @@ def _encode_part_headers(it, bad_magic_above=None):
                 kvs.append(("general.name", "str", brand))
             tensors = [("token_embd.weight", [size * 128, 32000], 1), ("output.weight", [size * 128, size], 0)]
             paths.append(f"part/{key}.gguf")
-            data = hdr.encode_header(1 + size % 3, kvs, tensors)
+            data = sample_headers.encode_header(1 + size % 3, kvs, tensors)
             if bad_magic_above is not None and size > bad_magic_above:
                 data = b"X" + data[1:]  # damaged first byte
             blobs.append(data)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from assetsweep.functions.scalars import EDGE_BYTES
 from assetsweep.schemas import FINGERPRINT
-from assetsweep.sources.headers import _open_path
+from assetsweep.sources.headers import READ_ERRORS, _open_path
 
 HASH_BLOCK = 1024 * 1024
 # Bytes of file content one hashing task should read.
@@ -119,7 +119,7 @@ def _prefix_rows(it, n: int):
                 f, _ = _open_path(p)
                 with f:
                     out.append(f.read(n))
-            except OSError:
+            except READ_ERRORS:
                 out.append(None)
         yield pa.RecordBatch.from_pydict({"path": paths, "prefix": out}, schema=schema)
 
@@ -142,7 +142,7 @@ def _hash_file(path: str, size: int | None, algo: str):
     """(size, hash, head_hash, tail_hash, error) for one file, streamed in 1 MiB blocks."""
     try:
         f, n = _open_path(path)
-    except OSError as e:
+    except READ_ERRORS as e:
         return None, None, None, None, f"unreadable: {e}"
     try:
         with f:
@@ -158,7 +158,7 @@ def _hash_file(path: str, size: int | None, algo: str):
             total = f.tell()
             f.seek(max(0, total - EDGE_BYTES))
             tail = f.read(EDGE_BYTES)
-    except OSError as e:
+    except READ_ERRORS as e:
         return None, None, None, None, f"unreadable: {e}"
     if size is not None and total != size:
         return total, None, None, None, "changed while reading: size differs from listing"

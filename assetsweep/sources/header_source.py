@@ -61,11 +61,11 @@ class HeaderReader(DataSourceReader):
         return parts or [_Files([])]
 
     def read(self, partition):
-        from assetsweep.sources.headers import _open_path, _row, decode_stream
+        from assetsweep.sources.headers import READ_ERRORS, _open_path, _row, decode_stream
         for p in partition.paths:
             try:
                 f, n = _open_path(p)
-            except OSError as e:
+            except READ_ERRORS as e:
                 yield _row(p, "header", None, error=f"io: {e}")
                 continue
             with f:

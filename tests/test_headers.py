@@ -4,6 +4,7 @@ import struct
 
 from assetsweep.operators import catalog as C
 from assetsweep.plans import jobs
+from assetsweep.plans import sample_headers as SH
 from assetsweep.sources import headers as H
 
 FULL_KVS = [("general.architecture", "str", "llama"), ("general.name", "str", "TestModel"),
@@ -22,14 +23,14 @@ def big_array():
 
 
 def fixtures():
-    full = H.encode_header(3, FULL_KVS, FULL_TENSORS)
+    full = SH.encode_header(3, FULL_KVS, FULL_TENSORS)
     return {
-        "full": full, "big": big_array(), "bad": b"X" + full[1:], "v4": H.encode_header(4, [], []),
-        "trunc": H.encode_header(3, [("a", "u32", 1)], [])[:-2],
-        "v1": H.encode_header(1, [("general.name", "str", "old")], []),
-        "empty": H.encode_header(3, [], []),
+        "full": full, "big": big_array(), "bad": b"X" + full[1:], "v4": SH.encode_header(4, [], []),
+        "trunc": SH.encode_header(3, [("a", "u32", 1)], [])[:-2],
+        "v1": SH.encode_header(1, [("general.name", "str", "old")], []),
+        "empty": SH.encode_header(3, [], []),
         "cut_array": big_array()[:-10],
-        "dup": H.encode_header(3, [("general.name", "u32", 1), ("general.name", "str", "last")], []),
+        "dup": SH.encode_header(3, [("general.name", "u32", 1), ("general.name", "str", "last")], []),
     }
 
 
@@ -77,7 +78,7 @@ def test_decode_files(spark, tmp_path):
 
 
 def test_string_arrays_keep_first_eight(spark):
-    data = H.encode_header(3, [("tok", "arr", ("str", [f"t{i}" for i in range(100)])),
+    data = SH.encode_header(3, [("tok", "arr", ("str", [f"t{i}" for i in range(100)])),
                                ("nested", "arr", ("arr", [("str", ["a", "b"]), ("u32", [1, 2])]))], [])
     dec = H.decode_payloads(spark.createDataFrame([("x", data)], "path string, payload binary"))
     kv = {r["key"]: r["v_arr"] for r in H.header_kv(dec).collect()}

@@ -122,11 +122,11 @@ def test_catalog_to_capacity_from_files(spark, tmp_path):
     from assetsweep.operators import inventory as INV
     from assetsweep.plans import jobs
     from assetsweep.sources import files as FS
-    from assetsweep.sources import headers as H
+    from assetsweep.plans import sample_headers as SH
     kvs = [("general.architecture", "str", "llama"), ("llama.block_count", "u32", 32),
            ("llama.embedding_length", "u32", 4096), ("llama.attention.head_count", "u32", 32),
            ("llama.attention.head_count_kv", "u32", 8), ("llama.context_length", "u32", 8192)]
-    (tmp_path / "m-00001-of-00002.gguf").write_bytes(H.encode_header(3, kvs, []) + bytes(1000))
+    (tmp_path / "m-00001-of-00002.gguf").write_bytes(SH.encode_header(3, kvs, []) + bytes(1000))
     (tmp_path / "m-00002-of-00002.gguf").write_bytes(b"\0" * 3000)
     files = INV.with_name_parts(FS.list_files(spark, str(tmp_path)))
     cat = jobs.catalog_headers(files.select("path"), from_paths=True)

@@ -8,9 +8,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from assetsweep.functions import scalars as S
+from assetsweep.plans import sample_headers as SH
 from assetsweep.sources import headers as H
 
-BASE = H.encode_header(3, [("general.architecture", "str", "llama"), ("a.b", "u32", 7),
+BASE = SH.encode_header(3, [("general.architecture", "str", "llama"), ("a.b", "u32", 7),
                            ("tok", "arr", ("str", ["x", "y", "z"])), ("n", "arr", ("u32", [1, 2, 3]))],
                        [("t0", [4, 5], 1), ("t1", [3], 0)])
 U64_MAX = 2 ** 64 - 1

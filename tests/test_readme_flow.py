@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from assetsweep.operators import inventory as INV
 from assetsweep.plans import jobs
 from assetsweep.sources import files as FS
-from assetsweep.sources import headers as H
+from assetsweep.plans import sample_headers as SH
 
 GIB = 1024 ** 3
 
@@ -14,7 +14,7 @@ def test_readme_flow(spark, tmp_path):
     kvs = [("general.architecture", "str", "llama"), ("general.name", "str", "m"),
            ("llama.block_count", "u32", 32), ("llama.embedding_length", "u32", 4096),
            ("llama.attention.head_count", "u32", 32), ("llama.attention.head_count_kv", "u32", 8)]
-    blob = H.encode_header(3, kvs, [("w", [4096, 4096], 1)]) + bytes(5000)
+    blob = SH.encode_header(3, kvs, [("w", [4096, 4096], 1)]) + bytes(5000)
     (tmp_path / "ollama").mkdir()
     (tmp_path / "custom").mkdir()
     (tmp_path / "ollama" / "m.gguf").write_bytes(blob)
