@@ -38,9 +38,14 @@ def tail_slice(payload, size) -> Column:
 
 
 def fingerprint_columns(payload="payload", size="size", algo: str = "sha256") -> list[Column]:
+    """Content, head and tail hash; a payload within one window is hashed once and
+    has its own hash as head and tail (Spark evaluates the shared expression once)."""
+    p = F.col(payload) if isinstance(payload, str) else payload
+    whole = content_hash(p, algo)
+    short = F.octet_length(p) <= EDGE_BYTES
     return [
-        content_hash(payload, algo).alias("hash"),
-        content_hash(head_slice(payload), algo).alias("head_hash"),
-        content_hash(tail_slice(payload, size), algo).alias("tail_hash"),
+        whole.alias("hash"),
+        F.when(short, whole).otherwise(content_hash(head_slice(payload), algo)).alias("head_hash"),
+        F.when(short, whole).otherwise(content_hash(tail_slice(payload, size), algo)).alias("tail_hash"),
         F.lit(algo).alias("algo"),
     ]

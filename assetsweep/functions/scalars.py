@@ -164,6 +164,11 @@ def to_u64(c) -> Column:
     return _col(c).cast("decimal(20,0)")
 
 
+def _int_div(a: Column, b: Column) -> Column:
+    """Whole part of a / b for non-negative decimals, from the exact remainder (a decimal quotient is rounded)."""
+    return ((a - a % b) / b).cast("decimal(38,0)")
+
+
 # F14 / F16 ------------------------------------------------------------------
 def kv_cache_bytes(weights, n_layers, n_embd, n_head, n_head_kv, context) -> Column:
     """KV-cache estimate in bytes (DECIMAL(38,0)), saturating like the reference.
@@ -176,13 +181,13 @@ def kv_cache_bytes(weights, n_layers, n_embd, n_head, n_head_kv, context) -> Col
     head = F.greatest(F.coalesce(_col(n_head).cast(d), F.lit(1).cast(d)), F.lit(1).cast(d))
     kv = F.greatest(F.coalesce(_col(n_head_kv).cast(d), head), F.lit(1).cast(d))
     embd = _col(n_embd).cast(d)
-    head_dim = F.floor(embd / head).cast(d)
+    head_dim = _int_div(embd, head)
     # head_dim * kv_heads is clamped like every other product so that the
     # arithmetic stays inside DECIMAL(38,0) for any u64 inputs.
     n_embd_kv = sat_mul(head_dim, kv)
-    width = F.greatest(n_embd_kv, F.floor(embd / F.lit(4)).cast(d))
+    width = F.greatest(n_embd_kv, _int_div(embd, F.lit(4).cast(d)))
     est = sat_mul(sat_mul(sat_mul(sat_mul(F.lit(2), _col(n_layers)), width), _col(context)), F.lit(2))
-    fallback = F.floor(_col(weights).cast(d) / F.lit(8)).cast(d)
+    fallback = _int_div(_col(weights).cast(d), F.lit(8).cast(d))
     return F.when(_col(n_layers).isNotNull() & _col(n_embd).isNotNull(), est).otherwise(fallback)
 
 
@@ -216,11 +221,6 @@ def shorten(s, max_chars: int) -> Column:
         F.concat(F.left(c, F.lit(keep)), F.lit("…"), F.right(c, F.lit(keep))))
 
 
-def store_preference(store, managed=None) -> Column:
-    managed = MANAGED_STORES if managed is None else list(managed)
-    return F.when(_col(store).isin(managed), F.lit(0)).otherwise(F.lit(1))
-
-
 def store_label(store) -> Column:
     m = F.create_map(*[x for k, v in STORE_LABELS.items() for x in (F.lit(k), F.lit(v))])
     return F.try_element_at(m, _col(store))

@@ -89,28 +89,30 @@ def manifest_entries(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.substring(F.col("_corrupt"), 1, BAD_LINE_PREVIEW).alias("line"),
         F.lit(BAD_LINE_DETAIL).alias("detail"))
     good = (manifest.where(F.col("_corrupt").isNull())
-            .select("created_unix", F.explode("entries").alias("e"))
-            .select("created_unix", F.col("e.from").alias("from"), F.col("e.to").alias("to"),
+            .select("created_unix", "destination", F.explode("entries").alias("e"))
+            .select("created_unix", "destination", F.col("e.from").alias("from"), F.col("e.to").alias("to"),
                     F.col("e.size").alias("size"), F.col("e.hash").alias("hash"), F.col("e.algo").alias("algo")))
     return good, bad
 
 
-def undo_status(entries: DataFrame, live: DataFrame, archived: DataFrame) -> DataFrame:
+def undo_status(entries: DataFrame, live: DataFrame, archived: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """What undo would do per manifest entry, tested in this order:
 
     ``occupied`` (the original path exists again), ``archive_missing`` (the
     archived copy is gone), ``hash_mismatch`` (the archived copy changed) or
     ``restore``.  ``live`` has ``path``; ``archived`` has ``path`` and ``hash``
-    of the archived copies (recomputed from their content).
+    of the archived copies (recomputed from their content), and ``destination`` if
+    several runs may hold the same path.  ``extra`` columns of the entries are kept.
     """
     lv = live.select(F.col("path").alias("from")).distinct().withColumn("live", F.lit(True))
-    ar = archived.select(F.col("path").alias("to"), F.col("hash").alias("archived_hash"))
-    j = entries.join(lv, "from", "left").join(ar, "to", "left")
+    by = ["to", "destination"] if "destination" in archived.columns else ["to"]
+    ar = archived.withColumnsRenamed({"path": "to", "hash": "archived_hash"}).select(*by, "archived_hash")
+    j = entries.join(lv, "from", "left").join(ar, by, "left")
     status = (F.when(F.col("live").isNotNull(), "occupied")
               .when(F.col("archived_hash").isNull(), "archive_missing")
               .when(F.col("archived_hash") != F.col("hash"), "hash_mismatch")
               .otherwise("restore"))
-    return j.select("from", "to", "size", status.alias("status"))
+    return j.select("from", "to", "size", *extra, status.alias("status"))
 
 
 def write_archive(rows: DataFrame, archive_dir: str, run_id: str | None = None) -> str:
@@ -119,19 +121,3 @@ def write_archive(rows: DataFrame, archive_dir: str, run_id: str | None = None)
     path = f"{archive_dir.rstrip('/')}/run={run_id}"
     rows.write.mode("errorifexists").parquet(path)
     return path
-
-
-def verify_archive(spark: SparkSession, expected: DataFrame, written_path: str,
-                   algo: str = "sha256") -> DataFrame:
-    """S9 step 2: re-read the written archive, re-hash, compare with what was meant.
-
-    Full outer join on (asset_id, hash): a row only on one side is a mismatch.
-    Returns the mismatching rows (empty = safe to proceed).
-    """
-    back = spark.read.parquet(written_path).select(
-        "asset_id", content_hash(F.col("payload"), algo).alias("hash"), F.lit(True).alias("in_archive"))
-    exp = expected.select("asset_id", "hash", F.lit(True).alias("expected"))
-    j = exp.join(back, ["asset_id", "hash"], "full_outer")
-    return j.where(F.col("in_archive").isNull() | F.col("expected").isNull()).select(
-        "asset_id", "hash",
-        F.when(F.col("in_archive").isNull(), "not_in_archive").otherwise("unexpected_in_archive").alias("problem"))

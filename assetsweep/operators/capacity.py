@@ -6,20 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetsweep.functions import scalars as S
+from assetsweep.session import literal_table
 
-# Devices are machine profiles; more than this many is refused rather than
-# replicated onto every catalog row.
-MAX_DEVICES = 10_000
-
-
-def device_profiles(devices: DataFrame) -> list[tuple]:
-    """Checked, bounded list of (device, ram_total, vram) for the per-row expansion."""
-    n = devices.count()
-    if n > MAX_DEVICES:
-        raise ValueError(f"{n} devices; capacity_fit expands each model row by every device "
-                         f"and allows at most {MAX_DEVICES}")
-    return [(r["device"], r["ram_total"], list(r["vram"] or []))
-            for r in devices.select("device", "ram_total", "vram").collect()]
+# Device tables up to this many rows are broadcast; larger ones join without a hint.
+BROADCAST_DEVICES = 10_000
+_DEVICE = "device string, ram_total bigint, vram array<bigint>"
 
 
 def capacity_fit(catalog: DataFrame, devices: DataFrame | list[tuple],
@@ -27,26 +18,28 @@ def capacity_fit(catalog: DataFrame, devices: DataFrame | list[tuple],
     """Estimate memory per (model, device, context) and judge the fit.
 
     ``catalog`` needs ``weights_bytes, n_layers, n_embd, n_head, n_head_kv`` and may
-    carry ``context_length`` (used when ``contexts`` is None, default 8192).
-    The device list is small and size-checked; it is attached to each catalog row
-    as a literal array and exploded, so the catalog is never shuffled.
+    carry ``context_length`` (any u64; used when ``contexts`` is None, default 8192).
+    The estimate is computed once per (model, context).  Every model meets every
+    device, which is what the operator is for: a device table whose row count is
+    checked is broadcast, so the catalog is not shuffled; any larger one is joined
+    as Spark sees fit.
     """
-    profiles = device_profiles(devices) if isinstance(devices, DataFrame) else list(devices)
-    dev_arr = F.array(*[
-        F.struct(F.lit(d).cast("string").alias("device"), F.lit(ram).cast("long").alias("ram_total"),
-                 F.array(*[F.lit(v).cast("long") for v in vram]).cast("array<bigint>").alias("vram"))
-        for d, ram, vram in profiles]) if profiles else F.array().cast(
-        "array<struct<device:string,ram_total:bigint,vram:array<bigint>>>")
+    spark = catalog.sparkSession
+    if not isinstance(devices, DataFrame):
+        devices = literal_table(spark, list(devices), _DEVICE)
+    devices = devices.select(F.struct(F.col("device").cast("string").alias("device"), F.col("ram_total").cast("long").alias("ram_total"),
+                                      F.coalesce(F.col("vram").cast("array<bigint>"), F.array().cast("array<bigint>")).alias("vram")).alias("dev"))
     if contexts is None:
-        ctx = F.array(F.coalesce(F.col("context_length").cast("long") if "context_length" in catalog.columns
-                                 else F.lit(None).cast("long"), F.lit(S.DEFAULT_CONTEXT).cast("long")))
+        given = F.col("context_length") if "context_length" in catalog.columns else F.lit(None)
+        ctx = F.array(F.coalesce(given.cast("decimal(20,0)"), F.lit(S.DEFAULT_CONTEXT).cast("decimal(20,0)")))
     else:
         ctx = F.array(*[F.lit(int(c)).cast("long") for c in contexts])
-    rows = (catalog.withColumn("context_tokens", F.explode(ctx))
-            .withColumn("dev", F.explode(dev_arr)))
+    rows = catalog.withColumn("context_tokens", F.explode(ctx))
     kv = S.kv_cache_bytes("weights_bytes", "n_layers", "n_embd", "n_head", "n_head_kv", "context_tokens")
     rows = (rows.withColumn("kv_cache_bytes", kv)
             .withColumn("total_estimate_bytes", S.total_estimate(F.col("weights_bytes"), F.col("kv_cache_bytes"))))
+    few = devices.limit(BROADCAST_DEVICES + 1).count() <= BROADCAST_DEVICES
+    rows = rows.crossJoin(F.broadcast(devices) if few else devices)
     gpu, ram, note = S.fit_verdict(F.col("total_estimate_bytes"), F.col("dev.ram_total"), F.col("dev.vram"))
     return rows.select(
         *[c for c in catalog.columns if c not in ("context_length",)],

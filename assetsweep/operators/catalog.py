@@ -19,16 +19,6 @@ ARCH_SUFFIXES = {
 GENERAL_KEYS = ["general.architecture", "general.name", "general.file_type", "general.parameter_count"]
 
 
-def as_u64(type_col="type", v_int="v_int") -> F.Column:
-    """any integer type with a non-negative value, else null."""
-    return F.when(F.col(type_col).isin(*INT_TYPES) & (F.col(v_int) >= 0), F.col(v_int))
-
-
-def as_str(type_col="type", v_str="v_str") -> F.Column:
-    """F8: only string values."""
-    return F.when(F.col(type_col) == "str", F.col(v_str))
-
-
 def last_values(kv: DataFrame, value_col: str = "value") -> DataFrame:
     """Last value (highest ``pos``) per (path, key) and how many entries the key had.
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from assetsweep.functions.hashing import fingerprint_columns
 from assetsweep.functions.scalars import MANAGED_STORES
+from assetsweep.operators.ranking import ranked
 from assetsweep.operators.skew import DEFAULT_HOT_ROWS, join_members_to_groups
 from assetsweep.session import materialize
 
@@ -61,8 +62,8 @@ def size_candidates(assets: DataFrame, min_size: int = DEFAULT_MIN_SIZE) -> Data
 
 
 def ordered_candidates(candidates: DataFrame) -> DataFrame:
-    """O1: candidate sizes, largest first, ties by first id (a distributed range sort)."""
-    return candidates.orderBy(F.desc("size"), F.asc("min_id"))
+    """O1: candidate sizes with their rank, largest first, ties by first id."""
+    return ranked(candidates, [F.desc("size"), F.asc("min_id")])
 
 
 def hash_workload(candidates: DataFrame) -> DataFrame:
@@ -83,10 +84,10 @@ class Duplicates:
         """Long form: one row per member of the given (default: all) groups."""
         g = self.groups if groups is None else groups
         g = g.select(*KEY, "group_id", "keeper_id", "n_members")
-        rows = self.candidates.select(*KEY, "asset_id", "path", "store")
+        rows = self.candidates.select(*KEY, "asset_id", "path", "store")  # KEY has the hash
         joined = join_members_to_groups(rows, g, KEY, "n_members", self.hot_rows)
         return joined.select(
-            "group_id", "asset_id", "path", "store", "size", "keeper_id",
+            "group_id", "asset_id", "path", "store", "size", "hash", "keeper_id",
             (F.col("asset_id") == F.col("keeper_id")).alias("is_keeper"),
             (F.col("asset_id") == F.col("group_id")).alias("is_first"),
         )
@@ -100,8 +101,8 @@ class Duplicates:
         )
 
     def ordered(self) -> DataFrame:
-        """O2: reclaimable desc, size desc, group_id asc (a distributed range sort)."""
-        return self.groups.orderBy(F.desc("reclaimable"), F.desc("size_each"), F.asc("group_id"))
+        """O2: all groups with their rank by reclaimable desc, size desc, group_id asc."""
+        return ranked(self.groups, [F.desc("reclaimable"), F.desc("size_each"), F.asc("group_id")])
 
 
 def find_duplicates(fingerprints: DataFrame, min_size: int = DEFAULT_MIN_SIZE,

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from assetsweep.functions import scalars as S
 
-# The plain-prefix join compares every asset with every root; refuse more roots.
-MAX_BROADCAST_STORES = 1_000
-
 
 def union_scans(*scans: DataFrame) -> DataFrame:
     """All scans as one table; a path reached through two roots counts once.
@@ -59,51 +56,34 @@ def per_store(assets: DataFrame, store_col: str = "store") -> DataFrame:
                                          F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
 
 
-def dir_prefixes(path) -> F.Column:
-    """Every ``/``-bounded prefix of a path: ``a/b/c`` -> [``a``, ``a/b``, ``a/b/c``]."""
-    parts = F.split(F.col(path) if isinstance(path, str) else path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-
-
 def store_summaries(assets: DataFrame, stores: DataFrame, boundary: bool = True) -> DataFrame:
     """Per store root, count and bytes of the assets whose path starts with the root.
 
     ``boundary=True`` (default): the root must end at a ``/`` of the path, so
-    ``/a/b`` does not count ``/a/bc/x``.  Each path is expanded to its directory
-    prefixes; with a count-checked small root list, prefixes matching no root
-    are dropped map-side (broadcast semi-join).  The rest are aggregated per
-    prefix with partial aggregation (a hot directory is combined before the
-    shuffle) and equi-joined with the roots.  No comparison of every asset with
-    every root, and nested roots each count their own files.
-
-    ``boundary=False`` reproduces the plain string-prefix test (D5): the roots
-    are broadcast (count-checked) into a nested-loop join, one comparison per
-    asset and root.
+    ``/a/b`` does not count ``/a/bc/x``; ``boundary=False`` is the plain string-prefix
+    test (D5).  A path can only start with a root if its first characters, as
+    many as the root has, are the root.  So each path is cut at the different
+    root lengths, the pieces are counted with map-side combine (a hot directory
+    is one row per task) and equi-joined with the roots: any number of roots,
+    no comparison of every asset with every root.  The driver only learns the
+    different lengths, at most as many as a path has characters.
 
     Stores without assets are kept with zero counts.
     """
     if "missing" not in stores.columns:
         stores = stores.withColumn("missing", F.lit(False))
-    roots = stores.select("kind", "root").distinct()
+    root = F.col("root")
     if boundary:
-        norm = F.when(F.col("root").endswith("/") & (F.length("root") > 1),
-                      F.regexp_replace("root", "/+$", "")).when(F.col("root") == "/", F.lit("")).otherwise(F.col("root"))
-        keyed = roots.withColumn("prefix", norm)
-        exploded = assets.select(F.explode(dir_prefixes("path")).alias("prefix"), "size")
-        if keyed.count() <= MAX_BROADCAST_STORES:
-            # Few roots: drop prefixes that match none map-side, before the shuffle.
-            exploded = exploded.join(F.broadcast(keyed.select("prefix").distinct()), "prefix", "left_semi")
-        per_prefix = exploded.groupBy("prefix").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
-        matched = (keyed.join(per_prefix, "prefix")
-                   .groupBy("kind", "root").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes")))
-    else:
-        n = roots.count()
-        if n > MAX_BROADCAST_STORES:
-            raise ValueError(f"{n} store roots; the plain-prefix join compares every asset with every "
-                             f"root and allows at most {MAX_BROADCAST_STORES}")
-        matched = (assets.select("path", "size").join(F.broadcast(roots), F.col("path").startswith(F.col("root")))
-                   .groupBy("kind", "root")
-                   .agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")))
+        root = F.when(root == "/", F.lit("")).when(root.endswith("/"), F.regexp_replace("root", "/+$", "")).otherwise(root)
+    keyed = stores.select("kind", "root", root.alias("prefix")).distinct()
+    lengths = sorted(r[0] for r in keyed.where("prefix is not null").select(F.length("prefix")).distinct().collect())
+    path = F.col("path")
+    fits = (lambda n: (n == F.length(path)) | (F.substr(path, n + 1, F.lit(1)) == "/")) if boundary else (lambda n: F.lit(True))
+    cuts = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+    cuts = F.filter(cuts, lambda n: (n <= F.length(path)) & fits(n))
+    pieces = assets.select(F.explode(F.transform(cuts, lambda n: F.substr(path, F.lit(1), n))).alias("prefix"), "size")
+    per_prefix = pieces.groupBy("prefix").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    matched = keyed.join(per_prefix, "prefix").select("kind", "root", "files", "bytes")
     return (stores.join(matched, ["kind", "root"], "left")
             .select("kind", "root",
                     F.coalesce("files", F.lit(0)).cast("long").alias("files"),

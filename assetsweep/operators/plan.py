@@ -14,7 +14,7 @@ from assetsweep.session import materialize
 
 @dataclass
 class ReclaimPlan:
-    removal: DataFrame   # one row per asset to remove: group_id, asset_id, path, store, size, keeper_id
+    removal: DataFrame   # one row per asset to remove: group_id, asset_id, path, store, size, hash, keeper_id
     allowed: DataFrame   # groups passing the policy gate
     blocked: DataFrame   # groups refused by the policy gate
 
@@ -52,7 +52,7 @@ def reclaim_plan(dups: Duplicates, keep: str = "preferred", cap: int | None = No
         blocked = g.where(F.col("size_each") > cap)
     members = dups.members(allowed.drop("keeper_id").withColumnRenamed("keep_id", "keeper_id"))
     removal = members.where(~F.col("is_keeper")).select(
-        "group_id", "asset_id", "path", "store", "size", "keeper_id")
+        "group_id", "asset_id", "path", "store", "size", "hash", "keeper_id")
     return ReclaimPlan(removal, allowed, blocked)
 
 
@@ -64,7 +64,7 @@ def row_gate(rows: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
 def kept_assets(assets: DataFrame, removal: DataFrame) -> DataFrame:
     """The asset table without the removal set.
 
-    The removal ids are broadcast when their count is within the checked bound,
+    The removal ids, or beyond a checked count a bitmap of fixed size, are broadcast,
     so asset rows (with payloads) are filtered where they are read.
     """
     return filter_by_ids(assets, removal, "asset_id", keep=False)
@@ -81,11 +81,12 @@ def verify_plan(removal: DataFrame, current: DataFrame, hot_rows: int = DEFAULT_
     back by ``group_id`` through the hot-group split.
     """
     fp_cols = ["size", "hash", "head_hash", "tail_hash"]
-    # The present fingerprints are read twice (targets and keepers): hash the
-    # payloads once and keep only the narrow rows.
-    cur = materialize(current.select("asset_id", *fp_cols))
     # The plan rows feed both the keeper lookup and the target lookup.
     removal = materialize(removal)
+    planned = removal.select("asset_id").union(removal.select("keeper_id")).distinct()
+    # Only planned assets and their keepers are hashed: the ids are filtered below
+    # the hash expressions, in the scan.  The narrow rows are read twice.
+    cur = materialize(filter_by_ids(current, planned, "asset_id", keep=True).select("asset_id", *fp_cols))
     # One row per group with its keeper's present state; ``n`` feeds the hot split.
     keeper_state = (removal.groupBy("group_id", "keeper_id").agg(F.count(F.lit(1)).alias("n"))
                     .join(cur.select(F.col("asset_id").alias("keeper_id"),

@@ -3,8 +3,8 @@
 A single duplicate group (boilerplate copied millions of times) may hold a third
 of all rows.  A plain shuffle join would send that whole group to one task.  We
 split instead: groups above ``hot_rows`` members are few by construction (at most
-``total_rows / hot_rows``), so after checking their count they are broadcast and
-joined map-side; every remaining row goes through an ordinary shuffle join in
+``total_rows / hot_rows``); if they are too many to broadcast, ``hot_rows`` is doubled
+until they fit.  They are joined map-side; every remaining row goes through an ordinary shuffle join in
 which no key exceeds ``hot_rows``.  AQE skew-join stays enabled as a backstop.
 """
 
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assetsweep.session import materialize
+
 # Groups with more members than this are joined map-side.
 DEFAULT_HOT_ROWS = 1_000_000
 # Never broadcast more hot group rows than this.
@@ -29,9 +31,13 @@ def join_members_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str],
     """
     hot = groups.where(F.col(count_col) > hot_rows)
     n_hot = hot.count()
-    if n_hot == 0 or n_hot > MAX_HOT_KEYS:
-        # Nothing hot (the common case), or too many to broadcast: AQE splits
-        # oversized shuffle partitions of ``rows`` at run time.
+    while n_hot > MAX_HOT_KEYS:
+        # Too many to broadcast: only the hotter ones are split off, so that the
+        # split always happens and no ordinary key exceeds the raised threshold.
+        hot_rows *= 2
+        hot = groups.where(F.col(count_col) > hot_rows)
+        n_hot = hot.count()
+    if n_hot == 0:
         return rows.join(groups, keys, how)
     hot_keys = F.broadcast(hot.select(*keys))
     hot_part = rows.join(F.broadcast(hot), keys, "inner")
@@ -41,20 +47,37 @@ def join_members_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str],
 
 
 # An id set up to this many rows is broadcast to pick rows out of a wide table.
-MAX_BROADCAST_IDS = 5_000_000  # ~40 MB of ids, a few hundred MB as a hashed relation
+MAX_BROADCAST_IDS = 5_000_000
+# Above it, a bitmap of this many bits (256 MB at most) is broadcast instead.
+FILTER_BITS = 1 << 31
 
 
 def filter_by_ids(wide: DataFrame, ids: DataFrame, key: str = "asset_id", keep: bool = True,
-                  max_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
+                  max_ids: int = MAX_BROADCAST_IDS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Rows of ``wide`` whose ``key`` is (``keep``) or is not in ``ids``.
 
-    ``wide`` may carry payloads.  A shuffle join would move them, so the id set
-    is counted and, within ``max_ids``, broadcast: the wide side is filtered
-    map-side and never leaves its scan task.  Above the bound the join falls
-    back to a shuffle (a table bucketed by ``key`` avoids moving the wide side).
+    ``wide`` may carry payloads, which a shuffle join would move.  Up to ``max_ids``
+    ids are broadcast, so that the wide side is filtered in its scan task.  Above
+    that a bitmap over the hashed ids, whose size is fixed, is broadcast: a row
+    whose bit is not set is decided in the scan task, and only the others (the
+    rows in question and ``ids / filter_bits`` of the rest) go to an exact join.
     """
     id_rows = ids.select(key).distinct()
     how = "left_semi" if keep else "left_anti"
-    if id_rows.count() <= max_ids:
+    n = id_rows.count()
+    if n <= max_ids:
         return wide.join(F.broadcast(id_rows), key, how)
-    return wide.join(id_rows, key, how)
+    bits = min(filter_bits, 1 << max(20, (n * 16).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    bitmaps = (id_rows.select(place.alias("p"))
+               .groupBy(F.bitmap_bucket_number("p").alias("_bucket"))
+               .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bitmap")))
+    bitmaps = materialize(bitmaps)  # at most bits / 32768 rows of 4 KB
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substr("_bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.shiftrightunsigned(byte, 0).bitwiseAND(F.element_at(
+        F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8 + 1).cast("int"))) != 0, F.lit(False))
+    marked = wide.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bitmaps), "_bucket", "left")
+    marked = marked.withColumn("_hit", hit & F.col("_bitmap").isNotNull())
+    maybe = marked.where("_hit").select(*wide.columns).join(id_rows, key, how)
+    return maybe if keep else marked.where("not _hit").select(*wide.columns).unionByName(maybe)

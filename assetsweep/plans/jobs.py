@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import time
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +19,7 @@ from assetsweep.operators import inventory as inv
 from assetsweep.operators import plan as pln
 from assetsweep.operators.capacity import capacity_fit, with_shard_weights  # noqa: F401  (re-exported)
 from assetsweep.operators.skew import filter_by_ids
-from assetsweep.session import literal_table, materialize
+from assetsweep.session import literal_table, materialize, path_exists
 from assetsweep.sources import files as FS
 from assetsweep.sources import headers as hdr
 
@@ -81,21 +84,21 @@ def find_file_duplicates_cached(spark: SparkSession, stores: list[tuple[str, str
                                 algo: str = "sha256") -> dup.Duplicates:
     """``find_file_duplicates`` with a fingerprint table kept between runs.
 
-    Files already in the table with the same (path, size, modification time)
-    are not read again; new or changed files are hashed and appended (one new
-    folder per run).  Grouping uses the newest row per listed path.
+    Only files whose size occurs twice are hashed (J3).  Files that the table holds
+    with the same (path, size, modification time), read without error by the same
+    algorithm, are not read again; others are hashed and appended.  Grouping uses the
+    newest good row per listed path.
     """
     from assetsweep.streaming import incremental as inc
     listing = FS.with_asset_ids(FS.scan_stores(spark, stores))
     listing = listing.where(F.col("size") >= min_size)
-    try:
-        cache = spark.read.parquet(cache_path)
-    except Exception:  # first run: no table yet
-        cache = None
+    twice = listing.groupBy("size").count().where(F.col("count") > 1).select("size")  # J3
+    listing = materialize(listing.join(twice, "size", "left_semi"))
+    cache = spark.read.parquet(cache_path) if path_exists(spark, cache_path) else None
     fresh = inc.refresh_fingerprints(listing, cache, algo)
     fresh.write.mode("append").parquet(cache_path)
     table = spark.read.parquet(cache_path)
-    current = inc.latest_fingerprints(table).join(listing.select("path", "size", "modificationTime"),
+    current = inc.latest_fingerprints(table, algo).join(listing.select("path", "size", "modificationTime"),
                                                   ["path", "size", "modificationTime"], "left_semi")
     return dup.find_duplicates(current, min_size, managed)
 
@@ -105,12 +108,15 @@ verify_plan = pln.verify_plan
 
 
 def _norm_path(p: str) -> str:
-    """``file:///a``, ``file:/a`` and ``/a`` name the same local path."""
+    """One name per place: ``file:///a``, ``file:/a``, ``/a`` and links to it; s3, s3a and s3n."""
     if p.startswith("file:"):
         p = p[5:]
         while p.startswith("//"):
             p = p[1:]
-    return p
+    scheme, sep, rest = p.partition("://")
+    if not sep:
+        return os.path.realpath(unquote(p))
+    return f"s3://{unquote(rest)}" if scheme in ("s3a", "s3n") else f"{scheme}://{unquote(rest)}"
 
 
 def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_dir: str,
@@ -118,23 +124,26 @@ def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_
             algo: str = "sha256", dry_run: bool = False) -> DataFrame:
     """Move planned rows to the archive, verified, with an undo manifest.
 
-    ``removal`` rows need ``asset_id, path, size, hash`` (from a verified plan).
+    ``removal`` rows need ``asset_id, path, size, hash`` (as ``reclaim_plan`` gives them).
     Steps: destination checks (J6 W4) -> write archive rows with payload (S9) ->
     read back and re-hash (S9) -> append manifest (S7, before anything is
     removed) -> write the kept table to ``kept_out`` (U3).  Verification is per
     row: ``result`` is ``archived``, ``changed`` (content differs from the plan),
-    ``copy_missing`` or ``skipped`` (destination check failed); only archived
-    rows are recorded and removed.  Returns per-row ``status`` and ``result``;
-    with ``dry_run`` only the destination checks run and nothing is written.
+    ``copy_missing``, ``archived_before`` (an earlier run recorded the same path and
+    hash, and it was not undone) or ``skipped`` (destination check failed).  Rows that are
+    archived now or were before are left out of the kept table, so a run that died
+    after its manifest was written is finished by running it again.  Returns per-row
+    ``status`` and ``result``; with ``dry_run`` only the destination checks run and
+    nothing is written.
     """
     now = int(time.time()) if now is None else int(now)
     kept_norm = _norm_path(kept_out).rstrip("/") + "/"
     if any(_norm_path(f).startswith(kept_norm) for f in assets.inputFiles()):
         raise ValueError("kept_out must be a new location, not the table being read")
+    recorded = materialize(_active_entries(spark, archive_dir).select("from", "to", "hash"))
     if existing_names is None:
-        # Names already archived by earlier verified runs (from the manifest), so
-        # a re-run after a failure skips rows it has already moved.
-        existing_names = _archived_names(spark, archive_dir)
+        # Names that verified runs archived and that were not undone since.
+        existing_names = recorded.select(F.element_at(F.split("to", "/"), -1).alias("name"))
     base = F.element_at(F.split("path", "/"), -1)
     dest_root = archive_dir.rstrip("/") + "/"
     status = materialize(arc.destination_status(removal, existing_names, base))
@@ -170,63 +179,93 @@ def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_
         arc.append_manifest(arc.manifest_lines(entries, written, now), archive_dir + "/manifest")
     # Overwrite is safe: kept_out is checked above not to be the input, and a
     # re-run after a failure replaces a partial result.
-    pln.kept_assets(assets, verified).write.mode("overwrite").parquet(kept_out)
+    before = (status.where("status = 'destination_exists'").join(
+        recorded.select(F.col("from").alias("path"), "hash").distinct(), ["path", "hash"], "left_semi")
+        .select("asset_id", F.lit("archived_before").alias("result")))
+    checked = materialize(checked.unionByName(before))
+    gone = checked.where(F.col("result").isin("archived", "archived_before")).select("asset_id")
+    pln.kept_assets(assets, gone).write.mode("overwrite").parquet(kept_out)
     return status.join(checked, "asset_id", "left").withColumn(
         "result", F.coalesce(F.col("result"), F.lit("skipped")))
 
 
-def _archived_names(spark: SparkSession, archive_dir: str) -> DataFrame:
-    import os
-    path = archive_dir.rstrip("/") + "/manifest"
-    local = path[5:] if path.startswith("file:") else path
-    if "://" not in path and not os.path.exists(local):
-        return literal_table(spark, [], "name string")
-    try:
-        entries, _ = arc.manifest_entries(arc.read_manifest(spark, path))
-    except Exception:  # no manifest yet (first run)
-        return literal_table(spark, [], "name string")
-    return entries.select(F.element_at(F.split("to", "/"), -1).alias("name"))
+_ENTRY = "created_unix bigint, destination string, `from` string, `to` string, size bigint, hash string, algo string"
+
+
+def _entries(spark: SparkSession, archive_dir: str) -> DataFrame:
+    """Entries of all runs, each with ``undone``: a later undo moved the row back."""
+    root = archive_dir.rstrip("/")
+    if not path_exists(spark, f"{root}/manifest"):
+        return literal_table(spark, [], _ENTRY).withColumn("undone", F.lit(False))
+    entries, _ = arc.manifest_entries(arc.read_manifest(spark, f"{root}/manifest"))
+    if not path_exists(spark, f"{root}/undone"):
+        return entries.withColumn("undone", F.lit(False))
+    back, _ = arc.manifest_entries(arc.read_manifest(spark, f"{root}/undone"))
+    back = back.select("destination", "to").distinct().withColumn("u", F.lit(True))
+    return entries.join(back, ["destination", "to"], "left").select(
+        *entries.columns, F.coalesce("u", F.lit(False)).alias("undone"))
+
+
+def _active_entries(spark: SparkSession, archive_dir: str) -> DataFrame:
+    return _entries(spark, archive_dir).where(~F.col("undone"))
+
+
+def _runs(spark: SparkSession, entries: DataFrame) -> DataFrame | None:
+    """The archived rows of the run folders that the entries name and that still exist (a short list)."""
+    folders = sorted(r[0] for r in entries.select("destination").distinct().collect())
+    parts = [spark.read.parquet(f).withColumn("destination", F.lit(f)) for f in folders if path_exists(spark, f)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
 def undo(spark: SparkSession, archive_dir: str, live: DataFrame, algo: str = "sha256") -> DataFrame:
     """Undo status per manifest entry (J8); archived copies are re-hashed from the
-    run folders the manifest names (one per archive run, a short list)."""
-    manifest = arc.read_manifest(spark, archive_dir + "/manifest")
-    entries, _bad = arc.manifest_entries(manifest)
-    runs = [r[0] for r in manifest.where(F.col("_corrupt").isNull()).select("destination").distinct().collect()]
-    if runs:
-        archived = spark.read.parquet(*runs).select(
-            F.col("to").alias("path"), content_hash(F.col("payload"), algo).alias("hash"))
+    run folders the manifest names (one per archive run, a short list).  A run folder
+    that is gone gives ``archive_missing``.  Entries that were undone show only while
+    their path is occupied."""
+    return _undo(spark, archive_dir, live, algo).drop("destination")
+
+
+def _undo(spark: SparkSession, archive_dir: str, live: DataFrame, algo: str) -> DataFrame:
+    entries = materialize(_entries(spark, archive_dir))
+    rows = _runs(spark, entries)
+    if rows is None:
+        archived = literal_table(spark, [], "destination string, path string, hash string")
     else:
-        archived = literal_table(spark, [], "path string, hash string")
-    return arc.undo_status(entries, live, archived)
+        archived = rows.select("destination", F.col("to").alias("path"), content_hash(F.col("payload"), algo).alias("hash"))
+    status = arc.undo_status(entries, live, archived, extra=("destination", "undone"))
+    return status.where(~F.col("undone") | (F.col("status") == "occupied")).drop("undone")
 
 
 def apply_undo(spark: SparkSession, archive_dir: str, live: DataFrame, out: str,
-               algo: str = "sha256") -> DataFrame:
+               algo: str = "sha256", now: int | None = None) -> DataFrame:
     """Restore archived rows whose undo status is ``restore`` into a new live table.
 
     ``live`` is the current asset table (``asset_id, path, name, store, size,
     payload``); ``out`` receives live + restored rows (a new location, checked
     not to be an input).  Restored rows are picked from the verified run folders
-    by their archive path with a count-checked broadcast filter, so archived
-    payloads are not shuffled.  Returns the per-entry status; running it again on
-    the restored table reports ``occupied`` for everything (idempotent).
+    by their run and archive path.  After ``out`` is written the restored entries are
+    recorded as undone, so their names are free and their rows can be archived again.
+    Returns the per-entry status; running it again on the restored table reports
+    ``occupied`` for everything (idempotent).
     """
     out_norm = _norm_path(out).rstrip("/") + "/"
     if any(_norm_path(f).startswith(out_norm) for f in live.inputFiles()):
         raise ValueError("out must be a new location, not the table being read")
-    status = materialize(undo(spark, archive_dir, live.select("path"), algo))
-    todo = status.where(F.col("status") == "restore").select("to")
-    manifest = arc.read_manifest(spark, archive_dir + "/manifest")
-    runs = [r[0] for r in manifest.where(F.col("_corrupt").isNull()).select("destination").distinct().collect()]
-    if runs:
-        archived = filter_by_ids(spark.read.parquet(*runs), todo, "to", keep=True)
-        restored = archived.select("asset_id", F.col("from").alias("path"), "name", "store", "size", "payload")
-        live.unionByName(restored).write.mode("overwrite").parquet(out)
-    else:
+    status = materialize(_undo(spark, archive_dir, live.select("path"), algo))
+    todo = status.where(F.col("status") == "restore")
+    rows = _runs(spark, todo)
+    if rows is None:
         live.write.mode("overwrite").parquet(out)
-    return status
+        return status.drop("destination")
+    key = F.concat_ws("\u0001", "destination", "to")
+    picked = filter_by_ids(rows.withColumn("_key", key), todo.select(key.alias("_key")), "_key", keep=True)
+    restored = picked.select("asset_id", F.col("from").alias("path"), "name", "store", "size", "payload")
+    live.unionByName(restored).write.mode("overwrite").parquet(out)
+    back = todo.join(_entries(spark, archive_dir).select("destination", "to", "hash", "algo"), ["destination", "to"])
+    for folder in sorted(r[0] for r in back.select("destination").distinct().collect()):
+        lines = arc.manifest_lines(back.where(F.col("destination") == folder), folder, int(time.time()) if now is None else now)
+        arc.append_manifest(lines, archive_dir.rstrip("/") + "/undone")
+    return status.drop("destination")
 
 
 def catalog_headers(files: DataFrame, from_paths: bool = False) -> DataFrame:

@@ -19,6 +19,7 @@ from assetsweep.operators import catalog as cat_ops
 from assetsweep.operators import duplicates as dup
 from assetsweep.operators import inventory as inv
 from assetsweep.operators import plan as plan_ops
+from assetsweep.operators.skew import filter_by_ids
 from assetsweep.plans import jobs, sample_headers
 from assetsweep.session import checkpoint_dir, literal_table, materialize, spread
 from assetsweep.sources import headers as hdr
@@ -111,7 +112,7 @@ def q_dup_groups_min4k(spark, sf_dir):
 
 @register("dup_members", doc_members_sql(MIN_SIZE))
 def q_dup_members(spark, sf_dir):
-    return document_duplicates(spark, sf_dir).members()
+    return document_duplicates(spark, sf_dir).members().drop("hash")
 
 
 @register("dup_totals", f"""
@@ -164,7 +165,7 @@ def q_dup_groups_pages(spark, sf_dir):
 
 
 @register("dup_groups_conversations", """
-SELECT MIN(conv_id * 1000 + turn) AS group_id, COUNT(*) AS n_members
+SELECT MIN(conv_id * 16777216 + turn) AS group_id, COUNT(*) AS n_members
 FROM conversations WHERE text IS NOT NULL AND octet_length(encode(text)) > 0
 GROUP BY octet_length(encode(text)), sha256(text) HAVING COUNT(*) > 1
 """)
@@ -202,12 +203,12 @@ WHERE m.asset_id <> m.{keep_col} {gate}
 
 @register("keeper_first", removal_sql("first"))
 def q_keeper_first(spark, sf_dir):
-    return plan_ops.reclaim_plan(document_duplicates(spark, sf_dir), keep="first").removal
+    return plan_ops.reclaim_plan(document_duplicates(spark, sf_dir), keep="first").removal.drop("hash")
 
 
 @register("removal_plan", removal_sql("preferred"))
 def q_removal_plan(spark, sf_dir):
-    return plan_ops.reclaim_plan(document_duplicates(spark, sf_dir), keep="preferred").removal
+    return plan_ops.reclaim_plan(document_duplicates(spark, sf_dir), keep="preferred").removal.drop("hash")
 
 
 @register("kept_documents", f"""
@@ -248,7 +249,7 @@ def q_policy_blocked_rollup(spark, sf_dir):
 
 @register("policy_removal", removal_sql("preferred", POLICY_CAP))
 def q_policy_removal(spark, sf_dir):
-    return plan_ops.reclaim_plan(document_duplicates(spark, sf_dir), cap=POLICY_CAP).removal
+    return plan_ops.reclaim_plan(document_duplicates(spark, sf_dir), cap=POLICY_CAP).removal.drop("hash")
 
 
 @register("policy_rows_over_cap", f"""
@@ -755,7 +756,7 @@ SELECT n.group_id, n.asset_id, n.path, n.store, n.size, n.keeper_id, n.dest_name
 FROM n JOIN f ON n.dest_name = f.dest_name
 """)
 def q_archive_conflicts(spark, sf_dir):
-    removal = plan_ops.reclaim_plan(document_duplicates(spark, sf_dir)).removal
+    removal = plan_ops.reclaim_plan(document_duplicates(spark, sf_dir)).removal.drop("hash")
     docs = tables.read_table(spark, sf_dir, "documents")
     existing = docs.where(F.col("source") == ARCHIVE_HOLDER).select(
         F.concat(F.col("lang"), F.lit("-"), F.octet_length("text").cast("string")).alias("name"))
@@ -766,12 +767,12 @@ def _archive_entries(spark, sf_dir):
     """Planned removals with the hash of each document and of its archived copy
     (altered for CHANGED_LANG).  Hashes are computed where the text is read, so
     only narrow rows meet the plan in the join."""
-    removal = plan_ops.reclaim_plan(document_duplicates(spark, sf_dir)).removal
+    removal = materialize(plan_ops.reclaim_plan(document_duplicates(spark, sf_dir)).removal)
     docs = tables.read_table(spark, sf_dir, "documents")
     changed = F.when(F.col("lang") == CHANGED_LANG, F.concat("text", F.lit(" *"))).otherwise(F.col("text"))
-    narrow = docs.select(F.col("doc_id").alias("asset_id"), "lang", "source",
-                         F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"),
-                         F.sha2(F.encode(changed, "UTF-8"), 256).alias("archived_hash"))
+    # Only planned documents are hashed again; the plan itself holds their present hash.
+    planned = filter_by_ids(docs.withColumnRenamed("doc_id", "asset_id"), removal, "asset_id", keep=True)
+    narrow = planned.select("asset_id", "lang", "source", F.sha2(F.encode(changed, "UTF-8"), 256).alias("archived_hash"))
     return removal.join(narrow, "asset_id").select(
         "asset_id", F.col("path").alias("from"),
         F.concat(F.lit("archive/"), F.col("asset_id").cast("string")).alias("to"),
@@ -822,18 +823,48 @@ def q_manifest_roundtrip(spark, sf_dir):
     return entries.select("from", "to", "size", "hash", "algo")
 
 
+# Spanish documents are altered between planning and archiving: their copies do not
+# match the plan, so they are reported as changed and stay in the kept table.
+ARCHIVED_SQL = f"""
+  SELECT r.*, CASE WHEN d.lang = '{CHANGED_LANG}' THEN 'changed' ELSE 'archived' END AS result
+  FROM ({removal_sql('preferred')}) r JOIN documents d ON d.doc_id = r.asset_id
+"""
+
+
+def _archive_run(spark, sf_dir):
+    removal = plan_ops.reclaim_plan(document_duplicates(spark, sf_dir)).removal
+    docs = tables.read_table(spark, sf_dir, "documents")
+    altered = F.when(F.col("lang") == CHANGED_LANG, F.concat("text", F.lit(" *"))).otherwise(F.col("text"))
+    assets = tables.text_assets(docs.withColumn("text", altered), "doc_id", "text", "source",
+                                F.concat_ws("/", F.col("source"), F.col("lang"), F.col("doc_id").cast("string")))
+    root = _scratch(spark, "archive")
+    status = jobs.archive(spark, removal, assets, root + "/archive", root + "/kept", now=1700000000)
+    return status, root
+
+
 @register("archive_verified", f"""
-SELECT group_id, asset_id, path, store, size, keeper_id, CAST(asset_id AS VARCHAR) AS dest_name, 'movable' AS status
-FROM ({removal_sql('preferred')}) r
+SELECT group_id, asset_id, path, store, size, keeper_id, CAST(asset_id AS VARCHAR) AS dest_name,
+       'movable' AS status, result
+FROM ({ARCHIVED_SQL}) r
 """)
 def q_archive_verified(spark, sf_dir):
-    d = document_duplicates(spark, sf_dir)
-    removal = plan_ops.reclaim_plan(d).removal.join(
-        d.candidates.select("asset_id", "hash"), "asset_id")
-    root = _scratch(spark, "archive")
-    status = jobs.archive(spark, removal, tables.documents_assets(spark, sf_dir), root + "/archive",
-                          root + "/kept", now=1700000000)
-    return status.select("group_id", "asset_id", "path", "store", "size", "keeper_id", "dest_name", "status")
+    status, _ = _archive_run(spark, sf_dir)
+    return status.select("group_id", "asset_id", "path", "store", "size", "keeper_id", "dest_name", "status", "result")
+
+
+# Every document is in the kept table or in the archive, and in one of them only.
+@register("archive_places", f"""
+SELECT doc_id AS asset_id, doc_id IN (SELECT asset_id FROM ({ARCHIVED_SQL}) a WHERE result = 'archived') AS archived,
+       CAST(1 AS BIGINT) AS places
+FROM documents
+""")
+def q_archive_places(spark, sf_dir):
+    _, root = _archive_run(spark, sf_dir)
+    entries, _bad = arc_ops.manifest_entries(arc_ops.read_manifest(spark, root + "/archive/manifest"))
+    gone = entries.select(F.element_at(F.split("to", "/"), -1).cast("long").alias("asset_id"), F.lit(True).alias("archived"))
+    kept = spark.read.parquet(root + "/kept").select("asset_id", F.lit(False).alias("archived"))
+    return kept.unionByName(gone).groupBy("asset_id").agg(
+        F.max("archived").alias("archived"), F.count("*").alias("places"))
 
 
 # Part rows above this size are written with a damaged first byte: the magic
@@ -872,16 +903,106 @@ def q_kv_last_value(spark, sf_dir):
 
 @register("dup_groups_top", f"""
 SELECT row_number() OVER (ORDER BY reclaimable DESC, size_each DESC, group_id) AS rank,
-       group_id, size_each, n_members, reclaimable,
-       GREATEST((SELECT COUNT(*) FROM ({_group_sql(MIN_SIZE)}) c) - {TOP_N}, 0) AS n_more
+       group_id, size_each, n_members, reclaimable
 FROM ({_group_sql(MIN_SIZE)}) g
-ORDER BY reclaimable DESC, size_each DESC, group_id LIMIT {TOP_N}
 """)
 def q_dup_groups_top(spark, sf_dir):
-    """O2 as a bounded listing: groups by reclaimable bytes, then size, then id."""
-    from assetsweep.plans import report
-    g = document_duplicates(spark, sf_dir).groups.select("group_id", "size_each", "n_members", "reclaimable")
-    return report.top_rows(g, [F.desc("reclaimable"), F.desc("size_each"), F.asc("group_id")], TOP_N)
+    """O2: all groups in order, with their rank."""
+    return document_duplicates(spark, sf_dir).ordered().select("rank", "group_id", "size_each", "n_members", "reclaimable")
+
+
+@register("size_candidates_ranked", f"""
+SELECT row_number() OVER (ORDER BY size DESC, min_id) AS rank, size, n, min_id FROM ({SIZE_CAND_SQL}) c
+""")
+def q_size_candidates_ranked(spark, sf_dir):
+    return dup.ordered_candidates(dup.size_candidates(tables.documents_assets(spark, sf_dir), MIN_SIZE))
+
+
+@register("dup_groups_prefiltered", _group_sql(MIN_SIZE))
+def q_dup_groups_prefiltered(spark, sf_dir):
+    """Only documents whose size occurs twice are hashed; the groups are the same."""
+    d = jobs.find_duplicates(tables.documents_assets(spark, sf_dir), MIN_SIZE, MANAGED, prefilter=True)
+    return _group_select(d.groups)
+
+
+@register("policy_rows_within_cap", f"""
+SELECT doc_id, source, CAST(octet_length(encode(text)) AS BIGINT) AS size
+FROM documents WHERE octet_length(encode(text)) <= {POLICY_CAP}
+""")
+def q_policy_rows_within_cap(spark, sf_dir):
+    within, _ = plan_ops.row_gate(tables.documents_assets(spark, sf_dir), POLICY_CAP)
+    return within.select(F.col("asset_id").alias("doc_id"), F.col("store").alias("source"), "size")
+
+
+@register("selected_removal", f"""
+SELECT {REMOVAL_COLS} FROM ({removal_sql('preferred')}) r
+WHERE group_id IN (SELECT group_id FROM ({_group_sql(MIN_SIZE)}) g WHERE n_members > 2)
+""")
+def q_selected_removal(spark, sf_dir):
+    """The plan for selected groups only."""
+    d = document_duplicates(spark, sf_dir)
+    return plan_ops.reclaim_plan(d, groups=d.groups.where("n_members > 2")).removal.drop("hash")
+
+
+@register("union_of_scans", f"""
+SELECT path, MIN(store) AS store, MIN(size) AS size FROM (
+  SELECT path, store, size FROM ({DOC_ASSETS_SQL}) a
+  UNION ALL SELECT path, 'loose' AS store, size FROM ({DOC_ASSETS_SQL}) b WHERE store = 'src2') u GROUP BY path
+""")
+def q_union_of_scans(spark, sf_dir):
+    """A second scan reaches the files of one store again, under another store name."""
+    a = tables.documents_assets(spark, sf_dir).select("path", "store", "size")
+    again = a.where(F.col("store") == "src2").withColumn("store", F.lit("loose"))
+    return inv.union_scans(a, again).select("path", "store", "size")
+
+
+# The head window of every document of one source is read differently, as when a file
+# changes while it is read; buckets that mix such a row with others disagree.
+@register("bucket_guard_disagrees", f"""
+SELECT size, hash, COUNT(*) AS n, MIN(store = 'src0') = MAX(store = 'src0') AS edges_agree
+FROM ({DOC_ASSETS_SQL}) a WHERE size >= {MIN_SIZE} AND size > 0
+GROUP BY size, hash HAVING COUNT(*) > 1
+""")
+def q_bucket_guard_disagrees(spark, sf_dir):
+    fp = dup.fingerprint_payloads(tables.documents_assets(spark, sf_dir))
+    other = F.when(F.col("store") == "src0", F.lit("0")).otherwise(F.col("head_hash"))
+    return dup.bucket_guard(fp.withColumn("head_hash", other), MIN_SIZE)
+
+
+# French documents cannot be read.
+@register("unreadable_rows", """
+SELECT doc_id AS asset_id, 'unreadable: no payload' AS error FROM documents WHERE lang = 'fr'
+""")
+def q_unreadable_rows(spark, sf_dir):
+    docs = tables.read_table(spark, sf_dir, "documents").withColumn("n", F.octet_length("text"))
+    docs = docs.withColumn("text", F.when(F.col("lang") != "fr", F.col("text")))
+    return dup.quarantine(dup.fingerprint_payloads(tables.text_assets(docs, "doc_id", "text", "source"))).select("asset_id", "error")
+
+
+# Extension, magic bytes (documents with an even length are given them) or split name.
+@register("looks_like_model", f"""
+SELECT p.asset_id, COALESCE(ext = 'gguf', FALSE) OR d.n_chars % 2 = 0 OR split_group IS NOT NULL AS looks
+FROM ({NAME_PARTS_SQL}) p JOIN documents d ON d.doc_id = p.asset_id
+""")
+def q_looks_like_model(spark, sf_dir):
+    docs = tables.read_table(spark, sf_dir, "documents")
+    magic = F.concat(F.when(F.col("n_chars") % 2 == 0, F.unhex(F.lit(S.HEADER_MAGIC_HEX))).otherwise(F.lit(b"")),
+                     F.encode("text", "UTF-8"))
+    rows = _doc_names(spark, sf_dir).join(docs.select(F.col("doc_id").alias("asset_id"), F.substr(magic, F.lit(1), F.lit(8)).alias("payload")), "asset_id")
+    return rows.select("asset_id", inv.looks_like_model().alias("looks"))
+
+
+# labels of stores and of parameter counts.
+@register("labels", f"""
+SELECT p_partkey, CASE p_size % 6 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(S.STORE_LABELS.values()))} END AS store_label,
+       printf('%.2fB', round(p_retailprice * 100) * 10000000 / 1e9) AS params
+FROM part
+""")
+def q_labels(spark, sf_dir):
+    p = tables.read_table(spark, sf_dir, "part")
+    kind = F.get(F.array(*[F.lit(k) for k in S.STORE_LABELS]), (F.col("p_size") % 6).cast("int"))
+    n = F.round(F.col("p_retailprice") * 100).cast("long") * 10000000
+    return p.select("p_partkey", S.store_label(kind).alias("store_label"), S.billions_label(n).alias("params"))
 
 
 # With each source treated as one split, copies inside one source count once,

@@ -73,9 +73,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Read from the session (Spark also applies it to the context at start-up).
-    Only when it is unset (tests, a laptop) is a scratch folder used, set on the
-    context with ``setCheckpointDir``; ``spark.checkpoint.dir`` itself is a core
-    setting that cannot be changed at run time.
+    Only with a local master (tests, a laptop) may it be unset; then a scratch folder
+    is set on the context with ``setCheckpointDir``.  Any other master raises.
     """
     try:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -84,11 +83,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return named or sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
     target = named or tempfile.mkdtemp(prefix="assetsweep-ckpt-")
     sc.setCheckpointDir(target)
     return target
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, asked of the file system that Spark itself uses for the path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 

@@ -105,9 +105,14 @@ def scan_stores(spark: SparkSession, stores: list[tuple[str, str, str | None]])
 
 
 def with_asset_ids(files: DataFrame) -> DataFrame:
-    """A stable id per path: the first 63 bits of its SHA-256, so reruns agree."""
-    return files.withColumn("asset_id", F.conv(F.substring(F.sha2(F.col("path"), 256), 1, 15), 16, 10)
-                            .cast("long"))
+    """A stable id per path: 63 bits of its SHA-256, so reruns agree.
+
+    Jobs that remove or archive files match on the path, so two paths that share an id stay apart.
+    """
+    digest = F.sha2(F.col("path"), 256)
+    high = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    low = F.conv(F.substring(digest, 9, 8), 16, 10).cast("long")
+    return files.withColumn("asset_id", F.shiftleft(high.bitwiseAND(2 ** 31 - 1), 32).bitwiseOR(low))
 
 
 def _prefix_rows(it, n: int):

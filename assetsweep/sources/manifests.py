@@ -2,22 +2,19 @@
 
 A manifest is a small JSON file at ``<manifests root>/<registry>/<namespace...>/<model>/<tag>``
 whose ``layers[].digest`` name the blobs of that model.  Files are read whole
-(``wholetext``), one row per file, parsed with ``from_json`` and exploded; a
-digest named by several manifests keeps ``min(tag)`` and the number of tags.
+(``wholetext``), one row per file, parsed as variants and exploded.  A layer that is
+no object, or whose digest is no string, is passed over; the other layers of its
+manifest count.  A file right below a registry is no manifest.  A digest named by
+several manifests keeps ``min(tag)`` and the number of references.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from assetsweep.functions import scalars as S
 
-LAYER_DIGESTS = StructType([StructField("layers", ArrayType(StructType([
-    StructField("digest", StringType(), True)])), True)])
-
-
 def read_manifest_files(spark: SparkSession, manifests_root: str) -> DataFrame:
     """(rel_path, json) for every file below the manifests root."""
     root = manifests_root.rstrip("/")
@@ -27,21 +24,21 @@ def read_manifest_files(spark: SparkSession, manifests_root: str) -> DataFrame:
     root_path = root[5:] if root.startswith("file:") else root
     while root_path.startswith("//"):
         root_path = root_path[1:]
-    rel = F.regexp_extract(F.col("file_path"), "\\Q" + root_path + "\\E/(.*)$", 1)
+    # The path is URL-encoded in the metadata; a plus sign is not.
+    file_path = F.url_decode(F.replace(F.col("file_path"), F.lit("+"), F.lit("%2B")))
+    rel = F.regexp_extract(file_path, "\\Q" + root_path + "\\E/(.*)$", 1)
     return df.select(rel.alias("rel_path"), "json")
 
 
 def manifest_layers(manifests: DataFrame) -> DataFrame:
-    """One row per (manifest, layer digest); unparsable JSON and absent digests skipped."""
-    # Only layers[].digest is needed: parse with the narrowest schema.
-    parsed = manifests.select(
-        S.manifest_tag(F.col("rel_path")).alias("tag"),
-        F.from_json(F.col("json"), LAYER_DIGESTS, {"mode": "PERMISSIVE"}).alias("m"))
-    return (parsed.where(F.col("tag").isNotNull())
-            .select("tag", F.explode(F.coalesce(F.col("m.layers"), F.array())).alias("layer"))
-            .where(F.col("layer.digest").isNotNull())
-            .select("tag", F.col("layer.digest").alias("digest"),
-                    S.digest_to_blob(F.col("layer.digest")).alias("blob")))
+    """One row per (manifest, layer digest); unparsable JSON and unfit layers are passed over."""
+    deep = F.size(F.split("rel_path", "/")) >= 3
+    layers = F.try_variant_get(F.try_parse_json("json"), "$.layers", "array<variant>")
+    digest = F.try_variant_get("layer", "$.digest", "variant")
+    return (manifests.where(deep).select(S.manifest_tag(F.col("rel_path")).alias("tag"), F.explode(layers).alias("layer"))
+            .where(F.schema_of_variant(digest) == "STRING")
+            .select("tag", F.try_variant_get("layer", "$.digest", "string").alias("digest"))
+            .select("tag", "digest", S.digest_to_blob(F.col("digest")).alias("blob")))
 
 
 def manifest_tags(manifests: DataFrame) -> DataFrame:

@@ -47,9 +47,16 @@ def pages_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conversations`` turns as assets: store = role."""
+    """``conversations`` turns as assets: store = role; the id pairs conv_id and turn.
+
+    ``conv_id << 24 | turn`` is one-to-one below 2^39 conversations of 2^24 turns; a row
+    beyond that fails the job instead of sharing an id.
+    """
     conv = read_table(spark, sf_dir, "conversations")
-    conv = conv.withColumn("turn_id", F.col("conv_id") * F.lit(1000) + F.col("turn"))
+    inside = F.col("conv_id").between(0, 2 ** 39 - 1) & F.col("turn").between(0, 2 ** 24 - 1)
+    pair = F.shiftleft(F.col("conv_id").cast("long"), 24) + F.col("turn")
+    unfit = F.raise_error(F.concat(F.lit("turn outside of the id range: "), F.concat_ws("/", "conv_id", "turn")))
+    conv = conv.withColumn("turn_id", F.when(inside, pair).otherwise(unfit.cast("long")))
     path = F.concat_ws("/", F.col("role"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     return text_assets(conv, "turn_id", "text", "role", path)
 

@@ -11,7 +11,9 @@ not changed.  Fingerprints are kept in a table keyed by
   seen, hashes them in tasks and appends their rows.  ``availableNow`` runs
   it as an incremental batch job; the checkpoint makes it resumable.
 
-Readers take the newest row per path with ``latest_fingerprints``.
+A row counts only if it was read without error and with the wanted algorithm:
+failed reads are tried again on the next run.  Readers take the newest good row
+per path with ``latest_fingerprints``.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
 
+from assetsweep.session import materialize
 from assetsweep.sources import files as FS
 
 KEY = ["path", "size", "modificationTime"]
@@ -36,15 +39,20 @@ def refresh_fingerprints(listing: DataFrame, cache: DataFrame | None, algo: str
     ``listing`` comes from ``files.list_files`` (with ``asset_id``); the result
     carries ``modificationTime`` so it can be appended to the cache.
     """
-    todo = listing if cache is None else listing.join(cache.select(*KEY), KEY, "left_anti")
+    todo = listing
+    if cache is not None:
+        good = cache.where(F.col("ok") & (F.col("algo") == algo))
+        todo = materialize(listing.join(good.select(*KEY), KEY, "left_anti"))
     fp = FS.hash_files(todo, algo)
     return fp.join(todo.select("path", "modificationTime"), "path")
 
 
-def latest_fingerprints(cache: DataFrame) -> DataFrame:
-    """Newest fingerprint per path (a rewritten file supersedes its old row)."""
-    newest = cache.groupBy("path").agg(F.max("modificationTime").alias("modificationTime"))
-    return cache.join(newest, ["path", "modificationTime"], "left_semi")
+def latest_fingerprints(cache: DataFrame, algo: str = "sha256") -> DataFrame:
+    """Newest good fingerprint per path (a rewritten file supersedes its old row)."""
+    good = cache.where(F.col("ok") & (F.col("algo") == algo))
+    others = [c for c in cache.columns if c not in ("path", "modificationTime")]
+    newest = good.groupBy("path").agg(F.max(F.struct("modificationTime", *others)).alias("r"))
+    return newest.select(*["path" if c == "path" else F.col("r")[c].alias(c) for c in cache.columns])
 
 
 def fingerprint_stream(spark: SparkSession, root: str, table_path: str, checkpoint_location: str,

@@ -142,6 +142,8 @@ def test_checkpoint_dir_when_unset_and_when_named():
     from assetsweep.session import checkpoint_dir
 
     class Ctx:
+        master = "local[4]"
+
         def __init__(self, d=None):
             self.d = d
 

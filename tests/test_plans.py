@@ -36,11 +36,13 @@ def test_group_aggregate_is_partial(spark):
     assert "partial_count" in txt
 
 
-def test_store_join_broadcasts_stores(spark):
-    stores = spark.createDataFrame([("k", "https://", False)], "kind string, root string, missing boolean")
-    s = I.store_summaries(tables.pages_assets(spark, SF), stores, boundary=False)
-    txt = s._jdf.queryExecution().executedPlan().treeString()
-    assert "BroadcastNestedLoopJoin" in txt and "BuildRight" in txt
+def test_store_join_is_an_equi_join_for_any_number_of_roots(spark):
+    stores = spark.range(3000).selectExpr("'k' as kind", "concat('https://h', id) as root").unionByName(
+        spark.createDataFrame([("k", "https://")], "kind string, root string"))
+    for boundary in (True, False):
+        s = I.store_summaries(tables.pages_assets(spark, SF), stores, boundary=boundary)
+        assert "NestedLoop" not in s._jdf.queryExecution().executedPlan().treeString()
+        assert s.count() == 3001
 
 
 def test_columns_pruned_and_filters_pushed(spark):
@@ -62,21 +64,22 @@ def _node_names(node, out):
 
 
 def test_no_cross_join_and_no_unpartitioned_window(spark):
-    """No registered query plans a cartesian product; a nested-loop join appears
-    only in the plain-prefix store summary (roots broadcast behind a count check);
-    no window runs without a partition key except over the bounded top-k rows."""
-    import __spark_entry__ as E
+    """No registered query plans a cartesian product; a nested-loop join appears only
+    where every model meets every device (a table whose row count is checked); no
+    window runs without a partition key except over the bounded top-k rows and
+    over one row per partition (ranks)."""
+    from assetsweep.plans import registry as E
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for name, fn in E.queries().items():
+        for name, fn in E.QUERIES.items():
             plan = fn(spark, SF)._jdf.queryExecution().executedPlan()
             names = _node_names(plan, [])
             assert "CartesianProduct" not in names, name
             if "BroadcastNestedLoopJoin" in names:
-                assert name == "store_summary_prefix", name
+                assert name == "capacity_fit", name
             if "Window" in names:
-                assert name in ("top_assets", "dup_groups_top"), name
+                assert name in ("top_assets", "dup_groups_top", "size_candidates_ranked"), name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -96,12 +99,12 @@ def _exchange_outputs(node, out):
 def test_no_registered_query_shuffles_payload(spark):
     """With broadcasts off (the shape at scale), no Exchange of any registered
     query carries a text or payload column."""
-    import __spark_entry__ as E
+    from assetsweep.plans import registry as E
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     seen = 0
     try:
-        for name, fn in E.queries().items():
+        for name, fn in E.QUERIES.items():
             plan = fn(spark, SF)._jdf.queryExecution().executedPlan()
             for node, cols in _exchange_outputs(plan, []):
                 seen += 1
