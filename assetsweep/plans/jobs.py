@@ -19,6 +19,7 @@ from assetsweep.operators import inventory as inv
 from assetsweep.operators import plan as pln
 from assetsweep.operators.capacity import capacity_fit, with_shard_weights  # noqa: F401  (re-exported)
 from assetsweep.operators.skew import filter_by_ids
+from assetsweep.plans import report as rep
 from assetsweep.session import literal_table, materialize, path_exists
 from assetsweep.sources import files as FS
 from assetsweep.sources import headers as hdr
@@ -30,22 +31,54 @@ class Inventory:
     stores: DataFrame
     totals: DataFrame
 
+    def top(self, n: int = 500) -> DataFrame:
+        """O3: the largest assets with their rank, ties by path."""
+        return rep.top_rows(self.assets, [F.desc("size"), F.asc("path")], n)
+
+    def report(self, dups: dup.Duplicates | None = None) -> DataFrame:
+        """One row of JSON per store, file and duplicate group, and one of totals; nulls are left out."""
+        parts = [self.stores.select(F.lit("store").alias("section"), "*"),
+                 self.assets.select(F.lit("file").alias("section"), *[c for c in self.assets.columns if c != "payload"])]
+        totals = self.totals.select(F.lit("totals").alias("section"), "*")
+        if dups is not None:
+            parts.append(dups.groups.select(F.lit("group").alias("section"), "group_id", "size_each", "n_members", "reclaimable", "keeper_id"))
+            totals = totals.crossJoin(dups.totals())  # one row each
+        return reduce(lambda a, b: a.unionByName(b), [rep.to_json_rows(p) for p in [*parts, totals]])
+
 
 def inventory(assets: DataFrame, stores: DataFrame, tags: DataFrame | None = None,
-              boundary: bool = True, manifests: DataFrame | None = None) -> Inventory:
-    """Name parts, optional tags, store summaries and totals of an asset table.
+              boundary: bool = True, manifests: DataFrame | None = None,
+              catalog: DataFrame | None = None) -> Inventory:
+    """Name parts, optional tags and headers, display names, store summaries and totals of an asset table.
 
     Tags come from ``tags`` (``blob, tag``) or are derived from ``manifests``
-    (``rel_path, json``, see ``sources.manifests``)."""
+    (``rel_path, json``, see ``sources.manifests``).  ``catalog`` (from ``catalog_headers``)
+    adds the header columns; without it no header is read (P10)."""
     if tags is None and manifests is not None:
         from assetsweep.sources.manifests import manifest_tags
         tags = manifest_tags(manifests)
     a = inv.with_name_parts(assets)
     if tags is not None:
         a = inv.attach_tags(a, tags)
+    if catalog is not None:
+        head = catalog.withColumnRenamed("name", "header_name")
+        a = a.join(head.select("path", *[c for c in head.columns if c not in a.columns]), "path", "left")
+    blank = F.lit(None).cast("string")
+    a = a.withColumns({c: blank for c in ("tag", "header_name") if c not in a.columns})
+    a = a.withColumn("display_name", rep.display_name("tag", "header_name", "path"))
     return Inventory(a, inv.store_summaries(a, stores, boundary), inv.totals(a))
 
 
+def file_inventory(spark: SparkSession, stores: list[tuple[str, str, str | None]], no_parse: bool = False,
+                   manifests: DataFrame | None = None) -> Inventory:
+    """The models below store roots ``[(kind, root, glob), ...]``, with their headers unless ``no_parse`` (P10)."""
+    files = materialize(FS.with_asset_ids(FS.select_models(FS.scan_stores(spark, stores))))
+    catalog = None if no_parse else materialize(catalog_headers(files.select("path"), from_paths=True))
+    roots = literal_table(spark, [(k, f"file:{os.path.abspath(r)}" if "://" not in r and not r.startswith("file:") else r,
+                                   not path_exists(spark, r)) for k, r, _ in stores], "kind string, root string, missing boolean")
+    return inventory(files, roots, manifests=manifests, catalog=catalog)
+
+
 def find_duplicates(assets: DataFrame, min_size: int = dup.DEFAULT_MIN_SIZE, managed=None,
                     algo: str = "sha256", exclude_same_split: bool = False,
                     prefilter: bool | str = "auto") -> dup.Duplicates:
@@ -72,10 +105,12 @@ def find_file_duplicates(spark: SparkSession, stores: list[tuple[str, str, str |
     """Duplicate groups of files below store roots ``[(kind, root, glob), ...]``.
 
     Listing (no content read) -> one row per path (U1) -> hash only files whose
-    size occurs twice (J3), in tasks that stream each file -> group (A4 A5).
+    size occurs twice (J3), in tasks that stream each file -> group (A4 A5).  Names of
+    one physical file (hard links, links) count once (D17).
     """
     files = FS.with_asset_ids(FS.scan_stores(spark, stores))
-    fp = FS.prefiltered_fingerprints(files, min_size, algo)
+    fp = materialize(FS.prefiltered_fingerprints(files, min_size, algo))
+    fp = fp.join(FS.physical_ids(fp.where("ok")), "path", "left")
     return dup.find_duplicates(fp, min_size, managed)
 
 

@@ -1020,3 +1020,42 @@ def q_dup_groups_cross_source(spark, sf_dir):
     fp = dup.fingerprint_payloads(assets, keep=("split_group",))
     d = dup.find_duplicates(fp, min_size=MIN_SIZE, managed=MANAGED, exclude_same_split=True)
     return d.groups.select("group_id", "size_each", "n_members", "reclaimable")
+
+
+# The report's JSON rows, parsed again.
+@register("inventory_report", f"""
+SELECT 'store' AS section, root AS name, n AS files, b AS bytes FROM (
+  SELECT s.root, CAST(COUNT(a.asset_id) AS BIGINT) AS n, CAST(COALESCE(SUM(a.size), 0) AS BIGINT) AS b
+  FROM ({_stores_sql(PATH_STORES)}) s LEFT JOIN ({DOC_ASSETS_SQL}) a
+    ON starts_with(a.path, CASE WHEN s.root LIKE '%/' THEN s.root ELSE s.root || '/' END) OR a.path = s.root GROUP BY s.root) x
+UNION ALL SELECT 'file', split_part(path, '/', 3), CAST(NULL AS BIGINT), size FROM ({DOC_ASSETS_SQL}) a
+UNION ALL SELECT 'group', CAST(group_id AS VARCHAR), n_members, reclaimable FROM ({_group_sql(MIN_SIZE)}) g
+UNION ALL SELECT 'totals', CAST((SELECT COUNT(*) FROM ({_group_sql(MIN_SIZE)}) g) AS VARCHAR), COUNT(*), CAST(SUM(size) AS BIGINT)
+  FROM ({DOC_ASSETS_SQL}) a
+""")
+def q_inventory_report(spark, sf_dir):
+    assets = tables.documents_assets(spark, sf_dir)
+    found = jobs.inventory(assets, _stores_df(spark, PATH_STORES))
+    rows = found.report(document_duplicates(spark, sf_dir))
+    f = lambda *keys: F.coalesce(*[F.get_json_object("json", f"$.{k}") for k in keys])
+    return rows.select(
+        f("section").alias("section"), f("root", "display_name", "group_id", "n_groups").alias("name"),
+        f("files", "total_files", "n_members").cast("long").alias("files"),
+        f("total_bytes", "bytes", "reclaimable", "size").cast("long").alias("bytes"))
+
+
+# the context length comes from the header; every fifth part has none, some exceed a signed long.
+@register("capacity_header_context", f"""
+SELECT p_partkey, CAST(ctx AS DECIMAL(20,0)) AS context_tokens,
+       CAST(LEAST(CAST(4 * p_size AS HUGEINT) * (p_size * 256 // 4) * ctx, {S.U64_MAX}) AS DECIMAL(20,0)) AS kv_cache_bytes
+FROM (SELECT p_partkey, p_size, CAST(CASE WHEN p_partkey % 5 = 0 THEN {S.DEFAULT_CONTEXT}
+             WHEN p_partkey % 7 = 0 THEN 10000000000000000000 ELSE p_size * 1024 END AS HUGEINT) AS ctx FROM part) x
+""")
+def q_capacity_header_context(spark, sf_dir):
+    p = tables.read_table(spark, sf_dir, "part")
+    given = (F.when(F.col("p_partkey") % 5 == 0, F.lit(None))
+             .when(F.col("p_partkey") % 7 == 0, F.lit("10000000000000000000")).otherwise((F.col("p_size") * 1024).cast("string")))
+    cat = p.select("p_partkey", F.lit(1).cast("long").alias("weights_bytes"), F.col("p_size").cast("long").alias("n_layers"),
+                   (F.col("p_size") * 256).cast("long").alias("n_embd"), F.lit(8).cast("long").alias("n_head"),
+                   F.lit(1).cast("long").alias("n_head_kv"), given.cast("decimal(20,0)").alias("context_length"))
+    return cap_ops.capacity_fit(cat, DEVICES[:1]).select("p_partkey", "context_tokens", "kv_cache_bytes")

@@ -143,6 +143,45 @@ def with_magic(files: DataFrame) -> DataFrame:
         .withColumn("has_magic", F.coalesce("has_magic", F.lit(False)))
 
 
+def select_models(files: DataFrame, ext: str = "gguf", blob_store: str = "ollama") -> DataFrame:
+    """Which listed files are models.
+
+    In the blob store: names that start with ``sha256-`` whose content has the header
+    magic.  Elsewhere: the wanted extension, or a split-file name, or the magic.  Only
+    files that their name does not decide are opened, for four bytes, in tasks.
+    """
+    from assetsweep.functions import scalars as S
+    stem, name = S.file_stem(F.col("name")), F.col("name")
+    blob = F.coalesce(F.col("store") == blob_store, F.lit(False))
+    named = ~blob & (F.coalesce(S.file_ext(name) == ext, F.lit(False)) | S.split_group_key(stem).isNotNull())
+    ask = ~named & (~blob | name.startswith("sha256-"))
+    by_magic = with_magic(files.where(ask)).where("has_magic").drop("has_magic")
+    return files.where(named).unionByName(by_magic.select(*files.columns))
+
+
+def _identity_rows(it):
+    import os
+    schema = pa.schema([("path", pa.string()), ("physical_id", pa.string())])
+    for batch in it:
+        paths, out = batch.column("path").to_pylist(), []
+        for p in paths:
+            found = None
+            if p.startswith("file:") or "://" not in p:
+                local = p[5:] if p.startswith("file:") else p
+                try:
+                    s = os.stat("/" + local.lstrip("/"))  # follows links, so a link has its target's identity
+                    found = f"{s.st_dev}:{s.st_ino}"
+                except OSError:
+                    found = None
+            out.append(found)
+        yield pa.RecordBatch.from_pydict({"path": paths, "physical_id": out}, schema=schema)
+
+
+def physical_ids(files: DataFrame) -> DataFrame:
+    """Device and inode per local path (hard links and links share it); null on object stores."""
+    return files.select("path").mapInArrow(_identity_rows, "path string, physical_id string")
+
+
 def _hash_file(path: str, size: int | None, algo: str):
     """(size, hash, head_hash, tail_hash, error) for one file, streamed in 1 MiB blocks."""
     try:

@@ -186,3 +186,34 @@ def test_entries_of_a_manifest_name_their_run(spark, tmp_path):
     jobs.archive(spark, removal, df, str(tmp_path / "arc"), str(tmp_path / "kept"), now=1)
     entries, _ = A.manifest_entries(A.read_manifest(spark, str(tmp_path / "arc" / "manifest")))
     assert "/data/run=" in entries.first()["destination"]
+
+
+def test_file_inventory_selects_models_and_can_leave_headers_out(spark, tmp_path):
+    import os
+
+    from assetsweep.plans import sample_headers as SH
+    head = SH.encode_header(3, [("general.architecture", "str", "llama"), ("general.name", "str", "Named")], []) + bytes(64)
+    ollama, custom = tmp_path / "ollama", tmp_path / "custom"
+    ollama.mkdir()
+    custom.mkdir()
+    (ollama / "sha256-aa").write_bytes(head)
+    (ollama / "sha256-bb").write_bytes(b"no magic here")
+    (ollama / "other").write_bytes(head)
+    (custom / "model.gguf").write_bytes(b"by extension")
+    (custom / "big-00001-of-00002").write_bytes(b"by split name")
+    (custom / "magic.bin").write_bytes(head)
+    (custom / "notes.txt").write_bytes(b"notes")
+    stores = [("ollama", str(ollama), None), ("custom", str(custom), None), ("custom", str(tmp_path / "none*"), None)][:2]
+    found = jobs.file_inventory(spark, stores)
+    rows = {r["name"]: r for r in found.assets.collect()}
+    assert set(rows) == {"sha256-aa", "model.gguf", "big-00001-of-00002", "magic.bin"}
+    assert rows["magic.bin"]["display_name"] == "Named" and rows["model.gguf"]["display_name"] == "model.gguf"
+    assert {(r["kind"], r["files"]) for r in found.stores.collect()} == {("ollama", 1), ("custom", 3)}
+    plain = jobs.file_inventory(spark, stores, no_parse=True)
+    assert "architecture" not in plain.assets.columns and plain.assets.count() == 4
+    assert found.report().count() == 2 + 4 + 1 and found.top(2).count() == 2
+    # Two names of one file are no duplicates of each other.
+    (custom / "copy.gguf").write_bytes(b"by extension")
+    os.link(custom / "model.gguf", custom / "hard.gguf")
+    groups = jobs.find_file_duplicates(spark, [("custom", str(custom), "*.gguf")], 1).groups.collect()
+    assert [r["n_members"] for r in groups] == [2]
