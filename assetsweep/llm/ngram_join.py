@@ -440,3 +440,30 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                       name(doc_id).alias("name"), _text_hash(text).alias("h"))
     kept = row.join(keep, ["no_id", "name", "h"], "left_semi").dropDuplicates(["no_id", "name", "h"])
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+# The same rows for DuckDB: all pairs that share a shingle, then a walk over the links.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT rid, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT rid, count(*) AS c FROM s GROUP BY rid
+), p AS (
+  SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL
+), e AS (
+  SELECT x, y FROM p JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * k >= 80 * (nx.c + ny.c - k)
+), both_ways AS (
+  SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), walk(rid, root) AS (
+  SELECT rid, rid FROM n UNION SELECT b.y, w.root FROM walk w JOIN both_ways b ON b.x = w.rid
+), least_id AS (
+  SELECT w.rid, min(r.doc_id) AS component_id FROM walk w JOIN d r ON r.rid = w.root GROUP BY w.rid
+)
+SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (rid) LEFT JOIN least_id l USING (rid)
+"""

@@ -79,6 +79,6 @@ def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.score_quality(docs, quality_mil.train(docs, table(spark, sf_dir, "labels")))
 
 
-@query()
+@query(ngram_join.SQL)
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
