@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetsweep.functions.scalars import EDGE_BYTES
+from assetsweep.operators.ranking import balanced
 from assetsweep.schemas import FINGERPRINT
 from assetsweep.sources.headers import READ_ERRORS, _open_path
 
@@ -214,8 +215,8 @@ def hash_files(files: DataFrame, algo: str = "sha256", num_partitions: int | Non
     """F12 F13 P9 for files: fingerprint rows computed by tasks that open each path.
 
     ``files`` needs ``asset_id, path, store, size``.  The listing rows (not the
-    content) are spread by path over ``num_partitions`` tasks, by default sized
-    from the total bytes; a failed read becomes ``ok = false``.
+    content) are dealt into ``num_partitions`` tasks of about equal bytes, by default
+    as many as the total bytes need; a failed read becomes ``ok = false``.
     """
     spark = files.sparkSession
     if num_partitions is None:
@@ -223,7 +224,7 @@ def hash_files(files: DataFrame, algo: str = "sha256", num_partitions: int | Non
         # is one task on its own); at least four tasks per core.
         total = files.agg(F.sum("size")).first()[0] or 0
         num_partitions = max(4 * spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
-    src = files.select("asset_id", "path", "store", "size").repartition(int(num_partitions), "path")
+    src = balanced(files.select("asset_id", "path", "store", "size"), "size", int(num_partitions), [F.asc("path")])
     schema = pa.schema([(f.name, t) for f, t in zip(FINGERPRINT.fields, [
         pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(),
         pa.string(), pa.bool_(), pa.string()])])

@@ -217,3 +217,11 @@ def test_file_inventory_selects_models_and_can_leave_headers_out(spark, tmp_path
     os.link(custom / "model.gguf", custom / "hard.gguf")
     groups = jobs.find_file_duplicates(spark, [("custom", str(custom), "*.gguf")], 1).groups.collect()
     assert [r["n_members"] for r in groups] == [2]
+
+
+def test_balanced_partitions(spark):
+    d = spark.range(4000).select("id", F.when(F.col("id") < 40, 1000).otherwise(1).alias("size"))
+    parts = ranking.balanced(d, "size", 8, [F.asc("id")]).groupBy(F.spark_partition_id().alias("p")).agg(
+        F.sum("size").alias("s"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in parts) == 4000 and max(r["s"] for r in parts) <= 2 * 43_960 / 8 + 1000
+    assert ranking.balanced(d.limit(0), "size", 4, [F.asc("id")]).count() == 0
