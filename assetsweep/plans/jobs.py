@@ -42,7 +42,8 @@ class Inventory:
         totals = self.totals.select(F.lit("totals").alias("section"), "*")
         if dups is not None:
             parts.append(dups.groups.select(F.lit("group").alias("section"), "group_id", "size_each", "n_members", "reclaimable", "keeper_id"))
-            totals = totals.crossJoin(dups.totals())  # one row each
+            both = totals.unionByName(dups.totals().withColumn("section", F.lit("totals")), allowMissingColumns=True)
+            totals = both.groupBy("section").agg(*[F.max(c).alias(c) for c in both.columns if c != "section"])
         return reduce(lambda a, b: a.unionByName(b), [rep.to_json_rows(p) for p in [*parts, totals]])
 
 

@@ -379,7 +379,7 @@ def q_inventory_totals(spark, sf_dir):
 
 # File names built from documents: split-style stems (five digits or not, empty
 # base for Spanish documents) with a .gguf / .bin / no extension.
-def _doc_names(spark, sf_dir):
+def _doc_names(spark, sf_dir, *more):
     d = tables.read_table(spark, sf_dir, "documents")
     base = F.when(F.col("lang") == "es", F.lit("")).otherwise(F.concat_ws("-", "lang", "source"))
     stem = F.concat(base, F.lit("-"), F.col("n_chars").cast("string"), F.lit("-of-"),
@@ -388,7 +388,7 @@ def _doc_names(spark, sf_dir):
     name = F.concat(stem, ext)
     return d.select(F.col("doc_id").alias("asset_id"), name.alias("name"),
                     F.concat_ws("/", F.col("source"), name).alias("path"),
-                    F.octet_length("text").cast("long").alias("size"))
+                    F.octet_length("text").cast("long").alias("size"), *more)
 
 
 DOC_NAMES_SQL = """
@@ -985,10 +985,9 @@ SELECT p.asset_id, COALESCE(ext = 'gguf', FALSE) OR d.n_chars % 2 = 0 OR split_g
 FROM ({NAME_PARTS_SQL}) p JOIN documents d ON d.doc_id = p.asset_id
 """)
 def q_looks_like_model(spark, sf_dir):
-    docs = tables.read_table(spark, sf_dir, "documents")
     magic = F.concat(F.when(F.col("n_chars") % 2 == 0, F.unhex(F.lit(S.HEADER_MAGIC_HEX))).otherwise(F.lit(b"")),
                      F.encode("text", "UTF-8"))
-    rows = _doc_names(spark, sf_dir).join(docs.select(F.col("doc_id").alias("asset_id"), F.substr(magic, F.lit(1), F.lit(8)).alias("payload")), "asset_id")
+    rows = _doc_names(spark, sf_dir, magic.alias("payload"))
     return rows.select("asset_id", inv.looks_like_model().alias("looks"))
 
 
