@@ -57,6 +57,7 @@ LEVEL_BITS = 22
 CHUNK_BITS = 16
 POSTING_COST = 4
 SALT_LEVEL = 14
+EARLIER = 16
 MAX_WANTED = 4_000_000
 
 _WORD = tb.byte_class((0x20, 0x20), (0x09, 0x0D))
@@ -282,15 +283,23 @@ def pivot_pairs(live: DataFrame) -> DataFrame:
 
 
 def cross_pairs(live: DataFrame, component: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of a list that stand in different components, outside of the list's largest one, not yet compared."""
-    d = live.select("token", "sid", "n", "pos").join(component, "sid", "left")
+    """Pairs of a list that stand in different components, outside of the list's largest one, not yet compared.
+
+    Linked sets pass the position test at the first shingle that their prefixes share, so a pair is wanted
+    only there.  Each posting knows its set's EARLIER open shingles; if two postings have one of these in
+    common, their pair was made in that list and is not made again.
+    """
+    d = live.select("token", "sid", "n", "pos").distinct().join(component, "sid", "left")
     d = d.select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("c"))
     sizes = d.groupBy("token", "c").agg(F.count("*").alias("m"))
     top = sizes.groupBy("token").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    d = stored(d.join(top.select("token", "main"), "token"), "join-open")
+    d = d.join(top.select("token", "main"), "token")
+    before = Window.partitionBy("sid").orderBy("pos").rowsBetween(-EARLIER, -1)
+    d = stored(d.withColumn("earlier", F.collect_list("token").over(before)), "join-open")
     a, b = d.where("c <> main").alias("a"), d.alias("b")
     on = ((F.col("a.token") == F.col("b.token")) & (F.col("a.c") != F.col("b.c"))
-          & ((F.col("b.c") == F.col("b.main")) | (F.col("a.c") < F.col("b.c"))) & _may_link("a.n", "a.pos", "b.n", "b.pos"))
+          & ((F.col("b.c") == F.col("b.main")) | (F.col("a.c") < F.col("b.c"))) & _may_link("a.n", "a.pos", "b.n", "b.pos")
+          & ~F.arrays_overlap("a.earlier", "b.earlier"))
     pairs = a.join(b, on).select(*_pair("a.sid", "b.sid")).distinct()
     return pairs.join(tested, ["u", "v"], "left_anti")
 
