@@ -2,14 +2,15 @@
 
 Base spans (email, ip, card, phone) come from patterns.  Each base value is a protected entity.  Terms
 (words) that stand within ``REACH`` code points of an entity may reveal it even when it is masked.  How
-strongly is estimated from the corpus: with N documents, df(e) documents that hold the entity, df(t)
-documents that hold the term and c(e,t) different contexts that hold both,
+strongly is estimated from the corpus: with N different texts, df(e) of them that hold the entity, df(t)
+that hold the term and c(e,t) that hold both (copies of a text count once in all four),
 
     PMI(e,t) = log2(c(e,t) * N / (df(e) * df(t)))      IC(e) = log2(N / df(e))
 
 and a term discloses the entity if PMI / IC >= ``threshold`` (1 means that the term never occurs without
-the entity) on a support of at least ``min_support`` different contexts; copies of one context count
-once.  Near the entity such terms are generalised to the class of the word (NAME, NUMBER) or removed.
+the entity) and so many common texts are no chance: for independent e and t, a bound on the chance of
+c(e,t) or more common texts is at most ``alpha``.  No number of texts is asked for: in a corpus of at
+least 1 / alpha texts, one common text is enough for a term that stands nowhere else.  Near the entity such terms are generalised to the class of the word (NAME, NUMBER) or removed.
 
 Plan: DataFrame functions only.  Spans and contexts are computed in the scan and kept as a narrow table
 in the shared folder.  Entity, pair and term counts are hash aggregates with map-side combine; the term
@@ -27,14 +28,17 @@ and text are read, other columns may have any name.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetsweep.llm.common import stored
+from assetsweep.operators.skew import filter_by_ids
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 80
-MIN_SUPPORT = 3
+ALPHA = 0.01
 THRESHOLD = 0.9
 
 # The contract's patterns, with possessive loops and run starts only, which find the same matches.
@@ -145,40 +149,63 @@ def contexts(found: DataFrame) -> DataFrame:
     return d.select("doc_id", "__h", "entity", F.xxhash64("left", "right").alias("context"), F.col("w").alias("words"))
 
 
+def one_of_each(docs: DataFrame, key: str = "__h") -> DataFrame:
+    """One row of each ``key``; only rows whose key stands more than once are shuffled."""
+    copied = stored(docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "pii-copied")
+    return (filter_by_ids(docs, copied, key, keep=False)
+            .unionByName(filter_by_ids(docs, copied, key, keep=True).dropDuplicates([key])))
+
+
 def term_documents(docs: DataFrame, text: str) -> DataFrame:
-    """df(t) over all words of all documents."""
+    """df(t) over all words of all different texts (``__h``)."""
     words = F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
+    return one_of_each(docs).select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
+
+
+def _chance(both: Column, a: Column, b: Column, n: Column) -> Column:
+    """log of a bound on the chance that of ``b`` texts out of ``n`` at least ``both`` are among ``a`` given ones.
+
+    Chvatal's bound of the hypergeometric tail, exp(-b KL(both/b || a/n)); it is not a bound below the mean.
+    """
+    q, p = both / b, a / n
+    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / F.greatest(1 - p, F.lit(1e-300)))).otherwise(0.0)
+    return F.when(q > p, -b * (q * F.log(q / p) + rest)).otherwise(0.0)
+
+
+def significant(both: Column, a: Column, b: Column, n: Column, alpha: float) -> Column:
+    """Whether the smaller of the two bounds (the tail is symmetric in ``a`` and ``b``) is at most ``alpha``."""
+    return F.least(_chance(both, a, b, n), _chance(both, b, a, n)) <= math.log(alpha)
 
 
-def disclosing_pairs(places: DataFrame, docs: DataFrame, text: str, min_support: int = MIN_SUPPORT,
+def disclosing_pairs(places: DataFrame, docs: DataFrame, text: str, alpha: float = ALPHA,
                      threshold: float = THRESHOLD) -> DataFrame:
-    """(entity, term) pairs above the threshold, with ``disclosure`` = PMI / IC."""
-    n_docs = docs.count()
-    once = places.groupBy("entity", "context").agg(F.min(F.transform("words", lambda w: w["term"])).alias("terms"))
-    support = (once.select("entity", F.explode(F.array_distinct("terms")).alias("term"))
-               .groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_support))
-    holders = (places.groupBy("entity", "doc_id", "__h").agg(F.lit(1).alias("one"))
-               .groupBy("entity").agg(F.count("*").alias("df_entity")))
+    """(entity, term) pairs above the threshold, with ``disclosure`` = PMI / IC; all counts are of different texts."""
+    n_texts = docs.select("__h").distinct().count()
+    support = (places.select("entity", "__h", F.explode(F.transform("words", lambda w: w["term"])).alias("term")).distinct()
+               .groupBy("entity", "term").agg(F.count("*").alias("both")))
+    holders = places.select("entity", "__h").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
     pairs = stored(support.join(holders, "entity"), "pii-pairs")
     pairs = pairs.join(term_documents(docs, text), "term")
-    n = F.lit(float(max(n_docs, 1)))
+    n = F.lit(float(max(n_texts, 1)))
     content = F.log2(n / F.col("df_entity"))
     pmi = F.log2(F.col("both") * n / (F.col("df_entity") * F.col("df_term")))
     return (pairs.withColumn("disclosure", F.when(content > 0, pmi / content))
-            .where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure"))
+            .where((F.col("disclosure") >= threshold)
+                   & significant(F.col("both"), F.col("df_entity"), F.col("df_term"), n, alpha))
+            .select("entity", "term", "disclosure"))
 
 
 def disclosing_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                     min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+                     alpha: float = ALPHA, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(narrow table with base spans per document, term spans per document key)."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = with_base_spans(d, "text").withColumn("__h", _row_hash("text"))
+    d = d.withColumn("__h", _row_hash("text"))
+    found = with_base_spans(d, "text")
     places = contexts(found)
     narrow = F.transform("__spans", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     base = stored(found.select("doc_id", "__h", narrow.alias("spans")), "pii-spans")
     near = stored(places, "pii-contexts")
-    pairs = stored(disclosing_pairs(near, d, "text", min_support, threshold), "pii-disclosing")
+    pairs = stored(disclosing_pairs(near, d, "text", alpha, threshold), "pii-disclosing")
     marks = (near.select("doc_id", "__h", "entity", F.explode("words").alias("w"))
              .select("doc_id", "__h", "entity", F.col("w.term").alias("term"), F.col("w.s").alias("s"), F.col("w.e").alias("e"))
              .join(pairs, ["entity", "term"], "left_semi")
@@ -187,10 +214,10 @@ def disclosing_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return base, stored(marks, "pii-terms")
 
 
-def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_support: int = MIN_SUPPORT,
+def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA,
              threshold: float = THRESHOLD) -> DataFrame:
     """One narrow row per document: counts of base spans, their hash, and all spans."""
-    base, marks = disclosing_spans(docs, doc_id, text, min_support, threshold)
+    base, marks = disclosing_spans(docs, doc_id, text, alpha, threshold)
     on = F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("b.__h") == F.col("m.__h"))
     d = base.alias("b").join(marks.alias("m"), on, "left").select("b.*", "m.terms")
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
@@ -205,14 +232,14 @@ def _class(v: Column) -> Column:
     return F.when(v.rlike(r"^\p{N}+$"), F.lit("[NUMBER]")).when(v.rlike(r"^\p{Lu}"), F.lit("[NAME]")).otherwise(F.lit(""))
 
 
-def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_support: int = MIN_SUPPORT,
+def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA,
              threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with all columns; in the text base spans are masked, disclosing terms generalised or removed.
 
     A null text stays null.  Overlapping spans are masked by the one that starts first (the longer of two
     that start together); what reaches beyond it is cut off with it.
     """
-    _, marks = disclosing_spans(docs, doc_id, text, min_support, threshold)
+    _, marks = disclosing_spans(docs, doc_id, text, alpha, threshold)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                       F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _row_hash(text).alias("__h"))
     row = with_base_spans(row, "text").withColumn(

@@ -69,3 +69,23 @@ def test_sanitise_keeps_columns_nulls_and_empty_tables(spark):
     assert sorted(out.collect(), key=str) == sorted([(1, None, "a"), (2, "", "b"), (3, "call [PHONE] now", "c"), (3, "call [PHONE] now", "c")], key=str)
     assert pii.find_pii(docs.limit(0)).collect() == []
     assert pii.sanitise(docs.limit(0)).collect() == []
+
+
+def test_entities_of_one_or_two_texts_are_judged(spark):
+    rows = [(0, "report by zorblatt about solo@corp.io and the rest"), (1, "letter of plover to pair@corp.io and the rest"),
+            (2, "memo of plover about pair@corp.io and the others"), *((3, "memo of plover about pair@corp.io and the others"),) * 3]
+    rows += [(100 + k, f"report letter memo by of to about and the rest others {k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[0] == "report by  about [EMAIL] and the rest"
+    assert clean[1] == "letter of  to [EMAIL] and the rest" and clean[2] == clean[3] == "memo of  about [EMAIL] and the others"
+    assert all(clean[100 + k] == rows[6 + k][1] for k in range(200))
+
+
+def test_copies_do_not_change_any_count(spark):
+    rows = [(k, f"seen {k % 3} with plover hid@corp.io unique") for k in range(3)] + [(10 + k, f"other text {k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
+    assert "term" in once[0]
+    often = pii.find_pii(docs.unionByName(docs.where("doc_id < 3").crossJoin(spark.range(300)).drop("id"))).collect()
+    assert {(r.doc_id, r.spans) for r in often} == set(once.items())
