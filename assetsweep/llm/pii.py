@@ -1,7 +1,7 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms around them.
 
 Base spans (email, ip, card, phone) come from patterns.  Each base value is a protected entity.  Terms
-(words) that stand within ``REACH`` code points of an entity may reveal it even when it is masked.  How
+(words) of a text that holds an entity, however far from it, may reveal it even when it is masked.  How
 strongly is estimated from the corpus: with N different texts, df(e) of them that hold the entity, df(t)
 that hold the term and c(e,t) that hold both (copies of a text count once in all four),
 
@@ -12,9 +12,9 @@ the entity) and so many common texts are no chance: for independent e and t, a b
 c(e,t) or more common texts is at most ``alpha``.  No number of texts is asked for: in a corpus of at
 least 1 / alpha texts, one common text is enough for a term that stands nowhere else.  Near the entity such terms are generalised to the class of the word (NAME, NUMBER) or removed.
 
-Plan: DataFrame functions only.  Spans and contexts are computed in the scan and kept as a narrow table
-in the shared folder.  Entity, pair and term counts are hash aggregates with map-side combine; the term
-count runs over all words of all documents.  No text is shuffled to find spans.
+Plan: DataFrame functions only.  Spans are computed in the scan and kept as a narrow table in the shared
+folder.  Class, pair and term counts are hash aggregates with map-side combine; the term count runs over
+all words of all texts.  Only texts with base spans and texts that stand more than once are shuffled.
 
 Offsets: Spark has no function for match positions, so a pattern's matches and the gaps between them are
 taken apart (``regexp_extract_all`` and ``split`` find the same matches) and their lengths in code points
@@ -37,7 +37,7 @@ from assetsweep.llm.common import stored
 from assetsweep.operators.skew import filter_by_ids
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 80
+BLOCK = 256
 ALPHA = 0.01
 THRESHOLD = 0.9
 
@@ -56,15 +56,25 @@ SPAN = "array<struct<kind:string,s:int,e:int,v:string>>"
 
 
 def _walk(gaps: str, hits: str, kind: str) -> Column:
-    """Spans (code points, end exclusive) of ``hits`` standing between ``gaps``."""
-    return F.expr(f"""aggregate(
-        zip_with(slice({gaps}, 1, size({hits})), {hits}, (g, h) -> named_struct('g', g, 'h', h)),
-        named_struct('at', 0, 'out', cast(array() as {SPAN})),
-        (a, x) -> named_struct(
-            'at', a.at + length(x.g) + length(x.h),
-            'out', concat(a.out, array(named_struct('kind', '{kind}', 's', a.at + length(x.g),
-                                                    'e', a.at + length(x.g) + length(x.h), 'v', x.h)))),
-        a -> a.out)""")
+    """Spans (code points, end exclusive) of ``hits`` standing between ``gaps``.
+
+    Offsets are added up inside blocks of ``BLOCK`` hits, after the lengths of whole blocks, so that a text of
+    very many hits does not copy a growing array at each of them.
+    """
+    part = lambda a: f"slice({a}, k * {BLOCK} + 1, {BLOCK})"
+    return F.expr(f"""flatten(zip_with(
+        sequence(0, (size({hits}) - 1) div {BLOCK}),
+        aggregate(transform(sequence(0, (size({hits}) - 1) div {BLOCK}), k ->
+                length(array_join({part(gaps)}, '')) + length(array_join({part(hits)}, ''))),
+            cast(array(0) as array<int>), (a, x) -> concat(a, array(element_at(a, -1) + x))),
+        (k, from) -> if(k is null, cast(array() as {SPAN}), aggregate(
+            zip_with(slice({gaps}, k * {BLOCK} + 1, size({part(hits)})), {part(hits)}, (g, h) -> named_struct('g', g, 'h', h)),
+            named_struct('at', from, 'out', cast(array() as {SPAN})),
+            (a, x) -> named_struct(
+                'at', a.at + length(x.g) + length(x.h),
+                'out', concat(a.out, array(named_struct('kind', '{kind}', 's', a.at + length(x.g),
+                                                        'e', a.at + length(x.g) + length(x.h), 'v', x.h)))),
+            a -> a.out))))""")
 
 
 def _digits(v: Column) -> Column:
@@ -122,31 +132,25 @@ def _row_hash(text: str) -> Column:
     return F.xxhash64(F.col(text).isNull(), F.col(text))
 
 
-def _moved(words: Column, by: Column) -> Column:
-    return F.transform(words, lambda w: F.struct(
-        F.lower(w["v"]).alias("term"), (w["s"] + by).alias("s"), (w["e"] + by).alias("e")))
-
-
-def contexts(found: DataFrame) -> DataFrame:
-    """One row per base span: doc key, entity, hash of its context and the terms in reach with offsets."""
-    d = found.where(F.size("__spans") > 0).select(
-        "doc_id", "__h", "__t", "__spans", F.explode("__spans").alias("x"))
-    d = d.select(
-        "doc_id", "__h", "__spans", _entity(F.col("x")).alias("entity"),
-        F.greatest(F.lit(0), F.col("x.s") - REACH).alias("ls"), F.col("x.e").alias("rs"), "__t", "x")
-    d = d.withColumns({
-        "left": F.substr("__t", F.col("ls") + 1, F.col("x.s") - F.col("ls")),
-        "right": F.substr("__t", F.col("rs") + 1, F.lit(REACH))})
-    for side, at in (("left", "ls"), ("right", "rs")):
-        d = d.withColumns({f"g_{side}": F.split(side, WORD, -1),
-                           f"h_{side}": F.regexp_extract_all(side, F.lit(WORD), F.lit(0))})
-        d = d.withColumn(f"w_{side}", _moved(_walk(f"g_{side}", f"h_{side}", "term"), F.col(at)))
-    # A word cut by the edge of the window is no term.
-    whole_left = F.filter("w_left", lambda w: (F.col("ls") == 0) | (w["s"] > F.col("ls")))
-    whole_right = F.filter("w_right", lambda w: (F.length("right") < REACH) | (w["e"] < F.col("rs") + REACH))
-    d = d.withColumn("w", F.concat(whole_left, whole_right))
-    d = d.withColumn("w", F.filter("w", lambda w: ~F.exists("__spans", lambda b: (w["s"] < b["e"]) & (w["e"] > b["s"]))))
-    return d.select("doc_id", "__h", "entity", F.xxhash64("left", "right").alias("context"), F.col("w").alias("words"))
+def texts_with_entities(found: DataFrame) -> DataFrame:
+    """One row per different text with base spans: ``__h``, its ``entities`` and its ``words`` outside base spans."""
+    d = found.where(F.size("__spans") > 0).select("__h", "__t", "__spans").dropDuplicates(["__h"])
+    d = d.withColumns({"g": F.split("__t", WORD, -1), "h": F.regexp_extract_all("__t", F.lit(WORD), F.lit(0))})
+    words = F.when(F.size("h") > 0, _walk("g", "h", "term"))
+    words = F.transform(words, lambda w: F.struct(F.lower(w["v"]).alias("term"), w["s"].alias("s"), w["e"].alias("e")))
+    words = F.filter(words, lambda w: ~F.exists("__spans", lambda b: (w["s"] < b["e"]) & (w["e"] > b["s"])))
+    return d.select("__h", F.array_distinct(F.transform("__spans", _entity)).alias("entities"), words.alias("words"))
+
+
+def entity_classes(near: DataFrame) -> DataFrame:
+    """(class, __h): entities that stand in the same texts have the same counts with every term, so they are one class.
+
+    The class is a fingerprint of 128 bits of the set of texts; a text with thousands of entities of its own
+    makes one class instead of a pair of each of them with each word.
+    """
+    held = near.select("__h", F.explode("entities").alias("entity"))
+    sets = held.groupBy("entity").agg(F.bit_xor(F.xxhash64(F.lit(1), "__h")).alias("a"), F.bit_xor(F.xxhash64(F.lit(2), "__h")).alias("b"))
+    return held.join(sets, "entity").select(F.struct("a", "b").alias("class"), "__h").distinct()
 
 
 def one_of_each(docs: DataFrame, key: str = "__h") -> DataFrame:
@@ -177,40 +181,41 @@ def significant(both: Column, a: Column, b: Column, n: Column, alpha: float) ->
     return F.least(_chance(both, a, b, n), _chance(both, b, a, n)) <= math.log(alpha)
 
 
-def disclosing_pairs(places: DataFrame, docs: DataFrame, text: str, alpha: float = ALPHA,
+def disclosing_pairs(holders: DataFrame, held: DataFrame, docs: DataFrame, text: str, alpha: float = ALPHA,
                      threshold: float = THRESHOLD) -> DataFrame:
-    """(entity, term) pairs above the threshold, with ``disclosure`` = PMI / IC; all counts are of different texts."""
+    """(class, term) pairs above the threshold, with ``disclosure`` = PMI / IC; all counts are of different texts."""
     n_texts = docs.select("__h").distinct().count()
-    support = (places.select("entity", "__h", F.explode(F.transform("words", lambda w: w["term"])).alias("term")).distinct()
-               .groupBy("entity", "term").agg(F.count("*").alias("both")))
-    holders = places.select("entity", "__h").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    pairs = stored(support.join(holders, "entity"), "pii-pairs")
-    pairs = pairs.join(term_documents(docs, text), "term")
+    pairs = held.groupBy("class", "term").agg(F.count("*").alias("both"))
+    pairs = pairs.join(holders.groupBy("class").agg(F.count("*").alias("df_entity")), "class")
+    pairs = stored(pairs, "pii-pairs").join(term_documents(docs, text), "term")
     n = F.lit(float(max(n_texts, 1)))
     content = F.log2(n / F.col("df_entity"))
     pmi = F.log2(F.col("both") * n / (F.col("df_entity") * F.col("df_term")))
     return (pairs.withColumn("disclosure", F.when(content > 0, pmi / content))
             .where((F.col("disclosure") >= threshold)
                    & significant(F.col("both"), F.col("df_entity"), F.col("df_term"), n, alpha))
-            .select("entity", "term", "disclosure"))
+            .select("class", "term", "disclosure"))
 
 
 def disclosing_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                      alpha: float = ALPHA, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(narrow table with base spans per document, term spans per document key)."""
+    """(narrow table with base spans per document, term spans per different text)."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     d = d.withColumn("__h", _row_hash("text"))
     found = with_base_spans(d, "text")
-    places = contexts(found)
     narrow = F.transform("__spans", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     base = stored(found.select("doc_id", "__h", narrow.alias("spans")), "pii-spans")
-    near = stored(places, "pii-contexts")
-    pairs = stored(disclosing_pairs(near, d, "text", alpha, threshold), "pii-disclosing")
-    marks = (near.select("doc_id", "__h", "entity", F.explode("words").alias("w"))
-             .select("doc_id", "__h", "entity", F.col("w.term").alias("term"), F.col("w.s").alias("s"), F.col("w.e").alias("e"))
-             .join(pairs, ["entity", "term"], "left_semi")
-             .groupBy("doc_id", "__h").agg(F.sort_array(F.collect_set(F.struct(
-                 F.lit("term").alias("kind"), "s", "e"))).alias("terms")))
+    near = stored(texts_with_entities(found), "pii-words")
+    holders = stored(entity_classes(near), "pii-classes")
+    terms = near.select("__h", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
+    held = terms.join(holders, "__h")
+    pairs = stored(disclosing_pairs(holders, held, d, "text", alpha, threshold), "pii-disclosing")
+    told = held.join(pairs, ["class", "term"], "left_semi").select("__h", "term").distinct()
+    # Every occurrence in the text, however far from the entity.
+    marks = (near.select("__h", F.explode("words").alias("w"))
+             .select("__h", F.col("w.term").alias("term"), F.col("w.s").alias("s"), F.col("w.e").alias("e"))
+             .join(told, ["__h", "term"], "left_semi")
+             .groupBy("__h").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "s", "e"))).alias("terms")))
     return base, stored(marks, "pii-terms")
 
 
@@ -218,7 +223,7 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha:
              threshold: float = THRESHOLD) -> DataFrame:
     """One narrow row per document: counts of base spans, their hash, and all spans."""
     base, marks = disclosing_spans(docs, doc_id, text, alpha, threshold)
-    on = F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("b.__h") == F.col("m.__h"))
+    on = F.col("b.__h") == F.col("m.__h")
     d = base.alias("b").join(marks.alias("m"), on, "left").select("b.*", "m.terms")
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     everything = F.concat(F.col("spans"), F.coalesce("terms", F.expr("cast(array() as array<struct<kind:string,s:int,e:int>>)")))
@@ -241,10 +246,10 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha:
     """
     _, marks = disclosing_spans(docs, doc_id, text, alpha, threshold)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                      F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _row_hash(text).alias("__h"))
+                      F.col(text).alias("text"), _row_hash(text).alias("__h"))
     row = with_base_spans(row, "text").withColumn(
         "base", F.transform("__spans", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))))
-    on = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.__h") == F.col("m.__h"))
+    on = F.col("d.__h") == F.col("m.__h")
     d = row.alias("d").join(marks.alias("m"), on, "left").select("d.row", "d.__t", "d.base", "m.terms")
     everything = F.concat("base", F.coalesce("terms", F.expr("cast(array() as array<struct<kind:string,s:int,e:int>>)")))
     d = d.withColumn("all", F.array_sort(F.transform(everything, lambda x: F.struct(

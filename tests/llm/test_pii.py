@@ -1,7 +1,9 @@
 import random
+import re
 
 import pytest
 from brute import pii_base, sha
+from pyspark.sql import functions as F
 
 from assetsweep.llm import pii
 
@@ -89,3 +91,25 @@ def test_copies_do_not_change_any_count(spark):
     assert "term" in once[0]
     often = pii.find_pii(docs.unionByName(docs.where("doc_id < 3").crossJoin(spark.range(300)).drop("id"))).collect()
     assert {(r.doc_id, r.spans) for r in often} == set(once.items())
+
+
+def test_terms_far_from_the_entity_and_all_their_occurrences(spark):
+    far = "filler word and more " * 20
+    rows = [(k, f"zorblatt {far}mail far@corp.io {far}zorblatt, quux {k}") for k in range(3)]
+    rows += [(100 + k, f"filler word and more mail {k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    text = rows[0][1]
+    spans = [x.split(":") for x in got[0].spans.split(",")]
+    assert [text[int(a):int(b)] for k, a, b in spans if k == "term"] == ["zorblatt", "zorblatt", "quux"]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any("zorblatt" in clean[k] or "quux" in clean[k] for k in range(3)) and clean[100] == rows[3][1]
+
+
+def test_offsets_beyond_one_block_of_words(spark):
+    words = [f"w{k}" for k in range(3 * pii.BLOCK)]
+    texts = [" ".join(words[:n]) + " " * (n % 3) for n in (1, 255, 256, 257, 512, 513, 768)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    d = d.withColumns({"g": F.split("t", pii.WORD, -1), "h": F.regexp_extract_all("t", F.lit(pii.WORD), F.lit(0))})
+    for r in d.select("t", pii._walk("g", "h", "term").alias("w")).collect():
+        assert [(x.s, x.e, x.v) for x in r.w] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"\w+", r.t)]
