@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetsweep.llm import chat_format, decontam, ngram_join, pii, quality_mil, quality_rules, sampled_pieces, secret_scan, token_counts, warc
+from assetsweep.llm import chat_format, decontam, fill_middle, ngram_join, pii, quality_mil, quality_rules, sampled_pieces, secret_scan, token_counts, warc
 from assetsweep.llm.common import table
 
 
@@ -82,3 +82,8 @@ def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ngram_join.SQL)
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(fill_middle.SQL)
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(fill_middle.transform(table(spark, sf_dir, "documents")))
