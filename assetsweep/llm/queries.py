@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetsweep.llm import chat_format, decontam, fill_middle, ngram_join, pii, quality_mil, quality_rules, sampled_pieces, secret_scan, token_counts, token_files, warc
+from assetsweep.llm import chat_format, decontam, fill_middle, lexical, ngram_join, pii, quality_mil, quality_rules, sampled_pieces, secret_scan, token_counts, token_files, warc
 from assetsweep.llm.common import table
 
 
@@ -93,3 +93,8 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return token_files.report(token_files.read_token_files(files))
+
+
+@query(lexical.SQL)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
