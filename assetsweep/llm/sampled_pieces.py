@@ -11,14 +11,16 @@ Weights: the model is a merge list, whose scores are merge ranks, not log-probab
 UTF-8 bytes, as the model does.
 
 The lattice falls apart wherever no piece spans two neighbouring characters.  These units repeat a lot, so
-each different one is filtered once per block, and all units of the block are filtered and sampled together,
-step by step, in numpy.
+each different one is filtered once and kept by the worker for later blocks (``STATES`` positions at most, then it starts
+anew); all units of a block are sampled together, step by step, in numpy.  Probabilities are compared as
+whole multiples of 2^-32, so what is kept from earlier blocks changes no draw.
 
 Lossless: a space is the mark U+2581, a text gets one space in front, as the model does; a mark that stands
 in the text itself is written in bytes, so decoding gives back every text.
 
 Plan: one scan, no shuffle; the model file is loaded once per worker from ``path`` (a parameter).  Texts are
-sampled in blocks of ``BLOCK_CHARS`` characters, a longer text alone.
+sampled in blocks of ``BLOCK_CHARS`` characters.  A longer text is sampled in parts that end where a unit ends, so beside
+the text and its pieces only one part is held, or the longest unit.
 
 Defined cases: a null text has null pieces, an empty text none; equal rows get equal pieces; a null key
 is a key of its own; an empty table gives an empty result; extra columns may have any name.
@@ -38,11 +40,30 @@ from assetsweep.session import ship_package
 MARK = "▁"
 SEED = 17
 BLOCK_CHARS = 1 << 20
+STATES = 1 << 22
 FALLBACK = -30.0
 
 _loaded: dict = {}
 
 
+class Grown:
+    """An array that grows in place, with room for twice as much when it is full."""
+
+    def __init__(self, kind):
+        self.n, self.room = 0, np.zeros(1024, kind)
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.room):
+            room = np.zeros(2 * (self.n + len(x)), self.room.dtype)
+            room[:self.n] = self.room[:self.n]
+            self.room = room
+        self.room[self.n:self.n + len(x)] = x
+        self.n += len(x)
+
+    def all(self) -> np.ndarray:
+        return self.room[:self.n]
+
+
 class Model:
     """Pieces of a model file, their weights, and which neighbours a piece can span."""
 
@@ -93,6 +114,17 @@ class Model:
         self.raw_size = np.array([len(x) for x in raw], np.int64)
         self.raw_first = np.cumsum(self.raw_size) - self.raw_size
         self.byte_piece = np.array([self.byte[k] for k in range(256)], np.int32)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the table of filtered units."""
+        self.unit_key = np.zeros(0, np.uint64)  # sorted, with the last state of each unit
+        self.unit_end = np.zeros(0, np.int64)
+        self.head = Grown(np.int32)  # first edge into each state
+        self.is_start = Grown(bool)
+        self.reached = Grown(np.uint32)  # edges: cumulative probability, state they come from, piece
+        self.previous = Grown(np.int32)
+        self.piece_of = Grown(np.int32)
 
     # -- lattices of units -------------------------------------------------------------------------
 
@@ -122,25 +154,23 @@ class Model:
     def _filtered(self, kind: np.ndarray, points: np.ndarray, first: np.ndarray, size: np.ndarray):
         """Forward filtering of many units at once.
 
-        States are positions in units (a unit of n characters has n + 1).  Returns, sorted by state: the
-        cumulative probability of the edges into a state plus its number, the states they come from, the
-        pieces, and which states are starts.
+        States are positions in units (a unit of n characters has n + 1).  Returns the first edge into each
+        state, which states are starts, and, sorted by state and length of the piece: the cumulative
+        probability of the edges as multiples of 2^-32, the states they come from and the pieces.
         """
         unit = np.repeat(np.arange(len(first)), size)
         start, length, piece = self._edges(kind, points, np.repeat(first + size, size))
         depth = start - first[unit[start]] + length
-        order = np.lexsort((start, depth))
-        start, length, piece, depth = start[order], length[order], piece[order], depth[order]
         source = start + unit[start]
         target = source + length
         weight = np.where(piece >= 0, self.weight[np.maximum(piece, 0)], FALLBACK)
-        n_states = len(kind) + len(first)
+        n_states, longest = len(kind) + len(first), int(length.max()) + 1
         total = np.full(n_states, -np.inf)
         is_start = np.zeros(n_states, bool)
         is_start[first + np.arange(len(first))] = True
         total[is_start] = 0
-        by = np.lexsort((target, depth))
-        source, target, weight, piece, depth = source[by], target[by], weight[by], piece[by], depth[by]
+        by = np.argsort((depth * n_states + target) * longest + length)
+        source, target, weight, piece, length, depth = (x[by] for x in (source, target, weight, piece, length, depth))
         steps = np.flatnonzero(np.diff(depth, prepend=-1))
         for a, b in zip(steps, np.append(steps[1:], len(depth))):
             x = total[source[a:b]] + weight[a:b]
@@ -148,53 +178,88 @@ class Model:
             top = np.maximum.reduceat(x, head)
             runs = np.diff(np.append(head, b - a))
             total[target[a:b][head]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, runs)), head))
-        share = np.exp(total[source] + weight - total[target])
-        by = np.argsort(target, kind="stable")
+        # Whole multiples of 2^-32 from here on: sums are exact, whatever else stands in the block.
+        share = np.floor(np.exp(total[source] + weight - total[target]) * 2.0 ** 32).astype(np.int64)
+        by = np.argsort(target * longest + length)
         source, target, piece, share = source[by], target[by], piece[by], share[by]
         head = np.flatnonzero(np.diff(target, prepend=-1))
         reached = np.cumsum(share)
         reached -= np.repeat(reached[head] - share[head], np.diff(np.append(head, len(target))))
-        reached[np.append(head[1:], len(target)) - 1] = 1.0
-        return target + np.minimum(reached, 1.0), source, piece, is_start
+        reached = np.minimum(reached, 0xFFFFFFFF).astype(np.uint32)
+        reached[np.append(head[1:], len(target)) - 1] = 0xFFFFFFFF
+        first_edge = np.zeros(n_states, np.int64)
+        first_edge[target[head]] = head
+        return first_edge, is_start, reached, source, piece
+
+    def _learn(self, key: np.ndarray, kind: np.ndarray, points: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        """Filters new units, given with their keys, and keeps them."""
+        head, is_start, reached, previous, piece = self._filtered(kind, points, first, size)
+        states, edges = self.head.n, self.reached.n
+        self.head.add(head + edges)
+        self.is_start.add(is_start)
+        self.reached.add(reached)
+        self.previous.add(previous + states)
+        self.piece_of.add(piece)
+        ends = states + first + size + np.arange(len(first))
+        both = np.concatenate([self.unit_key, key])
+        order = np.argsort(both, kind="stable")
+        self.unit_key, self.unit_end = both[order], np.concatenate([self.unit_end, ends])[order]
 
     # -- blocks of texts ---------------------------------------------------------------------------
 
-    def sample(self, texts: list[str], keys: np.ndarray, seed: int = SEED) -> list[np.ndarray]:
-        """Pieces of each text, drawn by its key."""
-        joined = "".join(" " + t if t else "" for t in texts)
-        sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
-        ends = np.cumsum(sizes)
-        if not len(joined):
-            return [np.zeros(0, np.int32) for _ in texts]
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    def _units(self, points: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """First characters of the units; a part always begins one."""
         kind = self.chars[points].astype(np.int64)
         cut = np.ones(len(points), bool)
         cut[1:] = ~self.span[kind[:-1] * self.side + kind[1:]]
-        cut[(ends - sizes)[sizes > 0]] = True
-        at = np.flatnonzero(cut)
+        cut[begins] = True
+        return np.flatnonzero(cut)
+
+    def _ends(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The last state of each unit; units not met before are filtered."""
         stop = np.append(at[1:], len(points))
-        # Units by hash of their characters.
         h = mix(points.astype(np.uint64) + np.uint64(0x51ED270B))
         place = np.arange(len(points)) - np.repeat(at, stop - at)
         h = mix(h ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         key = np.add.reduceat(h, at)
-        distinct, example, unit = np.unique(key, return_index=True, return_inverse=True)
-        size = (stop - at)[example]
-        first = np.cumsum(size) - size
-        chars = np.repeat(at[example] - first, size) + np.arange(size.sum())
-        cumulative, previous, piece, is_start = self._filtered(kind[chars], points[chars], first, size)
-        end_state = (first + size + np.arange(len(first)))[unit]
+        if self.head.n > STATES:
+            self._forget()
+        where = np.minimum(np.searchsorted(self.unit_key, key), max(0, len(self.unit_key) - 1))
+        new = np.flatnonzero(self.unit_key[where] != key) if len(self.unit_key) else np.arange(len(at))
+        if len(new):
+            fresh, example = np.unique(key[new], return_index=True)
+            example = new[example]
+            size = (stop - at)[example]
+            first = np.cumsum(size) - size
+            chars = np.repeat(at[example] - first, size) + np.arange(size.sum())
+            self._learn(fresh, self.chars[points[chars]].astype(np.int64), points[chars], first, size)
+            where = np.searchsorted(self.unit_key, key)
+        return self.unit_end[where]
+
+    def draw(self, points: np.ndarray, begins: np.ndarray, keys: np.ndarray, before: np.ndarray, seed: int = SEED):
+        """(pieces, bounds of each part, units of each part) of parts of rows.
+
+        ``begins`` are the first characters of the parts, which are not empty, ``before`` the units of the row before its part.
+        """
+        at = self._units(points, begins)
+        state = self._ends(points, at)
+        first_unit = np.searchsorted(at, begins)
+        units = np.diff(np.append(first_unit, len(at)))
         # Draws are keyed by row, unit within the row, and step.
-        doc = np.searchsorted(ends, at, "right")
-        first_unit = np.searchsorted(at, ends - sizes)
-        own = (np.arange(len(at)) - first_unit[doc]).astype(np.uint64)
-        base = mix(mix(keys.astype(np.uint64) + np.uint64(seed))[doc] + own * np.uint64(0x9E3779B97F4A7C15))
-        active, state, step = np.arange(len(at)), end_state, 0
+        own = (np.arange(len(at)) - np.repeat(first_unit - before, units)).astype(np.uint64)
+        base = mix(np.repeat(mix(keys.astype(np.uint64) + np.uint64(seed)), units) + own * np.uint64(0x9E3779B97F4A7C15))
+        head, is_start, reached, previous, piece_of = (x.all() for x in (self.head, self.is_start, self.reached, self.previous, self.piece_of))
+        active, step = np.arange(len(at)), 0
         drawn, count = [], np.zeros(len(at), np.int64)
         while len(active):
-            u = (mix(base[active] + np.uint64(step + 1)) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
-            edge = np.searchsorted(cumulative, state + u, "right")
-            drawn.append((active, piece[edge]))
+            u = (mix(base[active] + np.uint64(step + 1)) >> np.uint64(32)).astype(np.uint32)
+            u = np.minimum(u, np.uint32(0xFFFFFFFE))
+            edge = head[state]
+            more = np.flatnonzero(u >= reached[edge])
+            while len(more):  # on to the next edge into the state
+                edge[more] += 1
+                more = more[u[more] >= reached[edge[more]]]
+            drawn.append((active, piece_of[edge]))
             count[active] += 1
             state = previous[edge]
             on = ~is_start[state]
@@ -204,8 +269,40 @@ class Model:
         for k, (who, p) in enumerate(drawn):
             out[last[who] - 1 - k] = p
         bounds = np.append(last - count, last[-1])[np.append(first_unit, len(at))]
-        out, bounds = self._with_bytes(out, bounds)
-        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        return *self._with_bytes(out, bounds), units
+
+    def sample(self, texts: list[str], keys: np.ndarray, seed: int = SEED) -> list[np.ndarray]:
+        """Pieces of each text, drawn by its key; callers bound the texts, see ``sample_long``."""
+        some = [k for k, t in enumerate(texts) if t]
+        out = [np.zeros(0, np.int32)] * len(texts)
+        if some:
+            sizes = np.array([len(texts[k]) + 1 for k in some], np.int64)
+            points = np.frombuffer("".join(" " + texts[k] for k in some).encode("utf-32-le"), np.uint32)
+            pieces, bounds, _ = self.draw(points, np.cumsum(sizes) - sizes, keys[some], np.zeros(len(some), np.int64), seed)
+            for k, a, b in zip(some, bounds[:-1], bounds[1:]):
+                out[k] = pieces[a:b]
+        return out
+
+    def sample_long(self, text: str, key: np.ndarray, seed: int = SEED, block: int = BLOCK_CHARS) -> tuple[np.ndarray, bool]:
+        """The pieces of one text, drawn in parts of about ``block`` characters, and whether they decode to it."""
+        text = " " + text
+        a, units, out, good = 0, 0, [], True
+        while a < len(text):
+            b, look = min(a + block, len(text)), 64
+            while b < len(text):  # on to where a unit begins
+                points = np.frombuffer(text[b - 1:b + look].encode("utf-32-le"), np.uint32)
+                starts = self._units(points, np.zeros(1, np.int64))
+                if len(starts) > 1:
+                    b += int(starts[1]) - 1
+                    break
+                b, look = min(b + look, len(text)), 2 * look
+            points = np.frombuffer(text[a:b].encode("utf-32-le"), np.uint32)
+            pieces, _, n = self.draw(points, np.zeros(1, np.int64), key, np.array([units]), seed)
+            good = good and self.bytes_of(pieces).decode() == text[a:b]
+            out.append(pieces)
+            units += int(n[0])
+            a = b
+        return np.concatenate(out), good
 
     def _with_bytes(self, out: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces that stand for code points become byte pieces."""
@@ -223,11 +320,14 @@ class Model:
             wide[where[some] + moved[where[some]] + k] = self.byte_piece[lead]
         return wide.astype(np.int32), bounds + moved[bounds]
 
-    def decode(self, pieces: np.ndarray) -> str:
-        """The text of pieces of one row."""
+    def bytes_of(self, pieces: np.ndarray) -> bytes:
         size = self.raw_size[pieces]
         at = np.repeat(self.raw_first[pieces] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return self.raw[at].tobytes().decode()[1:]
+        return self.raw[at].tobytes()
+
+    def decode(self, pieces: np.ndarray) -> str:
+        """The text of pieces of one row."""
+        return self.bytes_of(pieces).decode()[1:]
 
 
 def model(path: str, temperature: float = 1.0) -> Model:
@@ -237,12 +337,14 @@ def model(path: str, temperature: float = 1.0) -> Model:
 
 
 def _runs(texts: list, limit: int):
+    """Ranges of texts of about ``limit`` characters; a longer text is a range of its own."""
     first, held = 0, 0
     for k, t in enumerate(texts):
-        held += len(t or "")
-        if held >= limit:
-            yield first, k + 1
-            first, held = k + 1, 0
+        n = len(t or "") + 1
+        if held and held + n > limit:
+            yield first, k
+            first, held = k, 0
+        held += n
     if first < len(texts):
         yield first, len(texts)
 
@@ -255,8 +357,12 @@ def _encoder(path: str, temperature: float, seed: int):
             keys = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for a, b in _runs(texts, BLOCK_CHARS):
                 part = texts[a:b]
-                pieces = m.sample([t or "" for t in part], keys[a:b], seed)
-                good = [t is None or m.decode(p) == t for t, p in zip(part, pieces)]
+                if len(part) == 1 and len(part[0] or "") >= BLOCK_CHARS:
+                    ids, same = m.sample_long(part[0], keys[a:b], seed)
+                    pieces, good = [ids], [same]
+                else:
+                    pieces = m.sample([t or "" for t in part], keys[a:b], seed)
+                    good = [t is None or m.decode(p) == t for t, p in zip(part, pieces)]
                 offsets = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
                 flat = pa.array(np.concatenate(pieces) if pieces else np.zeros(0, np.int32))
                 ids = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([t is None for t in part]))

@@ -59,3 +59,31 @@ def test_pieces_depend_on_the_key_only(m, spark):
     other = P.sample_pieces(docs, PATH, seed=5).collect()
     assert {(r.doc_id, str(r.pieces)) for r in other} != one
     assert P.sample_pieces(docs.limit(0), PATH).collect() == []
+
+
+def test_parts_of_a_long_text_give_the_pieces_of_the_whole(m):
+    text = "".join(TEXTS) * 5 + "words and more words " * 400
+    key = np.array([99], np.uint64)
+    (whole,) = m.sample([text], key)
+    for block in (1, 7, 300, 10_000):
+        pieces, good = m.sample_long(text, key, block=block)
+        assert good and pieces.tolist() == whole.tolist()
+
+
+def test_kept_units_change_no_draw(m, monkeypatch):
+    keys = np.arange(len(TEXTS)).astype(np.uint64)
+    want = [p.tolist() for p in m.sample(TEXTS, keys)]
+    monkeypatch.setattr(P, "STATES", 50)  # the table starts anew all the time
+    fresh = P.Model(PATH)
+    for k in (3, 1, 0, 2):
+        assert [p.tolist() for p in fresh.sample(TEXTS[k:], keys[k:])] == want[k:]
+    assert [fresh.sample([t], keys[k:k + 1])[0].tolist() for k, t in enumerate(TEXTS)] == want
+    assert fresh.head.n < 50 + 4000
+
+
+def test_a_long_row_among_others(m, spark, monkeypatch):
+    rows = [(1, "short"), (2, "many words in a row, " * 80_000), (3, None), (4, "x" * 5000)]
+    out = {r.doc_id: r for r in P.sample_pieces(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH).collect()}
+    assert all(r.lossless for r in out.values()) and len(out) == 4
+    key = spark.range(2, 3).selectExpr("xxhash64(false, id) AS k").first().k % 2**64
+    assert out[2].pieces == m.sample([rows[1][1]], np.array([key], np.uint64))[0].tolist()
