@@ -18,8 +18,8 @@ def shingles(text):
     return {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
 
 
-def brute(rows):
-    """(doc_id, set size, component) by union-find over all pairs that share a shingle."""
+def brute_roots(rows):
+    """(sets, root of each row) by union-find over all pairs that share a shingle."""
     sets = [shingles(t) for _, t in rows]
     up = list(range(len(rows)))
 
@@ -37,11 +37,17 @@ def brute(rows):
             both = len(s & sets[j])
             if 100 * both >= 80 * len(s | sets[j]):
                 up[find(j)] = find(k)
+    return sets, [find(k) for k in range(len(rows))]
+
+
+def brute(rows):
+    """(doc_id, set size, component) of each row."""
+    sets, roots = brute_roots(rows)
     least = {}
-    for k, (i, _) in enumerate(rows):
+    for root, (i, _) in zip(roots, rows):
         if i is not None:
-            least[find(k)] = min(i, least.get(find(k), i))
-    return sorted(((i, len(s), least.get(find(k), i) if s else i) for k, ((i, _), s) in enumerate(zip(rows, sets))), key=str)
+            least[root] = min(i, least.get(root, i))
+    return sorted(((i, len(s), least.get(root, i) if s else i) for (i, _), s, root in zip(rows, sets, roots)), key=str)
 
 
 def changed(rng, words, n):
@@ -140,7 +146,12 @@ def test_one_document_of_each_component_stays(spark):
     kept = J.keep_first(docs)
     assert kept.columns == docs.columns
     got = [r.doc_id for r in kept.collect()]
-    names = {(c, n > 0 or i) for i, n, c in brute(rows)}
-    assert len(got) == len(names) and None in got
-    assert {x for x in got if x is not None} == {c for c, _ in names if c is not None}
+    # One of each component, told by its root: an id that stands in two of them names both.
+    sets, roots = brute_roots(rows)
+    parts = {}
+    for (i, t), s, root in zip(rows, sets, roots):
+        parts.setdefault(("linked", root) if s else ("alone", i, t), []).append(i)
+    assert len(got) == len(parts) and None in got
+    least = [min((i for i in ids if i is not None), default=None) for ids in parts.values()]
+    assert sorted(got, key=str) == sorted(least, key=str)
     assert J.keep_first(docs.limit(0)).collect() == [] and J.near_duplicates(docs.limit(0)).collect() == []
