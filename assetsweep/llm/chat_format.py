@@ -35,18 +35,21 @@ def gather_turns(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
 
 def cut_reply(gathered: DataFrame) -> DataFrame:
-    """Pairs from single conversations: the rejected side ends with the first half of the last reply.
+    """Pairs from single conversations: the rejected side ends with the first half of one of the replies.
 
-    Conversations without an assistant turn make no pair.
+    A hash of conv_id chooses the assistant turn, so the sides part anywhere in a conversation.  A conversation
+    without an assistant turn is paired with itself.
     """
-    d = gathered.withColumn("last", F.array_max(F.transform(
-        "turns", lambda t, i: F.when(t["role"] == TRAINED, i + 1))))
-    d = d.where("last is not null").withColumn("reply", F.element_at("turns", F.col("last")))
+    replies = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == TRAINED, i + 1)), lambda i: i.isNotNull())
+    draw = F.conv(F.substring(F.sha2(F.col("conv_id").cast("string"), 256), 1, 8), 16, 10).cast("long")
+    d = gathered.withColumn("replies", replies)
+    d = d.withColumn("last", F.get("replies", (draw % F.nullif(F.size("replies"), F.lit(0))).cast("int")))
+    d = d.withColumn("reply", F.get("turns", F.col("last") - 1))
     words = F.split(F.col("reply.text"), " ")
     half = F.array_join(F.slice(words, 1, F.floor(F.size(words) / 2).cast("int")), " ")
     cut = F.struct(F.col("reply.turn").alias("turn"), F.col("reply.role").alias("role"), half.alias("text"))
-    return d.select("conv_id", F.col("turns").alias("chosen"),
-                    F.concat(F.slice("turns", 1, F.col("last") - 1), F.array(cut)).alias("rejected"))
+    parted = F.concat(F.slice("turns", 1, F.col("last") - 1), F.array(cut))
+    return d.select("conv_id", F.col("turns").alias("chosen"), F.when(F.col("last").isNull(), F.col("turns")).otherwise(parted).alias("rejected"))
 
 
 def _safe(c: Column) -> Column:
@@ -98,13 +101,15 @@ WITH t AS (
 ), c AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t
 ), l AS (
-  SELECT conv_id, max(i) AS last FROM c WHERE role = 'assistant' GROUP BY conv_id
+  SELECT conv_id, list(i ORDER BY i) FILTER (role = 'assistant') AS replies FROM c GROUP BY conv_id
+), x AS (
+  SELECT conv_id, replies[1 + ('0x' || sha256(conv_id::VARCHAR)[1:8])::BIGINT % len(replies)] AS last FROM l
 ), sides AS (
-  SELECT conv_id, 'c' AS side, i, role, text FROM c JOIN l USING (conv_id)
+  SELECT conv_id, 'c' AS side, i, role, text FROM c
   UNION ALL
-  SELECT conv_id, 'r', i, role, CASE WHEN i < last THEN text ELSE
+  SELECT conv_id, 'r', i, role, CASE WHEN last IS NULL OR i < last THEN text ELSE
     array_to_string(string_split(text, ' ')[1:len(string_split(text, ' ')) // 2], ' ') END
-  FROM c JOIN l USING (conv_id) WHERE i <= last
+  FROM c JOIN x USING (conv_id) WHERE last IS NULL OR i <= last
 ), cmp AS (
   SELECT conv_id, i, count(*) AS n, count(DISTINCT (role, text)) AS d FROM sides GROUP BY conv_id, i
 ), pre AS (

@@ -63,7 +63,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(chat_format.SQL)
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation against itself with its last reply cut short."""
+    """Each conversation against itself with one of its replies cut short."""
     gathered = chat_format.gather_turns(table(spark, sf_dir, "conversations"))
     return chat_format.format_pairs(chat_format.cut_reply(gathered))
 
