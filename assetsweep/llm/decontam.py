@@ -17,7 +17,8 @@ phrases go to the executors in broadcasts of at most ``PHRASE_WORDS`` words each
 size makes more of them, and each is searched in every shard.
 
 Defined cases: null and empty texts have no words and are clean; items without words match nothing;
-equal rows get equal results; equal items are each counted; an empty table of documents gives an empty
+equal rows get equal results; equal items are each counted; items with a null id are searched like others, count as one item and
+add nothing to the list of ids; an empty table of documents gives an empty
 result, an empty benchmark finds nothing; extra columns are not read, their names do not matter.
 """
 
@@ -296,7 +297,7 @@ def _scanner(groups, limit: int):
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(sizes[k:k + n], pa.int64()), pa.array(n_hit[k:k + n], pa.int64()),
-                    pa.array([sorted(f) for f in found[k:k + n]], pa.list_(pa.string())),
+                    pa.array([sorted(f, key=lambda i: (i is None, i)) for f in found[k:k + n]], pa.list_(pa.string())),
                     pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))],
                     names=["row_id", "n_words", "n_hit", "items", "spans"])
                 k += n
@@ -306,7 +307,7 @@ def _scanner(groups, limit: int):
 def phrase_groups(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW):
     """Broadcasts of phrases, each from items with about PHRASE_WORDS words (or one longer item)."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = 1 + size // (PHRASE_WORDS * 6)
     for k in range(n):

@@ -92,3 +92,13 @@ def test_removal_cuts_spans_and_keeps_columns(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "é zero  end", 2: None, 3: "", 4: "a b c"}
     assert D.contamination_report(docs.limit(0), bench).collect() == []
     assert not any(r.contaminated for r in D.contamination_report(docs, bench.limit(0)).collect())
+
+
+def test_items_with_a_null_id_are_searched(spark):
+    docs = spark.createDataFrame([(1, "x a b c d e f g h i j y"), (2, "other words"), (3, "k l m")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b c d e f g h i j"), (None, "k l m"), (7, "a b c d e f g h i j")], "item_id long, text string")
+    rows = {r.doc_id: r for r in D.contamination_report(docs, bench).collect()}
+    assert (rows[1].n_hit, rows[1].n_items, rows[3].n_hit, rows[3].n_items, rows[2].n_hit) == (10, 2, 3, 1, 0)
+    import hashlib
+    assert rows[1].items_sha256 == hashlib.sha256(b"7").hexdigest() and rows[3].items_sha256 == hashlib.sha256(b"").hexdigest()
+    assert rows[3].contaminated and D.remove_contamination(docs, bench).where("doc_id = 3").first().text == ""
