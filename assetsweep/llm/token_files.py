@@ -33,6 +33,7 @@ import os
 import re
 import struct
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ FILE_DOCS = 1 << 20
 GROUP = 256
 RUN_CHARS = 1 << 20
 KNOWN = 1 << 19
+JOINED = 1000
+TAIL = ".,;:!?"
 
 MAGIC = b"PFORIDS1"
 _BLOCK = struct.Struct("<IBHH")  # minimum, width, ids, exceptions
@@ -247,7 +250,11 @@ class _Codes(dict):
 
 
 class Encoder:
-    """Ids of many texts, equal segments encoded once."""
+    """Ids of many texts, equal segments encoded once.
+
+    A new segment that ends in punctuation after an ASCII letter is put together from its stem and its tail, which are
+    segments too: the pattern always ends a run of letters there.
+    """
 
     def __init__(self, path: str, known: int = KNOWN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
@@ -263,7 +270,8 @@ class Encoder:
         self.segments: list[str] = []
         self.chars = 0
         self.plain, self.spaced = _Codes(self.segments, ""), _Codes(self.segments, " ")
-        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        # Ids of segment k: flat[first[k]:first[k] + size[k]].
+        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _codes(self, text: str) -> list[int]:
         if not self.split:
@@ -273,24 +281,71 @@ class Encoder:
         first, *others = text.split(" ")
         return [self.plain[first], *map(self.spaced.__getitem__, others)]
 
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each segment, ids of all)."""
+        sizes = self.size[codes]
+        total = np.cumsum(sizes)
+        at = np.repeat(self.first[codes] - (total - sizes), sizes) + np.arange(int(sizes.sum()))
+        return sizes, self.flat[at]
+
+    def _encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each segment, ids of all).
+
+        Words with a space in front are encoded many at a time.  Each starts a piece, so if there are as many
+        pieces as words, every word is one; otherwise they are encoded one by one.
+        """
+        words = [k for k, x in enumerate(segments) if self.split and x[:1] == " " and x[1:].isalpha()]
+        made: list = [None] * len(segments)
+        for at in range(0, len(words), JOINED):
+            which = words[at:at + JOINED]
+            e = self.tok.encode("".join([segments[k] for k in which]), add_special_tokens=False)
+            ids, piece = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
+            if piece[-1] != len(which) - 1:
+                continue
+            cuts = np.searchsorted(piece, np.arange(len(which) + 1)).tolist()
+            for k, a, b in zip(which, cuts, cuts[1:]):
+                made[k] = ids[a:b]
+        others = [k for k, x in enumerate(made) if x is None]
+        for k, e in zip(others, self.tok.encode_batch_fast([segments[k] for k in others], add_special_tokens=False)):
+            made[k] = np.array(e.ids, np.uint32)
+        return np.fromiter(map(len, made), np.int64, len(made)), np.concatenate([np.zeros(0, np.uint32), *made])
+
+    def _learn(self) -> None:
+        """Ids of the segments noted since the last call."""
+        known = len(self.size)
+        whole, joined, k = [], [], known
+        while k < len(self.segments):  # stems and tails are added on the way
+            segment = self.segments[k]
+            stem = segment.rstrip(TAIL)
+            if self.split and stem != segment and stem[-1:].isascii() and stem[-1:].isalpha():
+                codes = (self.spaced, stem[1:]) if stem[0] == " " else (self.plain, stem)
+                joined.append((k, codes[0][codes[1]], self.plain[segment[len(stem):]]))
+            else:
+                whole.append(k)
+            k += 1
+        self.chars += sum(map(len, self.segments[known:]))
+        sizes, ids = self._encode_segments([self.segments[k] for k in whole])
+        self.size, self.first = (np.concatenate([x, np.zeros(len(self.segments) - known, np.int64)]) for x in (self.size, self.first))
+        self.size[whole], self.first[whole] = sizes, len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, ids])
+        if joined:
+            target, *parts = np.array(joined, np.int64).T
+            sizes, ids = self._gather(np.column_stack(parts).reshape(-1))
+            sizes = sizes.reshape(-1, 2).sum(axis=1)
+            self.size[target], self.first[target] = sizes, len(self.flat) + np.cumsum(sizes) - sizes
+            self.flat = np.concatenate([self.flat, ids])
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, ids of all); callers bound the texts, see ``runs``."""
         if len(self.segments) > self.known or self.chars > 32 * self.known:
             self._clear()
         each = [self._codes(t) for t in texts]
-        counts = np.array([len(c) for c in each], np.int64)
-        codes = np.fromiter((c for part in each for c in part), np.int64, int(counts.sum()))
-        fresh = self.segments[len(self.size):]
-        if fresh:
-            made = [e.ids for e in self.tok.encode_batch_fast(fresh, add_special_tokens=False)]
-            self.chars += sum(map(len, fresh))
-            self.size = np.concatenate([self.size, np.array([len(x) for x in made], np.int64)])
-            self.flat = np.concatenate([self.flat, *(np.array(x, np.uint32) for x in made)])
-        first = np.cumsum(self.size) - self.size
-        sizes = self.size[codes]
-        total = np.cumsum(sizes)
-        ids = self.flat[np.repeat(first[codes] - (total - sizes), sizes) + np.arange(int(sizes.sum()))]
-        passed = np.concatenate([[0], total])
+        counts = np.fromiter(map(len, each), np.int64, len(each))
+        codes = np.fromiter(chain.from_iterable(each), np.int64, int(counts.sum()))
+        if len(self.segments) > len(self.size):
+            self._learn()
+        sizes, ids = self._gather(codes)
+        passed = np.concatenate([[0], np.cumsum(sizes)])
         return np.diff(passed[np.concatenate([[0], np.cumsum(counts)])]), ids
 
 
