@@ -10,10 +10,11 @@ give the start of every block and the keys and starts of the documents; the foot
 
 So a range of ids is read by fetching the blocks that hold it and patching their outliers.
 
-Encoding: texts are cut where a space follows something else, if the tokenizer is byte-level BPE with the usual
+Encoding: texts are cut into segments where the tokenizer surely begins a piece, if it is byte-level BPE with the usual
 split pattern (``splits_at_spaces`` looks; any other tokenizer gets whole texts).  That pattern has no alternative with
-white space after something else and looks ahead only, so a piece always starts there and merges never
-cross it: the ids are those of the whole text.  Equal segments are encoded once per worker and kept (at most ``KNOWN``).
+white space after something else, ends a run of letters at punctuation and looks ahead only, so a piece always starts there and
+merges never cross it: the ids are those of the whole text.  Equal segments are encoded once per worker and kept (about
+``KNOWN`` of them, then it starts anew).
 
 Plan: one range exchange by (key, row number), sorted inside each partition; a key that repeats is dealt to
 several partitions by the row number.  Tasks encode and write files under names of their own and return
@@ -41,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from assetsweep.llm import textbytes as tb
 from assetsweep.llm.common import filesystem, shared_path, stored
 from assetsweep.session import ship_package
 
@@ -50,10 +52,10 @@ PERCENTILE = 90
 FILE_IDS = 1 << 26
 FILE_DOCS = 1 << 20
 GROUP = 256
-RUN_CHARS = 1 << 20
-KNOWN = 1 << 19
+RUN_BYTES = 1 << 21
+KNOWN = 1 << 20
 JOINED = 1000
-TAIL = ".,;:!?"
+TAIL = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 
 MAGIC = b"PFORIDS1"
 _BLOCK = struct.Struct("<IBHH")  # minimum, width, ids, exceptions
@@ -223,8 +225,10 @@ class TokenFile:
 # ---------------------------------------------------------------- encoding
 
 _loaded: dict = {}
-_ODD = re.compile(r"\s ")
-_PROVEN = re.compile(r"(?<=\S)(?= )")
+
+_LETTER = ~tb.byte_class((0x41, 0x5A), (0x61, 0x7A))
+# White space of Unicode in one byte, and the separators that some libraries count as such.
+_BLANK = ~tb.byte_class((0x09, 0x0D), (0x1C, 0x20))
 
 
 def splits_at_spaces(tok) -> bool:
@@ -236,24 +240,23 @@ def splits_at_spaces(tok) -> bool:
             and before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False)
 
 
-class _Codes(dict):
-    """Numbers of segments; a new one gets the next number and is noted."""
-
-    def __init__(self, shared: list, front: str):
-        super().__init__()
-        self.shared, self.front = shared, front
+def _solid(data: np.ndarray) -> np.ndarray:
+    """Bytes that end a character which is surely no white space.
 
-    def __missing__(self, word: str) -> int:
-        self[word] = code = len(self.shared)
-        self.shared.append(self.front + word)
-        return code
+    Characters from a two- or three-byte range that holds white space count as unsure, all of them.
+    """
+    solid = ~_BLANK[data]
+    for lead, size in ((0xC2, 2), (0xE1, 3), (0xE2, 3), (0xE3, 3)):
+        at = np.flatnonzero(data == lead) + size - 1
+        solid[at[at < len(data)]] = False
+    return solid
 
 
 class Encoder:
     """Ids of many texts, equal segments encoded once.
 
-    A new segment that ends in punctuation after an ASCII letter is put together from its stem and its tail, which are
-    segments too: the pattern always ends a run of letters there.
+    Segments begin where the pattern surely begins a piece: at a space or line break after something else, behind a single line
+    break, and at ASCII punctuation after an ASCII letter.  They are compared by 64-bit hashes.
     """
 
     def __init__(self, path: str, known: int = KNOWN):
@@ -263,90 +266,105 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.split = splits_at_spaces(self.tok)
+        # No part of a special string counts as punctuation behind a word.
+        special = {c for x in json.loads(self.tok.to_str()).get("added_tokens", []) for c in x["content"]}
+        self.tail = np.zeros(256, bool)
+        self.tail[[ord(c) for c in TAIL if c not in special]] = True
         self.known = known
         self._clear()
 
     def _clear(self) -> None:
-        self.segments: list[str] = []
-        self.chars = 0
-        self.plain, self.spaced = _Codes(self.segments, ""), _Codes(self.segments, " ")
-        # Ids of segment k: flat[first[k]:first[k] + size[k]].
-        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _codes(self, text: str) -> list[int]:
-        if not self.split:
-            return [self.plain[text]]
-        if _ODD.search(text):
-            return list(map(self.plain.__getitem__, _PROVEN.split(text)))
-        first, *others = text.split(" ")
-        return [self.plain[first], *map(self.spaced.__getitem__, others)]
-
-    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each segment, ids of all)."""
-        sizes = self.size[codes]
-        total = np.cumsum(sizes)
-        at = np.repeat(self.first[codes] - (total - sizes), sizes) + np.arange(int(sizes.sum()))
-        return sizes, self.flat[at]
-
-    def _encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each segment, ids of all).
-
-        Words with a space in front are encoded many at a time.  Each starts a piece, so if there are as many
-        pieces as words, every word is one; otherwise they are encoded one by one.
+        self.key = np.zeros(0, np.uint64)  # hashes of segments in order
+        # Ids of the segment with key[k]: flat[first[k]:first[k] + size[k]].
+        self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First bytes of the segments of texts, and the byte behind each."""
+        cut = np.zeros(len(data) + 1, bool)
+        if self.split and len(data):
+            solid = _solid(data)
+            gap = (data == 0x20) | (data == 0x0A)
+            cut[1:-1] = gap[1:] & solid[:-1]
+            # A line break between two solid characters; the next one must be solid from its first byte.
+            alone = np.flatnonzero(cut[:-2] & (data[:-1] == 0x0A))
+            after = data[alone + 1]
+            cut[alone[~_BLANK[after] & ~np.isin(after, (0xC2, 0xE1, 0xE2, 0xE3))] + 1] = True
+            cut[1:-1] |= self.tail[data[1:]] & _LETTER[data[:-1]]
+        cut[offsets[:-1]] = True
+        cut[len(data)] = False
+        starts = np.flatnonzero(cut)
+        return starts, np.append(starts[1:], len(data))
+
+    def _together(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, every: int):
+        """(sizes, ids) of words that are one piece each, encoded in one call; None if some word is not.
+
+        Words with a space in front follow each other; others (``every`` = 2) have line breaks between them.  Each word
+        starts a piece, so if there are as many pieces as that makes, every word is one.
         """
-        words = [k for k, x in enumerate(segments) if self.split and x[:1] == " " and x[1:].isalpha()]
-        made: list = [None] * len(segments)
-        for at in range(0, len(words), JOINED):
-            which = words[at:at + JOINED]
-            e = self.tok.encode("".join([segments[k] for k in which]), add_special_tokens=False)
-            ids, piece = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
-            if piece[-1] != len(which) - 1:
-                continue
-            cuts = np.searchsorted(piece, np.arange(len(which) + 1)).tolist()
-            for k, a, b in zip(which, cuts, cuts[1:]):
-                made[k] = ids[a:b]
-        others = [k for k, x in enumerate(made) if x is None]
-        for k, e in zip(others, self.tok.encode_batch_fast([segments[k] for k in others], add_special_tokens=False)):
-            made[k] = np.array(e.ids, np.uint32)
-        return np.fromiter(map(len, made), np.int64, len(made)), np.concatenate([np.zeros(0, np.uint32), *made])
-
-    def _learn(self) -> None:
-        """Ids of the segments noted since the last call."""
-        known = len(self.size)
-        whole, joined, k = [], [], known
-        while k < len(self.segments):  # stems and tails are added on the way
-            segment = self.segments[k]
-            stem = segment.rstrip(TAIL)
-            if self.split and stem != segment and stem[-1:].isascii() and stem[-1:].isalpha():
-                codes = (self.spaced, stem[1:]) if stem[0] == " " else (self.plain, stem)
-                joined.append((k, codes[0][codes[1]], self.plain[segment[len(stem):]]))
-            else:
-                whole.append(k)
-            k += 1
-        self.chars += sum(map(len, self.segments[known:]))
-        sizes, ids = self._encode_segments([self.segments[k] for k in whole])
-        self.size, self.first = (np.concatenate([x, np.zeros(len(self.segments) - known, np.int64)]) for x in (self.size, self.first))
-        self.size[whole], self.first[whole] = sizes, len(self.flat) + np.cumsum(sizes) - sizes
-        self.flat = np.concatenate([self.flat, ids])
-        if joined:
-            target, *parts = np.array(joined, np.int64).T
-            sizes, ids = self._gather(np.column_stack(parts).reshape(-1))
-            sizes = sizes.reshape(-1, 2).sum(axis=1)
-            self.size[target], self.first[target] = sizes, len(self.flat) + np.cumsum(sizes) - sizes
-            self.flat = np.concatenate([self.flat, ids])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each text, ids of all); callers bound the texts, see ``runs``."""
-        if len(self.segments) > self.known or self.chars > 32 * self.known:
+        size = ends - starts
+        room = size + (every - 1)
+        first = np.cumsum(room) - room
+        raw = np.full(int(room.sum()), 0x0A, np.uint8)
+        inner = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        raw[inner] = data[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        e = self.tok.encode(raw[:len(raw) - (every - 1)].tobytes().decode(), add_special_tokens=False)
+        piece = np.array(e.word_ids, np.int64)
+        if piece[-1] != every * (len(starts) - 1):
+            return None
+        return np.bincount(piece, minlength=every * len(starts))[::every][:len(starts)], np.array(e.ids, np.uint32)[piece % every == 0]
+
+    def _learn(self, key: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encodes new segments, given with their hashes, and keeps their ids."""
+        letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+        high = np.concatenate([[0], np.cumsum(data >= 0x80)])
+        front = (data[starts] == 0x20).astype(np.int64)
+        word = ends - starts - front
+        ascii_ = letters[ends] - letters[starts]
+        other = high[ends] - high[starts]
+        whole = (ascii_ + other == word) & (word > 0)
+        for k in np.flatnonzero(whole & (other > 0)).tolist():
+            whole[k] = data[starts[k] + front[k]:ends[k]].tobytes().decode().isalpha()
+        sizes, order, ids = np.zeros(len(key), np.int64), [], []
+        single = np.flatnonzero(~whole).tolist() if self.split else list(range(len(key)))
+        for which, every in ((np.flatnonzero(whole & (front > 0)), 1), (np.flatnonzero(whole & (front == 0)), 2)) if self.split else ():
+            for at in range(0, len(which), JOINED):
+                part = which[at:at + JOINED]
+                made = self._together(data, starts[part], ends[part], every)
+                if made is None:
+                    single += part.tolist()
+                else:
+                    sizes[part] = made[0]
+                    order.append(part)
+                    ids.append(made[1])
+        texts = [data[starts[k]:ends[k]].tobytes().decode() for k in single]
+        made = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes[single] = np.fromiter(map(len, made), np.int64, len(made))
+        ids.append(np.fromiter(chain.from_iterable(made), np.uint32, int(sizes[single].sum())))
+        order = np.concatenate([*order, np.array(single, np.int64)])
+        first = np.zeros(len(key), np.int64)
+        first[order] = len(self.flat) + np.cumsum(sizes[order]) - sizes[order]
+        self.flat = np.concatenate([self.flat, *ids])
+        place = np.searchsorted(self.key, key)  # both in order
+        self.key, self.first, self.size = (np.insert(x, place, y) for x, y in ((self.key, key), (self.first, first), (self.size, sizes)))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, ids of all) of UTF-8 texts; callers bound their bytes."""
+        if len(self.key) > self.known or len(self.flat) > 8 * self.known:
             self._clear()
-        each = [self._codes(t) for t in texts]
-        counts = np.fromiter(map(len, each), np.int64, len(each))
-        codes = np.fromiter(chain.from_iterable(each), np.int64, int(counts.sum()))
-        if len(self.segments) > len(self.size):
-            self._learn()
-        sizes, ids = self._gather(codes)
-        passed = np.concatenate([[0], np.cumsum(sizes)])
-        return np.diff(passed[np.concatenate([[0], np.cumsum(counts)])]), ids
+        if not len(data):
+            return np.zeros(len(offsets) - 1, np.int64), np.zeros(0, np.uint32)
+        starts, ends = self.segments(data, offsets)
+        key, example, same = np.unique(tb.hash_words(data, starts, ends), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        new = np.flatnonzero(self.key[at] != key) if len(self.key) else np.arange(len(key))
+        if len(new):
+            self._learn(key[new], data, starts[example[new]], ends[example[new]])
+            at = np.searchsorted(self.key, key)
+        sizes, first = self.size[at][same], self.first[at][same]
+        total = np.cumsum(sizes)
+        ids = self.flat[np.repeat(first - (total - sizes), sizes) + np.arange(int(total[-1]))]
+        passed = np.concatenate([[0], total])
+        return np.diff(passed[np.searchsorted(starts, offsets)]), ids
 
 
 def encoder(path: str) -> Encoder:
@@ -355,52 +373,36 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def next_proven(text: str, at: int) -> int:
-    """The first proven boundary from ``at`` (at least 1) on, -1 without one."""
-    p = text.find(" ", at)
-    while p >= 0 and text[p - 1].isspace():
-        p = text.find(" ", p + 1)
-    return p
-
-
-def runs(texts: list[str], split: bool, limit: int = RUN_CHARS):
-    """Lists of (number of the text, part, is its last part) of about ``limit`` characters.
-
-    A longer text is cut at proven boundaries if the tokenizer has them.
-    """
-    run, held = [], 0
-    for k, text in enumerate(texts):
-        at = 0
-        while split and len(text) - at > limit:
-            stop = next_proven(text, at + limit)
-            if stop < 0:
-                break
-            yield [*run, (k, text[at:stop], False)]
-            run, held, at = [], 0, stop
-        run.append((k, text[at:], True))
-        held += len(text) - at + 1
-        if held >= limit:
-            yield run
-            run, held = [], 0
-    if run:
-        yield run
-
-
-def encode_documents(enc: Encoder, texts: list[str], end: int = END, limit: int = RUN_CHARS):
-    """(first text, ids of each) of consecutive texts, the end id included."""
-    held: list[np.ndarray] = []  # parts of the text that is not ended
-    for run in runs(texts, enc.split, limit):
-        sizes, ids = enc.encode([part for _, part, _ in run])
-        cuts = np.concatenate([[0], np.cumsum(sizes)])
-        out, first = [], None
-        for (k, _, last), a, b in zip(run, cuts[:-1], cuts[1:]):
-            held.append(ids[a:b])
-            if last:
-                first = k if first is None else first
-                out.append(np.concatenate([*held, np.array([end], np.uint32)]))
-                held = []
-        if out:
-            yield first, out
+def parts(data: np.ndarray, split: bool, limit: int = RUN_BYTES):
+    """Ranges of about ``limit`` bytes of one text that end at proven boundaries, if the tokenizer has them."""
+    at = 0
+    while split and len(data) - at > limit:
+        look = at + limit
+        stop = -1
+        while stop < 0 and look < len(data):  # an ASCII character that is no white space, then a space
+            window = data[look - 1:look + limit]
+            hit = np.flatnonzero((window[1:] == 0x20) & ~_BLANK[window[:-1]] & (window[:-1] < 0x80))
+            stop = look + int(hit[0]) if len(hit) else -1
+            look += limit
+        if stop < 0:
+            break
+        yield at, stop
+        at = stop
+    yield at, len(data)
+
+
+def encode_documents(enc: Encoder, texts: pa.Array, end: int = END, limit: int = RUN_BYTES):
+    """(first text, sizes, ids) of consecutive texts, each with its end id; a long text is encoded in parts."""
+    data, offsets = tb.utf8(texts)
+    for a, b in tb.blocks(offsets, limit):
+        own = data[offsets[a]:offsets[b]]
+        if b - a == 1 and len(own) > limit:
+            ids = [enc.encode(own[x:y], np.array([0, y - x]))[1] for x, y in parts(own, enc.split, limit)]
+            ids = np.concatenate([*ids, np.array([end], np.uint32)])
+            yield a, np.array([len(ids)]), ids
+        else:
+            sizes, ids = enc.encode(own, offsets[a:b + 1] - offsets[a])
+            yield a, sizes + 1, np.insert(ids, np.cumsum(sizes), end)
 
 
 # ---------------------------------------------------------------- jobs
@@ -420,20 +422,18 @@ def _writer(folder: str, path: str, end: int, percentile: int, file_ids: int, fi
         enc = encoder(path)
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for first, docs in encode_documents(enc, texts, end):
-                sizes = np.array([len(x) for x in docs], np.int64)
+            for first, sizes, ids in encode_documents(enc, batch.column(1), end):
                 total, at = np.cumsum(sizes), 0
-                while at < len(docs):
+                while at < len(sizes):
                     if writer is None:
                         name = f"ids-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.pfor"
                         writer = TokenFileWriter(fs.open_output_stream(f"{root}/{name}", compression=None), percentile=percentile)
                     # As many documents as the file has room for, one at least.
                     room = int(np.searchsorted(total, total[at] - sizes[at] + file_ids - writer.n_ids, "right"))
-                    stop = min(max(at + 1, room), at + file_docs - writer.n_docs, len(docs))
-                    writer.add(keys[first + at:first + stop], sizes[at:stop], np.concatenate(docs[at:stop]))
+                    stop = min(max(at + 1, room), at + file_docs - writer.n_docs, len(sizes))
+                    writer.add(keys[first + at:first + stop], sizes[at:stop], ids[total[at] - sizes[at]:total[stop - 1]])
                     at = stop
-                    if writer.n_ids >= file_ids or writer.n_docs >= file_docs or at < len(docs):
+                    if writer.n_ids >= file_ids or writer.n_docs >= file_docs or at < len(sizes):
                         yield closed()
                         writer, seq = None, seq + 1
         if writer is not None:

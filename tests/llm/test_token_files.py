@@ -2,6 +2,7 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from assetsweep.llm import token_files as M
 from assetsweep.llm.queries import tokenizer_path
 
 PATH = tokenizer_path("byte_bpe_50k.json")
-TEXT = st.text(st.sampled_from("ab,.!'s1 \n\t\x1c\x85　é漢🙂<|endoftext|>"), max_size=80)
+TEXT = st.text(st.sampled_from("ab,.!$'s1 \n\t\x1c\x85　é漢🙂<|endoftext|>\u00a0\u2003“…"), max_size=80)
 
 
 @pytest.fixture(scope="module")
@@ -84,13 +85,20 @@ def test_file_tables_and_ranges(group):
 
 # ---- encoding
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(TEXT, max_size=6), st.sampled_from([1, 5, 40, 10_000]))
+def encoded(enc, texts, limit=M.RUN_BYTES):
+    out = []
+    for _, sizes, ids in M.encode_documents(enc, pa.array(texts, pa.string()), 0, limit):
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        out += [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])]
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(TEXT | st.none(), max_size=6), st.sampled_from([1, 5, 40, 10_000]))
 def test_segments_give_the_ids_of_the_whole(plain, texts, limit):
     enc = M.encoder(PATH)
     assert enc.split
-    got = [ids.tolist() for _, part in M.encode_documents(enc, texts, 0, limit) for ids in part]
-    assert got == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert encoded(enc, texts, limit) == [[*plain.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
 
 
 def test_a_tokenizer_without_proof_gets_whole_texts():
@@ -99,17 +107,32 @@ def test_a_tokenizer_without_proof_gets_whole_texts():
     enc, tok = M.Encoder(path), Tokenizer.from_file(path)
     assert not enc.split
     texts = ["two words", "", "  A b  C "]
-    got = [ids.tolist() for _, part in M.encode_documents(enc, texts, 0, 3) for ids in part]
-    assert got == [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert encoded(enc, texts, 3) == [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
 def test_known_segments_are_bounded(plain):
     enc = M.Encoder(PATH, known=50)
     for k in range(20):
         texts = [f"word{k} other{j} {k * j}" for j in range(20)]
-        sizes, ids = enc.encode(texts)
-        assert ids.tolist() == [i for t in texts for i in plain.encode(t).ids]
-        assert len(enc.segments) < 50 + 80
+        assert encoded(enc, texts) == [[*plain.encode(t).ids, 0] for t in texts]
+        assert len(enc.key) < 50 + 80
+
+
+def test_segments_begin_at_proven_places(plain):
+    enc = M.Encoder(PATH)
+    cut = lambda t: [t.encode()[a:b].decode() for a, b in zip(*enc.segments(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])))]
+    assert cut(" word.\nNext!! a  b") == [" word", ".", "\n", "Next", "!!", " a", "  b"]
+    assert cut("a<|endoftext|>b don't\u00a0 x\n\ny") == ["a<|endoftext|>b", " don't\u00a0 x", "\n\ny"]
+    texts = ["it's.\nIt's a\n\nb.\n c,\nd", "x<|endoftext|>\ny. don't\n've é.\nÉ! \u0300a. a\u0300.", "a\nb\nc\n", "A\nB. ſ.\x85c 漢.\n字", "don't.\n's",
+             "\u2003 a\u3000 b\u1680\nc", "“quoted” words… and", "a\x1c b\x1f\nc"]
+    assert encoded(enc, texts) == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_words_that_are_not_one_piece_are_encoded_singly(plain, monkeypatch):
+    enc = M.Encoder(PATH)
+    monkeypatch.setattr(enc, "_together", lambda *a: None)
+    texts = ["some plain words here", "é漢 and more"]
+    assert encoded(enc, texts) == [[*plain.encode(t).ids, 0] for t in texts]
 
 
 # ---- jobs
