@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetsweep.sources.files import texts_of
+from assetsweep.sources.listing import list_trees
+
 MIB = 1024 * 1024
 
 
 def read_vram_exports(spark: SparkSession, path: str) -> DataFrame:
     """One text file per device, one MiB figure per line (a GPU query's CSV output).
 
-    Lines that do not parse as a whole number are dropped; a device whose file
-    has no usable line gets an empty list (no GPU known).  Device = file stem.
+    Lines that do not parse as a whole number are dropped; a device whose file is empty
+    or has no usable line gets an empty list (no GPU known).  Device = file stem.
     """
-    lines = (spark.read.option("recursiveFileLookup", "true").text(path)
-             .select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("device"),
-                     F.expr("try_cast(trim(value) AS BIGINT)").alias("mib")))
+    stem = F.regexp_extract(F.col("name"), r"^(.*?)(\.[^.]*)?$", 1)
+    files = list_trees(spark, [(None, path, None)], min_size=0).select("path", stem.alias("device"))
+    lines = (texts_of(files).select("device", F.explode_outer(F.split("text", "\\R")).alias("value"))
+             .select("device", F.expr("try_cast(trim(value) AS BIGINT)").alias("mib")))
     # Negative figures do not parse as unsigned; collect_list skips the nulls.
     usable = F.when(F.col("mib") >= 0, F.try_multiply(F.col("mib"), F.lit(MIB)))
     per_dev = lines.groupBy("device").agg(F.collect_list(usable).alias("vram"))

@@ -1,27 +1,25 @@
 """Assets that are files under lake directories.
 
-Listing uses Spark's ``binaryFile`` source with only ``path``/``length``/
-``modificationTime`` selected, so file contents are never loaded by the scan;
-length filters are pushed into the listing.  Content is read only by the
+Trees are listed by tasks (``sources.listing``), every name included.  Content is read only by the
 hashing and prefix workers, which stream each file in bounded blocks.
-
-``binaryFile`` skips names starting with ``_`` or ``.`` below the root (Hadoop
-convention); files under such names are not listed.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from assetsweep.functions import hashing as H
 from assetsweep.functions.scalars import EDGE_BYTES
 from assetsweep.operators.ranking import balanced
 from assetsweep.schemas import FINGERPRINT
+from assetsweep.session import materialize
 from assetsweep.sources.headers import READ_ERRORS, _open_path
+from assetsweep.sources.listing import list_trees
 
 HASH_BLOCK = 1024 * 1024
 # Bytes of file content one hashing task should read.
@@ -30,76 +28,13 @@ TASK_BYTES = 512 * 1024 * 1024
 
 def list_files(spark: SparkSession, root: str, glob: str | None = "*.gguf", store: str | None = None,
                min_size: int = 1) -> DataFrame:
-    """Regular non-empty files below ``root`` matching ``glob``."""
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    df = r.load(root).select("path", F.col("length").alias("size"), "modificationTime")
-    df = df.where(F.col("size") >= max(1, min_size))
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
-    return df.select("path", name.alias("name"), F.lit(store).cast("string").alias("store"), "size",
-                     "modificationTime")
-
-
-def _walk_rows(it, glob: str | None):
-    """Recursive listing of each given directory (or file) in a task; hidden and
-    underscore names included, links not followed, regular non-empty files only."""
-    import fnmatch
-
-    from pyarrow import fs as pafs
-    schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("mtime_ns", pa.int64())])
-    for batch in it:
-        out = {"path": [], "size": [], "mtime_ns": []}
-        for uri in batch.column("entry").to_pylist():
-            local = uri[5:] if uri.startswith("file:") else uri
-            while local.startswith("//"):
-                local = local[1:]
-            fs, base = (pafs.LocalFileSystem(), local) if "://" not in local else pafs.FileSystem.from_uri(uri)
-            info = fs.get_file_info(base)
-            infos = [info] if info.type == pafs.FileType.File else \
-                fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True))
-            for fi in infos:
-                if fi.type != pafs.FileType.File or not fi.size:
-                    continue
-                if glob and not fnmatch.fnmatchcase(fi.base_name, glob):
-                    continue
-                out["path"].append(("file:" + fi.path) if "://" not in local else fi.path)
-                out["size"].append(fi.size)
-                out["mtime_ns"].append(fi.mtime_ns)
-        yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-
-def list_files_all(spark: SparkSession, root: str, glob: str | None = "*.gguf", store: str | None = None,
-                   min_size: int = 1, num_partitions: int | None = None) -> DataFrame:
-    """S1 without the hidden-name filter of ``binaryFile``.
-
-    The driver lists only the first level below ``root``; each entry's subtree is
-    walked by a task (``mapInArrow``), so large trees are listed in parallel and
-    names starting with ``.`` or ``_`` are kept as the reference's walk keeps them.
-    A flat directory with millions of direct entries is listed by the driver, as
-    Spark's own file index lists a single directory.
-    """
-    from pyarrow import fs as pafs
-    local = root[5:] if root.startswith("file:") else root
-    while local.startswith("//"):
-        local = local[1:]
-    fs, base = (pafs.LocalFileSystem(), local) if "://" not in local else pafs.FileSystem.from_uri(root)
-    first = fs.get_file_info(pafs.FileSelector(base, recursive=False, allow_not_found=True))
-    prefix = "" if "://" in local else "file:"
-    entries = [(prefix + fi.path,) for fi in first if fi.type in (pafs.FileType.File, pafs.FileType.Directory)]
-    n = num_partitions or max(1, min(len(entries), 4 * spark.sparkContext.defaultParallelism))
-    listed = (spark.createDataFrame(entries, "entry string").repartition(n)
-              .mapInArrow(lambda it: _walk_rows(it, glob), "path string, size long, mtime_ns long"))
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
-    return (listed.where(F.col("size") >= max(1, min_size))
-            .select("path", name.alias("name"), F.lit(store).cast("string").alias("store"), "size",
-                    F.timestamp_micros(F.floor(F.col("mtime_ns") / 1000)).alias("modificationTime")))
+    """Regular non-empty files below ``root`` whose name matches ``glob``."""
+    return list_trees(spark, [(store, root, glob)], max(1, min_size))
 
 
 def scan_stores(spark: SparkSession, stores: list[tuple[str, str, str | None]]) -> DataFrame:
     """U1 over several ``(kind, root, glob)`` scans; a path seen twice counts once."""
-    scans = [list_files(spark, root, glob, kind) for kind, root, glob in stores]
-    both = reduce(lambda a, b: a.unionByName(b), scans)
+    both = list_trees(spark, stores)
     # Deterministic choice for a path listed under two roots: the smallest store name.
     return (both.groupBy("path").agg(F.min(F.struct("store", "name", "size", "modificationTime")).alias("r"))
             .select("path", "r.name", "r.store", "r.size", "r.modificationTime"))
@@ -130,6 +65,27 @@ def _prefix_rows(it, n: int):
         yield pa.RecordBatch.from_pydict({"path": paths, "prefix": out}, schema=schema)
 
 
+def _text_rows(it, most: int):
+    for batch in it:
+        for k, p in enumerate(batch.column("path").to_pylist()):
+            try:
+                f, _ = _open_path(p)
+                with f:
+                    text = f.read(most + 1)
+            except READ_ERRORS:
+                text = None
+            good = text is not None and len(text) <= most
+            yield pa.RecordBatch.from_arrays(
+                [*batch.slice(k, 1).columns, pa.array([text.decode("utf-8", "replace") if good else None], pa.string())],
+                names=[*batch.schema.names, "text"])
+
+
+def texts_of(files: DataFrame, most: int = 16 * 1024 * 1024) -> DataFrame:
+    """``files`` plus ``text``, the whole content of small files, read in tasks; null if unreadable or over ``most`` bytes."""
+    schema = T.StructType([*files.schema.fields, T.StructField("text", T.StringType())])
+    return files.mapInArrow(lambda it: _text_rows(it, most), schema)
+
+
 def read_prefixes(files: DataFrame, n: int = 4) -> DataFrame:
     """First ``n`` bytes of each file (null when unreadable), read in tasks."""
     return files.select("path").mapInArrow(lambda it: _prefix_rows(it, n), "path string, prefix binary")
@@ -211,13 +167,78 @@ def _hash_file(path: str, size: int | None, algo: str):
             hashlib.new(algo, tail).hexdigest(), None)
 
 
+def _range_rows(it, range_bytes: int):
+    """Leaf digest of each (file, range); the first and last range also bring the hash of their 4 KiB window."""
+    schema = pa.schema([("asset_id", pa.int64()), ("path", pa.string()), ("no", pa.int64()), ("digest", pa.binary()), ("head_hash", pa.string()),
+                        ("tail_hash", pa.string()), ("error", pa.string())])
+    for batch in it:
+        rows = []
+        for aid, path, size, no in zip(*(batch.column(c).to_pylist() for c in ("asset_id", "path", "size", "no"))):
+            head = tail = digest = error = None
+            last = (no + 1) * range_bytes >= size
+            try:
+                f, n = _open_path(path)
+                with f:
+                    if n != size:
+                        error = "changed while reading: size differs from listing"
+                    else:
+                        h, left = hashlib.sha256(H.LEAF), min(range_bytes, size - no * range_bytes)
+                        f.seek(no * range_bytes)
+                        while left:
+                            block = f.read(min(HASH_BLOCK, left))
+                            if not block:
+                                raise OSError("file ended early")
+                            h.update(block)
+                            left -= len(block)
+                        digest = h.digest()
+                        if no == 0:
+                            f.seek(0)
+                            head = hashlib.sha256(f.read(EDGE_BYTES)).hexdigest()
+                        if last:
+                            f.seek(max(0, size - EDGE_BYTES))
+                            tail = hashlib.sha256(f.read(EDGE_BYTES)).hexdigest()
+            except READ_ERRORS as e:
+                digest, error = None, f"unreadable: {e}"
+            rows.append((aid, path, no, digest, head, tail, error))
+        cols = list(zip(*rows)) or [()] * len(schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
+def hash_file_trees(files: DataFrame, range_bytes: int = H.RANGE_BYTES, fanout: int = H.FANOUT) -> DataFrame:
+    """Fingerprint rows by ``sha256-tree``: tasks read (file, range) pairs, so one file of any size is hashed by many.
+
+    Ranges are dealt out by bytes.  Digests are folded by aggregates over at most ``fanout`` of them.  One range that cannot be read
+    makes its file ``ok = false``.
+    """
+    src = files.select("asset_id", "path", "store", "size")
+    total = src.agg(F.sum("size")).first()[0] or 0
+    tasks = int(max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES)))
+    n = F.greatest(F.lit(1), F.ceil(F.col("size") / range_bytes)).cast("long")
+    ranges = src.select("asset_id", "path", "size", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("no"))
+    ranges = ranges.withColumn("bytes", F.least(F.lit(range_bytes), F.col("size") - F.col("no") * range_bytes))
+    ranges = balanced(ranges, "bytes", tasks, [F.asc("path"), F.asc("no")])
+    kind = "asset_id long, path string, no long, digest binary, head_hash string, tail_hash string, error string"
+    read = materialize(ranges.select("asset_id", "path", "size", "no").mapInArrow(lambda it: _range_rows(it, range_bytes), kind))
+    ends = read.groupBy("asset_id", "path").agg(F.max("head_hash").alias("head_hash"), F.max("tail_hash").alias("tail_hash"),
+                                                F.min("error").alias("error"))
+    top = H.fold(read.where("digest is not null").select("asset_id", "path", "no", "digest"), ["asset_id", "path"], fanout)
+    out = src.join(ends, ["asset_id", "path"]).join(top, ["asset_id", "path"], "left")
+    good = F.col("error").isNull()
+    whole = H.tree_root("size", F.col("digest"))
+    return out.select("asset_id", "path", "store", "size", F.when(good, whole).alias("hash"), F.when(good, F.col("head_hash")).alias("head_hash"),
+                      F.when(good, F.col("tail_hash")).alias("tail_hash"), F.lit(H.TREE).alias("algo"), good.alias("ok"), "error")
+
+
 def hash_files(files: DataFrame, algo: str = "sha256", num_partitions: int | None = None) -> DataFrame:
     """F12 F13 P9 for files: fingerprint rows computed by tasks that open each path.
 
     ``files`` needs ``asset_id, path, store, size``.  The listing rows (not the
     content) are dealt into ``num_partitions`` tasks of about equal bytes, by default
-    as many as the total bytes need; a failed read becomes ``ok = false``.
+    as many as the total bytes need; a failed read becomes ``ok = false``.  With ``sha256-tree`` the tasks
+    get ranges of files instead of files, see ``hash_file_trees``.
     """
+    if algo == H.TREE:
+        return hash_file_trees(files)
     spark = files.sparkSession
     if num_partitions is None:
         # Enough tasks that each hashes about TASK_BYTES (a file larger than that

@@ -1,8 +1,8 @@
 """Registry manifests: blob digest -> ``model:tag``.
 
 A manifest is a small JSON file at ``<manifests root>/<registry>/<namespace...>/<model>/<tag>``
-whose ``layers[].digest`` name the blobs of that model.  Files are read whole
-(``wholetext``), one row per file, parsed as variants and exploded.  A layer that is
+whose ``layers[].digest`` name the blobs of that model.  Files are listed and read whole
+in tasks, one row per file, parsed as variants and exploded.  A layer that is
 no object, or whose digest is no string, is passed over; the other layers of its
 manifest count.  A file right below a registry is no manifest.  A digest named by
 several manifests keeps ``min(tag)`` and the number of references.
@@ -14,20 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetsweep.functions import scalars as S
+from assetsweep.sources.files import texts_of
+from assetsweep.sources.listing import list_trees, local_path
+
 
 def read_manifest_files(spark: SparkSession, manifests_root: str) -> DataFrame:
     """(rel_path, json) for every file below the manifests root."""
-    root = manifests_root.rstrip("/")
-    df = (spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
-          .text(root).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("json")))
-    # file_path is a URI (file:/..., s3a://...); keep the part after the root itself.
-    root_path = root[5:] if root.startswith("file:") else root
-    while root_path.startswith("//"):
-        root_path = root_path[1:]
-    # The path is URL-encoded in the metadata; a plus sign is not.
-    file_path = F.url_decode(F.replace(F.col("file_path"), F.lit("+"), F.lit("%2B")))
-    rel = F.regexp_extract(file_path, "\\Q" + root_path + "\\E/(.*)$", 1)
-    return df.select(rel.alias("rel_path"), "json")
+    root = local_path(manifests_root.rstrip("/"))
+    root = manifests_root.rstrip("/") if root is None else f"file:{root}"
+    files = list_trees(spark, [(None, root, None)]).select("path")
+    return texts_of(files).select(F.substring("path", len(root) + 2, 1 << 30).alias("rel_path"), F.col("text").alias("json"))
 
 
 def manifest_layers(manifests: DataFrame) -> DataFrame:

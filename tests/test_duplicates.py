@@ -206,11 +206,9 @@ def test_listing_keeps_hidden_names(spark, tmp_path):
     (root / "pub" / "empty.gguf").write_bytes(b"")
     (root / "top.gguf").write_bytes(b"4" * 10)
     (root / "notes.txt").write_bytes(b"5" * 10)
-    spark_names = {r["name"] for r in FS.list_files(spark, str(root)).collect()}
-    all_names = {r["name"] for r in FS.list_files_all(spark, str(root)).collect()}
-    assert spark_names == {"c.gguf", "top.gguf"}
+    all_names = {r["name"] for r in FS.list_files(spark, str(root)).collect()}
     assert all_names == {"a.gguf", "b.gguf", "c.gguf", "top.gguf"}
-    rows = FS.list_files_all(spark, str(root), None).collect()
+    rows = FS.list_files(spark, str(root), None).collect()
     assert {r["name"] for r in rows} == {"a.gguf", "b.gguf", "c.gguf", "top.gguf", "notes.txt"}
     assert all(r["path"].startswith("file:/") and r["modificationTime"] is not None for r in rows)
 
