@@ -46,38 +46,89 @@ def join_members_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str],
     return hot_part.unionByName(cold_part)
 
 
-# An id set up to this many rows is broadcast to pick rows out of a wide table.
+# An id set up to this many rows is broadcast as 64-bit hashes (8 bytes each) to pick rows out of a wide table.
 MAX_BROADCAST_IDS = 5_000_000
-# Above it, a bitmap of this many bits (256 MB at most) is broadcast instead.
+# Above it, a Bloom filter of at most this many bits (256 MB) is broadcast instead, one after the other if one does not hold them.
 FILTER_BITS = 1 << 31
+# Bits per id and positions set per id: 0.4 % of other ids pass by calculation.
+BITS_PER_ID = 12
+POSITIONS = 6
+# Spark's bitmap aggregates work on blocks of this many bits.
+BLOCK_BITS = 1 << 15
+
+
+def _hash(key: str, part: int = 0) -> F.Column:
+    return F.xxhash64(F.lit(part), key) if part else F.xxhash64(key)
+
+
+def _positions(key: str) -> F.Column:
+    """``POSITIONS`` bit numbers inside the block of an id, 15 bits each of two further hashes."""
+    bits = [F.shiftrightunsigned(_hash(key, 1 + k // 4), 15 * (k % 4)).bitwiseAND(BLOCK_BITS - 1) for k in range(POSITIONS)]
+    return F.array(*bits)
+
+
+def bloom_filter(ids: DataFrame, key: str, blocks: int) -> DataFrame:
+    """(``_block``, ``_words``): a blocked Bloom filter, each block as 512 longs; at most ``blocks`` rows of 4 KB.
+
+    An id belongs to one block by its hash and sets bits in it.  Blocks are made by aggregates with map-side
+    combine, so hot blocks and repeated ids cost nothing.
+    """
+    bits = ids.select(F.pmod(_hash(key), F.lit(blocks)).alias("_block"), F.explode(_positions(key)).alias("_bit"))
+    maps = bits.groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    # A long from 8 bytes; byte k of a bitmap holds the bits 8k to 8k + 7, the lowest first.
+    word = lambda k: F.conv(F.hex(F.substring("_map", k * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    words = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), word)
+    return materialize(maps.select("_block", words.alias("_words")))
+
+
+def _in_filter(key: str) -> F.Column:
+    """Whether all bits of an id are set in ``_words``."""
+    def is_set(bit):
+        place = 8 * (7 - (bit % 64 / 8).cast("int")) + (bit % 8).cast("int")
+        return F.getbit(F.get(F.col("_words"), (bit / 64).cast("int")), place) == 1
+    return F.forall(_positions(key), is_set)
 
 
 def filter_by_ids(wide: DataFrame, ids: DataFrame, key: str = "asset_id", keep: bool = True,
                   max_ids: int = MAX_BROADCAST_IDS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """Rows of ``wide`` whose ``key`` is (``keep``) or is not in ``ids``.
+    """Rows of ``wide`` whose ``key`` is (``keep``) or is not in ``ids``; a null key is in no set.
 
-    ``wide`` may carry payloads, which a shuffle join would move.  Up to ``max_ids``
-    ids are broadcast, so that the wide side is filtered in its scan task.  Above
-    that a bitmap over the hashed ids, whose size is fixed, is broadcast: a row
-    whose bit is not set is decided in the scan task, and only the others (the
-    rows in question and ``ids / filter_bits`` of the rest) go to an exact join.
+    ``wide`` may carry payloads, which a shuffle join would move.  Up to ``max_ids`` ids are broadcast as hashes; above
+    that a Bloom filter whose size is bounded by ``filter_bits`` is.  Either way a row that does not pass is decided in its scan
+    task, and the rows that do go to an exact join: with ``keep`` those are the wanted rows and few others.  Ids that one
+    filter cannot hold are split by hash into parts of equal expected size, each with a filter and a scan of its own over the rows of its
+    part, so no filter exceeds the bound and its share of false positives stays.
     """
-    id_rows = ids.select(key).distinct()
+    id_rows = ids.select(key).where(F.col(key).isNotNull()).distinct()
     how = "left_semi" if keep else "left_anti"
     n = id_rows.count()
     if n <= max_ids:
-        return wide.join(F.broadcast(id_rows), key, how)
-    bits = min(filter_bits, 1 << max(20, (n * 16).bit_length()))
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
-    bitmaps = (id_rows.select(place.alias("p"))
-               .groupBy(F.bitmap_bucket_number("p").alias("_bucket"))
-               .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bitmap")))
-    bitmaps = materialize(bitmaps)  # at most bits / 32768 rows of 4 KB
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substr("_bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.shiftrightunsigned(byte, 0).bitwiseAND(F.element_at(
-        F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8 + 1).cast("int"))) != 0, F.lit(False))
-    marked = wide.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bitmaps), "_bucket", "left")
-    marked = marked.withColumn("_hit", hit & F.col("_bitmap").isNotNull())
-    maybe = marked.where("_hit").select(*wide.columns).join(id_rows, key, how)
+        if _fixed_width(wide, key):
+            return wide.join(F.broadcast(id_rows), key, how)
+        hashes = F.broadcast(id_rows.select(_hash(key).alias("_hash")).distinct())
+        marked = wide.withColumn("_hash", _hash(key)).join(hashes.withColumn("_hit", F.lit(True)), "_hash", "left")
+        return _decided(marked.withColumn("_hit", F.col("_hit").isNotNull()), wide, id_rows, key, keep)
+    blocks = max(1, filter_bits // BLOCK_BITS)
+    parts = -(-n * BITS_PER_ID // (blocks * BLOCK_BITS))
+    blocks = min(blocks, -(-n * BITS_PER_ID // (parts * BLOCK_BITS)))
+    part = F.pmod(_hash(key, 9), F.lit(parts))
+    out = None
+    for k in range(parts):
+        own = (part == k) if parts > 1 else F.lit(True)
+        rows, own_ids = (wide, id_rows) if parts == 1 else (wide.where(own), id_rows.where(own))
+        filter_ = F.broadcast(bloom_filter(own_ids, key, blocks))
+        marked = rows.withColumn("_block", F.pmod(_hash(key), F.lit(blocks))).join(filter_, "_block", "left")
+        marked = marked.withColumn("_hit", F.col("_words").isNotNull() & F.coalesce(_in_filter(key), F.lit(False)))
+        found = _decided(marked, wide, own_ids, key, keep)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _fixed_width(df: DataFrame, key: str) -> bool:
+    return df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long", "date", "timestamp")
+
+
+def _decided(marked: DataFrame, wide: DataFrame, ids: DataFrame, key: str, keep: bool) -> DataFrame:
+    """Rows with ``_hit`` go to an exact join, the others are decided."""
+    maybe = marked.where("_hit").select(*wide.columns).join(ids, key, "left_semi" if keep else "left_anti").select(*wide.columns)
     return maybe if keep else marked.where("not _hit").select(*wide.columns).unionByName(maybe)
