@@ -65,15 +65,42 @@ def manifest_lines(entries: DataFrame, destination: str, created_unix: int,
                     F.lit(destination).alias("destination"), "entries"))
 
 
+def undo_lines(entries: DataFrame, created_unix: int, per_line: int = ENTRIES_PER_LINE) -> DataFrame:
+    """Manifest lines of entries of many runs, at most about ``per_line`` of one ``destination`` in each."""
+    n = entries.groupBy("destination").agg(F.count("*").alias("n"))
+    e = entries.join(n, "destination").select(
+        "destination", F.struct(F.col("from"), F.col("to"), F.col("size").cast("long").alias("size"), F.col("hash"), F.col("algo")).alias("entry"),
+        F.pmod(F.xxhash64(F.col("from")), F.ceil(F.col("n") / per_line)).alias("bucket"))
+    return (e.groupBy("destination", "bucket").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+            .select(F.lit(int(created_unix)).cast("long").alias("created_unix"), "destination", "entries"))
+
+
 def append_manifest(lines: DataFrame, manifest_dir: str) -> None:
     lines.write.mode("append").json(manifest_dir)
 
 
+def write_lines(lines: DataFrame, folder: str) -> str:
+    """Writes manifest lines to a new folder ``run=...`` and returns its run; they count once a commit names it."""
+    run = f"r{uuid.uuid4().hex}"
+    lines.write.mode("errorifexists").json(f"{folder.rstrip('/')}/run={run}")
+    return run
+
+
+def committed_lines(spark: SparkSession, folder: str, runs: DataFrame) -> DataFrame:
+    """Manifest lines below ``folder`` whose run is in ``runs``: one partitioned read, pruned by the runs."""
+    lines = spark.read.option("basePath", folder).text(f"{folder}/run=*").where(F.trim(F.col("value")) != "")
+    return parse_lines(lines.join(F.broadcast(runs.select("run")), "run", "left_semi"))
+
+
 def read_manifest(spark: SparkSession, manifest_dir: str) -> DataFrame:
     """Manifest lines; blank lines skipped, a line that does not parse to a
     manifest with an ``entries`` list is kept whole in ``_corrupt``."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(manifest_dir).where(F.trim(F.col("value")) != "")
+    return parse_lines(lines)
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
     schema = StructType([f for f in UNDO_MANIFEST.fields if f.name != "_corrupt"])
-    lines = spark.read.text(manifest_dir).where(F.trim(F.col("value")) != "")
     parsed = lines.select("value", F.from_json("value", schema).alias("m"))
     good = F.col("m.entries").isNotNull()
     return parsed.select(
@@ -117,7 +144,7 @@ def undo_status(entries: DataFrame, live: DataFrame, archived: DataFrame, extra:
 
 def write_archive(rows: DataFrame, archive_dir: str, run_id: str | None = None) -> str:
     """S9 step 1: write the rows being moved (with payload) under a new run folder."""
-    run_id = run_id or uuid.uuid4().hex
+    run_id = run_id or f"r{uuid.uuid4().hex}"
     path = f"{archive_dir.rstrip('/')}/run={run_id}"
     rows.write.mode("errorifexists").parquet(path)
     return path

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import time
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
@@ -18,9 +19,10 @@ from assetsweep.operators import duplicates as dup
 from assetsweep.operators import inventory as inv
 from assetsweep.operators import plan as pln
 from assetsweep.operators.capacity import capacity_fit, with_shard_weights  # noqa: F401  (re-exported)
+from assetsweep.operators.commits import CommitLog
 from assetsweep.operators.skew import filter_by_ids
 from assetsweep.plans import report as rep
-from assetsweep.session import literal_table, materialize, path_exists
+from assetsweep.session import any_path, literal_table, materialize, path_exists
 from assetsweep.sources import files as FS
 from assetsweep.sources import headers as hdr
 
@@ -136,6 +138,8 @@ def find_file_duplicates_cached(spark: SparkSession, stores: list[tuple[str, str
     table = spark.read.parquet(cache_path)
     current = inc.latest_fingerprints(table, algo).join(listing.select("path", "size", "modificationTime"),
                                                   ["path", "size", "modificationTime"], "left_semi")
+    # Links may have changed while the content did not, so identities are not kept in the table.
+    current = current.join(FS.physical_ids(current), "path", "left")
     return dup.find_duplicates(current, min_size, managed)
 
 
@@ -162,11 +166,13 @@ def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_
 
     ``removal`` rows need ``asset_id, path, size, hash`` (as ``reclaim_plan`` gives them).
     Steps: destination checks (J6 W4) -> write archive rows with payload (S9) ->
-    read back and re-hash (S9) -> append manifest (S7, before anything is
+    read back and re-hash (S9) -> commit the manifest (S7, before anything is
     removed) -> write the kept table to ``kept_out`` (U3).  Verification is per
     row: ``result`` is ``archived``, ``changed`` (content differs from the plan),
-    ``copy_missing``, ``archived_before`` (an earlier run recorded the same path and
-    hash, and it was not undone) or ``skipped`` (destination check failed).  Rows that are
+    ``copy_missing``, ``archived_before`` (another run recorded the same path and
+    hash, and it was not undone), ``name_taken`` (a run that committed meanwhile has the name) or
+    ``skipped`` (destination check failed).  Runs may overlap: each checks at its commit what others
+    committed since it began, so a name is recorded once.  Rows that are
     archived now or were before are left out of the kept table, so a run that died
     after its manifest was written is finished by running it again.  Returns per-row
     ``status`` and ``result``; with ``dry_run`` only the destination checks run and
@@ -176,7 +182,9 @@ def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_
     kept_norm = _norm_path(kept_out).rstrip("/") + "/"
     if any(_norm_path(f).startswith(kept_norm) for f in assets.inputFiles()):
         raise ValueError("kept_out must be a new location, not the table being read")
-    recorded = materialize(_active_entries(spark, archive_dir).select("from", "to", "hash"))
+    log = _log(spark, archive_dir)
+    seen = log.latest()
+    recorded = materialize(_active_entries(spark, archive_dir, seen).select("from", "to", "hash"))
     if existing_names is None:
         # Names that verified runs archived and that were not undone since.
         existing_names = recorded.select(F.element_at(F.split("to", "/"), -1).alias("name"))
@@ -209,15 +217,19 @@ def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_
     entries = movable.join(verified, "asset_id", "left_semi").select(
         F.col("path").alias("from"), "to", "size", "hash", F.lit(algo).alias("algo"))
     # The manifest names the verified run folder, so undo never reads a folder
-    # left behind by a failed run.  It is appended before the kept table is
+    # left behind by a failed run.  It is committed before the kept table is
     # published (nothing is removed without its undo record).
+    entries = materialize(entries)
+    taken = literal_table(spark, [], "path string, result string")
     if verified.limit(1).count():
-        arc.append_manifest(arc.manifest_lines(entries, written, now), archive_dir + "/manifest")
+        taken = _commit_archive(spark, archive_dir, log, seen, entries, written, now)
     # Overwrite is safe: kept_out is checked above not to be the input, and a
     # re-run after a failure replaces a partial result.
     before = (status.where("status = 'destination_exists'").join(
         recorded.select(F.col("from").alias("path"), "hash").distinct(), ["path", "hash"], "left_semi")
         .select("asset_id", F.lit("archived_before").alias("result")))
+    lost = movable.join(taken, "path").select("asset_id", F.col("result").alias("other"))
+    checked = checked.join(lost, "asset_id", "left").select("asset_id", F.coalesce("other", "result").alias("result"))
     checked = materialize(checked.unionByName(before))
     gone = checked.where(F.col("result").isin("archived", "archived_before")).select("asset_id")
     pln.kept_assets(assets, gone).write.mode("overwrite").parquet(kept_out)
@@ -228,42 +240,136 @@ def archive(spark: SparkSession, removal: DataFrame, assets: DataFrame, archive_
 _ENTRY = "created_unix bigint, destination string, `from` string, `to` string, size bigint, hash string, algo string"
 
 
-def _entries(spark: SparkSession, archive_dir: str) -> DataFrame:
-    """Entries of all runs, each with ``undone``: a later undo moved the row back."""
+_ARCHIVED = ("asset_id bigint, `from` string, `to` string, name string, store string, size bigint, payload binary, algo string, "
+             "run string")
+
+
+def _log(spark: SparkSession, archive_dir: str) -> CommitLog:
+    """The commit log; lines that an older version appended without one are taken over by its first commit."""
+    root = archive_dir.rstrip("/")
+    log = CommitLog(spark, f"{root}/log")
+    if not log.exists() and any_path(spark, f"{root}/manifest/*.json"):  # lines of logged runs stand in run=... folders
+        log.put(0, {"kind": "snapshot", "run": _write_snapshot(_unlogged_entries(spark, root), root), "covers": -1})
+    return log
+
+
+def _commit_archive(spark: SparkSession, archive_dir: str, log: CommitLog, seen: int, entries: DataFrame, written: str,
+                    now: int) -> DataFrame:
+    """Commits the entries of one run but those whose name another run took meanwhile; returns these with their result."""
     root = archive_dir.rstrip("/")
-    if not path_exists(spark, f"{root}/manifest"):
-        return literal_table(spark, [], _ENTRY).withColumn("undone", F.lit(False))
-    entries, _ = arc.manifest_entries(arc.read_manifest(spark, f"{root}/manifest"))
-    if not path_exists(spark, f"{root}/undone"):
+    state = {"entries": entries, "taken": literal_table(spark, [], "path string, result string")}
+
+    def stage() -> dict:
+        if not state["entries"].limit(1).count():
+            return {"kind": "nothing", "run": None}
+        return {"kind": "archive", "run": arc.write_lines(arc.manifest_lines(state["entries"], written, now), f"{root}/manifest")}
+
+    def check(first: int, last: int) -> dict:
+        since = _active_entries(spark, archive_dir, last).select("to", F.col("from").alias("o_from"), F.col("hash").alias("o_hash"))
+        hit = state["entries"].join(since, "to")
+        same = (F.col("from") == F.col("o_from")) & (F.col("hash") == F.col("o_hash"))
+        hit = materialize(hit.groupBy(F.col("from").alias("path")).agg(F.max(same).alias("same")).select(
+            "path", F.when(F.col("same"), "archived_before").otherwise("name_taken").alias("result")))
+        if not hit.limit(1).count():
+            return {}
+        state["taken"] = state["taken"].unionByName(hit)
+        state["entries"] = materialize(state["entries"].join(hit.select(F.col("path").alias("from")), "from", "left_anti"))
+        return stage()
+
+    log.commit(seen, stage(), check)
+    return state["taken"]
+
+
+def _unlogged_entries(spark: SparkSession, root: str) -> DataFrame:
+    """Entries with ``undone`` of manifest lines appended without a log."""
+    entries, _ = arc.manifest_entries(arc.read_manifest(spark, f"{root}/manifest/*.json"))
+    if not any_path(spark, f"{root}/undone/*.json"):
         return entries.withColumn("undone", F.lit(False))
-    back, _ = arc.manifest_entries(arc.read_manifest(spark, f"{root}/undone"))
-    back = back.select("destination", "to").distinct().withColumn("u", F.lit(True))
-    return entries.join(back, ["destination", "to"], "left").select(
-        *entries.columns, F.coalesce("u", F.lit(False)).alias("undone"))
+    back, _ = arc.manifest_entries(arc.read_manifest(spark, f"{root}/undone/*.json"))
+    return _with_undone(entries.withColumn("undone", F.lit(False)), back)
+
 
+def _with_undone(entries: DataFrame, back: DataFrame) -> DataFrame:
+    back = back.select("destination", "to").distinct().withColumn("_back", F.lit(True))
+    return entries.join(back, ["destination", "to"], "left").withColumn(
+        "undone", F.col("undone") | F.coalesce("_back", F.lit(False))).select(*entries.columns)
 
-def _active_entries(spark: SparkSession, archive_dir: str) -> DataFrame:
-    return _entries(spark, archive_dir).where(~F.col("undone"))
 
+def _write_snapshot(entries: DataFrame, root: str) -> str:
+    run = f"s{uuid.uuid4().hex}"
+    entries.write.parquet(f"{root}/snapshots/run={run}")
+    return run
+
+
+def _entries(spark: SparkSession, archive_dir: str, upto: int | None = None) -> DataFrame:
+    """Entries of all committed runs (up to commit ``upto``), each with ``undone``: a later undo moved the row back.
+
+    The newest snapshot, and the lines of the runs committed after it: three partitioned reads, however many runs there are.
+    """
+    root = archive_dir.rstrip("/")
+    log = _log(spark, archive_dir)
+    none = literal_table(spark, [], _ENTRY).withColumn("undone", F.lit(False))
+    if not log.exists():
+        return none
+    commits = log.records()
+    if upto is not None:
+        commits = commits.where(F.col("version") <= upto)
+    newest = commits.where(F.col("kind") == "snapshot").orderBy(F.desc("version")).select("run", "covers").first()
+    entries, covers = none, -1
+    if newest is not None:
+        entries, covers = spark.read.parquet(f"{root}/snapshots/run={newest.run}").select(*none.columns), newest.covers
+    later = commits.where(F.col("version") > covers)
+    if path_exists(spark, f"{root}/manifest") and later.where(F.col("kind") == "archive").limit(1).count():
+        fresh, _ = arc.manifest_entries(arc.committed_lines(spark, f"{root}/manifest", later.where(F.col("kind") == "archive")))
+        entries = entries.unionByName(fresh.withColumn("undone", F.lit(False)))
+    if path_exists(spark, f"{root}/undone") and later.where(F.col("kind") == "undo").limit(1).count():
+        back, _ = arc.manifest_entries(arc.committed_lines(spark, f"{root}/undone", later.where(F.col("kind") == "undo")))
+        entries = _with_undone(entries, back)
+    return entries
+
+
+def compact_manifest(spark: SparkSession, archive_dir: str) -> int:
+    """Writes the entries of all commits so far, with their undone state, as one snapshot; returns its commit.
+
+    Later reads start from it.  What others commit meanwhile has a higher number than it covers and is read as before.
+    """
+    log = _log(spark, archive_dir)
+    seen = log.latest()
+    run = _write_snapshot(_entries(spark, archive_dir, seen), archive_dir.rstrip("/"))
+    return log.commit(seen, {"kind": "snapshot", "run": run, "covers": seen}, lambda first, last: None)
 
-def _runs(spark: SparkSession, entries: DataFrame) -> DataFrame | None:
-    """The archived rows of the run folders that the entries name and that still exist (a short list)."""
-    folders = sorted(r[0] for r in entries.select("destination").distinct().collect())
-    parts = [spark.read.parquet(f).withColumn("destination", F.lit(f)) for f in folders if path_exists(spark, f)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+
+def _active_entries(spark: SparkSession, archive_dir: str, upto: int | None = None) -> DataFrame:
+    return _entries(spark, archive_dir, upto).where(~F.col("undone"))
+
+
+def _run_of(destination: str = "destination") -> F.Column:
+    return F.regexp_extract(F.col(destination), "/run=([^/]+)/*$", 1)
+
+
+def _runs(spark: SparkSession, archive_dir: str, entries: DataFrame) -> DataFrame | None:
+    """The archived rows of the runs that the entries name, with their ``destination``.
+
+    One partitioned read of all run folders, of which only the named ones are opened (dynamic partition pruning); a
+    folder that is gone has no rows.
+    """
+    data = f"{archive_dir.rstrip('/')}/data"
+    if not path_exists(spark, data):
+        return None
+    named = entries.where(F.col("destination").contains("/run=")).select("destination", _run_of().alias("run")).distinct()
+    return spark.read.schema(_ARCHIVED).parquet(data).join(F.broadcast(named), "run").drop("run")
 
 
 def undo(spark: SparkSession, archive_dir: str, live: DataFrame, algo: str = "sha256") -> DataFrame:
     """Undo status per manifest entry (J8); archived copies are re-hashed from the
-    run folders the manifest names (one per archive run, a short list).  A run folder
-    that is gone gives ``archive_missing``.  Entries that were undone show only while
+    run folders the manifest names.  A run folder that is gone gives ``archive_missing``.  Entries that were undone show only while
     their path is occupied."""
     return _undo(spark, archive_dir, live, algo).drop("destination")
 
 
 def _undo(spark: SparkSession, archive_dir: str, live: DataFrame, algo: str) -> DataFrame:
     entries = materialize(_entries(spark, archive_dir))
-    rows = _runs(spark, entries)
+    rows = _runs(spark, archive_dir, entries)
     if rows is None:
         archived = literal_table(spark, [], "destination string, path string, hash string")
     else:
@@ -287,9 +393,10 @@ def apply_undo(spark: SparkSession, archive_dir: str, live: DataFrame, out: str,
     out_norm = _norm_path(out).rstrip("/") + "/"
     if any(_norm_path(f).startswith(out_norm) for f in live.inputFiles()):
         raise ValueError("out must be a new location, not the table being read")
+    seen = _log(spark, archive_dir).latest()
     status = materialize(_undo(spark, archive_dir, live.select("path"), algo))
     todo = status.where(F.col("status") == "restore")
-    rows = _runs(spark, todo)
+    rows = _runs(spark, archive_dir, todo)
     if rows is None:
         live.write.mode("overwrite").parquet(out)
         return status.drop("destination")
@@ -297,13 +404,26 @@ def apply_undo(spark: SparkSession, archive_dir: str, live: DataFrame, out: str,
     picked = filter_by_ids(rows.withColumn("_key", key), todo.select(key.alias("_key")), "_key", keep=True)
     restored = picked.select("asset_id", F.col("from").alias("path"), "name", "store", "size", "payload")
     live.unionByName(restored).write.mode("overwrite").parquet(out)
-    back = todo.join(_entries(spark, archive_dir).select("destination", "to", "hash", "algo"), ["destination", "to"])
-    for folder in sorted(r[0] for r in back.select("destination").distinct().collect()):
-        lines = arc.manifest_lines(back.where(F.col("destination") == folder), folder, int(time.time()) if now is None else now)
-        arc.append_manifest(lines, archive_dir.rstrip("/") + "/undone")
+    _commit_undo(spark, archive_dir, seen, todo, int(time.time()) if now is None else now)
     return status.drop("destination")
 
 
+def _commit_undo(spark: SparkSession, archive_dir: str, seen: int, todo: DataFrame, now: int) -> None:
+    """Records entries as undone, each once even if another undo recorded some of them meanwhile."""
+    root, log = archive_dir.rstrip("/"), _log(spark, archive_dir)
+    state = {"todo": todo}
+
+    def stage() -> dict:
+        known = _active_entries(spark, archive_dir).select("destination", "to", "hash", "algo")
+        back = materialize(state["todo"].join(known, ["destination", "to"]))
+        if not back.limit(1).count():
+            return {"kind": "nothing", "run": None}
+        # Lines carry the destination of their entries: one line per destination and bucket.
+        return {"kind": "undo", "run": arc.write_lines(arc.undo_lines(back, now), f"{root}/undone")}
+
+    log.commit(seen, stage(), lambda first, last: stage())
+
+
 def catalog_headers(files: DataFrame, from_paths: bool = False) -> DataFrame:
     """S3 -> P11: decode headers (payload column, or open ``path`` in tasks), then
     summarize the decoded long table in one aggregation (it is read once)."""
