@@ -7,10 +7,12 @@ that hold the term and c(e,t) that hold both (copies of a text count once in all
 
     PMI(e,t) = log2(c(e,t) * N / (df(e) * df(t)))      IC(e) = log2(N / df(e))
 
-and a term discloses the entity if PMI / IC >= ``threshold`` (1 means that the term never occurs without
-the entity) and so many common texts are no chance: for independent e and t, a bound on the chance of
-c(e,t) or more common texts is at most ``alpha``.  No number of texts is asked for: in a corpus of at
-least 1 / alpha texts, one common text is enough for a term that stands nowhere else.  Near the entity such terms are generalised to the class of the word (NAME, NUMBER) or removed.
+and a term discloses the entity if PMI / IC, discounted by c / (c + 1) because few common texts prove little, is at least
+``threshold`` (1 means that the term never occurs without the entity) and so many common texts are no chance: for
+independent e and t, a bound on the chance of c(e,t) or more common texts is at most ``alpha`` / V.  V is the number of different
+terms of the corpus, as each of them is tried against an entity (Bonferroni): some of a corpus' many rare words stand in any given
+text, so one common text never tells; two that hold a rare term and a rare entity do in a corpus of some size.  In such
+texts the term is generalised to the class of the word (NAME, NUMBER) or, if it has none, removed.
 
 Plan: DataFrame functions only.  Spans are computed in the scan and kept as a narrow table in the shared
 folder.  Class, pair and term counts are hash aggregates with map-side combine; the term count runs over
@@ -39,7 +41,7 @@ from assetsweep.operators.skew import filter_by_ids
 KINDS = ("email", "ip", "card", "phone")
 BLOCK = 256
 ALPHA = 0.01
-THRESHOLD = 0.9
+THRESHOLD = 0.6
 
 # The contract's patterns, with possessive loops and run starts only, which find the same matches.
 PATTERN = {
@@ -134,7 +136,9 @@ def _row_hash(text: str) -> Column:
 
 def texts_with_entities(found: DataFrame) -> DataFrame:
     """One row per different text with base spans: ``__h``, its ``entities`` and its ``words`` outside base spans."""
-    d = found.where(F.size("__spans") > 0).select("__h", "__t", "__spans").dropDuplicates(["__h"])
+    d = found.where(F.size("__spans") > 0).select("__h", "__t", "__spans")
+    # A stated number of partitions is not merged: the words are taken apart in as many tasks.
+    d = d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__h").dropDuplicates(["__h"])
     d = d.withColumns({"g": F.split("__t", WORD, -1), "h": F.regexp_extract_all("__t", F.lit(WORD), F.lit(0))})
     words = F.when(F.size("h") > 0, _walk("g", "h", "term"))
     words = F.transform(words, lambda w: F.struct(F.lower(w["v"]).alias("term"), w["s"].alias("s"), w["e"].alias("e")))
@@ -176,24 +180,26 @@ def _chance(both: Column, a: Column, b: Column, n: Column) -> Column:
     return F.when(q > p, -b * (q * F.log(q / p) + rest)).otherwise(0.0)
 
 
-def significant(both: Column, a: Column, b: Column, n: Column, alpha: float) -> Column:
-    """Whether the smaller of the two bounds (the tail is symmetric in ``a`` and ``b``) is at most ``alpha``."""
-    return F.least(_chance(both, a, b, n), _chance(both, b, a, n)) <= math.log(alpha)
+def significant(both: Column, a: Column, b: Column, n: Column, alpha: float, tests: int) -> Column:
+    """Whether the smaller of the two bounds (the tail is symmetric in ``a`` and ``b``) is at most ``alpha`` / ``tests``."""
+    return F.least(_chance(both, a, b, n), _chance(both, b, a, n)) <= math.log(alpha / max(1, tests))
 
 
 def disclosing_pairs(holders: DataFrame, held: DataFrame, docs: DataFrame, text: str, alpha: float = ALPHA,
                      threshold: float = THRESHOLD) -> DataFrame:
-    """(class, term) pairs above the threshold, with ``disclosure`` = PMI / IC; all counts are of different texts."""
+    """(class, term) pairs above the threshold, with ``disclosure`` = PMI / IC, discounted; all counts are of different texts."""
     n_texts = docs.select("__h").distinct().count()
     pairs = held.groupBy("class", "term").agg(F.count("*").alias("both"))
     pairs = pairs.join(holders.groupBy("class").agg(F.count("*").alias("df_entity")), "class")
-    pairs = stored(pairs, "pii-pairs").join(term_documents(docs, text), "term")
+    terms = stored(term_documents(docs, text), "pii-term-counts")
+    pairs = stored(pairs, "pii-pairs").join(terms, "term")
     n = F.lit(float(max(n_texts, 1)))
     content = F.log2(n / F.col("df_entity"))
     pmi = F.log2(F.col("both") * n / (F.col("df_entity") * F.col("df_term")))
-    return (pairs.withColumn("disclosure", F.when(content > 0, pmi / content))
+    sure = F.col("both") / (F.col("both") + 1)
+    return (pairs.withColumn("disclosure", F.when(content > 0, pmi / content * sure))
             .where((F.col("disclosure") >= threshold)
-                   & significant(F.col("both"), F.col("df_entity"), F.col("df_term"), n, alpha))
+                   & significant(F.col("both"), F.col("df_entity"), F.col("df_term"), n, alpha, terms.count()))
             .select("class", "term", "disclosure"))
 
 

@@ -73,15 +73,31 @@ def test_sanitise_keeps_columns_nulls_and_empty_tables(spark):
     assert pii.sanitise(docs.limit(0)).collect() == []
 
 
-def test_entities_of_one_or_two_texts_are_judged(spark):
+def test_one_common_text_never_tells_two_do_in_a_large_corpus(spark):
     rows = [(0, "report by zorblatt about solo@corp.io and the rest"), (1, "letter of plover to pair@corp.io and the rest"),
             (2, "memo of plover about pair@corp.io and the others"), *((3, "memo of plover about pair@corp.io and the others"),) * 3]
-    rows += [(100 + k, f"report letter memo by of to about and the rest others {k}") for k in range(200)]
+    rows += [(100 + k, f"report letter memo by of to about and the rest others {k}") for k in range(1500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
-    assert clean[0] == "report by  about [EMAIL] and the rest"
+    assert clean[0] == "report by zorblatt about [EMAIL] and the rest"
     assert clean[1] == "letter of  to [EMAIL] and the rest" and clean[2] == clean[3] == "memo of  about [EMAIL] and the others"
-    assert all(clean[100 + k] == rows[6 + k][1] for k in range(200))
+    assert all(clean[100 + k] == rows[6 + k][1] for k in range(1500))
+    few = spark.createDataFrame(rows[:100], "doc_id long, text string")
+    assert {r.n_terms for r in pii.find_pii(few).collect()} == {0}
+
+
+def test_little_of_plain_prose_is_marked(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = pii.find_pii(docs).where("spans <> ''").join(docs.select("doc_id", "text"), "doc_id").collect()
+    words = sum(len(re.findall(r"\w+", r.text)) for r in found)
+    marked = sum(r.n_terms for r in found)
+    assert words > 5000 and marked < 0.02 * words
+    # Planted: a rare word that stands with one address in three of the texts.
+    planted = spark.createDataFrame([(10_000 + k, f"{r.text} zorblatt wrote to hid@corp.io") for k, r in enumerate(found[:3])], "doc_id long, text string")
+    got = pii.find_pii(docs.select("doc_id", "text").unionByName(planted)).where("doc_id >= 10000").collect()
+    for r, p in zip(sorted(got), sorted(planted.collect())):
+        spans = [x.split(":") for x in r.spans.split(",")]
+        assert "zorblatt" in {p.text[int(a):int(b)] for k, a, b in spans if k == "term"}
 
 
 def test_copies_do_not_change_any_count(spark):
