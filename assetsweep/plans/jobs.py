@@ -38,12 +38,13 @@ class Inventory:
         return rep.top_rows(self.assets, [F.desc("size"), F.asc("path")], n)
 
     def report(self, dups: dup.Duplicates | None = None) -> DataFrame:
-        """One row of JSON per store, file and duplicate group, and one of totals; nulls are left out."""
+        """One row of JSON per store and file, one or more per duplicate group, with its members in bounded
+        chunks, and one of totals; nulls are left out."""
         parts = [self.stores.select(F.lit("store").alias("section"), "*"),
                  self.assets.select(F.lit("file").alias("section"), *[c for c in self.assets.columns if c != "payload"])]
         totals = self.totals.select(F.lit("totals").alias("section"), "*")
         if dups is not None:
-            parts.append(dups.groups.select(F.lit("group").alias("section"), "group_id", "size_each", "n_members", "reclaimable", "keeper_id"))
+            parts.append(rep.group_chunks(dups).select(F.lit("group").alias("section"), "*"))
             both = totals.unionByName(dups.totals().withColumn("section", F.lit("totals")), allowMissingColumns=True)
             totals = both.groupBy("section").agg(*[F.max(c).alias(c) for c in both.columns if c != "section"])
         return reduce(lambda a, b: a.unionByName(b), [rep.to_json_rows(p) for p in [*parts, totals]])

@@ -1058,3 +1058,7 @@ def q_capacity_header_context(spark, sf_dir):
                    (F.col("p_size") * 256).cast("long").alias("n_embd"), F.lit(8).cast("long").alias("n_head"),
                    F.lit(1).cast("long").alias("n_head_kv"), given.cast("decimal(20,0)").alias("context_length"))
     return cap_ops.capacity_fit(cat, DEVICES[:1]).select("p_partkey", "context_tokens", "kv_cache_bytes")
+
+
+# Queries over files register themselves in the tables above.
+from assetsweep.plans import file_queries  # noqa: E402, F401

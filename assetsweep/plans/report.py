@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetsweep.functions import scalars as S
+from assetsweep.operators.ranking import ranked
+from assetsweep.operators.skew import join_members_to_groups
+from assetsweep.session import materialize
 
 
 def base_name(path) -> F.Column:
@@ -34,8 +36,27 @@ def top_rows(df: DataFrame, order: list, n: int) -> DataFrame:
             .select("rank", *df.columns, "n_more"))
 
 
-def with_human_sizes(df: DataFrame, size_col: str = "size") -> DataFrame:
-    return df.withColumn("size_text", S.human_bytes(F.col(size_col)))
+# Members in one row of a report.
+MEMBERS_PER_ROW = 10_000
+
+
+def group_chunks(dups, per_row: int = MEMBERS_PER_ROW) -> DataFrame:
+    """The duplicate groups with their members, in rows of at most ``per_row`` members.
+
+    A group of n members gives ceil(n / per_row) rows, numbered from 0 by ``chunk``, members in order of asset_id.  Members are
+    numbered by a range sort over all groups, so a group that holds a third of all rows is spread over tasks; only the
+    first number of each group is joined back.
+    """
+    members = ranked(dups.members(), [F.asc("group_id"), F.asc("asset_id")], "_n")
+    groups = dups.groups.select("group_id", "n_members", "size_each", "reclaimable", "keeper_id", "hash")
+    first = members.groupBy("group_id").agg(F.min("_n").alias("_first"))
+    groups = materialize(groups.join(first, "group_id"))
+    rows = join_members_to_groups(members.select("group_id", "_n", "asset_id", "path", "store", "is_keeper"), groups, ["group_id"])
+    chunk = F.floor((F.col("_n") - F.col("_first")) / per_row).cast("long")
+    keys = ["group_id", "n_members", "size_each", "reclaimable", "keeper_id", "hash"]
+    member = F.struct("asset_id", "path", "store", "is_keeper")
+    return (rows.groupBy(*keys, chunk.alias("chunk")).agg(F.sort_array(F.collect_list(member)).alias("members"))
+            .withColumn("n_chunks", F.ceil(F.col("n_members") / per_row)))
 
 
 def write_json_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:

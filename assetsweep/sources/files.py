@@ -265,14 +265,70 @@ def hash_files(files: DataFrame, algo: str = "sha256", num_partitions: int | Non
     return src.mapInArrow(run, FINGERPRINT)
 
 
-def prefiltered_fingerprints(files: DataFrame, min_size: int, algo: str = "sha256",
-                             num_partitions: int | None = None) -> DataFrame:
-    """J3 then F12: hash only files whose exact size occurs more than once.
+def _window_rows(it):
+    """Hashes of the first and last 4 KiB of each file; at most 8 KiB are read."""
+    schema = pa.schema([("asset_id", pa.int64()), ("path", pa.string()), ("head_hash", pa.string()), ("tail_hash", pa.string()), ("error", pa.string())])
+    for batch in it:
+        rows = []
+        for aid, path, size in zip(*(batch.column(c).to_pylist() for c in ("asset_id", "path", "size"))):
+            head = tail = error = None
+            try:
+                f, n = _open_path(path)
+                with f:
+                    if n != size:
+                        error = "changed while reading: size differs from listing"
+                    else:
+                        head = f.read(EDGE_BYTES)
+                        f.seek(max(0, n - EDGE_BYTES))
+                        head, tail = (hashlib.sha256(x).hexdigest() for x in (head, f.read(EDGE_BYTES)))
+            except READ_ERRORS as e:
+                error = f"unreadable: {e}"
+            rows.append((aid, path, head, tail, error))
+        cols = list(zip(*rows)) or [()] * len(schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    The listing rows (path, size) are small, so the size count shuffles little
-    and saves reading every file with a unique size.
+
+def window_hashes(files: DataFrame) -> DataFrame:
+    """``files`` (asset_id, path, store, size) plus head_hash, tail_hash (SHA-256) and error of the two windows."""
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    src = files.select("asset_id", "path", "store", "size")
+    read = src.repartition(tasks, "path").mapInArrow(
+        _window_rows, "asset_id long, path string, head_hash string, tail_hash string, error string")
+    return src.join(read, ["asset_id", "path"])
+
+
+def cascade(files: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """J3 in two steps: (files whose size occurs twice, with their windows; those whose size and both windows
+    occur twice; those whose windows could not be read).
+
+    Only narrow rows are counted and joined; a file that drops out in the second step was read for 8 KiB.
     """
     f = files.where(F.col("size") >= min_size)
     sizes = f.groupBy("size").count().where(F.col("count") > 1).select("size")
-    return hash_files(f.join(sizes, "size", "left_semi"), algo, num_partitions)
+    seen = materialize(window_hashes(f.join(sizes, "size", "left_semi")))
+    key = ["size", "head_hash", "tail_hash"]
+    good = seen.where("error is null")
+    twice = good.groupBy(*key).count().where(F.col("count") > 1).select(*key)
+    return seen, good.join(twice, key, "left_semi"), seen.where("error is not null")
+
 
+def cascade_workload(files: DataFrame, min_size: int) -> DataFrame:
+    """A7 per step: files and bytes that remain to be hashed after the listing, the sizes and the windows."""
+    seen, left, _ = cascade(files, min_size)
+    parts = [("listed", files.where(F.col("size") >= min_size)), ("size", seen), ("windows", left)]
+    rows = [d.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).withColumn("step", F.lit(name)) for name, d in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def prefiltered_fingerprints(files: DataFrame, min_size: int, algo: str = "sha256",
+                             num_partitions: int | None = None) -> DataFrame:
+    """J3 then F12: hash only files whose size and both 4 KiB windows occur more than once.
+
+    Files of unique size are never opened, and files that differ within a window are read for 8 KiB.  A file
+    whose windows could not be read is reported with ``ok = false`` (P9).
+    """
+    _, left, failed = cascade(files, min_size)
+    none = F.lit(None).cast("string")
+    bad = failed.select("asset_id", "path", "store", "size", none.alias("hash"), none.alias("head_hash"), none.alias("tail_hash"),
+                        F.lit(algo).alias("algo"), F.lit(False).alias("ok"), "error")
+    return hash_files(left, algo, num_partitions).unionByName(bad)
