@@ -1,75 +1,115 @@
 """``spark.read.format("model_headers")``: the header catalogue as a data source.
 
-A Python Data Source (PySpark 4): the driver lists the files below the given
-path and plans them into partitions of about ``bytes_per_partition`` header
-bytes (files counted at ``min(size, header_budget)``); each task opens its own
-files and decodes only their header prefix with ``sources.headers``.  The rows
-are the long decoded table (``section`` = header / kv / tensor), ready for
-``operators.catalog.summarize_decoded``.
-
-Options: ``glob`` (default ``*.gguf``; empty for all files), ``bytesPerPartition``.
+``load_headers(spark, root)`` lists the tree with tasks (``sources.listing``), deals the paths out by header bytes (files count
+``min(size, HEADER_BUDGET)``) and writes them as a table of some part files; the source plans one partition per part file.
+So the driver sees the names of part files, never of model files.  Read directly, ``format("model_headers").load(root)``
+plans ``numPartitions`` shares without listing anything: each task lists the top of the tree and goes on
+with the files and folders whose name hashes to its share.
+
+``sections`` and ``keys`` say which rows are wanted: values of other entries are passed over, not decoded.  They are options, and
+not filters that Spark pushes: Spark 4.1 keeps a Python reader with its filters for the next query on the same DataFrame, which
+would then miss rows.
+
+The rows are the long decoded table (``section`` = header / kv / tensor), ready for
+``operators.catalog.summarize_decoded``.  Options: ``glob`` (default ``*.gguf``; empty for all files), ``numPartitions``, ``listing``,
+``sections`` and ``keys`` (JSON lists).
 """
 
 from __future__ import annotations
 
-import fnmatch
+import json
+import sys
+import uuid
+from fnmatch import fnmatchcase
+from zlib import crc32
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from assetsweep.operators.ranking import balanced
+from assetsweep.session import checkpoint_dir, ship_package
 from assetsweep.sources.headers import DECODED
+from assetsweep.sources.listing import list_trees
 
 # Planning estimate of the header bytes read per file.
 HEADER_BUDGET = 4 * 1024 * 1024
 DEFAULT_BYTES_PER_PARTITION = 256 * 1024 * 1024
+DEFAULT_PARTITIONS = 32
 
 
-class _Files(InputPartition):
-    def __init__(self, paths):
-        super().__init__(paths)
-        self.paths = paths
+class _Listed(InputPartition):
+    """One part file of a table of paths."""
+
+    def __init__(self, part: str):
+        super().__init__(part)
+        self.part = part
+
+
+class _Share(InputPartition):
+    def __init__(self, k: int, n: int):
+        super().__init__(k)
+        self.k, self.n = k, n
+
+
+def _filesystem(uri: str):
+    from pyarrow import fs as pafs
+
+    from assetsweep.sources.listing import local_path
+    base = local_path(uri)
+    if base is not None:
+        return pafs.LocalFileSystem(), base
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1))
 
 
 class HeaderReader(DataSourceReader):
     def __init__(self, options):
         self.root = options.get("path")
         self.glob = options.get("glob", "*.gguf")
-        self.per_part = int(options.get("bytesPerPartition", DEFAULT_BYTES_PER_PARTITION))
+        self.listing = options.get("listing")
+        self.n = int(options.get("numPartitions", DEFAULT_PARTITIONS))
+        self.sections, self.keys = (x if x is None else frozenset(json.loads(x)) for x in (options.get("sections"), options.get("keys")))
 
     def partitions(self):
+        if not self.listing:
+            return [_Share(k, self.n) for k in range(self.n)]
         from pyarrow import fs as pafs
-        root = self.root
-        local = root[5:] if root.startswith("file:") else root
-        while local.startswith("//"):
-            local = local[1:]
-        remote = "://" in local
-        fs, base = pafs.FileSystem.from_uri(root) if remote else (pafs.LocalFileSystem(), local)
-        info = fs.get_file_info(base)
-        infos = [info] if info.type == pafs.FileType.File else \
-            fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True))
-        parts, cur, cur_bytes = [], [], 0
-        for fi in sorted(infos, key=lambda x: x.path):
-            if fi.type != pafs.FileType.File or (self.glob and not fnmatch.fnmatchcase(fi.base_name, self.glob)):
+        fs, base = _filesystem(self.listing)
+        parts = [x.path for x in fs.get_file_info(pafs.FileSelector(base)) if x.base_name.startswith("part-")]
+        return [_Listed(p) for p in sorted(parts)] or [_Share(0, 0)]
+
+    def _paths(self, partition):
+        if isinstance(partition, _Listed):
+            import pyarrow.parquet as pq
+            fs, _ = _filesystem(self.listing)
+            with pq.ParquetFile(fs.open_input_file(partition.part)) as table:
+                for batch in table.iter_batches(columns=["path"]):
+                    yield from batch.column(0).to_pylist()
+            return
+        from assetsweep.sources.listing import _walk, entries, local_path
+        if not partition.n:
+            return
+        base = local_path(self.root)
+        for is_dir, path, _, _ in entries(self.root if base is None else base):
+            if crc32(path.rsplit("/", 1)[-1].encode("utf-8", "surrogateescape")) % partition.n != partition.k:
                 continue
-            cur.append(fi.path if remote else "file:" + fi.path)
-            cur_bytes += min(fi.size or 0, HEADER_BUDGET)
-            if cur_bytes >= self.per_part:
-                parts.append(_Files(cur))
-                cur, cur_bytes = [], 0
-        if cur:
-            parts.append(_Files(cur))
-        return parts or [_Files([])]
+            if is_dir:
+                yield from (r[3] for r in _walk(None, self.glob, path, sys.maxsize, sys.maxsize))
+            elif not self.glob or fnmatchcase(path.rsplit("/", 1)[-1], self.glob):
+                yield path
 
     def read(self, partition):
-        from assetsweep.sources.headers import READ_ERRORS, _open_path, _row, decode_stream
-        for p in partition.paths:
+        from assetsweep.sources.headers import DEFAULT_LIMITS, READ_ERRORS, Wanted, _open_path, _row, decode_stream
+        wanted = Wanted(self.sections, self.keys)
+        for p in self._paths(partition):
             try:
                 f, n = _open_path(p)
             except READ_ERRORS as e:
-                yield _row(p, "header", None, error=f"io: {e}")
+                if wanted.section("header"):
+                    yield _row(p, "header", None, error=f"io: {e}")
                 continue
             with f:
-                yield from decode_stream(p, f, n)
+                yield from decode_stream(p, f, n, DEFAULT_LIMITS, wanted)
 
 
 class HeaderSource(DataSource):
@@ -86,3 +126,17 @@ class HeaderSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(HeaderSource)
+
+
+def load_headers(spark: SparkSession, root: str, glob: str | None = "*.gguf", sections: list[str] | None = None,
+                 keys: list[str] | None = None, bytes_per_partition: int = DEFAULT_BYTES_PER_PARTITION) -> DataFrame:
+    """The decoded headers of all files below ``root``: all rows, or those of ``sections`` and, of key/value rows, ``keys``."""
+    ship_package(spark)
+    register(spark)
+    files = list_trees(spark, [(None, root, glob)]).select("path", F.least("size", F.lit(HEADER_BUDGET)).alias("bytes"))
+    total = files.agg(F.sum("bytes")).first()[0] or 0
+    tasks = int(max(spark.sparkContext.defaultParallelism, -(-total // bytes_per_partition)))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/headers-{uuid.uuid4().hex}"
+    balanced(files, "bytes", tasks, [F.asc("path")]).select("path").write.parquet(folder)
+    wanted = {k: json.dumps(list(v)) for k, v in (("sections", sections), ("keys", keys)) if v is not None}
+    return spark.read.format("model_headers").options(listing=folder, **wanted).load()

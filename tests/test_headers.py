@@ -93,7 +93,7 @@ def test_header_data_source(spark, tmp_path):
         (tmp_path / f"{name}.gguf").write_bytes(data)
     (tmp_path / "notes.txt").write_bytes(b"not listed")
     header_source.register(spark)
-    dec = spark.read.format("model_headers").option("bytesPerPartition", "64").load(str(tmp_path))
+    dec = spark.read.format("model_headers").option("numPartitions", "7").load(str(tmp_path))
     assert dec.rdd.getNumPartitions() > 1
     cat = CAT.summarize_decoded(dec)
     got = {r["path"].rsplit("/", 1)[-1]: r for r in cat.collect()}
