@@ -9,8 +9,8 @@ a hashed bag of words, through a tanh layer.  Gated attention weighs the passage
 and all of it is learned from document labels only, by Adam in numpy.
 
 Training takes a bounded sample: at most ``SAMPLE`` labelled documents (the smallest hashes of doc_id, so
-the same on every run) that are not held out, and of each at most ``TRAIN_PASSAGES`` passages, evenly
-spaced.  Scoring reads every passage of every document.  Labels, lang, source and doc_id are no inputs.
+the same on every run) that are not held out, with all of their passages; of several texts under one sampled doc_id
+one is taken.  Scoring reads every passage of every document.  Labels, lang, source and doc_id are no inputs.
 
 Plan: the sampled ids (a bounded set) are broadcast to pick their texts in one scan; the weights (some KB)
 are broadcast for the scoring scan.  No shuffle of text, no state between rows.
@@ -34,7 +34,6 @@ from assetsweep.session import ship_package
 
 PASSAGE = 50
 SAMPLE = 6000
-TRAIN_PASSAGES = 48
 BUCKETS = 128
 HIDDEN, ATTENTION = 24, 12
 THRESHOLD = 0.7
@@ -184,8 +183,7 @@ def _bags(batches):
         for a, x, bounds in encode(batch.column(1)):
             rows = []
             for b, e in zip(bounds[:-1], bounds[1:]):
-                k = np.unique(np.linspace(b, e - 1, min(e - b, TRAIN_PASSAGES)).astype(np.int64))
-                rows.append(x[k].astype(np.float32).tobytes())
+                rows.append(x[b:e].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(rows)), pa.array(rows, pa.binary()),
                                               batch.column(2).slice(a, len(rows))], names=["doc_id", "bag", "label"])
 
@@ -204,8 +202,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     d = d.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most `sample` rows
-    rows = d.mapInArrow(_bags, "doc_id long, bag binary, label double" if d.schema["doc_id"].dataType == T.LongType()
-                        else f"doc_id {d.schema['doc_id'].dataType.simpleString()}, bag binary, label double").collect()
+    kind = T.StructType([d.schema["doc_id"], T.StructField("bag", T.BinaryType()), T.StructField("label", T.DoubleType())])
+    # However often a sampled doc_id stands in the table, one bag of it comes back.
+    rows = d.mapInArrow(_bags, kind).groupBy("doc_id").agg(F.min("bag").alias("bag"), F.max("label").alias("label")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.bag))
     net = AttentionMil()
     y = np.array([r.label for r in rows])
