@@ -11,6 +11,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from assetsweep.functions.hashing import content_hash
 from assetsweep.operators import archive as arc
@@ -25,6 +26,7 @@ from assetsweep.plans import report as rep
 from assetsweep.session import any_path, literal_table, materialize, path_exists
 from assetsweep.sources import files as FS
 from assetsweep.sources import headers as hdr
+from assetsweep.sources.kept import VERSION, KeptRows
 
 
 @dataclass
@@ -74,10 +76,17 @@ def inventory(assets: DataFrame, stores: DataFrame, tags: DataFrame | None = Non
 
 
 def file_inventory(spark: SparkSession, stores: list[tuple[str, str, str | None]], no_parse: bool = False,
-                   manifests: DataFrame | None = None) -> Inventory:
-    """The models below store roots ``[(kind, root, glob), ...]``, with their headers unless ``no_parse`` (P10)."""
+                   manifests: DataFrame | None = None, kept: str | None = None) -> Inventory:
+    """The models below store roots ``[(kind, root, glob), ...]``, with their headers unless ``no_parse`` (P10).
+
+    ``kept`` names a folder in which decoded headers stay between runs, see ``catalog_headers_kept``."""
     files = materialize(FS.with_asset_ids(FS.select_models(FS.scan_stores(spark, stores))))
-    catalog = None if no_parse else materialize(catalog_headers(files.select("path"), from_paths=True))
+    if no_parse:
+        catalog = None
+    elif kept:
+        catalog = materialize(catalog_headers_kept(spark, files, kept))
+    else:
+        catalog = materialize(catalog_headers(files.select("path"), from_paths=True))
     roots = literal_table(spark, [(k, f"file:{os.path.abspath(r)}" if "://" not in r and not r.startswith("file:") else r,
                                    not path_exists(spark, r)) for k, r, _ in stores], "kind string, root string, missing boolean")
     return inventory(files, roots, manifests=manifests, catalog=catalog)
@@ -430,3 +439,40 @@ def catalog_headers(files: DataFrame, from_paths: bool = False) -> DataFrame:
     summarize the decoded long table in one aggregation (it is read once)."""
     decoded = hdr.decode_paths(files) if from_paths else hdr.decode_payloads(files)
     return cat.summarize_decoded(decoded)
+
+
+KEPT_HEADERS = StructType([*hdr.DECODED.fields, StructField("size", LongType()), StructField("modificationTime", TimestampType()),
+                           StructField("limits", StringType())])
+
+
+def _kept_headers(spark: SparkSession, folder: str) -> KeptRows:
+    return KeptRows(spark, folder, KEPT_HEADERS)
+
+
+def catalog_headers_kept(spark: SparkSession, files: DataFrame, folder: str, limits: hdr.Limits = hdr.DEFAULT_LIMITS) -> DataFrame:
+    """``catalog_headers`` of listed files (path, size, modificationTime), opening only files that changed.
+
+    Decoded rows are kept in ``folder`` by path, size, modification time and limits.  Files that could not be read are tried
+    again, those whose header is damaged are not.  ``compact_headers`` drops rows of files that are gone or have changed.
+    """
+    table = _kept_headers(spark, folder)
+    listing = files.select(*VERSION)
+    known = table.rows().where(F.col("limits") == repr(limits))
+    readable = ~F.coalesce(F.col("error").startswith("io:"), F.lit(False))
+    done = known.where((F.col("section") == "header") & readable).select(*VERSION)
+    todo = materialize(listing.join(done, VERSION, "left_anti"))
+    if todo.limit(1).count():
+        fresh = hdr.decode_paths(todo.select("path"), limits=limits).join(todo, "path").withColumn("limits", F.lit(repr(limits)))
+        table.add(fresh)
+    rows = table.rows().where(F.col("limits") == repr(limits)).join(listing, VERSION, "left_semi")
+    # A file that failed before may stand twice; its newest rows are those without the failure.
+    good = rows.where((F.col("section") != "header") | readable)
+    failed = rows.where((F.col("section") == "header") & ~readable).dropDuplicates(["path"])
+    failed = failed.join(good.where("section = 'header'").select("path"), "path", "left_anti").select(*rows.columns)
+    both = good.unionByName(failed).dropDuplicates(["path", "section", "pos"])
+    return cat.summarize_decoded(both.select(*hdr.DECODED.fieldNames()))
+
+
+def compact_headers(spark: SparkSession, files: DataFrame, folder: str) -> int:
+    """Keeps the header rows of the listed file versions only; returns the commit."""
+    return _kept_headers(spark, folder).compact(files)
