@@ -25,8 +25,8 @@ number of comparisons near their size.
 
 Plan: lists of frequent shingles are salted by their sketch count; aggregates and joins on shingles and
 components can be split by AQE.  What is broadcast has a fixed size (the sketch levels) or a checked one
-(the hashes of sets whose texts are wanted, at most ``MAX_WANTED``; above it a shuffle join does the
-same).  Intermediate tables are written to the shared folder, where every later stage reads them.
+(the hashes of sets whose texts are wanted, at most ``MAX_WANTED``; above it a Bloom filter of bounded size
+goes before an exact join).  Intermediate tables are written to the shared folder, where every later stage reads them.
 
 Defined cases: a null or empty text has the empty set and links with nothing; a text of fewer than five
 words has one shingle, the whole sequence; equal rows are in one component; a null doc_id takes part and
@@ -49,6 +49,7 @@ from pyspark.sql.window import Window
 
 from assetsweep.llm import textbytes as tb
 from assetsweep.llm.common import stored
+from assetsweep.operators.skew import filter_by_ids
 from assetsweep.session import ship_package
 
 SHINGLE = 5
@@ -317,26 +318,19 @@ def bitmap_filter(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return d.where(apart * 9 <= F.col("nu") + F.col("nv")).select("u", "v")
 
 
-def _texts_of(wanted):
-    def pick(batches):
-        some = wanted.value if wanted else None
-        seen: set[int] = set()
-        for batch in batches:
-            rows, sids = [], []
-            for k, tokens in shingle_sets(batch.column(0)):
-                sid = set_id(tokens)
-                if sid in seen:
-                    continue
-                if some is not None:
-                    at = np.searchsorted(some, sid)
-                    if at == len(some) or some[at] != sid:
-                        continue
+def _texts_of(batches):
+    """(sid, text) of every different set that a task meets."""
+    seen: set[int] = set()
+    for batch in batches:
+        rows, sids = [], []
+        for k, tokens in shingle_sets(batch.column(0)):
+            sid = set_id(tokens)
+            if sid not in seen:
                 seen.add(sid)
                 rows.append(k)
                 sids.append(sid)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), batch.column(0).take(pa.array(rows))], names=["sid", "text"])
-    return pick
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), batch.column(0).take(pa.array(rows))], names=["sid", "text"])
 
 
 def _compare(batches):
@@ -359,15 +353,9 @@ def _compare(batches):
 
 def linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose sets link, compared shingle by shingle."""
-    spark = docs.sparkSession
     ids = stored(pairs.select("u").union(pairs.select("v")).distinct().toDF("sid"), "join-wanted")
-    n = ids.count()
-    wanted = None
-    if n <= MAX_WANTED:  # 8 bytes each
-        wanted = spark.sparkContext.broadcast(np.sort(ids.toArrow().column("sid").to_numpy()))
-    texts = docs.select("text").mapInArrow(_texts_of(wanted), "sid long, text string")
-    if wanted is None:
-        texts = texts.join(ids, "sid", "left_semi")
+    # Texts that are not wanted are dropped where they are read, by a broadcast of checked size or a filter of fixed size.
+    texts = filter_by_ids(docs.select("text").mapInArrow(_texts_of, "sid long, text string"), ids, "sid", max_ids=MAX_WANTED)
     texts = stored(texts.groupBy("sid").agg(F.min("text").alias("text")), "join-texts")
     d = pairs.join(texts.withColumnsRenamed({"sid": "u", "text": "tu"}), "u")
     d = d.join(texts.withColumnsRenamed({"sid": "v", "text": "tv"}), "v").select("u", "v", "tu", "tv")
