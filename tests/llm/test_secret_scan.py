@@ -177,3 +177,37 @@ def test_the_recall_quantile_alone_sets_the_threshold():
     p = net.probability(z)
     assert net.threshold < 0.5 and (p[:500] >= net.threshold).mean() >= S.RECALL
     assert net.precision == pytest.approx(y[p >= net.threshold].mean())
+
+
+def test_gradient_by_look_ups():
+    rng = random.Random(5)
+    net = S.CharNet()
+    net.p["bias"] += 0.05
+    found = [planted(rng, k % 2 == 0)[:2] for k in range(40)]
+    x, size, first = S.views(found)
+    y = np.array([rng.randrange(2) for _ in x], float)
+    want = net._gradient(x, size, y)
+    a, b, _ = S._views_of(*(S._joined([v for v, _ in found])[1:]))
+    got = net.gradient_places(S._joined([v for v, _ in found])[0], a, b, y, np.full(len(y), 1 / len(y)))
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=2e-5) for k in want if k != "embed")
+    assert np.allclose(got["embed"], want["embed"], atol=2e-5)
+
+
+def test_every_finding_trains_and_calibrates(spark):
+    rng = random.Random(21)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(k, f"note {k} token = {hexes(40)} stands here, used by {''.join(rng.choice('abcdefghij') for _ in range(12))} and 4{rng.randint(10**14, 10**15)} here") for k in range(2500)]
+    docs = spark.createDataFrame(rows, "row_id long, text string")
+    net = S.train_on_all(docs)
+    held = sum(int(S._hashes(*S._joined([S.symbols(t[:t.index("= ") + 2], t[t.index("= ") + 2:t.index(" stands")], t[t.index(" stands"):])[0]]))[0]) % S.HELD_OUT == 0 for _, t in rows)
+    assert net.held_out == held > 2000 / 10 * 1.2  # more than a fifth of a sample of 2,000 from each label would hold a tenth of
+    assert net.precision > 0.95
+
+
+def test_counts_weigh_like_repeated_rows():
+    z, y, n = np.array([-2.0, -1.0, 0.5, 1.0, 3.0]), np.array([0.0, 1.0, 0.0, 1.0, 1.0]), np.array([40, 2, 7, 60, 100])
+    one, many = S.CharNet(), S.CharNet()
+    one.calibrate(z, y, n=n)
+    many.calibrate(np.repeat(z, n), np.repeat(y, n))
+    assert one.threshold == pytest.approx(many.threshold) and one.scale == pytest.approx(many.scale)
+    assert one.held_out == many.held_out == 162 and one.precision == pytest.approx(many.precision)
