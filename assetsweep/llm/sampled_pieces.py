@@ -11,8 +11,9 @@ Weights: the model is a merge list, whose scores are merge ranks, not log-probab
 UTF-8 bytes, as the model does.
 
 The lattice falls apart wherever no piece spans two neighbouring characters.  These units repeat a lot, so
-each different one is filtered once and kept by the worker for later blocks (``STATES`` positions at most, then it starts
-anew); all units of a block are sampled together, step by step, in numpy.  Probabilities are compared as
+each different one is filtered once and kept for later blocks of the task (``STATES`` positions at most, then it starts
+anew), and no longer: idle workers hold no memory that other stages need.  All units of a block are sampled together, step by
+step, in numpy.  Probabilities are compared as
 whole multiples of 2^-32, so what is kept from earlier blocks changes no draw.
 
 Lossless: a space is the mark U+2581, a text gets one space in front, as the model does; a mark that stands
@@ -352,23 +353,26 @@ def _runs(texts: list, limit: int):
 def _encoder(path: str, temperature: float, seed: int):
     def encode(batches):
         m = model(path, temperature)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            keys = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for a, b in _runs(texts, BLOCK_CHARS):
-                part = texts[a:b]
-                if len(part) == 1 and len(part[0] or "") >= BLOCK_CHARS:
-                    ids, same = m.sample_long(part[0], keys[a:b], seed)
-                    pieces, good = [ids], [same]
-                else:
-                    pieces = m.sample([t or "" for t in part], keys[a:b], seed)
-                    good = [t is None or m.decode(p) == t for t, p in zip(part, pieces)]
-                offsets = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
-                flat = pa.array(np.concatenate(pieces) if pieces else np.zeros(0, np.int32))
-                ids = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([t is None for t in part]))
-                n = pa.array([None if t is None else len(p) for t, p in zip(part, pieces)], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), n, ids, pa.array(good)],
-                                                 names=["doc_id", "n_pieces", "pieces", "lossless"])
+        try:
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                keys = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                for a, b in _runs(texts, BLOCK_CHARS):
+                    part = texts[a:b]
+                    if len(part) == 1 and len(part[0] or "") >= BLOCK_CHARS:
+                        ids, same = m.sample_long(part[0], keys[a:b], seed)
+                        pieces, good = [ids], [same]
+                    else:
+                        pieces = m.sample([t or "" for t in part], keys[a:b], seed)
+                        good = [t is None or m.decode(p) == t for t, p in zip(part, pieces)]
+                    offsets = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
+                    flat = pa.array(np.concatenate(pieces) if pieces else np.zeros(0, np.int32))
+                    ids = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([t is None for t in part]))
+                    n = pa.array([None if t is None else len(p) for t, p in zip(part, pieces)], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), n, ids, pa.array(good)],
+                                                     names=["doc_id", "n_pieces", "pieces", "lossless"])
+        finally:
+            m._forget()
     return encode
 
 

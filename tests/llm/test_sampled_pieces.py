@@ -87,3 +87,12 @@ def test_a_long_row_among_others(m, spark, monkeypatch):
     assert all(r.lossless for r in out.values()) and len(out) == 4
     key = spark.range(2, 3).selectExpr("xxhash64(false, id) AS k").first().k % 2**64
     assert out[2].pieces == m.sample([rows[1][1]], np.array([key], np.uint64))[0].tolist()
+
+
+def test_a_task_leaves_no_filtered_units_behind():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some text here", None]), pa.array([5, 6])], names=["doc_id", "text", "key"])
+    kept = P.model(PATH)
+    for out in P._encoder(PATH, 1.0, 17)(iter([batch, batch])):
+        assert kept.head.n > 0 and out.column("lossless").to_pylist() == [True, True]
+    assert kept.head.n == 0 and len(kept.reached.room) <= 1024
