@@ -361,29 +361,49 @@ class CharNet:
         embed = self.p["embed"] * (np.arange(SYMBOLS) != PAD)[:, None]
         return np.stack([embed @ self.p["conv"][k * EMBED:(k + 1) * EMBED] for k in range(WIDTH)]).astype(np.float32)
 
-    def _convolved(self, codes: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The filters of the windows that begin at ``place``."""
-        table = self.tables()
+    def _convolved(self, codes: np.ndarray, place: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """The filters of the windows that begin at ``place``, by ``tables()``."""
         h = np.take(table[0], codes[place], axis=0)
         h += self.p["bias"].astype(np.float32)
         for j in range(1, WIDTH):
             h += np.take(table[j], codes[place + j], axis=0)
         return np.maximum(h, 0, out=h)
 
+    def _pooled_inside(self, codes: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray):
+        """(windows, rows of each place, view of each window, first symbol of each, maxima, means) centred in codes[a:b].
+
+        The views must come by falling size.  Windows lie place by place: a row for the first of each view, then one for the second
+        of those that have it, and so on, so that maxima and sums run over whole rows.
+        """
+        size = b - a
+        many = np.searchsorted(-size, -np.arange(int(size[0])))  # views with a window at that place
+        first = np.cumsum(many) - many
+        view = np.arange(int(many.sum())) - np.repeat(first, many)
+        place = a[view] + np.repeat(np.arange(len(many)), many) - HALF
+        h = self._convolved(codes, place, table)
+        rows = list(zip(first.tolist(), (first + many).tolist()))
+        top, total = h[:len(a)].copy(), h[:len(a)].copy()
+        for i, j in rows[1:]:
+            np.maximum(top[:j - i], h[i:j], out=top[:j - i])
+            total[:j - i] += h[i:j]
+        return h, rows, view, place, top, total / size[:, None].astype(np.float32)
+
     def _inside(self, codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """What the windows centred in codes[a:b] add to the score."""
-        out, size = self.p["out"].astype(np.float32).reshape(GROUPS, FILTERS), b - a
-        first = np.cumsum(size) - size
-        h = self._convolved(codes, np.arange(int(size.sum())) + np.repeat(a - first, size) - HALF)
-        return np.maximum.reduceat(h, first, axis=0) @ out[1] + (np.add.reduceat(h, first, axis=0) / size[:, None].astype(np.float32)) @ out[3]
+        out = self.p["out"].astype(np.float32).reshape(GROUPS, FILTERS)
+        by = np.argsort(a - b, kind="stable")
+        *_, top, mean = self._pooled_inside(codes, a[by], b[by], self.tables())
+        total = np.empty(len(a), np.float32)
+        total[by] = top @ out[1] + mean @ out[3]
+        return total
 
     def _around(self, codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """What the windows before and behind codes[a:b] add to the score."""
-        out = self.p["out"].astype(np.float32).reshape(GROUPS, FILTERS)
+        out, table = self.p["out"].astype(np.float32).reshape(GROUPS, FILTERS), self.tables()
         total = np.zeros(len(a), np.float32)
         for group, begin, n in ((0, a - BEFORE, BEFORE - WIDTH + 1), (2, b, AFTER - WIDTH + 1)):
-            h = self._convolved(codes, (begin[:, None] + np.arange(n)).reshape(-1)).reshape(len(a), n, FILTERS)
-            total += h.max(axis=1) @ out[group]
+            h = self._convolved(codes, (begin + np.arange(n)[:, None]).reshape(-1), table).reshape(n, len(a), FILTERS)
+            total += h.max(axis=0) @ out[group]
         return total
 
     def _most_around(self) -> float:
@@ -420,39 +440,65 @@ class CharNet:
         return np.maximum.reduceat(z, np.cumsum(n_views) - n_views)
 
     def gradient_places(self, codes: np.ndarray, a: np.ndarray, b: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
-        """The gradient of the weighted loss for views codes[a:b], by look-ups: windows are summed by place and symbol."""
-        out, size = self.p["out"].astype(np.float32).reshape(GROUPS, FILTERS), b - a
-        runs = np.stack([np.full(len(a), BEFORE - WIDTH + 1), size, np.full(len(a), AFTER - WIDTH + 1)], 1)
-        begin = np.stack([a - BEFORE, a - HALF, b], 1).reshape(-1)
-        runs = runs.reshape(-1)
-        first = np.cumsum(runs) - runs
-        place = np.arange(int(runs.sum())) + np.repeat(begin - first, runs)
-        h = self._convolved(codes, place)
-        top = np.maximum.reduceat(h, first, axis=0)
-        mean = np.add.reduceat(h, first, axis=0)[1::3] / size[:, None].astype(np.float32)
-        pooled = np.concatenate([top[0::3], top[1::3], top[2::3], mean], axis=1)
+        """The gradient of the weighted loss for views codes[a:b], by look-ups: windows are summed by place and symbol.
+
+        A maximum passes its gradient to the windows that reach it only; a context of nothing but padding is the bias alone.
+        """
+        by = np.argsort(a - b, kind="stable")
+        a, b, y, weight = a[by], b[by], y[by], weight[by]
+        out, table = self.p["out"].astype(np.float32).reshape(GROUPS, FILTERS), self.tables()
+        h, rows, view, place, inside, mean = self._pooled_inside(codes, a, b, table)
+        shown = np.concatenate([[0], np.cumsum(codes != PAD)])
+        blank = np.maximum(self.p["bias"].astype(np.float32), 0)
+        tops, around = {1: inside}, []
+        for group, begin, end in ((0, a - BEFORE, a), (2, b, b + AFTER)):
+            n = (BEFORE, AFTER)[group // 2] - WIDTH + 1
+            some = shown[end] > shown[begin]
+            at = (begin[some] + np.arange(n)[:, None]).reshape(-1)
+            windows = self._convolved(codes, at, table).reshape(n, -1, FILTERS)
+            tops[group] = np.tile(blank, (len(a), 1))
+            tops[group][some] = windows.max(axis=0)
+            around.append((group, n, some, at, windows))
+        pooled = np.concatenate([tops[0], tops[1], tops[2], mean], axis=1)
         z = pooled.astype(np.float64) @ self.p["out"] + self.p["b"][0]
         dz = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = {"out": pooled.T.astype(np.float64) @ dz, "b": np.array([dz.sum()])}
-        dz = dz.astype(np.float32)
-        dh = (h == np.repeat(top, runs, axis=0)) * np.repeat((dz[:, None, None] * out[:3]).reshape(-1, FILTERS), runs, axis=0)
-        of_mean = np.zeros((len(a), 3, FILTERS), np.float32)
-        of_mean[:, 1] = (dz / size)[:, None] * out[3]
-        dh += np.repeat(of_mean.reshape(-1, FILTERS), runs, axis=0)
+        g = {"out": pooled.T.astype(np.float64) @ dz, "b": np.array([dz.sum()]), "bias": np.zeros(FILTERS)}
+        sums = np.zeros((WIDTH, SYMBOLS * FILTERS))
+        dz = dz.astype(np.float32)[:, None]
+        for group, n, some, at, windows in around:
+            top = tops[group][some]
+            hit = np.flatnonzero(windows == np.where(top > 0, top, -1))
+            window, f = np.divmod(hit, FILTERS)
+            w = (dz[some] * out[group])[window % max(1, len(top)), f]
+            g["bias"] += n * dz[~some].sum(dtype=np.float64) * out[group] * (blank > 0)
+            for j in range(WIDTH):
+                sums[j] += np.bincount(codes[at[window] + j] * np.int64(FILTERS) + f, w, SYMBOLS * FILTERS)
+        most, each = dz * out[1], (dz / (b - a)[:, None]).astype(np.float32) * out[3]
+        dh = np.empty_like(h)
+        for i, j in rows:
+            np.multiply(h[i:j] == inside[:j - i], most[:j - i], out=dh[i:j])
+            dh[i:j] += each[:j - i]
         dh *= h > 0
-        g["bias"] = dh.sum(axis=0, dtype=np.float64)
+        # View by view, with WIDTH - 1 rows of zeros in front of each: the windows over a symbol are WIDTH rows in a row, the last place first.
+        size = b - a + WIDTH - 1
+        first = np.cumsum(size) - size
+        spread = np.zeros((int(size.sum()) + WIDTH - 1, FILTERS), np.float32)
+        spread[(first - a + HALF)[view] + place + WIDTH - 1] = dh
+        over = np.lib.stride_tricks.sliding_window_view(spread.reshape(-1), WIDTH * FILTERS)[::FILTERS]
+        c = codes[np.arange(len(over)) + np.repeat(a - HALF - first, size)]
+        by = np.argsort(c, kind="stable")
+        last = np.cumsum(np.bincount(c, minlength=SYMBOLS)).tolist()
+        sums, over = sums.reshape(WIDTH, SYMBOLS, FILTERS), over[by]
+        for x, (i, j) in enumerate(zip([0, *last], last)):
+            if i < j:  # row after row, which ``reduceat`` does not do
+                sums[:, x] += over[i:j].sum(axis=0).reshape(WIDTH, FILTERS)[::-1]
+        g["bias"] += sums[0].sum(axis=0)  # each window once
         g["conv"], g["embed"] = np.zeros_like(self.p["conv"]), np.zeros_like(self.p["embed"])
-        shown = np.arange(SYMBOLS) != PAD
+        sums *= (np.arange(SYMBOLS) != PAD)[:, None]
         for j in range(WIDTH):
-            c = codes[place + j]
-            by = np.argsort(c, kind="stable")
-            head = np.flatnonzero(np.diff(c[by].astype(np.int16), prepend=-1))
-            table = np.zeros((SYMBOLS, FILTERS))
-            table[c[by][head]] = np.add.reduceat(dh[by], head, axis=0)
-            table *= shown[:, None]
             rows = slice(j * EMBED, (j + 1) * EMBED)
-            g["conv"][rows] = self.p["embed"].T @ table
-            g["embed"] += table @ self.p["conv"][rows].T
+            g["conv"][rows] = self.p["embed"].T @ sums[j]
+            g["embed"] += sums[j] @ self.p["conv"][rows].T
         return g
 
 

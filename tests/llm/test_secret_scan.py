@@ -211,3 +211,63 @@ def test_counts_weigh_like_repeated_rows():
     many.calibrate(np.repeat(z, n), np.repeat(y, n))
     assert one.threshold == pytest.approx(many.threshold) and one.scale == pytest.approx(many.scale)
     assert one.held_out == many.held_out == 162 and one.precision == pytest.approx(many.precision)
+
+
+def window_by_window(net, codes, a, b, y, weight):
+    """The gradient, each window on its own: a maximum passes its gradient to every window that reaches it."""
+    out, half, table = net.p["out"].reshape(S.GROUPS, S.FILTERS), S.HALF, net.tables()
+    g = {k: np.zeros_like(v) for k, v in net.p.items()}
+    sums = np.zeros((S.WIDTH, S.SYMBOLS, S.FILTERS))
+    for i, j, label, w in zip(a, b, y, weight):
+        groups = [range(i - S.BEFORE, i - S.WIDTH + 1), range(i - half, j - half), range(j, j + S.AFTER - S.WIDTH + 1)]
+        h = [np.array([np.maximum(sum((table[k, codes[x + k]] for k in range(S.WIDTH)), net.p["bias"].astype(np.float32)), 0) for x in r]) for r in groups]
+        pooled = np.concatenate([*(x.max(axis=0) for x in h), h[1].mean(axis=0)])
+        dz = w * (1 / (1 + np.exp(-(pooled @ net.p["out"] + net.p["b"][0]))) - label)
+        g["out"] += pooled * dz
+        g["b"] += dz
+        for k, (r, x) in enumerate(zip(groups, h)):
+            d = ((x == x.max(axis=0)) * out[k] + (out[3] / (j - i) if k == 1 else 0)) * dz * (x > 0)
+            g["bias"] += d.sum(axis=0)
+            for at, row in zip(r, d):
+                for n in range(S.WIDTH):
+                    sums[n, codes[at + n]] += row
+    sums[:, S.PAD] = 0
+    for n in range(S.WIDTH):
+        rows = slice(n * S.EMBED, (n + 1) * S.EMBED)
+        g["conv"][rows] = net.p["embed"].T @ sums[n]
+        g["embed"] += sums[n] @ net.p["conv"][rows].T
+    return g
+
+
+def odd_views():
+    """Blank and half blank contexts, repeated windows, long values, the same value twice."""
+    rng = random.Random(6)
+    hide = lambda v, n: bytes(S.BEFORE) + v[S.BEFORE:S.BEFORE + n] + bytes(S.AFTER)
+    found = [S.symbols("", "abcdefgh", ""), S.symbols("=" * 30, "=" * 20, "=" * 9), S.symbols("x ", "a1b2" * 30, ""), S.symbols("", "é" * 8, " y")]
+    found += [planted(rng, k % 2 == 0)[:2] for k in range(10)] + [S.symbols(" ", "q" * 41, "")] * 2
+    found += [(hide(*x), x[1]) for x in found]
+    codes, start, end = S._joined([x for x, _ in found])
+    a, b, _ = S._views_of(start, end)
+    return codes, np.append(a, a[:3]), np.append(b, b[:3])
+
+
+def test_gradient_by_look_ups_window_by_window():
+    codes, a, b = odd_views()
+    net = S.CharNet()
+    for bias in (0.05, -0.05):
+        net.p["bias"][:] = np.linspace(bias, -bias, S.FILTERS)
+        y, weight = np.arange(len(a)) % 2.0, np.linspace(0.01, 0.03, len(a))
+        want, got = window_by_window(net, codes, a, b, y, weight), net.gradient_places(codes, a, b, y, weight)
+        assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-5) for k in want)
+
+
+def test_gradient_leaves_blank_contexts_to_the_bias(monkeypatch):
+    codes, a, b = S._joined([S.symbols("", "a1b2c3d4" * k, "")[0] for k in range(1, 6)])
+    net, places, convolved = S.CharNet(), [], S.CharNet._convolved
+
+    def spy(self, c, place, *more):
+        places.append(len(place))
+        return convolved(self, c, place, *more)
+    monkeypatch.setattr(S.CharNet, "_convolved", spy)
+    net.gradient_places(codes, a, b, np.ones(len(a)), np.full(len(a), 1 / len(a)))
+    assert sum(places) == (b - a).sum()  # not 24 more a view: the windows around it hold nothing but padding
