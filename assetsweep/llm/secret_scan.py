@@ -19,8 +19,8 @@ Plan: one scan finds the secrets; the different ones are stored, some per thousa
 In a round each task goes on from the same network, with batches of its own candidates and stored secrets; the networks
 are averaged by their steps in one aggregate of a few thousand whole numbers.  The next scan counts the held-out findings by their
 score in steps of 1 / ``GRID``; the last one finds, scores and returns the spans.  Candidates are never stored, no text is shuffled.
-The convolution of a window is a sum of ``WIDTH`` table rows (position, character), so scoring a
-candidate costs some thirty windows of five look-ups each; its gradient is summed into the same tables.
+The convolution of a window is a sum of table rows (position, pair of characters), so scoring a
+candidate costs some thirty windows of three look-ups each; its gradient is summed by position and character.
 
 Defined cases: a null text is empty; equal rows get equal results; an empty table gives an empty result;
 only the named columns are read, so others may have any name.  The network depends on how the rows are divided into partitions.
@@ -103,9 +103,11 @@ class Symbols:
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.first = np.cumsum(sizes + gap) - sizes - AFTER  # place of each text's first character
         self.codes = np.zeros(int((sizes + gap).sum()), np.uint8)
-        place = np.arange(len(points)) + np.repeat(self.first - (np.cumsum(sizes) - sizes), sizes)
-        self.codes[place] = np.where((points >= 32) & (points < 127), points - 30, OTHER)
-        inside = _RUN_CODE[self.codes]
+        shown = np.ones(len(self.codes), bool)
+        shown[(self.first[:, None] - np.arange(1, BEFORE + 1)).reshape(-1)] = False
+        shown[((self.first + sizes)[:, None] + np.arange(AFTER)).reshape(-1)] = False
+        self.codes[shown] = np.take(_CODE, np.minimum(points, 127))
+        inside = np.take(_RUN_CODE, self.codes)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
         start, end = edge[::2], edge[1::2]
         long = end - start >= MIN_RUN
@@ -227,6 +229,7 @@ LENGTH = BEFORE + VIEW + AFTER
 HALF = WIDTH // 2
 GROUPS = 4  # maxima before, inside and behind, mean inside
 
+_CODE = np.array([k - 30 if 32 <= k < 127 else OTHER for k in range(128)], np.uint8)
 _RUN_CODE = np.zeros(256, bool)
 _RUN_CODE[[ord(c) - 30 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
 _DIGIT_CODE = np.zeros(256, bool)
@@ -361,15 +364,21 @@ class CharNet:
         embed = self.p["embed"] * (np.arange(SYMBOLS) != PAD)[:, None]
         return np.stack([embed @ self.p["conv"][k * EMBED:(k + 1) * EMBED] for k in range(WIDTH)]).astype(np.float32)
 
-    def _convolved(self, codes: np.ndarray, place: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """The filters of the windows that begin at ``place``, by ``tables()``."""
-        h = np.take(table[0], codes[place], axis=0)
-        h += self.p["bias"].astype(np.float32)
-        for j in range(1, WIDTH):
-            h += np.take(table[j], codes[place + j], axis=0)
+    def _pairs(self) -> list[np.ndarray]:
+        """``tables`` of the first two symbols of a window, with the bias, of the next two and of the last."""
+        t = self.tables()
+        t[0] += self.p["bias"].astype(np.float32)
+        return [(t[j][:, None] + t[j + 1]).reshape(-1, FILTERS) for j in range(0, WIDTH - 1, 2)] + [t[WIDTH - 1]]
+
+    def _convolved(self, codes: np.ndarray, place: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
+        """The filters of the windows that begin at ``place``, by ``_pairs()``."""
+        last = WIDTH - 1
+        h = np.take(pairs[-1], codes[place + last], axis=0)
+        for j, table in zip(range(0, last, 2), pairs):
+            h += np.take(table, codes[place + j] * np.int64(SYMBOLS) + codes[place + j + 1], axis=0)
         return np.maximum(h, 0, out=h)
 
-    def _pooled_inside(self, codes: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray):
+    def _pooled_inside(self, codes: np.ndarray, a: np.ndarray, b: np.ndarray, pairs: list[np.ndarray]):
         """(windows, rows of each place, view of each window, first symbol of each, maxima, means) centred in codes[a:b].
 
         The views must come by falling size.  Windows lie place by place: a row for the first of each view, then one for the second
@@ -380,7 +389,7 @@ class CharNet:
         first = np.cumsum(many) - many
         view = np.arange(int(many.sum())) - np.repeat(first, many)
         place = a[view] + np.repeat(np.arange(len(many)), many) - HALF
-        h = self._convolved(codes, place, table)
+        h = self._convolved(codes, place, pairs)
         rows = list(zip(first.tolist(), (first + many).tolist()))
         top, total = h[:len(a)].copy(), h[:len(a)].copy()
         for i, j in rows[1:]:
@@ -388,21 +397,21 @@ class CharNet:
             total[:j - i] += h[i:j]
         return h, rows, view, place, top, total / size[:, None].astype(np.float32)
 
-    def _inside(self, codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _inside(self, codes: np.ndarray, a: np.ndarray, b: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
         """What the windows centred in codes[a:b] add to the score."""
         out = self.p["out"].astype(np.float32).reshape(GROUPS, FILTERS)
         by = np.argsort(a - b, kind="stable")
-        *_, top, mean = self._pooled_inside(codes, a[by], b[by], self.tables())
+        *_, top, mean = self._pooled_inside(codes, a[by], b[by], pairs)
         total = np.empty(len(a), np.float32)
         total[by] = top @ out[1] + mean @ out[3]
         return total
 
-    def _around(self, codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _around(self, codes: np.ndarray, a: np.ndarray, b: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
         """What the windows before and behind codes[a:b] add to the score."""
-        out, table = self.p["out"].astype(np.float32).reshape(GROUPS, FILTERS), self.tables()
+        out = self.p["out"].astype(np.float32).reshape(GROUPS, FILTERS)
         total = np.zeros(len(a), np.float32)
         for group, begin, n in ((0, a - BEFORE, BEFORE - WIDTH + 1), (2, b, AFTER - WIDTH + 1)):
-            h = self._convolved(codes, (begin + np.arange(n)[:, None]).reshape(-1), table).reshape(n, len(a), FILTERS)
+            h = self._convolved(codes, (begin + np.arange(n)[:, None]).reshape(-1), pairs).reshape(n, len(a), FILTERS)
             total += h.max(axis=0) @ out[group]
         return total
 
@@ -412,11 +421,11 @@ class CharNet:
         top = np.maximum(self.p["bias"] + self.tables().astype(np.float64).max(axis=1).sum(axis=0), 0)
         return float(np.maximum(out[[0, 2]] * top, 0).sum())
 
-    def score_places(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, least: float = 0.0, chunk: int = 4096) -> np.ndarray:
+    def score_places(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, least: float = 0.0, chunk: int = 512) -> np.ndarray:
         """The same probabilities for candidates at places of a row of symbols, by look-ups; see ``logit_places``."""
         return self.probability(self.logit_places(codes, start, end, least, chunk))
 
-    def logit_places(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, least: float = 0.0, chunk: int = 4096) -> np.ndarray:
+    def logit_places(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, least: float = 0.0, chunk: int = 512) -> np.ndarray:
         """The logits, before calibration, of candidates at places of a row of symbols, by look-ups.
 
         Equal values between equal neighbours are convolved once.  The windows around a view are left out if they could not
@@ -427,7 +436,8 @@ class CharNet:
         if not len(a):
             return np.zeros(0)
         _, example, same = np.unique(tb.hash_words(codes, a - HALF, b + HALF), return_index=True, return_inverse=True)
-        z = np.concatenate([self._inside(codes, a[k], b[k]) for k in (example[at:at + chunk] for at in range(0, len(example), chunk))])[same]
+        pairs = self._pairs()
+        z = np.concatenate([self._inside(codes, a[k], b[k], pairs) for k in (example[at:at + chunk] for at in range(0, len(example), chunk))])[same]
         z = z.astype(np.float64) + self.p["b"][0]
         best = z + self._most_around() + 1e-3  # more than rounding
         open_ = np.flatnonzero(self.probability(best) >= least) if self.scale > 0 else np.arange(len(z))
@@ -435,7 +445,7 @@ class CharNet:
         shut[open_] = False
         for at in range(0, len(open_), chunk):
             k = open_[at:at + chunk]
-            z[k] += self._around(codes, a[k], b[k])
+            z[k] += self._around(codes, a[k], b[k], pairs)
         z[shut] = best[shut]
         return np.maximum.reduceat(z, np.cumsum(n_views) - n_views)
 
@@ -446,8 +456,8 @@ class CharNet:
         """
         by = np.argsort(a - b, kind="stable")
         a, b, y, weight = a[by], b[by], y[by], weight[by]
-        out, table = self.p["out"].astype(np.float32).reshape(GROUPS, FILTERS), self.tables()
-        h, rows, view, place, inside, mean = self._pooled_inside(codes, a, b, table)
+        out, pairs = self.p["out"].astype(np.float32).reshape(GROUPS, FILTERS), self._pairs()
+        h, rows, view, place, inside, mean = self._pooled_inside(codes, a, b, pairs)
         shown = np.concatenate([[0], np.cumsum(codes != PAD)])
         blank = np.maximum(self.p["bias"].astype(np.float32), 0)
         tops, around = {1: inside}, []
@@ -455,7 +465,7 @@ class CharNet:
             n = (BEFORE, AFTER)[group // 2] - WIDTH + 1
             some = shown[end] > shown[begin]
             at = (begin[some] + np.arange(n)[:, None]).reshape(-1)
-            windows = self._convolved(codes, at, table).reshape(n, -1, FILTERS)
+            windows = self._convolved(codes, at, pairs).reshape(n, -1, FILTERS)
             tops[group] = np.tile(blank, (len(a), 1))
             tops[group][some] = windows.max(axis=0)
             around.append((group, n, some, at, windows))
@@ -488,10 +498,11 @@ class CharNet:
         c = codes[np.arange(len(over)) + np.repeat(a - HALF - first, size)]
         by = np.argsort(c, kind="stable")
         last = np.cumsum(np.bincount(c, minlength=SYMBOLS)).tolist()
-        sums, over = sums.reshape(WIDTH, SYMBOLS, FILTERS), over[by]
-        for x, (i, j) in enumerate(zip([0, *last], last)):
-            if i < j:  # row after row, which ``reduceat`` does not do
-                sums[:, x] += over[i:j].sum(axis=0).reshape(WIDTH, FILTERS)[::-1]
+        over, total = over[by], np.zeros((SYMBOLS, WIDTH * FILTERS), np.float32)
+        for row, i, j in zip(total, [0, *last], last):
+            if i < j:
+                np.add.reduce(over[i:j], axis=0, out=row)  # row after row, which ``reduceat`` does not do
+        sums = sums.reshape(WIDTH, SYMBOLS, FILTERS) + total.reshape(SYMBOLS, WIDTH, FILTERS)[:, ::-1].transpose(1, 0, 2)
         g["bias"] += sums[0].sum(axis=0)  # each window once
         g["conv"], g["embed"] = np.zeros_like(self.p["conv"]), np.zeros_like(self.p["embed"])
         sums *= (np.arange(SYMBOLS) != PAD)[:, None]
